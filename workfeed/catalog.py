@@ -1,0 +1,18 @@
+"""The named queries over the driver's tables and the SQL each must equal."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = next(iter(queries()))
+    return queries()[name](spark, sf_dir)
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
