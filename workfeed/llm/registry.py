@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontaminate, simhash
+from . import decontaminate, linededup, simhash, syncmers
 from .common import sha256_of, table
 
 
@@ -63,9 +63,20 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_lines", "n_removed", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars_kept"), sha256_of(F.col("text")).alias("kept_sha256"))
+
+
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.compare_edited(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_simhash_dedup": op2_simhash_dedup,
+    "op3_line_dedup": op3_line_dedup,
+    "op10_document_fingerprints": op10_document_fingerprints,
 }
 
 ORACLES = {
