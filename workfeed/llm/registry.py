@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontaminate, linededup, simhash, syncmers
+from . import decontaminate, licenses, linededup, sharding, simhash, syncmers, urlrules
 from .common import sha256_of, table
 
 
@@ -68,6 +68,103 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_removed", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars_kept"), sha256_of(F.col("text")).alias("kept_sha256"))
 
 
+#: (host, path, verdict)
+URL_RULES = [
+    ("com", "/en/", "block"),
+    ("example.com", "/en/7", "allow"),
+    ("net", "/de/", "allow"),
+    ("example.net", "/de/8", "block"),
+    ("org", "/es/", "block"),
+]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page is bad if the document of its number has low quality or is toxic."""
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    labelled = pages.join(labels, pages["page_id"] == labels["doc_id"]).select("url", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    judged = urlrules.judge(pages.select("page_id", "url"), urlrules.mine_rules(labelled), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+#: The documents as files of a tree: a twentieth are licence files of a source, another three of a language's directory.
+AS_FILES = """CASE WHEN doc_id % 20 = 0 THEN concat(source, '/LICENSE-', doc_id)
+     WHEN doc_id % 5 = 0 THEN concat(source, '/', lang, '/LICENSE-', doc_id)
+     ELSE concat(source, '/', lang, '/', doc_id % 16, '/', doc_id, '.txt') END"""
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "documents").select(F.expr(AS_FILES).alias("path"), "text")
+    found = licenses.scan(files)
+    doc = F.regexp_extract("path", r"(\d+)(\.txt)?$", 1).cast("long")
+    return found.select(doc.alias("doc_id"), "path", "licence", "score", "own", "from_dir")
+
+
+def _op6_sql() -> str:
+    templates = ", ".join(f"('{k}', '{v}')" for k, v in licenses.TEMPLATES.items())
+    return rf"""
+WITH template(licence, body) AS (VALUES {templates}),
+template_word AS (
+  SELECT licence, w AS word, count(*) AS n
+  FROM template, unnest(list_filter(regexp_split_to_array(lower(body), '[^a-z0-9]+'), lambda x: x <> '')) AS t(w) GROUP BY 1, 2),
+weight AS (
+  SELECT word, ln((1.0 + (SELECT count(*) FROM template)) / (1 + count(DISTINCT licence))) + 1 AS idf FROM template_word GROUP BY 1),
+vector AS (SELECT licence, word, n * idf AS v FROM template_word JOIN weight USING (word)),
+template_norm AS (SELECT licence, sqrt(sum(v * v)) AS norm FROM vector GROUP BY 1),
+file AS (SELECT doc_id, {AS_FILES} AS path, coalesce(text, '') AS body FROM documents),
+unit AS (
+  SELECT DISTINCT path, u FROM file,
+    unnest(list_concat(string_split(body, chr(10)), regexp_split_to_array(body, '
+\s*
+'))) AS t(u)),
+likely AS (SELECT * FROM unit WHERE regexp_matches(lower(u), 'licen|rights|reserved|redistrib|mozilla|gnu|apache|commons|creative|mit|cc|modification|source')),
+unit_word AS (
+  SELECT path, u, w AS word, count(*) AS n
+  FROM likely, unnest(list_filter(regexp_split_to_array(lower(u), '[^a-z0-9]+'), lambda x: x <> '')) AS t(w) GROUP BY 1, 2, 3),
+valued AS (
+  SELECT path, u, word, n * coalesce(idf, ln(1.0 + (SELECT count(*) FROM template)) + 1) AS v
+  FROM unit_word LEFT JOIN weight USING (word)),
+unit_norm AS (SELECT path, u, sqrt(sum(v * v)) AS norm FROM valued GROUP BY 1, 2),
+dot AS (SELECT path, u, licence, sum(a.v * b.v) AS d FROM valued a JOIN vector b USING (word) GROUP BY 1, 2, 3),
+score AS (
+  SELECT path, licence, round(d / n.norm / t.norm, 6) AS score
+  FROM dot JOIN unit_norm n USING (path, u) JOIN template_norm t USING (licence)),
+best AS (
+  SELECT path, licence, score FROM score WHERE score >= 0.7
+  QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, licence) = 1),
+licensed AS (
+  SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, licence FROM best
+  WHERE regexp_matches(regexp_extract(path, '([^/]*)$', 1), '(?i)^(licen[cs]e|copying|copyright|notice)([.-].*)?$')
+  QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, licence) = 1),
+placed AS (SELECT doc_id, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM file),
+inherited AS (
+  SELECT p.dir, l.dir AS from_dir, l.licence FROM (SELECT DISTINCT dir FROM placed) p
+  JOIN licensed l ON p.dir = l.dir OR starts_with(p.dir, l.dir || '/') OR l.dir = ''
+  QUALIFY row_number() OVER (PARTITION BY p.dir ORDER BY length(l.dir) DESC) = 1)
+SELECT doc_id, p.path, coalesce(b.licence, i.licence) AS licence, b.score, b.licence IS NOT NULL AS own,
+       CASE WHEN b.licence IS NULL THEN i.from_dir END AS from_dir
+FROM placed p LEFT JOIN best b USING (path) LEFT JOIN inherited i USING (dir)
+"""
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+OP9_SQL = """
+WITH doc AS (
+  SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes,
+         concat(lpad(bin(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT)), 60, '0'),
+                lpad(bin(CAST('0x' || substr(md5(coalesce(text, '')), 1, 15) AS BIGINT)), 60, '0')) AS bits
+  FROM documents),
+bucket AS (
+  SELECT d AS depth, substr(bits, 1, d) AS shard, CAST(sum(n_bytes) AS BIGINT) AS shard_bytes, min(bits) = max(bits) AS alike
+  FROM doc, range(0, 25) AS t(d) GROUP BY 1, 2),
+fits AS (SELECT * FROM bucket WHERE shard_bytes <= 67108864 OR alike)
+SELECT doc_id, n_bytes, shard, shard_bytes FROM doc JOIN fits ON substr(bits, 1, depth) = shard
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY depth) = 1
+"""
+
+
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.compare_edited(table(spark, sf_dir, "documents"))
 
@@ -76,11 +173,16 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_simhash_dedup": op2_simhash_dedup,
     "op3_line_dedup": op3_line_dedup,
+    "op5_url_filter": op5_url_filter,
+    "op6_license_scan": op6_license_scan,
+    "op9_sharding": op9_sharding,
     "op10_document_fingerprints": op10_document_fingerprints,
 }
 
 ORACLES = {
     "op1_decontaminate": OP1_SQL,
+    "op6_license_scan": _op6_sql(),
+    "op9_sharding": OP9_SQL,
 }
 
 
