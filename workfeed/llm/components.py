@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint
@@ -13,9 +13,9 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
 
     Alternates the large-star and small-star steps, which keep each node's
     neighbours attached to a smaller one and halve the distances, until the edge
-    set stands still. Each round is two shuffles of the edges; a node with very
+    set stands still. Each round is three shuffles of the edges; a node with very
     many neighbours costs its rows but is never gathered into one array, as only
-    minima are taken. Null ends and self links are no edges; an empty table gives
+    minima over windows that can spill are taken. Null ends and self links are no edges; an empty table gives
     an empty result.
     """
     now = checkpoint(
@@ -39,14 +39,12 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link each larger neighbour of a node to the node's smallest neighbour or itself."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    least = F.least(F.min("v").over(Window.partitionBy("u")), F.col("u"))
+    return both.withColumn("m", least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    """Link each smaller neighbour of a node, and the node, to the smallest of them."""
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-    own = least.select("u", F.col("m").alias("v"))
-    return moved.unionByName(own).distinct()
+    """Link each smaller neighbour of a node, and the node, to the smallest of them; edges have v < u."""
+    least = edges.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+    ends = F.explode(F.array("u", "v")).alias("u")
+    return least.select(ends, F.col("m").alias("v")).where("u <> v").distinct()

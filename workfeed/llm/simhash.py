@@ -83,16 +83,29 @@ def _variants(fp: Column, max_bits: int) -> Column:
     return F.array(*(F.struct(F.lit(gone).cast("smallint").alias("slot"), fp.bitwiseAND(F.lit(m)).alias("key")) for _, gone, m in kept))
 
 
-def near_fingerprints(prints: DataFrame, max_bits: int = 2, bucket: int = 64) -> DataFrame:
+def _first_slot(apart: Column, max_bits: int) -> Column:
+    """The first slot in which two fingerprints meet that differ in the bits of apart: a pair counts there alone."""
+    out = F.lit(-1)
+    for at, width in reversed(segments(max_bits)):
+        part = apart.bitwiseAND(F.lit(_mask(range(at, at + width))))
+        # Without any difference they meet under all bits; else under the one that differs.
+        out = F.when(part == 0, F.lit(at)).when(part == F.lit(_mask([63])), F.lit(63)).when(F.bit_count(part) == 1, F.bit_count(part - 1)).otherwise(out)
+    return out.cast("smallint")
+
+
+def near_fingerprints(prints: DataFrame, max_bits: int = 2, bucket: int = 1024) -> DataFrame:
     """(a, b), a < b: links that connect all fingerprints within max_bits of each other.
 
     prints: a column fp of distinct longs. Every pair within the distance is in the
     result, or else both its ends are linked to a third within the distance of both.
     """
-    keyed = prints.select("fp", F.explode(_variants(F.col("fp"), max_bits)).alias("v")).select("fp", "v.slot", "v.key")
+    # As many tasks as the variants need, which are 64 times the fingerprints' bytes.
+    spread = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    keyed = spread.select("fp", F.explode(_variants(F.col("fp"), max_bits)).alias("v")).select("fp", "v.slot", "v.key")
     sizes = keyed.groupBy("slot", "key").agg(F.count("*").alias("n")).where("n > 1")
     met = checkpoint(keyed.join(sizes, ["slot", "key"]))
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
+    apart = F.col("a").bitwiseXOR(F.col("b"))
+    near = (F.bit_count(apart) <= max_bits) & (F.col("slot") == _first_slot(apart, max_bits))
     few = met.where(F.col("n") <= bucket)
     left = few.select("slot", "key", F.col("fp").alias("a"))
     right = few.select("slot", "key", F.col("fp").alias("b"))
@@ -107,7 +120,7 @@ def near_fingerprints(prints: DataFrame, max_bits: int = 2, bucket: int = 64) ->
 
 
 def near_duplicates(
-    documents: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3, max_bits: int = 2, bucket: int = 64
+    documents: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3, max_bits: int = 2, bucket: int = 1024
 ) -> DataFrame:
     """(key, fingerprint, component): which documents hang together.
 
