@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontaminate, licenses, linededup, sharding, simhash, syncmers, urlrules
+from . import decontaminate, licenses, linededup, sharding, simhash, syncmers, toxicity, urlrules, wrappers
 from .common import sha256_of, table
 
 
@@ -68,6 +68,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_removed", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars_kept"), sha256_of(F.col("text")).alias("kept_sha256"))
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = wrappers.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 #: (host, path, verdict)
 URL_RULES = [
     ("com", "/en/", "block"),
@@ -146,6 +151,20 @@ FROM placed p LEFT JOIN best b USING (path) LEFT JOIN inherited i USING (dir)
 """
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(~toxicity.held_out()))
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    offending = F.transform("offending", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    return scored.select(
+        "doc_id",
+        toxicity.held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        offending.alias("offending"),
+    )
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -173,8 +192,10 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_simhash_dedup": op2_simhash_dedup,
     "op3_line_dedup": op3_line_dedup,
+    "op4_html_extract": op4_html_extract,
     "op5_url_filter": op5_url_filter,
     "op6_license_scan": op6_license_scan,
+    "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,
     "op10_document_fingerprints": op10_document_fingerprints,
 }
