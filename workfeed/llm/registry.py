@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontaminate, licenses, linededup, sharding, simhash, syncmers, toxicity, urlrules, wrappers
+from . import decontaminate, licenses, linededup, pieces, sharding, simhash, syncmers, toxicity, urlrules, wrappers
 from .common import sha256_of, table
 
 
@@ -151,6 +151,18 @@ FROM placed p LEFT JOIN best b USING (path) LEFT JOIN inherited i USING (dir)
 """
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found = pieces.decode(pieces.encode(docs))
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        sha256_of(F.col("decoded")).alias("decoded_sha256"),
+        (F.col("decoded") == F.translate("text", pieces.SPACE, " ")).alias("round_trip"),
+    )
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels.where(~toxicity.held_out()))
@@ -195,6 +207,7 @@ QUERIES = {
     "op4_html_extract": op4_html_extract,
     "op5_url_filter": op5_url_filter,
     "op6_license_scan": op6_license_scan,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,
     "op10_document_fingerprints": op10_document_fingerprints,
