@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .oracle import ORACLES
+from .queries import QUERIES, dedup_survivors
+
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = next(iter(queries()))
-    return queries()[name](spark, sf_dir)
+    """The flagship: work items without the rows that repeat an earlier one."""
+    return dedup_survivors(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
