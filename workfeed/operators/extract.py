@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import clean_text, cut_bytes, text_format
+from ..schema import struct
 
 #: Elements without text, elements that break lines, and elements that an opening tag ends. Fixed values.
 SKIPPED = set("script style head title noscript iframe object template svg".split())
@@ -157,7 +158,7 @@ def html_text(html: str | None) -> tuple[str, list[tuple[str, str, str]]]:
     return text, list(seen.values())
 
 
-LINK = T.StructType.fromDDL("href STRING, text STRING, file_id STRING")
+LINK = struct("href STRING, text STRING, file_id STRING")
 
 
 def html_to_text(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -211,7 +212,7 @@ def _pptx(data: bytes) -> str:
     return tidy("\n\n".join(texts))
 
 
-EXTRACTED = T.StructType.fromDDL("path STRING, format STRING, text STRING, truncated BOOLEAN, error STRING, cacheable BOOLEAN")
+EXTRACTED = struct("path STRING, format STRING, text STRING, truncated BOOLEAN, error STRING, cacheable BOOLEAN")
 
 
 def files_to_text(files: DataFrame, limit: int = 64 * 1024, ceiling: int = 64 << 20) -> DataFrame:

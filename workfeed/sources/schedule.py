@@ -9,9 +9,10 @@ from pyspark.sql import types as T
 from ..functions import codes
 from ..functions.text import clip_bytes, slug, unfence
 from ..functions.times import at_time
+from ..schema import struct
 from .planner import first_of
 
-ENTRIES = T.ArrayType(T.StructType.fromDDL("date STRING, due_date STRING, time STRING, kind STRING, title STRING, description STRING"))
+ENTRIES = T.ArrayType(struct("date STRING, due_date STRING, time STRING, kind STRING, title STRING, description STRING"))
 
 
 def parsed_entries(answer: Column) -> Column:
