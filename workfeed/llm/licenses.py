@@ -32,11 +32,14 @@ TEMPLATES = {
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0": "Licensed under a Creative Commons Attribution 4.0 International License.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted.",
+    "BSD-3-Clause": "Use of this source code is governed by a BSD-style license.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "proprietary": "All rights reserved.",
 }
 
+#: Words so common that a unit's having them says little; any choice of must_words is sound.
+COMMON = set("a all and are as at be by for from in is it mit of on or that the this to use was with".split())
+
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|copyright|notice)([.-].*)?$"
 
 
@@ -65,13 +68,13 @@ def vectors(templates: dict[str, str]) -> dict[str, dict[str, float]]:
 def must_words(templates: dict[str, str], threshold: float) -> set[str]:
     """Words of which a unit has at least one if its cosine to any template reaches the threshold.
 
-    From each template the heaviest words are taken until the rest has a norm below
-    the threshold: sharing only the rest cannot reach it.
+    From each template words are taken, heavy ones first but common ones last, until
+    the rest has a norm below the threshold: sharing only the rest cannot reach it.
     """
     out: set[str] = set()
     for v in vectors(templates).values():
         rest = 1.0
-        for w, x in sorted(v.items(), key=lambda e: (-e[1], e[0])):
+        for w, x in sorted(v.items(), key=lambda e: (e[0] in COMMON, -e[1], e[0])):
             if rest < threshold * threshold * 0.999:
                 break
             out.add(w)
@@ -80,27 +83,28 @@ def must_words(templates: dict[str, str], threshold: float) -> set[str]:
 
 
 def unit_scores(units: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
-    """(path, unit, licence, score): the units whose cosine to a template reaches the threshold.
+    """(path, licence, score) of every unit whose cosine to a template reaches the threshold.
 
-    units: path, unit; equal rows count once.
+    units: path, unit. Rows equal in both scale a vector and leave its cosine. Words are
+    counted under the unit's digest, so no text is shuffled.
     """
     weight, other = idf(templates)
     shares = vectors(templates)
     names = sorted(templates)
     pattern = r"(?i)(^|[^a-z0-9])(" + "|".join(sorted(must_words(templates, threshold))) + ")([^a-z0-9]|$)"
-    likely = units.where(F.col("unit").rlike(pattern)).distinct()
+    likely = units.where(F.col("unit").rlike(pattern)).withColumn("digest", F.unhex(F.md5("unit")))
     found = F.filter(F.split(F.lower("unit"), "[^a-z0-9]+"), lambda w: w != "")
-    counts = likely.select("path", "unit", F.explode(found).alias("word")).groupBy("path", "unit", "word").agg(F.count("*").alias("n"))
+    counts = likely.select("path", "digest", F.explode(found).alias("word")).groupBy("path", "digest", "word").agg(F.count("*").alias("n"))
     # One row for each template word: as large as the argument, whatever the files are.
     entries = ", ".join(f"('{w}', {x!r}D, {', '.join(f'{shares[n].get(w, 0.0)!r}D' for n in names)})" for w, x in sorted(weight.items()))
     dots = [f"dot_{i}" for i in range(len(names))]
     vocabulary = units.sparkSession.sql(f"SELECT * FROM VALUES {entries} AS v(word, weight, {', '.join(dots)})")
     valued = counts.join(F.broadcast(vocabulary), "word", "left").withColumn("value", F.col("n") * F.coalesce("weight", F.lit(other)))
-    sums = valued.groupBy("path", "unit").agg(
+    sums = valued.groupBy("path", "digest").agg(
         F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"), *(F.sum(F.col("value") * F.col(d)).alias(d) for d in dots)
     )
     each = F.array(*(F.struct(F.lit(name).alias("licence"), F.round(F.col(d) / F.col("norm"), 6).alias("score")) for name, d in zip(names, dots, strict=True)))
-    scored = sums.select("path", "unit", F.explode(each).alias("s")).select("path", "unit", "s.licence", "s.score")
+    scored = sums.select("path", F.explode(each).alias("s")).select("path", "s.licence", "s.score")
     return scored.where(F.col("score") >= threshold)
 
 
