@@ -80,7 +80,7 @@ class Matcher:
     """Encodes runs under a vocabulary and remembers what it has encoded."""
 
     #: Characters of different runs that are indexed at once; runs remembered at most; symbols of a run for array steps.
-    CHUNK, KEEP, LONG = 400_000, 300_000, 64
+    CHUNK, KEEP, LONG = 400_000, 150_000, 64
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
@@ -93,6 +93,8 @@ class Matcher:
             self.chars[i, : len(t)] = _points(t)
         self.score = np.array(vocabulary.scores)
         self.known: dict[str, list[int]] = {}
+        #: One object for each id, shared by all lists of them.
+        self.numbers = list(range(len(vocabulary.pieces)))
 
     def ranges(self, points: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and last place (exclusive) in the suffix array of each piece's occurrences, narrowed a character at a time."""
@@ -196,18 +198,18 @@ class Matcher:
         ids = table[at, np.where(last, (begins + sizes)[owner], ends) - at]
         spelt = set(owner[ids < 0].tolist())
         stops = np.cumsum(np.bincount(owner, minlength=len(runs))).tolist()
-        all_ids, begin = ids.tolist(), 0
+        all_ids, begin = [self.numbers[i] for i in ids.tolist()], 0
         for n, (run, stop) in enumerate(zip(runs, stops, strict=True)):
             own = all_ids[begin:stop]
             if n in spelt:
-                own = [x for i, place in zip(own, at[begin:stop].tolist(), strict=True) for x in ([i] if i >= 0 else self.spell(text[place]))]
+                own = [x for i, place in zip(ids[begin:stop].tolist(), at[begin:stop].tolist(), strict=True) for x in ([i] if i >= 0 else self.spell(text[place]))]
             self.known[run] = own
             begin = stop
 
     def spell(self, character: str) -> list[int]:
         return [self.v.byte_ids[b] for b in character.encode("utf-8", "replace")]
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         cut = []
         for t in texts:
             if not t:
@@ -232,14 +234,14 @@ class Matcher:
                         new, size, seen = [], 0, set()
         if new:
             self.learn(new)
-        return [[i for r in runs for i in self.known[r]] for runs in cut]
+        return [np.array([i for r in runs for i in self.known[r]], dtype=np.int32) for runs in cut]
 
 
 def decode_ids(ids, vocabulary: Vocabulary) -> str:
     """The text of ids: byte pieces as UTF-8, control pieces as nothing, without the leading space that encoding puts."""
     byte_of = {i: b for b, i in enumerate(vocabulary.byte_ids)}
     parts: list[bytes] = []
-    for i in ids:
+    for i in map(int, ids):
         if i in byte_of:
             parts.append(bytes([byte_of[i]]))
         elif i not in vocabulary.controls:
@@ -248,22 +250,39 @@ def decode_ids(ids, vocabulary: Vocabulary) -> str:
     return text[1:] if text.startswith(" ") else text
 
 
-def encode(documents: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:
-    """documents with ids: the piece ids of text.
+class Decoder:
+    """Decodes ids; see decode_ids()."""
 
-    All rows and columns are kept, but a column called ids is replaced. The ids are
+    def __init__(self, vocabulary: Vocabulary):
+        self.v = vocabulary
+        self.plain = {i: vocabulary.pieces[i].replace(SPACE, " ") for i in vocabulary.normal}
+
+    def __call__(self, ids) -> str:
+        try:
+            text = "".join(map(self.plain.__getitem__, () if ids is None else np.asarray(ids).tolist()))
+        except KeyError:  # with byte or control pieces
+            return decode_ids(ids, self.v)
+        return text[1:] if text.startswith(" ") else text
+
+
+def encode(documents: DataFrame, text: str = "text", model: str = MODEL, decoded: str | None = None) -> DataFrame:
+    """documents with ids: the piece ids of text; with a name in decoded, also the text that these decode to.
+
+    All rows and columns are kept, but columns of those names are replaced. The ids are
     those that the model's own library gives. A null or empty text has no ids.
     """
-    docs = documents.drop("ids")
-    shape = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    docs = documents.drop("ids", *([decoded] if decoded else []))
+    shape = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.StringType())] if decoded else [])])
     shared = documents.sparkSession.sparkContext.broadcast(tuple(load(model)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher = Matcher(Vocabulary(*shared.value))
+        v = Vocabulary(*shared.value)
+        matcher, back = Matcher(v), Decoder(v)
         for batch in batches:
-            for at in range(0, len(batch), 2000):
-                part = batch.iloc[at : at + 2000]
-                yield part.assign(ids=matcher.encode(list(part[text])))
+            for at in range(0, len(batch), 1000):
+                part = batch.iloc[at : at + 1000]
+                found = matcher.encode(list(part[text]))
+                yield part.assign(ids=found, **({decoded: [back(x) for x in found]} if decoded else {}))
 
     return docs.mapInPandas(run, shape)
 
@@ -280,17 +299,8 @@ def decode(encoded: DataFrame, ids: str = "ids", text: str = "decoded", model: s
     shared = encoded.sparkSession.sparkContext.broadcast(tuple(load(model)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v = Vocabulary(*shared.value)
-        plain = {i: v.pieces[i].replace(SPACE, " ") for i in v.normal}
+        back = Decoder(Vocabulary(*shared.value))
         for batch in batches:
-            texts = []
-            for row in batch[ids]:
-                try:
-                    got = "".join(map(plain.__getitem__, () if row is None else row))
-                    got = got[1:] if got.startswith(" ") else got
-                except KeyError:  # with byte or control pieces
-                    got = decode_ids(row, v)
-                texts.append(got)
-            yield batch.assign(**{text: texts})
+            yield batch.assign(**{text: [back(x) for x in batch[ids]]})
 
     return rows.mapInPandas(run, shape)

@@ -153,7 +153,7 @@ FROM placed p LEFT JOIN best b USING (path) LEFT JOIN inherited i USING (dir)
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = pieces.decode(pieces.encode(docs))
+    found = pieces.encode(docs, decoded="decoded")
     return found.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
