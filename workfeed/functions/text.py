@@ -98,7 +98,7 @@ def last_sentinel(notes: Column) -> Column:
 def unfence(answer: Column) -> Column:
     """What stands between the first and the last fence, else between the first { or [ and the last } or ]."""
     fenced = F.regexp_extract(answer, r"(?s)```[^\n]*\n(.*)```", 1)
-    return F.when(fenced != "", F.trim(fenced)).otherwise(F.regexp_extract(answer, r"(?s)([\[{].*[\]}])", 1))
+    return F.when(fenced != "", F.regexp_replace(fenced, r"^\s+|\s+$", "")).otherwise(F.regexp_extract(answer, r"(?s)([\[{].*[\]}])", 1))
 
 
 def short_number(x: Column) -> Column:

@@ -188,8 +188,8 @@ WHERE status IN ('todo', 'late') AND due_at < {b.NOW} + INTERVAL '48' HOUR ORDER
     "submission_latest": f"""WITH {_ITEMS},
 grades AS (SELECT l_orderkey, l_quantity AS grade FROM lineitem WHERE l_returnflag = 'A' QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_quantity DESC) = 1),
 ins AS (SELECT l_orderkey, max(CASE WHEN l_returnflag = 'R' THEN l_shipdate END) AS turned, max(l_shipdate) AS updated FROM lineitem GROUP BY 1)
-SELECT id, grade, coalesce(turned, CASE WHEN state IN ('graded', 'in_progress') THEN updated END) AS turned_in_at,
-       CASE WHEN points > 0 THEN {_short('grade')} || '/' || {_short('points')} ELSE {_short('grade')} END AS grade_text
+SELECT id, g.grade, coalesce(turned, CASE WHEN state IN ('graded', 'in_progress') THEN updated END) AS turned_in_at,
+       CASE WHEN points > 0 THEN {_short("g.grade")} || '/' || {_short("points")} ELSE {_short("g.grade")} END AS grade_text
 FROM items LEFT JOIN grades g ON g.l_orderkey = ordinal LEFT JOIN ins i ON i.l_orderkey = ordinal""",
     "event_occurrences": f"""WITH {_EVENTS},
 kept AS (

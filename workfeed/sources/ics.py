@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def read_feeds(spark: SparkSession, path: str) -> DataFrame:
     """(feed, body): one row per file."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("feed"), F.col("value").alias("body"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("feed"), F.col("value").alias("body"))
 
 
 def unfolded(body: Column) -> Column:
