@@ -87,7 +87,7 @@ def test_rendering_and_export(spark, tmp_path):
     assert got["s:2"].description == "Due: none\nKind: material" and got["s:2"].notes == "Progress: missing\nx-id: s:2"
     assert (got["s:1"].state, got["s:2"].state) == ("done", "open")
     sinks.write_csv(items, str(tmp_path / "csv"))
-    back = spark.read.option("header", True).csv(str(tmp_path / "csv")).collect()
+    back = spark.read.option("header", True).option("multiLine", True).option("escape", "\"").csv(str(tmp_path / "csv")).collect()
     assert {r.id: (r.due_at, r.attachment_count, r.attachment_names) for r in back} == {"s:1": ("2026-09-22T17:00:00Z", "2", "a.pdf; http://g"), "s:2": (None, "0", None)}
     sinks.write_json(items, str(tmp_path / "json"))
     assert [r.id for r in spark.read.json(str(tmp_path / "json")).orderBy("id").collect()] == ["s:1", "s:2"]
