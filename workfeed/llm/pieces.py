@@ -70,7 +70,8 @@ def suffix_array(points: np.ndarray, depth: int) -> np.ndarray:
     done = 1
     while done < depth:
         after = np.full(len(rank), -1, dtype=np.int64)
-        after[: len(rank) - done] = rank[done:]
+        if done < len(rank):
+            after[:-done] = rank[done:]
         rank = np.unique(rank * (len(points) + 2) + after, return_inverse=True)[1]
         done *= 2
     return np.argsort(rank, kind="stable")
@@ -237,31 +238,17 @@ class Matcher:
         return [np.array([i for r in runs for i in self.known[r]], dtype=np.int32) for runs in cut]
 
 
-def decode_ids(ids, vocabulary: Vocabulary) -> str:
-    """The text of ids: byte pieces as UTF-8, control pieces as nothing, without the leading space that encoding puts."""
-    byte_of = {i: b for b, i in enumerate(vocabulary.byte_ids)}
-    parts: list[bytes] = []
-    for i in map(int, ids):
-        if i in byte_of:
-            parts.append(bytes([byte_of[i]]))
-        elif i not in vocabulary.controls:
-            parts.append(vocabulary.pieces[i].encode())
-    text = b"".join(parts).decode("utf-8", "replace").replace(SPACE, " ")
-    return text[1:] if text.startswith(" ") else text
-
-
 class Decoder:
-    """Decodes ids; see decode_ids()."""
+    """Texts of ids: byte pieces as UTF-8, control pieces as nothing, without the leading space that encoding puts."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.v = vocabulary
-        self.plain = {i: vocabulary.pieces[i].replace(SPACE, " ") for i in vocabulary.normal}
+        self.parts = [b"" if i in vocabulary.controls else p.replace(SPACE, " ").encode() for i, p in enumerate(vocabulary.pieces)]
+        for byte, i in enumerate(vocabulary.byte_ids):
+            self.parts[i] = bytes([byte])
 
     def __call__(self, ids) -> str:
-        try:
-            text = "".join(map(self.plain.__getitem__, () if ids is None else np.asarray(ids).tolist()))
-        except KeyError:  # with byte or control pieces
-            return decode_ids(ids, self.v)
+        given = () if ids is None else np.asarray(ids, dtype=np.int64).tolist()
+        text = b"".join(map(self.parts.__getitem__, given)).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
