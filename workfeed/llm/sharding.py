@@ -71,7 +71,8 @@ def shard(documents: DataFrame, text: str = "text", key: str = "doc_id", limit:
         if directory.where("shard IS NULL").isEmpty():
             break
         depth += step
-        rows = placed.where("shard IS NULL").select("key", "bits", "size")
+        # Cut here, or plans would nest a level deeper with each pass.
+        rows = checkpoint(placed.where("shard IS NULL").select("key", "bits", "size"))
     whole = done[0]
     for d in done[1:]:
         whole = whole.unionByName(d)
