@@ -23,6 +23,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -65,23 +66,33 @@ def _points(text: str) -> np.ndarray:
 
 
 def suffix_array(points: np.ndarray, depth: int) -> np.ndarray:
-    """The places of points in order of what begins there, by `depth` points at least."""
-    rank = np.unique(points, return_inverse=True)[1].astype(np.int64)
-    done = 1
+    """The places of points in order of what begins there, by `depth` points at least.
+
+    As many points as fit are packed into one number; ranks of those are then doubled.
+    """
+    letters, rank = np.unique(points, return_inverse=True)
+    rank = rank.astype(np.int64) + 1  # 0 stands beyond the end
+    bits = int(len(letters)).bit_length()
+    key, done = rank.copy(), 1
+    while done < depth and bits * (done + 1) <= 62:
+        key <<= bits
+        if done < len(rank):
+            key[:-done] |= rank[done:]
+        done += 1
     while done < depth:
-        after = np.full(len(rank), -1, dtype=np.int64)
+        rank = np.unique(key, return_inverse=True)[1].astype(np.int64) + 1
+        key = rank * (len(points) + 2)
         if done < len(rank):
-            after[:-done] = rank[done:]
-        rank = np.unique(rank * (len(points) + 2) + after, return_inverse=True)[1]
+            key[:-done] += rank[done:]
         done *= 2
-    return np.argsort(rank, kind="stable")
+    return np.argsort(key, kind="stable")
 
 
 class Matcher:
     """Encodes runs under a vocabulary and remembers what it has encoded."""
 
     #: Characters of different runs that are indexed at once; runs remembered at most; symbols of a run for array steps.
-    CHUNK, KEEP, LONG = 400_000, 150_000, 64
+    CHUNK, KEEP, LONG = 400_000, 600_000, 64
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
@@ -93,9 +104,13 @@ class Matcher:
         for i, t in enumerate(texts):
             self.chars[i, : len(t)] = _points(t)
         self.score = np.array(vocabulary.scores)
-        self.known: dict[str, list[int]] = {}
-        #: One object for each id, shared by all lists of them.
-        self.numbers = list(range(len(vocabulary.pieces)))
+        self.forget()
+
+    def forget(self) -> None:
+        """The runs encoded so far by number; their ids lie one after the other in flat."""
+        self.number: dict[str, int] = {}
+        self.flat = np.zeros(0, dtype=np.int32)
+        self.starts = self.counts = np.zeros(0, dtype=np.int64)
 
     def ranges(self, points: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and last place (exclusive) in the suffix array of each piece's occurrences, narrowed a character at a time."""
@@ -197,15 +212,18 @@ class Matcher:
         ends = np.append(at[1:], 0)
         last = np.append(owner[1:] != owner[:-1], True)
         ids = table[at, np.where(last, (begins + sizes)[owner], ends) - at]
-        spelt = set(owner[ids < 0].tolist())
-        stops = np.cumsum(np.bincount(owner, minlength=len(runs))).tolist()
-        all_ids, begin = [self.numbers[i] for i in ids.tolist()], 0
-        for n, (run, stop) in enumerate(zip(runs, stops, strict=True)):
-            own = all_ids[begin:stop]
-            if n in spelt:
-                own = [x for i, place in zip(ids[begin:stop].tolist(), at[begin:stop].tolist(), strict=True) for x in ([i] if i >= 0 else self.spell(text[place]))]
-            self.known[run] = own
-            begin = stop
+        widths = np.ones(len(ids), dtype=np.int64)
+        spelt = {n: self.spell(text[at[n]]) for n in np.flatnonzero(ids < 0).tolist()}
+        for n, own in spelt.items():
+            widths[n] = len(own)
+        flat = np.repeat(ids, widths).astype(np.int32)
+        for n, place in zip(spelt, (np.cumsum(widths) - widths)[list(spelt)].tolist(), strict=True):
+            flat[place : place + len(spelt[n])] = spelt[n]
+        counts = np.bincount(owner, weights=widths, minlength=len(runs)).astype(np.int64)
+        self.number.update(zip(runs, range(len(self.counts), len(self.counts) + len(runs)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
+        self.counts = np.concatenate([self.counts, counts])
+        self.flat = np.concatenate([self.flat, flat])
 
     def spell(self, character: str) -> list[int]:
         return [self.v.byte_ids[b] for b in character.encode("utf-8", "replace")]
@@ -219,23 +237,23 @@ class Matcher:
                 cut.append(RUN.findall(SPACE + t.replace(" ", SPACE)))
             else:
                 cut.append((SPACE + t.replace(" ", f" {SPACE}")).split(" "))
-        new: list[str] = []
-        size = 0
-        seen: set[str] = set()
-        if len(self.known) > self.KEEP:
-            self.known.clear()
-        for runs in cut:
-            for r in runs:
-                if r not in self.known and r not in seen:
-                    seen.add(r)
-                    new.append(r)
-                    size += len(r) + 1
-                    if size >= self.CHUNK:
-                        self.learn(new)
-                        new, size, seen = [], 0, set()
+        if len(self.number) > self.KEEP:
+            self.forget()
+        new, size = [], 0
+        for run in set(chain.from_iterable(cut)) - self.number.keys():
+            new.append(run)
+            size += len(run) + 1
+            if size >= self.CHUNK:
+                self.learn(new)
+                new, size = [], 0
         if new:
             self.learn(new)
-        return [np.array([i for r in runs for i in self.known[r]], dtype=np.int32) for runs in cut]
+        ends = np.cumsum([len(runs) for runs in cut])
+        numbers = np.fromiter(map(self.number.__getitem__, chain.from_iterable(cut)), dtype=np.int64, count=int(ends[-1]) if len(ends) else 0)
+        counts = self.counts[numbers]
+        stops = np.append(0, np.cumsum(counts))
+        places = np.repeat(self.starts[numbers] - stops[:-1], counts) + np.arange(stops[-1])
+        return np.split(self.flat[places], stops[ends[:-1]]) if len(ends) else []
 
 
 class Decoder:
