@@ -36,8 +36,9 @@ def test_hit_words_count_overlaps_once(spark):
 def test_dropping_keeps_columns_rows_and_nulls(spark):
     docs = spark.createDataFrame([(1, ITEM, "x"), (2, "clean", "y"), (2, "clean", "y"), (None, ITEM, "z"), (3, None, "w")], "doc_id long, text string, item_id string")
     items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
-    kept = d.drop_contaminated(docs, items)
-    assert kept.columns == docs.columns
-    assert sorted((r.doc_id, r.item_id) for r in kept.collect()) == [(2, "y"), (2, "y"), (3, "w")]
+    for block in (32 << 20, 40):
+        kept = d.drop_contaminated(docs, items.union(spark.createDataFrame([(2, "words of no text")], items.schema)), block_bytes=block)
+        assert kept.columns == docs.columns
+        assert sorted((r.doc_id, r.item_id) for r in kept.collect()) == [(2, "y"), (2, "y"), (3, "w")]
     assert d.drop_contaminated(docs, items.limit(0)).count() == 5
     assert d.drop_contaminated(docs.limit(0), items).count() == 0

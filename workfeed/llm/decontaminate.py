@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import pandas as pd
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name
+from .common import checkpoint, free_name
 
 #: A-Z to a-z; every other ASCII byte that is no digit or letter to a space.
 FOLD = bytes(
@@ -143,29 +143,17 @@ def find_contamination(
     Other columns of either table are ignored whatever their names.
     """
     docs = documents.select(F.col(key).alias("key"), F.col(text).cast("string").alias("body"))
-    rows = items.select(F.col(item_key).cast("string").alias("item"), F.col(item_text).cast("string").alias("body")).where(
-        "item IS NOT NULL AND body IS NOT NULL"
-    )
     kind = docs.schema["key"].dataType
     out = T.StructType([T.StructField("key", kind), T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(SPAN))])
-    size = rows.agg(F.sum(F.octet_length("body") + F.octet_length("item"))).first()[0] or 0
-    blocks = -(-size // block_bytes) or 1
-    context = documents.sparkSession.sparkContext
-
-    def block(i: int) -> list[tuple[str, str]]:
-        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item", "body"), F.lit(blocks)) == i)
-        return [(r.item, r.body) for r in part.collect()]
+    blocks = item_blocks(items, item_key, item_text, block_bytes)
 
-    if blocks == 1:
-        return docs.mapInPandas(_scanner(context.broadcast(block(0)), window), out).withColumnRenamed("key", key)
+    if len(blocks) == 1:
+        return docs.mapInPandas(_scanner(blocks[0](), window), out).withColumnRenamed("key", key)
 
     tag = free_name(docs, "digest")
     tagged = docs.withColumn(tag, F.sha2(F.coalesce("body", F.lit("")), 256))
     each = T.StructType([out["key"], T.StructField(tag, T.StringType()), *out.fields[1:]])
-    parts = [
-        tagged.dropDuplicates(["key", tag]).select("key", tag, "body").mapInPandas(_scanner(context.broadcast(block(i)), window), each)
-        for i in range(blocks)
-    ]
+    parts = [tagged.dropDuplicates(["key", tag]).select("key", tag, "body").mapInPandas(_scanner(block(), window), each) for block in blocks]
     met = parts[0]
     for p in parts[1:]:
         met = met.unionByName(p)
@@ -176,6 +164,22 @@ def find_contamination(
     )
 
 
+def item_blocks(items: DataFrame, item_key: str, item_text: str, block_bytes: int) -> list[Callable[[], Broadcast]]:
+    """Makers of broadcasts of (item, text), of about block_bytes at most, which together hold all items."""
+    rows = items.select(F.col(item_key).cast("string").alias("item"), F.col(item_text).cast("string").alias("body")).where(
+        "item IS NOT NULL AND body IS NOT NULL"
+    )
+    size = rows.agg(F.sum(F.octet_length("body") + F.octet_length("item"))).first()[0] or 0
+    n = -(-size // block_bytes) or 1
+    context = items.sparkSession.sparkContext
+
+    def maker(i: int) -> Callable[[], Broadcast]:
+        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item", "body"), F.lit(n)) == i)
+        return lambda: context.broadcast([(r.item, r.body) for r in part.collect()])
+
+    return [maker(i) for i in range(n)]
+
+
 def hit_words(spans: Column) -> Column:
     """How many different words the spans cover."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["first_word"].alias("a"), s["last_word"].alias("b"))))
@@ -192,12 +196,24 @@ def hit_words(spans: Column) -> Column:
 
 
 def drop_contaminated(
-    documents: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", window: int = 10, **options
+    documents: DataFrame, items: DataFrame, text: str = "text", window: int = 10, item_key: str = "item_id", item_text: str = "text", block_bytes: int = 32 << 20
 ) -> DataFrame:
     """The rows of documents in which no item window occurs, with all their columns.
 
-    Rows with null or empty text have no words and stay.
+    Rows with null or empty text have no words and stay. There is no shuffle: each block
+    of items is a pass over the rows that the one before has left.
     """
-    found = find_contamination(documents, items, text, key, window=window, **options).where(F.size("spans") > 0)
-    bad = found.select(F.col(key).alias("key")).distinct().alias("bad")
-    return documents.join(bad, documents[key].eqNullSafe(F.col("bad.key")), "left_anti")
+
+    def keep(shared: Broadcast):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            automaton = build_automaton(shared.value, window)
+            for batch in batches:
+                yield batch[[not scan(t, automaton)[1] for t in batch[text]]]
+
+        return run
+
+    out = documents
+    for i, block in enumerate(item_blocks(items, item_key, item_text, block_bytes)):
+        # One automaton in memory at a time: what a block has left is written before the next.
+        out = (checkpoint(out) if i else out).mapInPandas(keep(block()), documents.schema)
+    return out

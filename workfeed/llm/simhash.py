@@ -144,10 +144,11 @@ def near_duplicates(
 def drop_near_duplicates(documents: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """One row of each group of near-duplicates, with all its columns: the smallest key's.
 
-    Of rows that repeat the kept key any one stays; rows with a null key are kept
-    where their group has no other key.
+    Of rows that repeat the kept key any one stays. A row with a null key stays, as the
+    links cannot name it.
     """
     found = near_duplicates(documents, text, key, **options)
     tag = free_name(documents, "kept")
-    keep = found.where(F.col(key).eqNullSafe(F.col("component"))).select(F.col(key).alias(tag)).distinct()
-    return documents.join(keep, documents[key].eqNullSafe(keep[tag])).drop(tag).dropDuplicates([key])
+    keep = found.where(F.col(key) == F.col("component")).select(F.col(key).alias(tag)).distinct()
+    named = documents.where(F.col(key).isNotNull())
+    return named.join(keep, named[key] == keep[tag], "left_semi").dropDuplicates([key]).unionByName(documents.where(F.col(key).isNull()))

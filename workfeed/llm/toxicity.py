@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -65,17 +66,17 @@ def fit(bags: list[list[set[str]]], labels: list[int], max_features: int = 50_00
     names = [f for f, n in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:max_features] if n >= least]
     number = {f: i for i, f in enumerate(names)}
     known: dict[str, list[int]] = {}
-    entries, lengths, owner = [], [], []
+    entries, lengths, owner = array("i"), [], []
     for b, bag in enumerate(bags):
         for words in bag:
             before = len(entries)
             for w in words:
                 if w not in known:
                     known[w] = [number[f] for f in features(w) if f in number]
-                entries += known[w]
+                entries.extend(known[w])
             lengths.append(len(entries) - before)
             owner.append(b)
-    at, owner, y = np.array(entries, dtype=np.int32), np.array(owner), np.array(labels, dtype=float)
+    at, owner, y = np.frombuffer(entries or array("i", [0]), dtype=np.int32)[: len(entries)], np.array(owner), np.array(labels, dtype=float)
     row = np.repeat(np.arange(len(lengths)), lengths)
     x, m, v = np.zeros(len(names) + 1), 0.0, 0.0
     x[-1] = -5.0
@@ -93,7 +94,7 @@ def fit(bags: list[list[set[str]]], labels: list[int], max_features: int = 50_00
     return {f: float(x[i]) for f, i in number.items() if abs(x[i]) > 1e-3} | {BIAS: float(x[-1])}
 
 
-def train(documents: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", sample_rows: int = 6000, max_features: int = 50_000) -> dict[str, float]:
+def train(documents: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", sample_rows: int = 4000, max_features: int = 50_000) -> dict[str, float]:
     """The model fitted in one task to at most sample_rows labelled documents.
 
     labels: key and label (0 or 1); rows with a null in either are left out, of rows
@@ -123,7 +124,7 @@ class Scorer:
 
     def word(self, w: str) -> float:
         if w not in self.known:
-            if len(self.known) > 500_000:
+            if len(self.known) > 200_000:
                 self.known.clear()
             self.known[w] = sum(self.model.get(f, 0.0) for f in features(w))
         return self.known[w]
