@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -146,7 +144,3 @@ def text_format(mime: Column, name: Column) -> Column:
     extension = F.lower(F.regexp_extract(F.coalesce(name, F.lit("")), r"\.([A-Za-z0-9]+)$", 1))
     general = F.when(m.startswith("text/") | m.endswith("+json") | m.endswith("+xml"), F.lit("text"))
     return F.coalesce(_looked_up(m, MIME_FORMATS), general, _looked_up(extension, EXTENSION_FORMATS))
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)

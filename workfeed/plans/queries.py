@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import codes, text, times
+from ..functions import codes, text
 from ..operators import extract, match, memo, reconcile, render, sinks
 from ..sources import events as calendar
 from ..sources import ics, legacy, planner, schedule
+from ..state import read_latest
 from ..streaming import streams
 from . import bindings as b
 
@@ -466,8 +468,6 @@ def _shared(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         return tempfile.mkdtemp(prefix="workfeed-stream-")
-    import uuid
-
     return f"{base}/stream-{uuid.uuid4().hex}"
 
 
@@ -481,8 +481,6 @@ def stream_upsert(spark, sf_dir):
     rows = _event_rows(spark, sf_dir)
     query = streams.upsert_stream(streams.replay(rows, f"{root}/in", "n"), f"{root}/table", f"{root}/cp", ("id",), "n")
     query.awaitTermination()
-    from ..state import read_latest
-
     return read_latest(spark, f"{root}/table", rows.schema)
 
 
