@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..state import checkpoint
+
+__all__ = ["checkpoint", "free_name", "sha256_of", "small_batches", "table"]
+
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Hands texts to Python workers in batches of at most `rows`, where the session has more.
@@ -24,19 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the folder that spark.checkpoint.dir names.
-
-    The files are reliable (not executor-local), so a lost executor costs only a
-    re-read. A folder is set here only where the session has none, as in tests.
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="workfeed-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name starting with stem that df does not have."""
     taken = {c.lower() for c in df.columns}
