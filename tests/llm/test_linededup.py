@@ -1,5 +1,6 @@
 import random
 
+from pyspark.sql import functions as F
 from workfeed.llm import linededup
 
 
@@ -39,8 +40,8 @@ def test_against_all_runs(spark):
 def test_nulls_repeated_rows_and_clashing_columns(spark):
     line = "a passage of some eight words stands here"
     docs = [(1, line, 5), (1, line, 6), (2, f"x\n{line}", 7), (None, line, 8), (3, None, 9)]
-    got = linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string, n_lines long"), min_words=8)
-    assert got.columns == ["doc_id", "text", "n_lines", "n_removed"]
+    got = linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string, n_lines long").withColumn("ranges", F.lit(0)), min_words=8)
+    assert got.columns == ["doc_id", "text", "ranges", "n_lines", "n_removed"]
     rows = sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got.collect()), key=str)
     # The null key comes first, so the others repeat it.
     assert rows == sorted([(1, "", 1, 1), (1, "", 1, 1), (2, "x", 2, 1), (None, line, 1, 0), (3, None, 0, 0)], key=str)

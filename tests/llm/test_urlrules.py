@@ -39,7 +39,7 @@ def test_mined_rules_against_all_itemsets(spark):
 
 def test_given_rules_come_first_and_rows_stay(spark):
     urls = ["http://a.example.com/en/71", "http://example.com/en/8", "http://example.net/de/81", "http://x.net/de/1", "http://xcom/en/1", "http://bad.org/1", None, None]
-    df = spark.createDataFrame([(i, x, "old") for i, x in enumerate(urls)], "page_id long, url string, verdict string")
+    df = spark.createDataFrame([(i, x, "old") for i, x in enumerate(urls)], "page_id long, url string, verdict string").withColumn("hit_url", F.lit(0))
     rules = spark.createDataFrame([(["host:bad.org"], "host:bad.org", 1.0, 1.0), (["host:com"], "host:com", 1.0, 1.0)], "tokens array<string>, post string, confidence double, support double")
     got = {r.page_id: (r.rule, r.verdict) for r in u.judge(df, rules, GIVEN).collect()}
     assert got == {0: ("example.com/en/7", "allow"), 1: ("com/en/", "block"), 2: ("example.net/de/8", "block"), 3: ("net/de/", "allow"), 4: (None, "allow"), 5: (None, "block"), 6: (None, "allow"), 7: (None, "allow")}

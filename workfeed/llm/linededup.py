@@ -99,17 +99,17 @@ def repeated_lines(documents: DataFrame, text: str = "text", key: str = "doc_id"
     return later.select(F.col("key").alias(key), F.col("digest_of").alias("digest"), "first", "last").distinct()
 
 
-def _cut(text: str):
+def _cut(text: str, found: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             kept, total, removed = [], [], []
-            for body, ranges in zip(batch[text], batch["ranges"], strict=True):
+            for body, ranges in zip(batch[text], batch[found], strict=True):
                 lines = [] if body is None else body.split("\n")
                 gone = set() if ranges is None else {i for r in ranges for i in range(r["first"], r["last"] + 1)}
                 total.append(len(lines))
                 removed.append(len(gone))
                 kept.append(body if not gone else "\n".join(x for i, x in enumerate(lines) if i not in gone))
-            yield batch.drop(columns=["ranges"]).assign(**{text: kept, "n_lines": total, "n_removed": removed})
+            yield batch.drop(columns=[found]).assign(**{text: kept, "n_lines": total, "n_removed": removed})
 
     return run
 
@@ -123,8 +123,8 @@ def dedup_lines(documents: DataFrame, text: str = "text", key: str = "doc_id", m
     """
     docs = documents.drop("n_lines", "n_removed")
     ranges = repeated_lines(docs, text, key, min_words)
-    own, tag = free_name(docs, "own_key"), free_name(docs, "own_digest")
-    per = ranges.groupBy(F.col(key).alias(own), F.col("digest").alias(tag)).agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    own, tag, found = (free_name(docs, n) for n in ("own_key", "own_digest", "ranges"))
+    per = ranges.groupBy(F.col(key).alias(own), F.col("digest").alias(tag)).agg(F.collect_list(F.struct("first", "last")).alias(found))
     joined = docs.join(per, docs[key].eqNullSafe(per[own]) & (F.sha2(F.coalesce(docs[text], F.lit("")), 256) == per[tag]), "left").drop(own, tag)
     shape = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
-    return joined.mapInPandas(_cut(text), shape)
+    return joined.mapInPandas(_cut(text, found), shape)

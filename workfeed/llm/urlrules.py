@@ -18,7 +18,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, free_name
 
 #: The item that marks a bad URL; no token begins with "!".
 BAD = "!bad"
@@ -108,7 +108,8 @@ def judge(urls: DataFrame, mined: DataFrame, given: list[tuple[str, str, str]],
     """
     rows = urls.drop("host", "path", "rule", "verdict").withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
     rule, verdict = listed(F.col("host"), F.col("path"), given)
-    hits = matched(rows, mined, url).select(F.col(url).alias("hit_url"))
-    joined = rows.join(hits, rows[url] == hits["hit_url"], "left")
-    method = F.when(F.col("hit_url").isNotNull(), "block").otherwise("allow")
-    return joined.withColumns({"rule": rule, "verdict": F.coalesce(verdict, method)}).drop("hit_url")
+    hit = free_name(rows, "hit_url")
+    hits = matched(rows, mined, url).select(F.col(url).alias(hit))
+    joined = rows.join(hits, rows[url] == hits[hit], "left")
+    method = F.when(F.col(hit).isNotNull(), "block").otherwise("allow")
+    return joined.withColumns({"rule": rule, "verdict": F.coalesce(verdict, method)}).drop(hit)
