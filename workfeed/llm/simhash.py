@@ -100,7 +100,8 @@ def near_fingerprints(prints: DataFrame, max_bits: int = 2, bucket: int = 1024)
     result, or else both its ends are linked to a third within the distance of both.
     """
     # As many tasks as the variants need, which are 64 times the fingerprints' bytes.
-    spread = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    # Dealt round, as a shuffle by fp again would be left out and its parts joined.
+    spread = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keyed = spread.select("fp", F.explode(_variants(F.col("fp"), max_bits)).alias("v")).select("fp", "v.slot", "v.key")
     sizes = keyed.groupBy("slot", "key").agg(F.count("*").alias("n")).where("n > 1")
     met = checkpoint(keyed.join(sizes, ["slot", "key"]))
