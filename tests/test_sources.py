@@ -9,7 +9,7 @@ FEED = (
     "BEGIN:VEVENT\r\nUID:utc\r\nSUMMARY:Busy\r\nDTSTART:20260922T170000Z\r\nDTEND:20260922T180000Z\r\nEND:VEVENT\r\n"
     "BEGIN:VEVENT\r\nUID:zoned\r\nSUMMARY:Zoned event\r\nDTSTART;TZID=America/New_York:20260922T090000\r\nEND:VEVENT\r\n"
     "BEGIN:VEVENT\r\nUID:allday\r\nSUMMARY:Field trip\r\nDTSTART;VALUE=DATE:20260923\r\nRRULE:FREQ=WEEKLY\r\nDESCRIPTION:Bring lunch\r\nEND:VEVENT\r\n"
-    "BEGIN:VEVENT\r\nUID:folded\r\nSUMMARY:A title that was wrapped \r\n onto a second line\r\nDTSTART:20260924T170000Z\r\nDESCRIPTION:Bring a pen\\, a notebook\; and questions\r\nLOCATION:Room 204\r\nEND:VEVENT\r\n"
+    "BEGIN:VEVENT\r\nUID:folded\r\nSUMMARY:A title that was wrapped \r\n onto a second line\r\nDTSTART:20260924T170000Z\r\nDESCRIPTION:Bring a pen\\, a notebook\\; and questions\r\nLOCATION:Room 204\r\nEND:VEVENT\r\n"
     "BEGIN:VEVENT\r\nUID:nodate\r\nSUMMARY:x\r\nEND:VEVENT\r\nEND:VCALENDAR\r\n"
 )
 
