@@ -38,3 +38,28 @@ def test_edges(spark):
     nothing = tox.train(empty, spark.createDataFrame([], "doc_id long, toxic int"))
     assert all(r.score < 1e-6 for r in tox.score(spark.createDataFrame(rows, "doc_id long, text string"), nothing).collect())
     assert tox.score(empty, model).count() == 0
+
+
+def test_trains_on_every_labelled_document_up_to_six_thousand(spark):
+    # The word is in 5 documents, so it is learnt only where all 5,000 are read.
+    rows = [(i, "vile words" if i % 1000 == 0 else "fine words", int(i % 1000 == 0)) for i in range(5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    assert tox.train(docs, docs)["=vile"] > 0
+
+
+def test_fit_holds_one_bag_at_a_time():
+    alive, most = [], 0
+
+    class Bag(list):
+        def __del__(self):
+            alive.pop()
+
+    def bags():
+        nonlocal most
+        for i in range(50):
+            alive.append(1)
+            most = max(most, len(alive))
+            yield Bag([{"fine", "vile"} if i % 2 else {"fine"}])
+
+    model = tox.fit(bags(), [i % 2 for i in range(50)])
+    assert model["=vile"] > 0 and most <= 2

@@ -19,7 +19,7 @@ import math
 import re
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -55,38 +55,48 @@ def sentences(text: str | None) -> Iterator[tuple[int, int, set[str]]]:
             yield m.start(), m.end(), found
 
 
-def fit(bags: list[list[set[str]]], labels: list[int], max_features: int = 50_000, rounds: int = 150, rate: float = 0.1, sparse: float = 1e-4, least: int = 5) -> dict[str, float]:
+def fit(bags: Iterable[list[set[str]]], labels: list[int], max_features: int = 50_000, rounds: int = 150, rate: float = 0.1, sparse: float = 1e-4, least: int = 5) -> dict[str, float]:
     """Weights by feature, BIAS among them, that minimise the bags' log loss.
 
     Full-batch Adam with a penalty of `sparse` on each weight's size, which leaves most
     at zero, so that rare words don't learn bags by heart. Features of fewer than
     `least` bags are left out, and beyond max_features those of the fewest. Without bags of both labels only the bias is learnt.
     """
-    seen = Counter(f for bag in bags for f in {f for words in bag for w in words for f in features(w)})
+    # One bag of word sets is in memory at a time; what stays is a number a word.
+    words: dict[str, int] = {}
+    spelled, counts, owner = array("i"), array("i"), array("i")
+    seen: Counter[str] = Counter()
+    n_bags = 0
+    for bag in bags:
+        for found in bag:
+            spelled.extend(words.setdefault(w, len(words)) for w in found)
+            counts.append(len(found))
+            owner.append(n_bags)
+        seen.update({f for found in bag for w in found for f in features(w)})
+        n_bags += 1
     names = [f for f, n in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:max_features] if n >= least]
+    del seen
     number = {f: i for i, f in enumerate(names)}
-    known: dict[str, list[int]] = {}
-    entries, lengths, owner = array("i"), [], []
-    for b, bag in enumerate(bags):
-        for words in bag:
-            before = len(entries)
-            for w in words:
-                if w not in known:
-                    known[w] = [number[f] for f in features(w) if f in number]
-                entries.extend(known[w])
-            lengths.append(len(entries) - before)
-            owner.append(b)
+    known = [[number[f] for f in features(w) if f in number] for w in words]
+    del words
+    entries, lengths, start = array("i"), [], 0
+    for n in counts:
+        before = len(entries)
+        for w in spelled[start : start + n]:
+            entries.extend(known[w])
+        start += n
+        lengths.append(len(entries) - before)
     at, owner, y = np.frombuffer(entries or array("i", [0]), dtype=np.int32)[: len(entries)], np.array(owner), np.array(labels, dtype=float)
     row = np.repeat(np.arange(len(lengths)), lengths)
     x, m, v = np.zeros(len(names) + 1), 0.0, 0.0
     x[-1] = -5.0
-    for step in range(1, rounds + 1 if len(bags) else 1):
+    for step in range(1, rounds + 1 if n_bags else 1):
         z = np.clip(np.bincount(row, x[at], minlength=len(lengths)) + x[-1], -30, 30)
         p = 1 / (1 + np.exp(-z))
-        none = np.bincount(owner, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(bags))
+        none = np.bincount(owner, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=n_bags)
         some = np.maximum(-np.expm1(none), 1e-9)
         blame = np.where(y[owner] > 0, -(np.exp(none) / some)[owner], 1.0) * p
-        g = np.append(np.bincount(at, blame[row], minlength=len(names)), blame.sum()) / len(bags)
+        g = np.append(np.bincount(at, blame[row], minlength=len(names)), blame.sum()) / n_bags
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         pace = rate / (np.sqrt(v / (1 - 0.999**step)) + 1e-5)
         x -= pace * m / (1 - 0.9**step)
@@ -94,7 +104,7 @@ def fit(bags: list[list[set[str]]], labels: list[int], max_features: int = 50_00
     return {f: float(x[i]) for f, i in number.items() if abs(x[i]) > 1e-3} | {BIAS: float(x[-1])}
 
 
-def train(documents: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", sample_rows: int = 4000, max_features: int = 50_000) -> dict[str, float]:
+def train(documents: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", sample_rows: int = 6000, max_features: int = 50_000) -> dict[str, float]:
     """The model fitted in one task to at most sample_rows labelled documents.
 
     labels: key and label (0 or 1); rows with a null in either are left out, of rows
@@ -109,7 +119,7 @@ def train(documents: DataFrame, labels: DataFrame, text: str = "text", key: str
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = sorted((k, y, body or "") for b in batches for k, y, body in zip(b["key"], b["label"], b["body"], strict=True))
-        model = fit([[w for _, _, w in sentences(t)] for _, _, t in got], [y for _, y, _ in got], max_features)
+        model = fit(([w for _, _, w in sentences(t)] for _, _, t in got), [y for _, y, _ in got], max_features)
         yield pd.DataFrame(list(model.items()), columns=MODEL.names)
 
     fitted = rows.repartition(1).mapInPandas(run, MODEL)
