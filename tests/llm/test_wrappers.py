@@ -30,3 +30,20 @@ def test_article_malformed_and_empty_pages(spark):
     texts = sorted((r.page_id, r.text) for r in got.collect())
     assert texts[0] == (1, "Big\nOne\nTwo") and texts[1] == (2, "") and texts[2] == (3, "") and len(texts[4][1]) == 99_999
     assert w.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_texts_that_begin_alike_and_headings_stay(spark):
+    start = "The same opening words of every report on this host, far beyond eighty characters in length, "
+    page = "<body><div>Site</div><article><div class='lead'>{s}{i}</div><h2>Summary</h2><ul><li>Item</li></ul><p>Text {i} <b>{s}{i}</b></p><div class='stamp'>Printed by host</div></article></body>"
+    for n in (2, 4, 5, 12):
+        rows = [(i, f"http://h.example/{i}", page.format(s=start, i=i)) for i in range(n)]
+        got = {r.page_id: r.text for r in w.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert got == {i: f"{start}{i}\nSummary\nItem\nText {i} {start}{i}" for i in range(n)}
+
+
+def test_a_constant_of_few_of_many_pages_stays():
+    pages = [f"<article><p>Text {i}</p>{'<section>Rare</section>' if i < 6 else ''}</article>" for i in range(60)]
+    host = w.wrapper_of(w.nested(pages[0]))
+    for p in pages[1:]:
+        host = w.aligned(host, w.wrapper_of(w.nested(p)))
+    assert w.main_text(pages[0], w.decided(host)) == "Text 0\nRare"

@@ -19,6 +19,7 @@ decisions, which are broadcast while their measured size is small and joined els
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -57,6 +58,8 @@ ASIDE_WORDS = set(
     "footer header masthead cookie cookies consent notice notices notification alert popup modal overlay newsletter subscribe signup login share sharing social "
     "related recommended comment comments commentlist disqus replies respond reply pagination pager widget toolbar skip".split()
 )
+#: Elements whose texts belong to an article even if every page has them.
+CONTENT = set("p h1 h2 h3 h4 h5 h6 li dt dd td th caption blockquote pre figure".split())
 MAIN_TAGS, MAIN_WORDS = ("article", "main"), {"main", "articlebody"}
 
 
@@ -114,6 +117,13 @@ def nested(html: str | None) -> list:
 # {"n", "t": the constant or null for a slot, "w": characters, "v": how often the text differed}.
 
 
+def constant(text: str) -> str:
+    """A normalised text as it is compared: itself, or if over 80 characters, its beginning, length and digest."""
+    if len(text) <= 80:
+        return text
+    return f"{text[:48]} {len(text)} {hashlib.md5(text.encode('utf-8', 'replace')).hexdigest()}"
+
+
 def wrapper_of(element: list) -> dict:
     """The wrapper of a single element: recurring children become repeated groups."""
     node: dict = {"n": 1, "c": []}
@@ -123,7 +133,7 @@ def wrapper_of(element: list) -> dict:
         if isinstance(child, str):
             if not (text := " ".join(child.split())):
                 continue
-            key, new = "#", {"n": 1, "t": text[:80], "w": len(text), "v": 0}
+            key, new = "#", {"n": 1, "t": constant(text), "w": len(text), "v": 0}
         elif child[0].split(".")[0] in ("br", "wbr"):
             continue
         else:
@@ -216,16 +226,19 @@ def decided(wrapper: dict) -> dict:
         for key in main:
             node = next(c for k, _, c in node["c"] if k == key)
 
+        pages = node["n"]
+
         def constants(node: dict, path: tuple) -> None:
             for key, many, child in node["c"]:
                 if key == "#":
-                    # On most pages, with the same words, and not where paragraphs repeat.
-                    if child["t"] is not None and child["n"] >= 5 and path and path[-1].split(".")[0] not in ("p", "h1"):
+                    # On nine of ten pages with the same words.
+                    if child["t"] is not None and 10 * child["n"] >= 9 * pages and path:
                         fixed.append([list(path), child["t"]])
-                elif not many:
+                elif not many and key.split(".")[0] not in CONTENT:
                     constants(child, (*path, key))
 
-        if node["n"] >= 5 and totals[main] > 0:
+        # A single page has nothing to compare with.
+        if pages > 1 and totals[main] > 0:
             constants(node, ())
     return {"main": list(main) if main else None, "fixed": fixed}
 
@@ -254,7 +267,7 @@ def main_text(html: str | None, decision: dict | None = None) -> str:
     def walk(element: list, path: tuple) -> None:
         for child in element[1]:
             if isinstance(child, str):
-                if not fixed or (path, " ".join(child.split())[:80]) not in fixed:
+                if not fixed or (path, constant(" ".join(child.split()))) not in fixed:
                     line.append(child)
                 continue
             tag = child[0].split(".")[0]
