@@ -47,3 +47,13 @@ def test_a_constant_of_few_of_many_pages_stays():
     for p in pages[1:]:
         host = w.aligned(host, w.wrapper_of(w.nested(p)))
     assert w.main_text(pages[0], w.decided(host)) == "Text 0\nRare"
+
+
+def test_usual_class_names_do_not_cut_the_page():
+    for page in (
+        '<body class="has-sidebar"><div id="content" class="no-sidebar"><p>Text here</p></div></body>',
+        '<body class="home widget"><article class="post comments-open"><p>Text here</p></article><div class="sidebar-left"><p>x</p></div></body>',
+        '<body><div class="banner"><main class="widget"><p>Text here</p></main></div></body>',
+        '<body><article><p>Text here</p><div class="share-buttons">Share</div><article class="comment"><p>Mine</p></article></article></body>',
+    ):
+        assert w.main_text(page) == "Text here"

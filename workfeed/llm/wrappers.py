@@ -60,6 +60,12 @@ ASIDE_WORDS = set(
 )
 #: Elements whose texts belong to an article even if every page has them.
 CONTENT = set("p h1 h2 h3 h4 h5 h6 li dt dd td th caption blockquote pre figure".split())
+#: Their usual compounds; "has-sidebar" or "comments-open" say what a page has and not what an element is.
+ASIDE_WORDS |= {f"{w}-{x}" for w in ASIDE_WORDS for x in "left right list box block container wrapper area bar buttons links widget posts form".split()} | {
+    f"{x}-{w}" for w in ASIDE_WORDS for x in "site left right top bottom social cookie".split()
+}
+#: What is never aside for its words; a nested article (a comment, in most pages) can be.
+WHOLE = ("html", "body", "main", "article")
 MAIN_TAGS, MAIN_WORDS = ("article", "main"), {"main", "articlebody"}
 
 
@@ -69,9 +75,12 @@ def key_of(tag: str, attributes: str) -> str:
     return f"{tag}.{'.'.join(words)}" if words else tag
 
 
-def is_aside(key: str) -> bool:
+def is_aside(key: str, nested: bool = False) -> bool:
+    """Whether an element holds no main text, by its tag or a whole word; nested where it stands inside an article or main element."""
     tag, *words = key.split(".")
-    return tag in ASIDE or any(part in ASIDE_WORDS for w in words for part in re.split("[-_]+", w))
+    if tag in WHOLE and not (nested and tag == "article"):
+        return False
+    return tag in ASIDE or any(w.replace("_", "-") in ASIDE_WORDS for w in words)
 
 
 def is_main(key: str) -> bool:
@@ -200,25 +209,32 @@ def decided(wrapper: dict) -> dict:
     """{"main": path of the element that holds the main text, or null; "fixed": paths of constants inside it}."""
     best: list = [(-1, -1, ()), None]
     totals: dict[tuple, float] = {}
+    strict = True
 
     def walk(node: dict, path: tuple, linked: bool) -> int:
-        """Characters of varying text below."""
+        """Characters of varying text below; if not strict, aside by tags alone."""
         mass = 0
         for key, _, child in node["c"]:
             if key == "#":
                 mass += 0 if linked or (child["t"] is not None and child["n"] > 1) else child["w"]
-            elif not is_aside(key):
+            elif not is_aside(key if strict else key.split(".")[0], any(map(is_main, path))):
                 under = walk(child, (*path, key), linked or key.split(".")[0] == "a")
                 if key.split(".")[0] in INLINE or key.split(".")[0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "blockquote", "pre", "td", "tr", "tbody", "table"):
                     mass += under
         totals[path] = mass
         if path:
-            rank = (is_main(path[-1]), mass, tuple(path))
+            rank = (is_main(path[-1]) and mass > 0, mass, tuple(path))
             if rank[:2] > best[0][:2]:
                 best[:] = [rank, path]
         return mass
 
     walk(wrapper, (), False)
+    if not best[0][0]:
+        # Around a main element, or more varying text than all else, a word is overruled.
+        before, best[:], strict = list(best), [(-1, -1, ()), None], False
+        walk(wrapper, (), False)
+        if best[0][1] <= 2 * before[0][1]:
+            best[:] = before
     main = best[1]
     fixed: list = []
     if main is not None:
@@ -256,6 +272,7 @@ def main_text(html: str | None, decision: dict | None = None) -> str:
         for key in decision["main"] or ():
             roots = [c for e in roots for c in e[1] if not isinstance(c, str) and c[0] == key]
     fixed = {(tuple(p), t) for p, t in decision["fixed"]}
+    inside = any(map(is_main, main or decision["main"] or ()))
     blocks: list[str] = []
     line: list[str] = []
 
@@ -273,7 +290,7 @@ def main_text(html: str | None, decision: dict | None = None) -> str:
             tag = child[0].split(".")[0]
             if tag == "br":
                 line.append(" ")
-            elif is_aside(child[0]):
+            elif is_aside(child[0], inside):
                 flush()
             elif tag in INLINE:
                 walk(child, (*path, child[0]))
