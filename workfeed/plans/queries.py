@@ -204,10 +204,14 @@ def clean_text(spark, sf_dir):
 
 
 def strip_images(spark, sf_dir):
+    """Image data in the whole text of every document; of the even ones the answer shows the beginning and the end."""
     data = F.repeat(F.lit("QUJD"), 30)
-    body = F.concat(F.substring("text", 1, 80), F.lit("\n![x](data:image/png;base64,"), data, F.lit(") end\n[image1]: <data:image/png;base64,"), data, F.lit(">\nlast"))
-    shown = F.when(F.col("doc_id") % 2 == 0, body).otherwise(F.col("text"))
-    return _table(spark, sf_dir, "documents").select("doc_id", F.md5(text.strip_image_data(shown)).alias("stripped"))
+    image = F.concat(F.lit("[image1]: <data:image/png;base64,"), data, F.lit(">\n"))
+    ended = F.concat("text", F.lit("\n![x](data:image/png;base64,"), data, F.lit(") end\n"), image, F.lit("last"))
+    even = F.col("doc_id") % 2 == 0
+    stripped = text.strip_image_data(F.when(even, ended).otherwise(F.concat(image, "text")))
+    shown = F.when(even, F.concat(F.substring(stripped, 1, F.least(F.length("text"), F.lit(80))), F.substring(stripped, F.length("text") + 1, F.length(stripped)))).otherwise(stripped)
+    return _table(spark, sf_dir, "documents").select("doc_id", F.md5(shown).alias("stripped"))
 
 
 def announcement_titles(spark, sf_dir):
@@ -231,8 +235,8 @@ def html_links(spark, sf_dir):
 
 def plain_text(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
-    name = F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.element_at(F.array(F.lit(".txt"), F.lit(".bin"), F.lit(".md")), (F.col("doc_id") % 3 + 1).cast("int")))
-    found = extract.files_to_text(docs.select(name.alias("path"), F.lit(None).cast("string").alias("mime_type"), F.col("text").cast("binary").alias("content")), limit=4096)
+    name = F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.element_at(F.array(F.lit(".txt"), F.lit(".csv"), F.lit(".md")), (F.col("doc_id") % 3 + 1).cast("int")))
+    found = extract.files_to_text(docs.select(name.alias("path"), F.lit(None).cast("string").alias("mime_type"), F.col("text").cast("binary").alias("content")))
     return found.select("path", "format", F.md5("text").alias("digest"), "truncated", "error", "cacheable")
 
 
