@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 from workfeed.functions import text
 from workfeed.plans import queries
+from workfeed.sources import ics
 
 
 def documents(spark, tmp_path, rows):
@@ -27,3 +28,13 @@ def test_plain_text_reads_all_rows_to_the_default_limit(spark, tmp_path):
     path = documents(spark, tmp_path, [(i, f"x{i} " * 5000) for i in range(3)])
     rows = queries.plain_text(spark, path).collect()
     assert len(rows) == 3 and all(r.format == "text" and r.error is None and not r.truncated for r in rows)
+
+
+def test_ics_files_of_a_hot_feed_are_bounded(spark, monkeypatch):
+    sizes, real = [], ics.events
+    monkeypatch.setattr(queries, "FILE_EVENTS", 20)
+    monkeypatch.setattr(ics, "events", lambda feeds: sizes.append(feeds.select(F.size(F.split("body", "BEGIN:VEVENT")).alias("n"))) or real(feeds))
+    rows = spark.range(1000).select(F.lit("hot").alias("feed"), F.col("id").alias("ordinal"), F.lit("s").alias("summary"), F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'").alias("start_at"), F.expr("TIMESTAMP_NTZ '2024-01-01 01:00:00'").alias("end_at"))
+    monkeypatch.setattr(queries.b, "bound", lambda *_: rows)
+    assert sorted(r.uid for r in queries.ics_events(spark, "").collect()) == list(range(1000))
+    assert max(r.n for r in sizes[0].collect()) < 60

@@ -159,16 +159,22 @@ def calendar_fields(spark, sf_dir):
     return reconcile.calendar_entries(_items(spark, sf_dir))
 
 
+#: About as many events as a file of a feed holds.
+FILE_EVENTS = 1000
+
+
 def ics_events(spark, sf_dir):
-    """Events written as iCalendar text, one file's worth per user, and read back."""
+    """Events written as iCalendar text, in files of bounded size per user, and read back."""
     rows = b.bound(spark, sf_dir, b.EVENTS)
     stamp = lambda c: F.date_format(c, "yyyyMMdd'T'HHmmss'Z'")
     block = F.concat(
         F.lit("BEGIN:VEVENT\r\nUID:"), F.col("ordinal").cast("string"), F.lit("\r\nSUMMARY:"), F.coalesce("summary", F.lit("")), F.lit("\\, with a\r\n  folded line\r\nDTSTART:"),
         stamp(F.col("start_at")), F.lit("\r\n"), F.coalesce(F.concat(F.lit("DTEND:"), stamp(F.col("end_at")), F.lit("\r\n")), F.lit("")), F.lit("STATUS:CONFIRMED\r\nEND:VEVENT\r\n"),
     )
-    # A user's feed is one file, as it is in a feed.
-    feeds = rows.groupBy("feed").agg(F.array_join(F.sort_array(F.collect_list(F.struct("ordinal", block.alias("b"))))["b"], "").alias("body"))
+    # A user's events are dealt to files of some 1,000 each, as many as they need.
+    sizes = rows.groupBy("feed").agg(F.ceil(F.count("*") / FILE_EVENTS).alias("files"))
+    dealt = rows.join(sizes, "feed").withColumn("file", F.pmod(F.xxhash64("ordinal"), "files"))
+    feeds = dealt.groupBy("feed", "file").agg(F.array_join(F.sort_array(F.collect_list(F.struct("ordinal", block.alias("b"))))["b"], "").alias("body"))
     found = ics.events(feeds.select("feed", F.concat(F.lit("BEGIN:VCALENDAR\r\nX-WR-CALNAME:Club\r\n"), "body", F.lit("END:VCALENDAR\r\n")).alias("body")))
     return found.select("feed", F.col("event_id").cast("bigint").alias("uid"), "summary", "label", F.date_format("start_at", "yyyy-MM-dd HH:mm:ss").alias("start_at"), F.date_format("end_at", "yyyy-MM-dd HH:mm:ss").alias("end_at"))
 
