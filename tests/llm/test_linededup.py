@@ -5,7 +5,7 @@ from workfeed.llm import linededup
 
 
 def brute(docs, least):
-    """Lines of every run of at least `least` words that occurs earlier, by comparing all runs."""
+    """Lines of every run of at least `least` words, or of a whole shorter text, that occurs earlier, by comparing all runs."""
     first, runs = {}, []
     for key, text in docs:
         lines = (text or "").split("\n")
@@ -13,14 +13,15 @@ def brute(docs, least):
             n = 0
             for b in range(a, len(lines)):
                 n += len(lines[b].split())
-                if n >= least:
-                    run = "\n".join(lines[a : b + 1])
+                if n >= least or (n > 0 and b - a == len(lines) - 1):
+                    run = (n >= least, "\n".join(lines[a : b + 1]))
                     runs.append((run, key, a, b))
-                    first[run] = min(first.get(run, (key, a)), (key, a))
+                    first[run] = min(first.get(run, (key, a, b)), (key, a, b))
     gone = {key: set() for key, _ in docs}
     for run, key, a, b in runs:
-        if first[run] < (key, a):
-            gone[key] |= set(range(a, b + 1))
+        if first[run][:2] < (key, a):
+            # What a place shares with the earlier one of the same text stays.
+            gone[key] |= set(range(max(a, first[run][2] + 1) if first[run][0] == key else a, b + 1))
     return gone
 
 
@@ -28,7 +29,8 @@ def test_against_all_runs(spark):
     rng = random.Random(2)
     pool = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(0, 7))) for _ in range(12)]
     docs = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 14)))) for i in range(60)]
-    docs += [(60, docs[3][1]), (61, "\n".join(["same line of words"] * 9)), (62, ""), (63, " ".join(["long"] * 5000))]
+    docs += [(60, docs[3][1]), (61, "\n".join(["same line of words"] * 9)), (62, ""), (63, " ".join(["long"] * 5000)), (64, "short\ntext"), (65, "short\ntext"), (66, " \n")]
+    docs += [(67, "\n".join(" ".join(["word"] * (i % 5)) + str(i % 70) for i in range(150)))]
     want = brute(docs, 9)
     got = {r.doc_id: r for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), min_words=9).collect()}
     for key, text in docs:
@@ -46,3 +48,12 @@ def test_nulls_repeated_rows_and_clashing_columns(spark):
     # The null key comes first, so the others repeat it.
     assert rows == sorted([(1, "", 1, 1), (1, "", 1, 1), (2, "x", 2, 1), (None, line, 1, 0), (3, None, 0, 0)], key=str)
     assert linededup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_one_boilerplate_line_in_many_documents_stays_once(spark):
+    line = "read more of this on our pages"
+    docs = [(i, f"text {i} says what no other text says\n{line}\nbye\nend {i} of this text as such") for i in range(40)]
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    # "bye" is too short by itself; with the line before it, it is a run that repeats.
+    assert got == {i: t if i == 0 else f"text {i} says what no other text says\nend {i} of this text as such" for i, t in docs}
+    assert linededup.windows([8, 7, 1, 7], 6) == [(0, 0), (1, 1), (1, 2), (2, 3), (3, 3)]

@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline
 import pytest
-from workfeed.llm import pieces, simhash, toxicity
+from workfeed.llm import linededup, pieces, simhash, toxicity
 
 from .test_components_simhash import brute_components
 from .test_linededup import brute as brute_lines
@@ -54,7 +54,7 @@ def test_run_equals_the_plain_version(spark, tmp_path):
             kept.append((i, t))
     assert 5 <= len(docs) - len(kept) <= 15
 
-    gone = brute_lines(kept, 50)
+    gone = brute_lines(kept, linededup.MIN_WORDS)
     cut = []
     for i, t in kept:
         if not gone[i]:

@@ -7,7 +7,7 @@ import re
 import zlib
 
 import pytest
-from workfeed.llm import registry, simhash
+from workfeed.llm import linededup, registry, simhash, syncmers
 
 from .test_components_simhash import brute_components
 from .test_linededup import brute as brute_lines
@@ -39,7 +39,7 @@ def test_op2(spark, documents):
 
 
 def test_op3(spark, documents):
-    gone = brute_lines(sorted(documents.items()), 50)
+    gone = brute_lines(sorted(documents.items()), linededup.MIN_WORDS)
     got = rows(spark, "op3_line_dedup")
     for i, t in documents.items():
         kept = "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i])
@@ -79,6 +79,9 @@ def test_op10(spark, documents):
         t, half = documents[i], len(documents[i]) // 2
         want = t[: len(t) - half] + documents[j][:half]
         assert (got[i].n_chars, got[i].edited_sha256) == (len(t), hashlib.sha256(want.encode()).hexdigest())
+        own, other, following = (syncmers.anchors(x)[0] for x in (t, want, documents[j]))
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (syncmers.as_text(own), syncmers.as_text(other))
+        assert (got[i].near_edited, got[i].near_next) == (syncmers.likeness(own, other), syncmers.likeness(own, following))
     by_text = {}
     for i, t in documents.items():
         assert by_text.setdefault(t, got[i].fingerprint) == got[i].fingerprint

@@ -30,6 +30,19 @@ def test_likeness():
     assert s.likeness(s.anchors("")[0], s.anchors(None)[0]) == 1.0
 
 
+def test_likeness_by_trying_every_series():
+    rng = random.Random(4)
+    for _ in range(200):
+        one, two = ([rng.randint(0, 9) for _ in range(rng.randint(1, 14))] for _ in range(2))
+        number = lambda x: [(v, x[:i].count(v)) for i, v in enumerate(x)]
+        places = {v: i for i, v in enumerate(number(two))}
+        met = [places[v] for v in number(one) if v in places]
+        best = [1] * len(met)
+        for i in range(len(met)):
+            best[i] = 1 + max((best[j] for j in range(i) if met[j] < met[i]), default=0)
+        assert s.likeness(np.array(one, dtype=np.int32), np.array(two, dtype=np.int32)) == 2 * max(best, default=0) / (len(one) + len(two))
+
+
 def test_edited_and_next_documents_in_key_order(spark):
     rng = random.Random(9)
     docs = [(i * 3 % 101, "".join(rng.choice("abcé ") for _ in range(rng.choice([0, 1, 5, 90, 700])))) for i in range(101)]
@@ -43,7 +56,8 @@ def test_edited_and_next_documents_in_key_order(spark):
         r = got[key]
         assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(changed.encode()).hexdigest())
         own, other, following = (s.anchors(t)[0] for t in (text, changed, after))
-        assert (r.fingerprint, r.edited_fingerprint) == (own.tolist(), other.tolist())
+        assert (r.fingerprint, r.edited_fingerprint) == (s.as_text(own), s.as_text(other))
+        assert s.from_text(r.fingerprint).tolist() == own.tolist()
         assert (r.near_edited, r.near_next) == (s.likeness(own, other), s.likeness(own, following))
 
 
@@ -53,4 +67,6 @@ def test_one_row_repeated_rows_and_none(spark):
     many = s.compare_edited(spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "c")], "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.n_chars) for r in many) == [(1, 1), (1, 1), (1, 1), (2, 1)]
     assert s.compare_edited(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    clash = s.compare_edited(spark.createDataFrame([(1, "a" * 200_000, 5, True)], "doc_id long, text string, bucket int, marker boolean")).collect()
+    assert [(r.doc_id, r.n_chars, r.near_next) for r in clash] == [(1, 200_000, 1.0)]
     assert s.fingerprints(spark.createDataFrame([(1, "x" * 100, 2)], "doc_id long, text string, hashes long")).columns == ["doc_id", "hashes", "positions"]

@@ -67,6 +67,15 @@ def anchors(text: str | None, k: int = 24, s: int = 4) -> tuple[np.ndarray, np.n
     return (hashes >> np.uint64(32)).astype(np.uint32).view(np.int32), at
 
 
+def as_text(hashes: np.ndarray) -> str:
+    """A fingerprint as a string: eight lower-case hex digits an anchor, in text order."""
+    return hashes.astype(">i4").tobytes().hex()
+
+
+def from_text(fingerprint: str) -> np.ndarray:
+    return np.frombuffer(bytes.fromhex(fingerprint), dtype=">i4").astype(np.int32)
+
+
 def likeness(one: np.ndarray, two: np.ndarray) -> float:
     """Share of the anchors of both that match in place order: 1 for equal lists, 0 for none in common.
 
@@ -133,7 +142,10 @@ def beside_next(documents: DataFrame, text: str, key: str) -> DataFrame:
     found = docs.agg(F.percentile_approx("key", [i / n for i in range(n + 1)], 20 * n).alias("cuts"), F.count_if(F.col("key").isNull()).alias("nulls")).first()
     cuts = sorted(set(found.cuts or [])) or [0]
     starts = cuts[:-1] or cuts
-    own = F.size(F.filter(F.array(*map(F.lit, starts)), lambda c: c <= F.coalesce(F.col("key"), F.lit(cuts[0])))) - 1
+    # The last start that is not beyond the key, by halving steps.
+    edges, own_key = F.array(*map(F.lit, starts)), F.coalesce(F.col("key"), F.lit(cuts[0]))
+    steps = F.array(*(F.lit(1 << i) for i in range(len(starts).bit_length() - 1, -1, -1)))
+    own = F.aggregate(steps, F.lit(0), lambda at, w: F.when((at + w < len(starts)) & (F.get(edges, at + w) <= own_key), at + w).otherwise(at))
     first = F.col("key").isNull() if found.nulls else F.col("key") == cuts[0]
     before = F.when(first, F.lit(len(starts) - 1)).when(F.col("key").isin(starts[1:]), F.col("own") - 1)
     stay = F.struct(F.col("own").alias("bucket"), F.lit(False).alias("marker"))
@@ -147,7 +159,7 @@ def beside_next(documents: DataFrame, text: str, key: str) -> DataFrame:
 
 
 def compare_edited(documents: DataFrame, text: str = "text", key: str = "doc_id", k: int = 24, s: int = 4) -> DataFrame:
-    """Every document's fingerprint beside that of its edited text and of the next document.
+    """Every document's fingerprint, as a string, beside that of its edited text and of the next document.
 
     The next document is the one with the next larger key (then text), after the last
     the first; a table of one row is next to itself. The edited text has the last half
@@ -161,8 +173,8 @@ def compare_edited(documents: DataFrame, text: str = "text", key: str = "doc_id"
             T.StructField(key, T.LongType()),
             T.StructField("n_chars", T.LongType()),
             T.StructField("edited_sha256", T.StringType()),
-            T.StructField("fingerprint", T.ArrayType(T.IntegerType())),
-            T.StructField("edited_fingerprint", T.ArrayType(T.IntegerType())),
+            T.StructField("fingerprint", T.StringType()),
+            T.StructField("edited_fingerprint", T.StringType()),
             T.StructField("near_edited", T.DoubleType()),
             T.StructField("near_next", T.DoubleType()),
         ]
@@ -182,7 +194,7 @@ def compare_edited(documents: DataFrame, text: str = "text", key: str = "doc_id"
                     changed = edited(body_, body)
                     other = anchors(changed, k, s)[0]
                     digest = hashlib.sha256(changed.encode("utf-8", "replace")).hexdigest()
-                    out.append((key_, len(body_), digest, hashes_, other, likeness(hashes_, other), likeness(hashes_, hashes)))
+                    out.append((key_, len(body_), digest, as_text(hashes_), as_text(other), likeness(hashes_, other), likeness(hashes_, hashes)))
                 held = None if marker else (bucket, None if pd.isna(own) else int(own), body, hashes)
             yield pd.DataFrame(out, columns=shape.names).astype({key: "Int64"})
 
