@@ -60,3 +60,10 @@ def test_nulls_ties_and_clashing_columns(spark):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [1, 2, 7, None]
     assert nearcopies.drop_near_copies(docs.limit(0)).count() == 0
+
+
+def test_unlike_rows_of_one_key_both_stay(spark):
+    one, two = "some words of a first text", "quite other words in a second"
+    docs = spark.createDataFrame([(1, one), (1, two), (2, two), (3, one), (1, one)], "doc_id long, text string")
+    for drop in (nearcopies.drop_near_copies, simhash.drop_near_duplicates):
+        assert sorted((r.doc_id, r.text) for r in drop(docs).collect()) == sorted([(1, one), (1, two)])

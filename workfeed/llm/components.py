@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint
@@ -13,10 +13,10 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
 
     Alternates the large-star and small-star steps, which keep each node's
     neighbours attached to a smaller one and halve the distances, until the edge
-    set stands still. Each round is three shuffles of the edges; a node with very
-    many neighbours costs its rows but is never gathered into one array, as only
-    minima over windows that can spill are taken. Null ends and self links are no edges; an empty table gives
-    an empty result.
+    set stands still. A node's smallest neighbour is found by a pre-aggregated
+    minimum, which is written and joined back, so that a node with very many
+    neighbours is split where it is joined. Null ends and self links are no edges; an
+    empty table gives an empty result.
     """
     now = checkpoint(
         edges.select(F.col(left).alias("u"), F.col(right).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v").distinct()
@@ -36,15 +36,18 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     return ends.unionByName(roots).groupBy("node").agg(F.min("component").alias("component"))
 
 
+def _with_least(edges: DataFrame) -> DataFrame:
+    """edges with m, the smallest neighbour of u."""
+    return edges.join(checkpoint(edges.groupBy("u").agg(F.min("v").alias("m"))), "u")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link each larger neighbour of a node to the node's smallest neighbour or itself."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = F.least(F.min("v").over(Window.partitionBy("u")), F.col("u"))
-    return both.withColumn("m", least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link each smaller neighbour of a node, and the node, to the smallest of them; edges have v < u."""
-    least = edges.withColumn("m", F.min("v").over(Window.partitionBy("u")))
     ends = F.explode(F.array("u", "v")).alias("u")
-    return least.select(ends, F.col("m").alias("v")).where("u <> v").distinct()
+    return _with_least(checkpoint(edges)).select(ends, F.col("m").alias("v")).where("u <> v").distinct()

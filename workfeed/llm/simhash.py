@@ -31,16 +31,20 @@ from .components import connected_components
 BITS = 64
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """64 bits as a signed long; 0 for a text without words."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of a text's word shingles in order, repeats included; a text of fewer words is one, one without words has none."""
     import xxhash
 
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     digest, join = xxhash.xxh64_intdigest, b" ".join
     grams = map(join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [join(words)]
-    hashes = np.fromiter((digest(g, 42) for g in grams), dtype=np.uint64)
+    return np.fromiter((digest(g, 42) for g in grams), dtype=np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits as a signed long, each set if it is set in over half the hashes; 0 for none."""
     ones = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(hashes), 65536):
         part = hashes[at : at + 65536].astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -48,6 +52,10 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big", signed=True)
 
 
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    return majority(shingle_hashes(text, shingle))
+
+
 def simhash(text: Column, shingle: int = 3) -> Column:
     """The fingerprint of a text column as a long.
 
@@ -120,6 +128,17 @@ def near_fingerprints(prints: DataFrame, max_bits: int = 2, bucket: int = 1024)
     return pairs.unionByName(stars).distinct()
 
 
+def _grouped(documents: DataFrame, text: str, key: str, shingle: int, max_bits: int, bucket: int) -> DataFrame:
+    """(key, fp, kept): each row's fingerprint and the smallest (key, fp) of its group."""
+    rows = checkpoint(documents.select(F.col(key).alias("key"), simhash(F.col(text), shingle).alias("fp")))
+    prints = rows.groupBy("fp").agg(F.min("key").alias("first"))
+    links = near_fingerprints(prints.select("fp"), max_bits, bucket)
+    groups = connected_components(links, "a", "b")
+    named = prints.join(groups, prints["fp"] == groups["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("group"))
+    least = named.groupBy("group").agg(F.min(F.when(F.col("first").isNotNull(), F.struct("first", "fp"))).alias("kept"))
+    return rows.join(named.join(least, "group").select("fp", "kept"), "fp")
+
+
 def near_duplicates(
     documents: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3, max_bits: int = 2, bucket: int = 1024
 ) -> DataFrame:
@@ -132,24 +151,22 @@ def near_duplicates(
     all keys of the component are null. Null, empty and blank texts share fingerprint
     0. An empty table gives an empty result; other columns are ignored.
     """
-    rows = checkpoint(documents.select(F.col(key).alias("key"), simhash(F.col(text), shingle).alias("fp")))
-    prints = rows.groupBy("fp").agg(F.min("key").alias("first"))
-    links = near_fingerprints(prints.select("fp"), max_bits, bucket)
-    groups = connected_components(links, "a", "b")
-    named = prints.join(groups, prints["fp"] == groups["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("group"))
-    least = named.groupBy("group").agg(F.min("first").alias("component"))
-    labels = named.join(least, "group").select("fp", "component")
-    return rows.join(labels, "fp").select(F.col("key").alias(key), F.col("fp").alias("fingerprint"), "component")
+    found = _grouped(documents, text, key, shingle, max_bits, bucket)
+    return found.select(F.col("key").alias(key), F.col("fp").alias("fingerprint"), F.col("kept.first").alias("component"))
 
 
-def drop_near_duplicates(documents: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """One row of each group of near-duplicates, with all its columns: the smallest key's.
+def drop_near_duplicates(
+    documents: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3, max_bits: int = 2, bucket: int = 1024
+) -> DataFrame:
+    """One row of each group of near-duplicates, with all its columns: the smallest (key, fingerprint)'s.
 
-    Of rows that repeat the kept key any one stays. A row with a null key stays, as the
-    links cannot name it.
+    Rows that share a key and are unlike are not one group, and both stay; of rows alike
+    in key and fingerprint any one stays. A row with a null key stays, as the links
+    cannot name it.
     """
-    found = near_duplicates(documents, text, key, **options)
-    tag = free_name(documents, "kept")
-    keep = found.where(F.col(key) == F.col("component")).select(F.col(key).alias(tag)).distinct()
-    named = documents.where(F.col(key).isNotNull())
-    return named.join(keep, named[key] == keep[tag], "left_semi").dropDuplicates([key]).unionByName(documents.where(F.col(key).isNull()))
+    found = _grouped(documents, text, key, shingle, max_bits, bucket)
+    tag, print_ = free_name(documents, "kept"), free_name(documents, "fingerprint")
+    keep = found.where((F.col("key") == F.col("kept.first")) & (F.col("fp") == F.col("kept.fp"))).select(F.col("key").alias(tag), F.col("fp").alias("fp_" + print_)).distinct()
+    named = documents.where(F.col(key).isNotNull()).withColumn(print_, simhash(F.col(text), shingle))
+    met = named.join(keep, (named[key] == keep[tag]) & (named[print_] == keep["fp_" + print_]), "left_semi").dropDuplicates([key, print_]).drop(print_)
+    return met.unionByName(documents.where(F.col(key).isNull()))
