@@ -177,11 +177,15 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Bytes of a shard at most.
+SHARD_BYTES = 512 << 10
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(table(spark, sf_dir, "documents"))
+    return sharding.shard(table(spark, sf_dir, "documents"), limit=SHARD_BYTES)
 
 
-OP9_SQL = """
+OP9_SQL = f"""
 WITH doc AS (
   SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes,
          concat(lpad(bin(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT)), 60, '0'),
@@ -190,7 +194,7 @@ WITH doc AS (
 bucket AS (
   SELECT d AS depth, substr(bits, 1, d) AS shard, CAST(sum(n_bytes) AS BIGINT) AS shard_bytes, min(bits) = max(bits) AS alike
   FROM doc, range(0, 25) AS t(d) GROUP BY 1, 2),
-fits AS (SELECT * FROM bucket WHERE shard_bytes <= 67108864 OR alike)
+fits AS (SELECT * FROM bucket WHERE shard_bytes <= {SHARD_BYTES} OR alike)
 SELECT doc_id, n_bytes, shard, shard_bytes FROM doc JOIN fits ON substr(bits, 1, depth) = shard
 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY depth) = 1
 """

@@ -1,12 +1,15 @@
 """URL filters by association rules.
 
 A URL is a set of tokens: its host's suffixes, the segments of its path and the
-names of its query's parameters. FP-growth over the labelled URLs, a bad one having
-one more item, finds the token combinations that are frequent with it; those whose
-rule "tokens, therefore bad" has enough support and confidence are kept. Rules meet
-URLs through an inverted index: each rule is posted under its rarest token, so that
-a frequent token posts no rule that a rarer one can, and a meeting counts where the
-URL has all of the rule's tokens.
+names of its query's parameters. Tokens that occur in the same labelled URLs, such as
+the segments of one long path, are one item, so that they are not combined with each
+other. FP-growth over the labelled URLs, a bad one having one more item, finds the
+item combinations that are frequent with it. A rule "tokens, therefore bad" is kept
+where its support is enough and its confidence lies above the share of bad URLs by a
+stated factor (lift) and by more than chance would have it (z). Rules meet URLs
+through an inverted index: each rule is posted under its rarest token, so that a
+frequent token posts no rule that a rarer one can, and a meeting counts where the URL
+has all of the rule's tokens.
 
 A list of given rules (host, path, verdict) goes before the mined ones. Everything
 is DataFrame code; FP-growth is Spark's.
@@ -14,6 +17,8 @@ is DataFrame code; FP-growth is Spark's.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,22 +52,41 @@ def tokens_of(url: Column) -> Column:
     return F.coalesce(F.array_distinct(found), F.array().cast("array<string>"))
 
 
-def mine_rules(labelled: DataFrame, url: str = "url", bad: str = "bad", min_support: float = 0.001, min_count: int = 10, min_confidence: float = 0.5) -> DataFrame:
+def _items(rows: DataFrame, least: int) -> DataFrame:
+    """(id, items) of rows (id, tokens, bad): of tokens in at least `least` rows, those in the same rows count once, by the longest."""
+    rows_hash = F.xxhash64("id").cast("decimal(38,0)")
+    each = rows.select("id", F.explode("tokens").alias("token"))
+    found = each.groupBy("token").agg(F.count("*").alias("n"), F.sum(rows_hash).alias("h")).where(F.col("n") >= least)
+    # Written, so that a token of very many rows is split where it is joined back.
+    kept = checkpoint(found.groupBy("n", "h").agg(F.max(F.struct(F.length("token").alias("size"), "token")).alias("t")).select("t.token"))
+    own = each.join(kept, "token").groupBy("id").agg(F.collect_list("token").alias("items"))
+    none = F.array().cast("array<string>")
+    bad = F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(none)
+    return rows.select("id", "bad").join(own, "id", "left").select(F.concat(F.coalesce("items", none), bad).alias("items"))
+
+
+def mine_rules(labelled: DataFrame, url: str = "url", bad: str = "bad", min_support: float = 0.001, min_count: int = 10, min_lift: float = 1.5, min_z: float = 3.0) -> DataFrame:
     """(tokens, post, confidence, support): token sets that mean bad, and the rarest token of each.
 
-    Rows with a null URL or label are left out; without rows there are no rules.
-    Support is the share of all labelled URLs that have the tokens and are bad,
-    confidence the share of those with the tokens that are bad; both must reach their
-    minimum, and at least min_count labelled URLs must bear a rule out. A rule is dropped if a part of its tokens is a rule already.
+    Rows with a null URL or label are left out; without rows, or without any bad one,
+    there are no rules. Support is the share of all labelled URLs that have the tokens
+    and are bad, and at least min_count must; confidence is the share of those with the
+    tokens that are bad. With p the share of bad ones among all and n the URLs with the
+    tokens, confidence must reach min_lift * p (1 where that is more) and p + min_z *
+    sqrt(p * (1 - p) / n). A rule is dropped if a part of its tokens is a rule already.
     """
-    rows = labelled.where(F.col(url).isNotNull() & F.col(bad).isNotNull())
-    items = checkpoint(
-        rows.select(F.concat(tokens_of(F.col(url)), F.when(F.col(bad), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
-    )
-    support = min(1.0, max(min_support, min_count / max(1, items.count())))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(items)
+    known = labelled.where(F.col(url).isNotNull() & F.col(bad).isNotNull())
+    rows = checkpoint(known.select(F.monotonically_increasing_id().alias("id"), tokens_of(F.col(url)).alias("tokens"), F.col(bad).cast("boolean").alias("bad")))
+    total = rows.agg(F.count("*").alias("n"), F.count_if("bad").alias("bad")).first()
+    share = total.bad / max(1, total.n)
+    least = max(min_count, math.ceil(min_support * total.n))
+    items = checkpoint(_items(rows, least))
+    confidence = min(1.0, min_lift * share)
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / max(1, total.n)), minConfidence=confidence).fit(items)
+    bearers = F.col("support") * total.n / F.col("confidence")
+    by_chance = share + min_z * F.sqrt(share * (1 - share) / bearers)
     rules = checkpoint(
-        model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD))).select(
+        model.associationRules.where((F.col("consequent") == F.array(F.lit(BAD))) & (F.col("confidence") > share) & (F.col("confidence") >= F.least(by_chance, F.lit(1.0)))).select(
             F.array_sort("antecedent").alias("tokens"), "confidence", "support"
         )
     )
@@ -70,9 +94,9 @@ def mine_rules(labelled: DataFrame, url: str = "url", bad: str = "bad", min_supp
     parts = rules.select(F.col("tokens").alias("part"), F.col("tokens")[0].alias("token"))
     wider = rules.select("tokens", F.explode("tokens").alias("token")).join(parts, "token")
     wider = wider.where((F.size("part") < F.size("tokens")) & (F.size(F.array_intersect("tokens", "part")) == F.size("part")))
-    least = rules.join(wider.select("tokens").distinct(), "tokens", "left_anti")
+    least_sets = rules.join(wider.select("tokens").distinct(), "tokens", "left_anti")
     frequency = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
-    posted = least.select("tokens", "confidence", "support", F.explode("tokens").alias("token")).join(frequency, "token")
+    posted = least_sets.select("tokens", "confidence", "support", F.explode("tokens").alias("token")).join(frequency, "token")
     return checkpoint(
         posted.groupBy("tokens", "confidence", "support").agg(F.min(F.struct("freq", "token")).alias("rarest")).select("tokens", F.col("rarest.token").alias("post"), "confidence", "support")
     )
@@ -109,7 +133,9 @@ def judge(urls: DataFrame, mined: DataFrame, given: list[tuple[str, str, str]],
     rows = urls.drop("host", "path", "rule", "verdict").withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
     rule, verdict = listed(F.col("host"), F.col("path"), given)
     hit = free_name(rows, "hit_url")
-    hits = matched(rows, mined, url).select(F.col(url).alias(hit))
-    joined = rows.join(hits, rows[url] == hits[hit], "left")
+    # Written, so that a URL of very many rows is split where it is joined; null URLs match nothing and stay out of it.
+    hits = checkpoint(matched(rows.where(F.col(url).isNotNull()), mined, url).select(F.col(url).alias(hit)))
+    known = rows.where(F.col(url).isNotNull())
+    joined = known.join(hits, known[url] == hits[hit], "left").unionByName(rows.where(F.col(url).isNull()).withColumn(hit, F.lit(None).cast("string")))
     method = F.when(F.col(hit).isNotNull(), "block").otherwise("allow")
     return joined.withColumns({"rule": rule, "verdict": F.coalesce(verdict, method)}).drop(hit)
