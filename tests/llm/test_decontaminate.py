@@ -1,3 +1,5 @@
+import random
+
 from workfeed.llm import decontaminate as d
 
 ITEM = "the quick brown fox jumps over the lazy dog near a river bank today"
@@ -42,3 +44,38 @@ def test_dropping_keeps_columns_rows_and_nulls(spark):
         assert sorted((r.doc_id, r.item_id) for r in kept.collect()) == [(2, "y"), (2, "y"), (3, "w")]
     assert d.drop_contaminated(docs, items.limit(0)).count() == 5
     assert d.drop_contaminated(docs.limit(0), items).count() == 0
+
+
+def plain(text, items, window):
+    """Words, words hit and ids of items that hit, by comparing all windows."""
+    fold = lambda t: "".join(c.lower() if c.isascii() and c.isalnum() else " " if c.isascii() else c for c in t or "").split()
+    words, hit, ids = fold(text), set(), set()
+    for item, t in items:
+        own = fold(t)
+        n = min(window, len(own))
+        windows = {tuple(own[i : i + n]) for i in range(len(own) - n + 1)} if own else set()
+        for i in range(len(words) - n + 1 if own else 0):
+            if tuple(words[i : i + n]) in windows:
+                hit |= set(range(i, i + n))
+                ids.add(item)
+    return len(words), hit, ids
+
+
+def test_against_all_windows():
+    rng = random.Random(8)
+    for window in (1, 2, 3, 5, 10):
+        for _ in range(60):
+            sentence = lambda n: " ".join(rng.choice("abcd") for _ in range(n))
+            items = [(str(i % 5) if i else None, sentence(rng.randint(0, 30))) for i in range(7)]
+            text = " ".join([sentence(rng.randint(0, 40)), items[rng.randrange(7)][1][rng.randint(0, 9) :], sentence(9)])
+            n, spans = d.scan(text, d.Items(items, window))
+            words, hit, ids = plain(text, items, window)
+            assert (n, {w for s in spans for w in range(s[1], s[2] + 1)}, {s[0] for s in spans}) == (words, hit, ids)
+
+
+def test_null_item_ids_repeated_rows_and_long_texts(spark):
+    docs = spark.createDataFrame([(1, ITEM), (1, ITEM), (2, "word " * 200_000 + ITEM)], "doc_id long, text string")
+    items = spark.createDataFrame([(None, ITEM), (None, ITEM), (3, ITEM)], "item_id long, text string")
+    got = d.find_contamination(docs, items).collect()
+    assert sorted((r.doc_id, r.n_words, [s.item_id for s in r.spans]) for r in got) == [(1, 14, ["3", None]), (1, 14, ["3", None]), (2, 200_014, ["3", None])]
+    assert {r.doc_id: r.spans[0].start for r in got}[2] == 1_000_000

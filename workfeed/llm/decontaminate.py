@@ -1,27 +1,32 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
 Texts are lower-cased over A-Z and cut into words: runs of ASCII digits, letters
-and non-ASCII bytes. Every item is turned into windows of `window` consecutive
-words (an item with fewer words, but not none, is one window); all windows go into
-one automaton, which passes over each document's normalised words once. A match
-is given in word numbers and, through the word starts, in offsets of the original
-text.
-
-An automaton is built in each Python worker from the broadcast item texts, whose
-bytes are summed first: up to `block_bytes` they are one block and the documents
-are passed over in place, without any shuffle. A larger item table is cut into
-blocks of that size; each block is then scanned for itself and the matches meet by
-a shuffle on the document, so neither driver nor worker ever holds more than one
-block.
+and non-ASCII bytes. A window is `window` consecutive words of an item (an item with
+fewer words, but not none, is one window). Words of items are numbered, and the
+automaton runs over word numbers. Its keys are seeds: the words of every item at
+regular places, so dense that each window has a whole seed in it, and an item of one
+window as a whole. The automaton passes over each document's words once; around a seed
+the item and the document are compared word by word to both sides, and a stretch that
+has the length of a window is a match. It is given in word numbers and in offsets of
+the original text.
+
+Seeds take about one node of the automaton for each word of an item, where all windows
+written out would take ten times its letters; with the items' word numbers that is some
+25 bytes for each byte of item text. An automaton is built once in each Python worker
+from the broadcast item texts, whose bytes are summed first: up to `block_bytes` they
+are one block and the documents are passed over in place, without any shuffle. A larger
+item table is cut into blocks of that size; each block is then scanned for itself and
+the matches meet by a shuffle on the document, so neither driver nor worker ever holds
+more than one block.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+import uuid
 from collections.abc import Callable, Iterator
-from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
@@ -50,54 +55,83 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(FOLD).split()
 
 
-def windows_of(words: list[bytes], window: int) -> set[bytes]:
-    if not words:
-        return set()
-    return {b" ".join(words[i : i + window]) for i in range(max(1, len(words) - window + 1))}
-
-
-def build_automaton(items: list[tuple[str, str]], window: int):
-    """The automaton over the windows of (item_id, text); None without any window."""
-    import ahocorasick
-
-    owners: dict[bytes, list[str]] = {}
-    for item, text in items:
-        for w in windows_of(words_of(text), window):
-            owners.setdefault(w, []).append(item)
-    if not owners:
-        return None
-    automaton = ahocorasick.Automaton()
-    for w, own in owners.items():
-        # Spaces on both sides keep a match on word limits; latin-1 maps bytes to
-        # characters one to one.
-        automaton.add_word(f" {w.decode('latin-1')} ", (w.count(b" ") + 1, tuple(sorted(set(own)))))
-    automaton.make_automaton()
-    return automaton
-
-
-def scan(text: str | None, automaton) -> tuple[int, list[tuple[str, int, int, int, int]]]:
+class Items:
+    """Items indexed for matching: (item_id, text) pairs of which equal word sequences are one."""
+
+    def __init__(self, items: list[tuple[str | None, str]], window: int):
+        import ahocorasick
+
+        self.window = window
+        self.number: dict[bytes, int] = {}
+        owners: dict[bytes, set[str | None]] = {}
+        for item, text in items:
+            if words := words_of(text):
+                owners.setdefault(b" ".join(words), set()).add(item)
+        self.ids: list[tuple[str | None, ...]] = []
+        self.words: list[np.ndarray] = []
+        seeds: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        # A window of w words holds one of the seeds of s words that begin w - s + 1 words apart.
+        size = max(1, (window * 3) // 5)
+        for line, own in owners.items():
+            words = [self.number.setdefault(w, len(self.number) + 1) for w in line.split()]
+            at = len(self.ids)
+            self.ids.append(tuple(sorted(own, key=lambda x: (x is None, x))))
+            self.words.append(np.array(words, dtype=np.int32))
+            if len(words) < window:
+                seeds.setdefault(tuple(words), []).append((at, 0))
+            else:
+                for i in range(0, len(words) - size + 1, window - size + 1):
+                    seeds.setdefault(tuple(words[i : i + size]), []).append((at, i))
+        self.automaton = None
+        if seeds:
+            self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+            for key, places in seeds.items():
+                self.automaton.add_word(key, (len(key), tuple(places)))
+            self.automaton.make_automaton()
+
+    def runs(self, words: list[bytes]) -> dict[int, list[tuple[int, int]]]:
+        """The stretches (first, last word) of a text's words by item number, each as long as it matches."""
+        get = self.number.get
+        numbers = tuple(get(w, 0) for w in words)
+        out: dict[int, list[tuple[int, int]]] = {}
+        upto: dict[tuple[int, int], int] = {}
+        for end, (size, places) in self.automaton.iter(numbers):
+            start = end - size + 1
+            for item, at in places:
+                if upto.get((item, start - at), -1) >= start:
+                    continue  # in a stretch that was compared already
+                own = self.words[item]
+                a, b = start, end
+                while a > 0 and at - (start - a) > 0 and numbers[a - 1] == own[at - (start - a) - 1]:
+                    a -= 1
+                while b + 1 < len(numbers) and at + (b + 1 - start) < len(own) and numbers[b + 1] == own[at + (b + 1 - start)]:
+                    b += 1
+                upto[item, start - at] = b
+                if b - a + 1 >= min(self.window, len(own)):
+                    out.setdefault(item, []).append((a, b))
+        return out
+
+
+def scan(text: str | None, items: Items) -> tuple[int, list[tuple[str | None, int, int, int, int]]]:
     """Number of words, and the maximal stretches (item, first word, last word, start, end) in code points."""
     raw = (text or "").encode("utf-8", "replace")
     folded = raw.translate(FOLD)
     words = folded.split()
-    if automaton is None or not words:
+    if items.automaton is None or not words:
         return len(words), []
-    line = f" {b' '.join(words).decode('latin-1')} "
-    found = list(automaton.iter(line))
-    if not found:
+    runs = items.runs(words)
+    if not runs:
         return len(words), []
-    starts = list(accumulate((len(w) + 1 for w in words), initial=1))
-    by_item: dict[str, list[tuple[int, int]]] = {}
-    for at, (n, items) in found:
-        last = bisect_right(starts, at - 1) - 1
-        for item in items:
-            by_item.setdefault(item, []).append((last - n + 1, last))
+    by_item: dict[str | None, list[tuple[int, int]]] = {}
+    for item, found in runs.items():
+        for name in items.ids[item]:
+            by_item.setdefault(name, []).extend(found)
     places = [m.span() for m in re.finditer(rb"[^ ]+", folded)]
     out = []
-    for item, runs in sorted(by_item.items()):
-        runs.sort()
-        joined = [list(runs[0])]
-        for a, b in runs[1:]:
+    for item, found in sorted(by_item.items(), key=lambda x: (x[0] is None, x[0])):
+        found.sort()
+        joined = [list(found[0])]
+        for a, b in found[1:]:
             if a <= joined[-1][1] + 1:
                 joined[-1][1] = max(joined[-1][1], b)
             else:
@@ -108,12 +142,25 @@ def scan(text: str | None, automaton) -> tuple[int, list[tuple[str, int, int, in
     return len(words), out
 
 
+_built: dict[str, Items] = {}
+
+
+def built(name: str, shared: Broadcast, window: int) -> Items:
+    """The index of a broadcast's items, made once in a Python worker, which keeps the last one."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = Items(shared.value, window)
+    return _built[name]
+
+
 def _scanner(shared: Broadcast, window: int):
+    name = uuid.uuid4().hex
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = build_automaton(shared.value, window)
+        items = built(name, shared, window)
         for batch in batches:
             text = batch.columns[-1]
-            done = [scan(t, automaton) for t in batch[text]]
+            done = [scan(t, items) for t in batch[text]]
             out = batch.drop(columns=[text])
             out["n_words"] = [n for n, _ in done]
             out["spans"] = [[dict(zip(SPAN.names, s, strict=True)) for s in spans] for _, spans in done]
@@ -130,7 +177,7 @@ def find_contamination(
     item_key: str = "item_id",
     item_text: str = "text",
     window: int = 10,
-    block_bytes: int = 32 << 20,
+    block_bytes: int = 16 << 20,
 ) -> DataFrame:
     """(key, n_words, spans): the stretches of every document that repeat item windows.
 
@@ -139,8 +186,8 @@ def find_contamination(
     numbers are inclusive and from 0, start and end count code points of the
     original text (end exclusive). One row per row of documents. A null or empty
     text has no words and no spans; items with null or empty text have no windows;
-    items that repeat a text all own its matches; an item_id null is left out.
-    Other columns of either table are ignored whatever their names.
+    items that repeat a text all own its matches; a null item_id owns matches like any
+    other, last in order. Other columns of either table are ignored whatever their names.
     """
     docs = documents.select(F.col(key).alias("key"), F.col(text).cast("string").alias("body"))
     kind = docs.schema["key"].dataType
@@ -166,10 +213,8 @@ def find_contamination(
 
 def item_blocks(items: DataFrame, item_key: str, item_text: str, block_bytes: int) -> list[Callable[[], Broadcast]]:
     """Makers of broadcasts of (item, text), of about block_bytes at most, which together hold all items."""
-    rows = items.select(F.col(item_key).cast("string").alias("item"), F.col(item_text).cast("string").alias("body")).where(
-        "item IS NOT NULL AND body IS NOT NULL"
-    )
-    size = rows.agg(F.sum(F.octet_length("body") + F.octet_length("item"))).first()[0] or 0
+    rows = items.select(F.col(item_key).cast("string").alias("item"), F.col(item_text).cast("string").alias("body")).where("body IS NOT NULL")
+    size = rows.agg(F.sum(F.octet_length("body") + F.coalesce(F.octet_length("item"), F.lit(0)))).first()[0] or 0
     n = -(-size // block_bytes) or 1
     context = items.sparkSession.sparkContext
 
@@ -196,7 +241,7 @@ def hit_words(spans: Column) -> Column:
 
 
 def drop_contaminated(
-    documents: DataFrame, items: DataFrame, text: str = "text", window: int = 10, item_key: str = "item_id", item_text: str = "text", block_bytes: int = 32 << 20
+    documents: DataFrame, items: DataFrame, text: str = "text", window: int = 10, item_key: str = "item_id", item_text: str = "text", block_bytes: int = 16 << 20
 ) -> DataFrame:
     """The rows of documents in which no item window occurs, with all their columns.
 
@@ -205,10 +250,12 @@ def drop_contaminated(
     """
 
     def keep(shared: Broadcast):
+        name = uuid.uuid4().hex
+
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            automaton = build_automaton(shared.value, window)
+            found = built(name, shared, window)
             for batch in batches:
-                yield batch[[not scan(t, automaton)[1] for t in batch[text]]]
+                yield batch[[not scan(t, found)[1] for t in batch[text]]]
 
         return run
 

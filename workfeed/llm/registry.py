@@ -13,7 +13,7 @@ from .common import sha256_of, table
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    items = F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["item_id"])))
+    items = F.array_sort(F.array_distinct(F.array_compact(F.transform("spans", lambda s: s["item_id"]))))
     n_hit = decontaminate.hit_words(F.col("spans"))
     return found.select(
         "doc_id",
