@@ -32,3 +32,28 @@ def test_inheritance_from_the_nearest_directory(spark):
         ("other/e.txt", "MIT", False, ""), ("other/e.txt", "MIT", False, ""), (None, None, False, None), ("big/f.txt", "MIT", False, ""),
     ], key=str)
     assert lic.scan(spark.createDataFrame([], "path string, text string")).count() == 0
+
+
+def test_whole_licence_files_and_headers(spark):
+    mit, bsd, apache = (lic.TEMPLATES[k] for k in ("MIT/text", "BSD-3-Clause/text", "Apache-2.0/header"))
+    paragraphs = lambda t: t.replace(". ", ".\n\n")
+    header = "/*\n" + "".join(f" * {apache[i : i + 60]}\n" for i in range(0, len(apache), 60)) + " */\nint main;"
+    files = [
+        ("a/LICENSE", "MIT License\n\nCopyright (c) 2020 Someone\n\n" + paragraphs(mit)),
+        ("b/COPYING", "Copyright (c) 2020, Someone\nAll rights reserved.\n\n" + paragraphs(bsd)),
+        ("a/src/x.c", "int x;"), ("b/y.c", header), ("c/z.txt", "Text.\nAll rights reserved.\n"), ("c/notes.txt", "we grant the use of this place"),
+    ]
+    got = {r.path: (r.licence, r.own, r.from_dir) for r in lic.scan(spark.createDataFrame([(*f, "x") for f in files], "path string, text string, licence string")).collect()}
+    assert got == {
+        "a/LICENSE": ("MIT", True, None), "b/COPYING": ("BSD-3-Clause", True, None), "a/src/x.c": ("MIT", False, "a"), "b/y.c": ("Apache-2.0", True, None),
+        "c/z.txt": ("proprietary", True, None), "c/notes.txt": (None, False, None),
+    }
+
+
+def test_any_word_matches_whole_words_alone():
+    import re
+
+    words = {"mit", "mitre", "tort", "a"}
+    pattern = re.compile(lic.any_word(words))
+    for text in ("mit", "x mitre.", "torts", "mi", "ba", "a-b", "tort1", "(tort)"):
+        assert bool(pattern.search(text)) == bool(words & set(re.split("[^a-z0-9]+", text)))

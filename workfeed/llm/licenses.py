@@ -1,19 +1,19 @@
 """License scans: sparse TF-IDF cosine to templates, and inheritance along directories.
 
-A file's units are its lines and its blocks (between blank lines), so a notice is
-found as a line of its own or over several lines. Units and templates are vectors
+A file's units are its lines and its blocks (between blank lines), so that a notice or
+header is found as a line of its own or over several lines, and for a licence file
+(LICENSE, COPYING and the like) its whole text as well. Units and templates are vectors
 over words (A-Z lower-cased, cut at all but ASCII letters and digits), a word's
 weight being its count times ln((1 + n) / (1 + d)) + 1 over the n templates, d of
 which have it; a word of no template has d = 0.
 
-Before any vector is built, units are cut down by what a high cosine implies: the
-shared words must make up at least the threshold of the template's norm, so one of
-its heaviest words, which `must_words` chooses, has to be there.
+Before any vector is built, files and then units are cut down by what a high cosine
+implies: the shared words must make up at least the threshold of the template's norm,
+so one of its heaviest words, which `must_words` chooses, has to be there.
 
 A file without a notice takes that of the nearest ancestor directory in which a
-licence file (LICENSE, COPYING and the like) has one. Directories are made distinct
-before they are joined, so their number counts and not that of the files in them.
-All of it is DataFrame code.
+licence file has one. Directories are made distinct before they are joined, so their
+number counts and not that of the files in them. All of it is DataFrame code.
 """
 
 from __future__ import annotations
@@ -25,7 +25,9 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Short notices by SPDX identifier or a name of like form. Fixed values.
+from .common import checkpoint
+
+#: Notices, headers and whole texts of licences, by SPDX identifier or a name of like form, with a mark after "/" where one has several. Fixed values.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "MIT": "Released under the MIT License.",
@@ -35,7 +37,69 @@ TEMPLATES = {
     "BSD-3-Clause": "Use of this source code is governed by a BSD-style license.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "proprietary": "All rights reserved.",
+    "MIT/text": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the "
+        "Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, "
+        "and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be "
+        "included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT "
+        "LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY "
+        "CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
+        "DEALINGS IN THE SOFTWARE."
+    ),
+    "ISC/text": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and "
+        "this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL "
+        "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES "
+        "WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE "
+        "USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "BSD-2-Clause/text": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of "
+        "source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above "
+        "copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS "
+        "PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF "
+        "MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, "
+        "INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR "
+        "BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY "
+        "WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "BSD-3-Clause/text": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of "
+        "source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above "
+        "copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name "
+        "of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written "
+        "permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE "
+        "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY "
+        "DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, "
+        "DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR "
+        "OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "Zlib/text": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this "
+        "software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject "
+        "to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this "
+        "software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as "
+        "such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."
+    ),
+    "Apache-2.0/header": (
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at "
+        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS "
+        "IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations "
+        "under the License."
+    ),
+    "GPL-3.0/header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, "
+        "either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without "
+        "even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of "
+        "the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."
+    ),
+    "MPL-2.0/header": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at "
+        "https://mozilla.org/MPL/2.0/."
+    ),
 }
+#: The weakest of all: it counts where a file has nothing else.
+WEAKEST = "proprietary"
 
 #: Words so common that a unit's having them says little; any choice of must_words is sound.
 COMMON = set("a all and are as at be by for from in is it mit of on or that the this to use was with".split())
@@ -82,44 +146,67 @@ def must_words(templates: dict[str, str], threshold: float) -> set[str]:
     return out
 
 
+def any_word(found: set[str]) -> str:
+    """A regular expression for any of the words in lower-case text, common beginnings written once."""
+
+    def branch(rest: set[str]) -> str:
+        heads = sorted({w[:1] for w in rest if w})
+        parts = [re.escape(h) + branch({w[1:] for w in rest if w[:1] == h}) for h in heads]
+        if not parts:
+            return ""
+        inner = f"(?:{'|'.join(parts)})" if len(parts) > 1 or "" in rest else parts[0]
+        return f"{inner}?" if "" in rest else inner
+
+    return f"(?<![a-z0-9]){branch(set(found))}(?![a-z0-9])"
+
+
 def unit_scores(units: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
-    """(path, licence, score) of every unit whose cosine to a template reaches the threshold.
+    """(path, licence, score) of every unit whose cosine to a template reaches the threshold; licence is the template's name.
 
     units: path, unit. Rows equal in both scale a vector and leave its cosine. Words are
     counted under the unit's digest, so no text is shuffled.
     """
     weight, other = idf(templates)
     shares = vectors(templates)
-    names = sorted(templates)
-    pattern = r"(?i)(^|[^a-z0-9])(" + "|".join(sorted(must_words(templates, threshold))) + ")([^a-z0-9]|$)"
-    likely = units.where(F.col("unit").rlike(pattern)).withColumn("digest", F.unhex(F.md5("unit")))
-    found = F.filter(F.split(F.lower("unit"), "[^a-z0-9]+"), lambda w: w != "")
+    pattern = any_word(must_words(templates, threshold))
+    lowered = units.select("path", F.lower("unit").alias("unit"))
+    likely = lowered.where(F.col("unit").rlike(pattern)).withColumn("digest", F.unhex(F.md5("unit")))
+    found = F.filter(F.split("unit", "[^a-z0-9]+"), lambda w: w != "")
     counts = likely.select("path", "digest", F.explode(found).alias("word")).groupBy("path", "digest", "word").agg(F.count("*").alias("n"))
-    # One row for each template word: as large as the argument, whatever the files are.
-    entries = ", ".join(f"('{w}', {x!r}D, {', '.join(f'{shares[n].get(w, 0.0)!r}D' for n in names)})" for w, x in sorted(weight.items()))
-    dots = [f"dot_{i}" for i in range(len(names))]
-    vocabulary = units.sparkSession.sql(f"SELECT * FROM VALUES {entries} AS v(word, weight, {', '.join(dots)})")
+    # One row for each template word, with the templates that have it: as large as the argument, whatever the files are.
+    rows = [(w, x, [(name, v[w]) for name, v in sorted(shares.items()) if w in v]) for w, x in sorted(weight.items())]
+    vocabulary = units.sparkSession.createDataFrame(rows, "word string, weight double, has array<struct<name: string, share: double>>")
     valued = counts.join(F.broadcast(vocabulary), "word", "left").withColumn("value", F.col("n") * F.coalesce("weight", F.lit(other)))
-    sums = valued.groupBy("path", "digest").agg(
-        F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"), *(F.sum(F.col("value") * F.col(d)).alias(d) for d in dots)
-    )
-    each = F.array(*(F.struct(F.lit(name).alias("licence"), F.round(F.col(d) / F.col("norm"), 6).alias("score")) for name, d in zip(names, dots, strict=True)))
-    scored = sums.select("path", F.explode(each).alias("s")).select("path", "s.licence", "s.score")
+    # Each word adds to the unit's norm, under no name, and to the products with the templates that have it.
+    own = F.array(F.struct(F.lit("").alias("name"), (F.col("value") * F.col("value")).alias("x")))
+    each = F.transform(F.coalesce("has", F.array().cast("array<struct<name: string, share: double>>")), lambda h: F.struct(h["name"].alias("name"), (F.col("value") * h["share"]).alias("x")))
+    sums = valued.select("path", "digest", F.explode(F.concat(own, each)).alias("e")).groupBy("path", "digest", "e.name").agg(F.sum("e.x").alias("x"))
+    # At most one entry a template.
+    unit = sums.groupBy("path", "digest").agg(F.max(F.when(F.col("name") == "", F.sqrt("x"))).alias("norm"), F.collect_list(F.when(F.col("name") != "", F.struct("name", "x"))).alias("dots"))
+    scored = unit.select("path", "norm", F.explode("dots").alias("d")).select("path", F.col("d.name").alias("licence"), F.round(F.col("d.x") / F.col("norm"), 6).alias("score"))
     return scored.where(F.col("score") >= threshold)
 
 
 def best_notice(files: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
-    """(path, licence, score): the best template of any unit of each file that has one.
+    """(path, licence, score): the best template of any unit of each file that has one, by its name up to "/".
 
-    Of equal scores the first name wins.
+    "proprietary" counts where there is no other; of equal scores the first name wins.
     """
     body = F.coalesce(F.col("text"), F.lit(""))
-    units = files.select("path", F.explode(F.concat(F.split(body, "\n"), F.split(body, r"\n\s*\n"))).alias("unit"))
-    scores = unit_scores(units, templates, threshold)
-    best = scores.groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("minus"), "licence")).alias("b"))
+    # A file whose words do not allow any match is left before it is cut up.
+    likely = files.select("path", body.alias("body")).where(F.lower("body").rlike(any_word(must_words(templates, threshold))))
+    whole = F.when(file_name(F.col("path")).rlike(LICENCE_FILE), F.array("body")).otherwise(F.array().cast("array<string>"))
+    units = likely.select("path", F.explode(F.concat(F.split("body", "\n"), F.split("body", r"\n\s*\n"), whole)).alias("unit"))
+    scores = unit_scores(units, templates, threshold).withColumn("licence", F.substring_index("licence", "/", 1))
+    rank = F.struct((F.col("licence") == WEAKEST).alias("weak"), (-F.col("score")).alias("minus"), "licence")
+    best = scores.groupBy("path").agg(F.min(rank).alias("b"))
     return best.select("path", "b.licence", (-F.col("b.minus")).alias("score"))
 
 
+def file_name(path: Column) -> Column:
+    return F.regexp_extract(path, r"([^/]*)$", 1)
+
+
 def directory_of(path: Column) -> Column:
     """The path up to its last "/"; "" at the top."""
     return F.regexp_extract(path, r"(?s)^(.*)/[^/]*$", 1)
@@ -150,9 +237,9 @@ def scan(files: DataFrame, templates: dict[str, str] | None = None, threshold: f
     """
     templates = TEMPLATES if templates is None else templates
     rows = files.select("path", "text")
-    notices = best_notice(rows.where("path IS NOT NULL"), templates, threshold)
-    name = F.regexp_extract("path", r"([^/]*)$", 1)
-    placed = notices.where(name.rlike(LICENCE_FILE)).select(directory_of(F.col("path")).alias("dir"), "licence", "score")
+    # Written: the texts are read once.
+    notices = checkpoint(best_notice(rows.where("path IS NOT NULL"), templates, threshold))
+    placed = notices.where(file_name(F.col("path")).rlike(LICENCE_FILE)).select(directory_of(F.col("path")).alias("dir"), "licence", "score")
     licensed = placed.groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("minus"), "licence")).alias("b")).select("dir", "b.licence")
     paths = rows.select("path", directory_of(F.col("path")).alias("dir"))
     inherited = nearest_licences(paths.where("dir IS NOT NULL").select("dir"), licensed).withColumnRenamed("licence", "from_licence")

@@ -105,37 +105,35 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op6_sql() -> str:
-    templates = ", ".join(f"('{k}', '{v}')" for k, v in licenses.TEMPLATES.items())
+    templates = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in licenses.TEMPLATES.items())
     return rf"""
-WITH template(licence, body) AS (VALUES {templates}),
+WITH template(name, body) AS (VALUES {templates}),
 template_word AS (
-  SELECT licence, w AS word, count(*) AS n
+  SELECT name, w AS word, count(*) AS n
   FROM template, unnest(list_filter(regexp_split_to_array(lower(body), '[^a-z0-9]+'), lambda x: x <> '')) AS t(w) GROUP BY 1, 2),
 weight AS (
-  SELECT word, ln((1.0 + (SELECT count(*) FROM template)) / (1 + count(DISTINCT licence))) + 1 AS idf FROM template_word GROUP BY 1),
-vector AS (SELECT licence, word, n * idf AS v FROM template_word JOIN weight USING (word)),
-template_norm AS (SELECT licence, sqrt(sum(v * v)) AS norm FROM vector GROUP BY 1),
+  SELECT word, ln((1.0 + (SELECT count(*) FROM template)) / (1 + count(DISTINCT name))) + 1 AS idf FROM template_word GROUP BY 1),
+vector AS (SELECT name, word, n * idf AS v FROM template_word JOIN weight USING (word)),
+template_norm AS (SELECT name, sqrt(sum(v * v)) AS norm FROM vector GROUP BY 1),
 file AS (SELECT doc_id, {AS_FILES} AS path, coalesce(text, '') AS body FROM documents),
+named AS (SELECT *, regexp_matches(regexp_extract(path, '([^/]*)$', 1), '(?i)^(licen[cs]e|copying|copyright|notice)([.-].*)?$') AS licence_file FROM file),
 unit AS (
-  SELECT DISTINCT path, u FROM file,
-    unnest(list_concat(string_split(body, chr(10)), regexp_split_to_array(body, '
-\s*
-'))) AS t(u)),
-likely AS (SELECT * FROM unit WHERE regexp_matches(lower(u), 'licen|rights|reserved|redistrib|mozilla|gnu|apache|commons|creative|mit|cc|modification|source')),
+  SELECT DISTINCT path, u FROM named,
+    unnest(list_concat(string_split(body, chr(10)), regexp_split_to_array(body, '\n\s*\n'), CASE WHEN licence_file THEN [body] ELSE [] END)) AS t(u)),
 unit_word AS (
   SELECT path, u, w AS word, count(*) AS n
-  FROM likely, unnest(list_filter(regexp_split_to_array(lower(u), '[^a-z0-9]+'), lambda x: x <> '')) AS t(w) GROUP BY 1, 2, 3),
+  FROM unit, unnest(list_filter(regexp_split_to_array(lower(u), '[^a-z0-9]+'), lambda x: x <> '')) AS t(w) GROUP BY 1, 2, 3),
 valued AS (
   SELECT path, u, word, n * coalesce(idf, ln(1.0 + (SELECT count(*) FROM template)) + 1) AS v
   FROM unit_word LEFT JOIN weight USING (word)),
 unit_norm AS (SELECT path, u, sqrt(sum(v * v)) AS norm FROM valued GROUP BY 1, 2),
-dot AS (SELECT path, u, licence, sum(a.v * b.v) AS d FROM valued a JOIN vector b USING (word) GROUP BY 1, 2, 3),
+dot AS (SELECT path, u, name, sum(a.v * b.v) AS d FROM valued a JOIN vector b USING (word) GROUP BY 1, 2, 3),
 score AS (
-  SELECT path, licence, round(d / n.norm / t.norm, 6) AS score
-  FROM dot JOIN unit_norm n USING (path, u) JOIN template_norm t USING (licence)),
+  SELECT path, split_part(name, '/', 1) AS licence, round(d / n.norm / t.norm, 6) AS score
+  FROM dot JOIN unit_norm n USING (path, u) JOIN template_norm t USING (name)),
 best AS (
   SELECT path, licence, score FROM score WHERE score >= 0.7
-  QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, licence) = 1),
+  QUALIFY row_number() OVER (PARTITION BY path ORDER BY licence = '{licenses.WEAKEST}', score DESC, licence) = 1),
 licensed AS (
   SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, licence FROM best
   WHERE regexp_matches(regexp_extract(path, '([^/]*)$', 1), '(?i)^(licen[cs]e|copying|copyright|notice)([.-].*)?$')
