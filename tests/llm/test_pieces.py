@@ -33,3 +33,22 @@ def test_null_marker_and_foreign_ids(spark):
     v = pieces.load()
     assert pieces.Decoder(v)([1, v.byte_ids[0xC3], v.byte_ids[0xA9], v.byte_ids[0xFF], 2]) == "é\ufffd"
     assert pieces.encode(spark.createDataFrame([], "text string")).count() == 0
+
+
+def test_long_runs_are_cut_where_no_piece_reaches_over(monkeypatch):
+    rng = random.Random(6)
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    texts = ["".join(rng.choice(letters) for _ in range(9000)) for letters in ("abcdefghijklmnopqrstuvwxyz", "aQ7zK-_/+9x", "日本語の文章テキスト漢字", "ab", "thein g")]
+    for chunk in (400_000, 700):
+        monkeypatch.setattr(pieces.Matcher, "CHUNK", chunk)
+        matcher = pieces.Matcher(pieces.load())
+        assert [x.tolist() for x in matcher.encode(texts)] == [model.encode(t) for t in texts]
+    parts = matcher.parts("aQ7zK-_/+9x" * 3000)
+    assert "".join(parts) == "aQ7zK-_/+9x" * 3000 and len(parts) > 100
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "same text", 5, "d")] * 3, "doc_id long, text string, ids long, decoded string")
+    coded = pieces.encode(docs, decoded="decoded")
+    assert coded.columns == ["doc_id", "text", "ids", "decoded"]
+    assert [(r.doc_id, r.decoded) for r in coded.collect()] == [(1, "same text")] * 3

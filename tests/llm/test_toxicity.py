@@ -63,3 +63,49 @@ def test_fit_holds_one_bag_at_a_time():
 
     model = tox.fit(bags(), [i % 2 for i in range(50)])
     assert model["=vile"] > 0 and most <= 2
+
+
+def test_the_sample_is_drawn_from_labels_that_have_a_document(spark):
+    rows = [(i, "vile words" if i % 2 else "fine words", i % 2) for i in range(40)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4000)], "doc_id long, toxic int")
+    assert tox.train(docs, labels, sample_rows=40)["=vile"] > 0
+
+
+def test_fit_follows_the_loss_by_its_definition():
+    """The same steps with a gradient taken by differences of the noisy-or loss, bag by bag."""
+    from math import exp, log
+
+    rng = random.Random(9)
+    words = ["aa", "bb", "cc", "dd"]
+    bags = [[{rng.choice(words) for _ in range(2)} for _ in range(rng.randint(1, 3))] for _ in range(12)]
+    labels = [int(any("aa" in s for s in b)) for b in bags]
+    names = [f"={w}" for w in words]
+    rounds, rate, sparse = 20, 0.1, 1e-3
+
+    def loss(x):
+        total = 0.0
+        for bag, y in zip(bags, labels, strict=True):
+            none = 1.0
+            for s in bag:
+                none *= 1 - 1 / (1 + exp(-(x[-1] + sum(x[words.index(w)] for w in s))))
+            total -= log(1 - none) if y else log(none)
+        return total / len(bags)
+
+    x, m, v = [0.0] * len(words) + [-5.0], [0.0] * 5, [0.0] * 5
+    for step in range(1, rounds + 1):
+        g = []
+        for i in range(5):
+            up, down = list(x), list(x)
+            up[i] += 1e-5
+            down[i] -= 1e-5
+            g.append((loss(up) - loss(down)) / 2e-5)
+        for i in range(5):
+            m[i], v[i] = 0.9 * m[i] + 0.1 * g[i], 0.999 * v[i] + 0.001 * g[i] ** 2
+            pace = rate / ((v[i] / (1 - 0.999**step)) ** 0.5 + 1e-5)
+            x[i] -= pace * m[i] / (1 - 0.9**step)
+            if i < 4:
+                x[i] = max(abs(x[i]) - pace * sparse, 0) * (1 if x[i] > 0 else -1)
+    got = tox.fit(bags, labels, rounds=rounds, rate=rate, sparse=sparse, least=1)
+    for name, want in zip([*names, tox.BIAS], x, strict=True):
+        assert abs(got.get(name, 0.0) - want) < 2e-3, name

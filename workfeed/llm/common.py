@@ -11,18 +11,17 @@ __all__ = ["checkpoint", "free_name", "sha256_of", "small_batches", "table"]
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Hands texts to Python workers in batches of at most `rows`, where the session has more.
+    """Hands texts to Python workers in batches of at most `rows`, where the session has more or no bound.
 
     A batch is in memory several times over, as Arrow, as pandas and as results; texts
     are long, so the default of 10,000 rows takes hundreds of megabytes in each worker.
     """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name)) > rows:
+    if not 0 < int(spark.conf.get(name)) <= rows:
         spark.conf.set(name, rows)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

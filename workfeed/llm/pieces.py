@@ -10,7 +10,8 @@ The model is byte-pair encoding, so the edges are relaxed in its order and not a
 shortest path: symbols begin as single characters, and again and again the two
 neighbours joined by the edge of the best score (the leftmost of equals) become one.
 All short runs take their next step at once as array operations; long ones, such as
-text without spaces, use a heap over the same edges. A character without a piece is
+text without spaces, use a heap over the same edges. A very long run is cut first
+where no piece's occurrence reaches over, which changes none of its steps. A character without a piece is
 spelt in byte pieces.
 
 The model's file is read on the driver alone and its pieces are broadcast: they are
@@ -91,8 +92,8 @@ def suffix_array(points: np.ndarray, depth: int) -> np.ndarray:
 class Matcher:
     """Encodes runs under a vocabulary and remembers what it has encoded."""
 
-    #: Characters of different runs that are indexed at once; runs remembered at most; symbols of a run for array steps.
-    CHUNK, KEEP, LONG = 400_000, 600_000, 64
+    #: Characters of different runs that are indexed at once; runs remembered at most; symbols of a run for array steps; characters of a run that is encoded in parts.
+    CHUNK, KEEP, LONG, SPLIT = 400_000, 600_000, 64, 4096
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
@@ -142,6 +143,26 @@ class Matcher:
         table[order[low[piece] + within], self.lengths[piece]] = self.ids[piece]
         return table
 
+    def parts(self, run: str) -> list[str]:
+        """A long run cut where no piece reaches over, so that its parts encode as the run does; indexed a chunk at a time."""
+        points = _points(run)
+        reach = np.zeros(len(points) + 1, dtype=np.int64)
+        for at in range(0, len(points), self.CHUNK):
+            # The pieces that begin in the chunk end at most depth characters on.
+            table = self.edges(points[at : at + self.CHUNK + self.depth])[: self.CHUNK]
+            for n in range(2, self.depth + 1):
+                start = np.flatnonzero(table[:, n] >= 0) + at
+                reach += np.bincount(start + 1, minlength=len(reach))[: len(reach)]
+                reach -= np.bincount(np.minimum(start + n, len(points)), minlength=len(reach))[: len(reach)]
+        free = np.flatnonzero(np.cumsum(reach)[1:-1] == 0) + 1
+        out, begin = [], 0
+        while begin < len(run):
+            at = int(np.searchsorted(free, begin + self.LONG))
+            end = int(free[at]) if at < len(free) else len(run)
+            out.append(run[begin:end])
+            begin = end
+        return out
+
     def _short(self, table: np.ndarray, begins: np.ndarray, ends: np.ndarray, whole: np.ndarray) -> None:
         """Marks in whole, for all short runs together, where the last symbols begin."""
         sizes = ends - begins
@@ -237,6 +258,9 @@ class Matcher:
                 cut.append(RUN.findall(SPACE + t.replace(" ", SPACE)))
             else:
                 cut.append((SPACE + t.replace(" ", f" {SPACE}")).split(" "))
+        for runs in cut:
+            if any(len(r) > self.SPLIT for r in runs):
+                runs[:] = chain.from_iterable(self.parts(r) if len(r) > self.SPLIT else (r,) for r in runs)
         if len(self.number) > self.KEEP:
             self.forget()
         new, size = [], 0

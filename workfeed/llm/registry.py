@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from . import decontaminate, licenses, linededup, pieces, sharding, simhash, syncmers, toxicity, urlrules, wrappers
-from .common import sha256_of, table
+from .common import sha256_of, small_batches, table
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     items = F.array_sort(F.array_distinct(F.array_compact(F.transform("spans", lambda s: s["item_id"]))))
     n_hit = decontaminate.hit_words(F.col("spans"))
@@ -55,6 +56,7 @@ FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN found USING (doc_id)
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(
         "doc_id",
@@ -64,11 +66,13 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     cut = linededup.dedup_lines(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_lines", "n_removed", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars_kept"), sha256_of(F.col("text")).alias("kept_sha256"))
 
 
 def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     found = wrappers.extract(table(spark, sf_dir, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
@@ -150,6 +154,7 @@ FROM placed p LEFT JOIN best b USING (path) LEFT JOIN inherited i USING (dir)
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     found = pieces.encode(docs, decoded="decoded")
     return found.select(
@@ -162,6 +167,7 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels.where(~toxicity.held_out()))
     scored = toxicity.score(docs.select("doc_id", "text"), model)
@@ -199,6 +205,7 @@ QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY depth) = 1
 
 
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return syncmers.compare_edited(table(spark, sf_dir, "documents"))
 
 

@@ -49,7 +49,8 @@ def _directory(rows: DataFrame, depth: int, step: int, limit: int) -> DataFrame:
     bucket = F.expr("substring(bits, 1, depth)")
     sums = levels.groupBy("depth", bucket.alias("shard")).agg(F.sum("size").alias("shard_bytes"), F.min("low").alias("low"), F.max("high").alias("high"))
     fits = sums.where((F.col("shard_bytes") <= limit) | (F.col("low") == F.col("high"))).select("depth", "shard", "shard_bytes")
-    found = levels.select("prefix", "depth", bucket.alias("shard")).join(fits, ["depth", "shard"], "left")
+    # The first pass has at most 2 ** (step + 1) buckets; later ones as many for each that splits on, and 2 ** step prefixes in each.
+    found = levels.select("prefix", "depth", bucket.alias("shard")).join(fits if depth else F.broadcast(fits), ["depth", "shard"], "left")
     least = F.min(F.when(F.col("shard_bytes").isNotNull(), F.struct("depth", "shard", "shard_bytes")))
     return found.groupBy("prefix").agg(least.alias("leaf")).select("prefix", "leaf.shard", "leaf.shard_bytes")
 

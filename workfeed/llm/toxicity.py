@@ -108,14 +108,14 @@ def train(documents: DataFrame, labels: DataFrame, text: str = "text", key: str
     """The model fitted in one task to at most sample_rows labelled documents.
 
     labels: key and label (0 or 1); rows with a null in either are left out, of rows
-    that repeat a key the highest label holds. Documents without a label, and labels
-    without a document, are ignored. Without labelled documents no text is toxic.
+    that repeat a key the highest label and the smallest text hold. Documents without a
+    label, and labels without a document, are ignored and not counted. Without labelled documents no text is toxic.
     """
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("label"))
-    sample = known.orderBy(F.xxhash64("key"), "key").limit(sample_rows)
     docs = documents.select(F.col(key).alias("key"), F.col(text).alias("body"))
+    sample = known.join(docs.select("key"), "key", "left_semi").orderBy(F.xxhash64("key"), "key").limit(sample_rows)
     # sample has at most sample_rows rows of two numbers.
-    rows = docs.join(F.broadcast(sample), "key").dropDuplicates(["key"]).select("key", "label", "body")
+    rows = docs.join(F.broadcast(sample), "key").groupBy("key").agg(F.max("label").alias("label"), F.min("body").alias("body"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = sorted((k, y, body or "") for b in batches for k, y, body in zip(b["key"], b["label"], b["body"], strict=True))
