@@ -27,22 +27,43 @@ def test_actions_fields_and_a_second_run_without_any(spark):
     actions = reconcile.task_actions(items, listing, state)
     got = {r.external_id: (r.action, r.fields, r.migrated) for r in actions.collect()}
     assert got == {
-        "s:1": ("unchanged", "", False), "s:2": ("update", "title", False), "s:3": ("unchanged", "", False), "s:4": ("declined", "", False), "s:5": ("update", "notes", True),
-        "s:6": ("skip_other", "", False), "s:7": ("skip_done", "", False), "s:8": ("update", "notes", True), "s:9": ("unchanged", "", False),
+        "s:1": ("unchanged", "", False), "s:2": ("update", "title", False), "s:3": ("unchanged", "", False), "s:4": ("declined", "", False), "s:5": ("update", "notes,external_id", True),
+        "s:6": ("skip_other", "", False), "s:7": ("skip_done", "", False), "s:8": ("update", "notes,external_id", True), "s:9": ("unchanged", "", False),
     }
     kept = {r.external_id for r in reconcile.next_state(state, actions, F.lit("now")).collect()}
     assert kept == {"s:1", "s:2", "s:3", "s:4", "s:5", "s:8", "s:9"}
+    dry = reconcile.next_state(state, actions, F.lit("now"), dry_run=True)
+    assert sorted(map(tuple, dry.collect())) == sorted(map(tuple, state.collect()))
+    # Dates as text in other zones are the same instants; a description of another writer's is not compared.
+    told = listing.withColumn("due_at", F.when(F.col("id") == 1, F.lit("2026-09-23T02:00:00+09:00")).otherwise(F.date_format("due_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"))).withColumn("description", F.lit("theirs"))
+    other = {r.external_id: r.fields for r in reconcile.task_actions(items, told, state, owns_description=False).collect()}
+    assert (other["s:1"], other["s:5"]) == ("", "notes,external_id")
     same = spark.createDataFrame([row(i, f"s:{i}") for i in range(3)], LISTING)
     again = reconcile.task_actions(spark.createDataFrame([item(i) for i in range(3)], ITEM), same, state.limit(0))
     assert {r.action for r in again.collect()} == {"unchanged"}
 
 
 def test_calendar_actions(spark):
-    entries = spark.createDataFrame([(f"e{i}", "2026-01-01", f"0{i}:00", "h") for i in range(6)], "external_id string, on_date string, start_time string, entry_hash string")
+    entries = spark.createDataFrame([(f"e{i}", "2026-01-01", f"0{i}:00", "h", i != 6) for i in range(7)], "external_id string, on_date string, start_time string, entry_hash string, valid boolean")
     state = spark.createDataFrame([("e0", "h", False), ("e1", "old", False), ("e2", "h", True), ("e3", "h", False), ("x1", "h", False), ("x2", "h", False), ("x3", "h", True)], "external_id string, hash string, declined boolean")
     there = spark.createDataFrame([("e0",), ("e1",), ("x1",)], "external_id string")
     got = {r.external_id: r.action for r in reconcile.calendar_actions(entries, state, there, 2).collect()}
     assert got == {"e0": "unchanged", "e1": "write", "e2": "declined", "e3": "declined", "e4": "write", "e5": "deferred", "x1": "withdraw", "x2": "forget"}
+    # Without a listing, what is remembered counts as there.
+    blind = {r.external_id: r.action for r in reconcile.calendar_actions(entries, state, None, 2).collect()}
+    assert blind == {"e0": "unchanged", "e1": "write", "e2": "declined", "e3": "unchanged", "e4": "write", "e5": "deferred", "x1": "withdraw", "x2": "withdraw"}
+
+
+def test_pressing_refusals_and_known_tasks(spark):
+    now = F.lit(AT).cast("timestamp")
+    rows = spark.createDataFrame([(1, "open", datetime(2026, 9, 20)), (2, "in_progress", datetime(2026, 9, 24, 16)), (3, "open", datetime(2026, 9, 24, 17)), (4, "done", AT), (5, "open", None)], "id int, state string, due_at timestamp")
+    assert {r.id: r.pressing for r in reconcile.pressing(rows, now).collect()} == {1: True, 2: True, 3: False, 4: False, 5: False}
+    calls = spark.createDataFrame([(g, i) for g in ("a", "b", None) for i in range(5)], "g string, n int")
+    got = {(r.g, r.n): r.attempted for r in reconcile.stop_after_refusal(calls, (F.col("n") == 2) & ~F.col("g").eqNullSafe(F.lit("b")), ["g"], [F.col("n")]).collect()}
+    assert got == {(g, n): g == "b" or n <= 2 for g in ("a", "b", None) for n in range(5)}
+    items = spark.createDataFrame([("x",), ("y",), ("z",)], "id string")
+    listing, state = spark.createDataFrame([("x",), ("",)], "external_id string"), spark.createDataFrame([("y",)], "external_id string")
+    assert {r.id: r.is_task for r in reconcile.is_task(items, listing, state).collect()} == {"x": True, "y": True, "z": False}
 
 
 def test_spans_are_clamped_to_the_day(spark):
@@ -88,6 +109,10 @@ def test_rendering_and_export(spark, tmp_path):
     assert (got["s:1"].state, got["s:2"].state) == ("done", "open")
     sinks.write_csv(items, str(tmp_path / "csv"))
     back = spark.read.option("header", True).option("multiLine", True).option("escape", "\"").csv(str(tmp_path / "csv")).collect()
-    assert {r.id: (r.due_at, r.attachment_count, r.attachment_names) for r in back} == {"s:1": ("2026-09-22T17:00:00Z", "2", "a.pdf; http://g"), "s:2": (None, "0", None)}
+    assert {r.id: (r.due_at, r.attachment_count, r.attachment_names) for r in back} == {"s:1": ("2026-09-22T17:00:00Z", "2", "a.pdf, http://g"), "s:2": (None, "0", None)}
+    columns = "id source kind course title url assigned_at due_at points state grade submitted_at late attachment_count attachment_names description"
+    assert sinks.flat(items).columns == columns.split()
+    other = {r.external_id: r for r in render.rendered(items, owned=False).collect()}
+    assert other["s:1"].description == "" and other["s:1"].notes.startswith("Due: Tue Sep 22 17:00\n") and "Handout" not in other["s:1"].notes
     sinks.write_json(items, str(tmp_path / "json"))
     assert [r.id for r in spark.read.json(str(tmp_path / "json")).orderBy("id").collect()] == ["s:1", "s:2"]

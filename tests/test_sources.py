@@ -66,7 +66,9 @@ def test_classroom_lists_states_and_grades(spark, tmp_path):
     ]}
     subs = {"studentSubmissions": [{"courseId": "c", "courseWorkId": "1", "state": "RETURNED", "submissionHistory": [
         {"stateHistory": {"state": "TURNED_IN", "stateTimestamp": "2026-01-01T05:00:00Z"}}, {"gradeHistory": {"gradeChangeType": "ASSIGNED_GRADE_POINTS_EARNED_CHANGE", "pointsEarned": 8}},
-        {"stateHistory": {"state": "TURNED_IN", "stateTimestamp": "2026-01-01T06:00:00Z"}}]}]}
+        {"stateHistory": {"state": "TURNED_IN", "stateTimestamp": "2026-01-01T06:00:00Z"}}],
+        "assignmentSubmission": {"attachments": [{"link": {"url": "mine", "title": "m"}}, {"driveFile": {"id": "f", "title": "own", "alternateLink": "o"}}]}},
+        {"courseId": "c", "courseWorkId": "1", "id": "0", "state": "CREATED"}]}
     (tmp_path / "w.json").write_text(json.dumps(work))
     (tmp_path / "s.json").write_text(json.dumps(subs))
     raw = classroom.read_list(spark, str(tmp_path / "w.json"), "courseWork")
@@ -75,6 +77,7 @@ def test_classroom_lists_states_and_grades(spark, tmp_path):
     assert set(got) == {"classroom:c:1", "classroom:c:2"}
     one, two = got["classroom:c:1"], got["classroom:c:2"]
     assert (one.state, one.grade, one.turned_in_at, one.due_at, [a.name for a in one.attachments]) == ("graded", "8/10", datetime(2026, 1, 1, 6), datetime(2026, 1, 2, 3), ["t", "d"])
+    assert [(a.name, a.url) for a in one.files] == [("m", "mine"), ("own", "o")] and two.files == []
     assert (two.state, two.kind, two.points, two.due_at) == ("not_started", "question", None, None)
     assert classroom.announcements(raw.withColumn("text", F.lit("Hello\nall"))).first().title == "Hello"
 

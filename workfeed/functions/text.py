@@ -36,20 +36,20 @@ def cut_bytes(s: Column, limit: int) -> Column:
     raw = s.cast("binary")
     ends = [F.substring(raw, 1, n) for n in range(limit, max(limit - 4, -1), -1)]
     whole = [F.when(F.is_valid_utf8(e.cast("string")), e.cast("string")) for e in ends]
-    return F.when(F.octet_length(s) <= limit, s).otherwise(F.coalesce(*whole, F.lit("")))
+    return F.when(F.octet_length(s) > limit, F.coalesce(*whole, F.lit(""))).otherwise(s)
 
 
 def clip_bytes(s: Column, limit: int, tail: str = "…", counted: bool = True, trimmed: bool = False) -> Column:
     """s if it has at most limit bytes; else its start and the tail, which counts within the limit or stands beyond it."""
     start = cut_bytes(s, limit - len(tail.encode()) if counted else limit)
     start = F.trim(start) if trimmed else start
-    return F.when(F.octet_length(s) <= limit, s).otherwise(F.concat(start, F.lit(tail)))
+    return F.when(F.octet_length(s) > limit, F.concat(start, F.lit(tail))).otherwise(s)
 
 
 def clip_chars(s: Column, limit: int, counted: bool = True) -> Column:
     """s if it has at most limit characters; else its trimmed start and an ellipsis, counted within the limit or not."""
     start = F.trim(F.substring(s, 1, limit - 1)) if counted else F.substring(s, 1, limit)
-    return F.when(F.char_length(s) <= limit, s).otherwise(F.concat(start, F.lit("…")))
+    return F.when(F.char_length(s) > limit, F.concat(start, F.lit("…"))).otherwise(s)
 
 
 def slug(title: Column) -> Column:
@@ -65,6 +65,62 @@ def clean_text(s: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(plain, "[ \t\\x0B\f]+(\n|$)", "$1"), "^\n+|\n+$", "")
 
 
+def plain_text(s: Column) -> Column:
+    """CR and CRLF as LF, trimmed."""
+    return F.regexp_replace(F.regexp_replace(s, "\r\n?", "\n"), r"^\s+|\s+$", "")
+
+
+def without_invalid(s: Column) -> Column:
+    """Without the bytes that are no UTF-8; a replacement character that the text has itself stays."""
+    mark, own, real = "\ufdd0", "\ufdd0\ufdd1", "\ufdd0\ufdd2"
+    held = F.replace(F.replace(s, F.lit(mark), F.lit(own)), F.lit("\ufffd"), F.lit(real))
+    valid = F.replace(F.make_valid_utf8(held), F.lit("\ufffd"), F.lit(""))
+    return F.replace(F.replace(valid, F.lit(real), F.lit("\ufffd")), F.lit(own), F.lit(mark))
+
+
+def lenient_int(s: Column) -> Column:
+    """A whole number as text; 0 for anything else."""
+    return F.coalesce(F.when(s.rlike(r"^-?\d{1,19}$"), s.try_cast("bigint")), F.lit(0))
+
+
+def _query_value(url: Column, name: str) -> Column:
+    found = F.regexp_extract(url, rf"[?&]{name}=([^&#]*)", 1)
+    return F.when(found != "", _unescaped(found))
+
+
+def _unescaped(s: Column) -> Column:
+    """Percent escapes undone, a plus kept; as it is where they are malformed."""
+    return F.coalesce(F.try_url_decode(F.replace(s, F.lit("+"), F.lit("%2B"))), s)
+
+
+def document_id(ref: Column) -> Column:
+    """A document's id, from itself or a URL: the parameter id, else what follows /d/ in the path; null if there is none."""
+    path = F.regexp_extract(F.regexp_extract(ref, r"^([^?#]*)", 1), r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/]*)?(.*)$", 1)
+    behind = F.regexp_extract(path, r"(?:^|/)d/([^/]+)", 1)
+    found = F.coalesce(_query_value(ref, "id"), F.when(behind != "", behind))
+    return F.when((ref == ""), F.lit(None).cast("string")).when(~ref.contains("/") & ~ref.contains("?"), ref).otherwise(found)
+
+
+def calendar_id(ref: Column) -> Column:
+    """A calendar's id, from itself or a URL: the parameter src, else what follows v2 or ical in the path, else a part with an @; null if there is none."""
+    path = F.regexp_extract(F.regexp_extract(ref, r"^([^?#]*)", 1), r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/]*)?(.*)$", 1)
+    behind = F.regexp_extract(path, r"(?:^|/)(?:v2|ical)/([^/]+)", 1)
+    mail = F.regexp_extract(path, r"(?:^|/)([^/]*(?:%40|@)[^/]*)", 1)
+    found = F.coalesce(_query_value(ref, "src"), F.when(behind != "", _unescaped(behind)), F.when(mail != "", _unescaped(mail)))
+    return F.when((ref == ""), F.lit(None).cast("string")).when(~ref.contains("/") & ~ref.contains("?"), _unescaped(ref)).otherwise(found)
+
+
+def is_feed_url(ref: Column) -> Column:
+    """Whether a reference is an http(s) URL of an iCalendar file."""
+    path = F.lower(F.regexp_extract(ref, r"^([^?#]*)", 1))
+    return ref.rlike("^https?://") & path.rlike(r"^https?://[^/]*/.*\.ics$")
+
+
+def absolute_url(url: Column, base: str) -> Column:
+    """A path under base where a URL begins with "/"; anything else as it is."""
+    return F.when(url.startswith("/"), F.concat(F.lit(base.rstrip("/")), url)).otherwise(F.coalesce(url, F.lit("")))
+
+
 def tidy_text(s: Column) -> Column:
     """No-break spaces as spaces, lines right-trimmed, at most one empty line, trimmed."""
     plain = F.regexp_replace(F.regexp_replace(F.translate(s, "\u00a0", " "), "\r\n?", "\n"), "[ \t\\x0B\f]+(\n|$)", "$1")

@@ -1,4 +1,4 @@
-"""Date and time helpers; session time zone UTC."""
+"""Date and time helpers. Timestamps are instants; what is printed is UTC in any session's time zone."""
 
 from __future__ import annotations
 
@@ -31,17 +31,20 @@ def in_window(due: Column, assigned: Column, low: Column | None = None, high: Co
     return F.when(due.isNotNull(), dated).otherwise(undated)
 
 
-def from_parts(year: Column, month: Column, day: Column, hours: Column, minutes: Column) -> Column:
-    """Date and time parts as an instant; null if a date part is missing or zero."""
-    ok = (year > 0) & (month > 0) & (day > 0)
-    return F.when(ok, F.make_timestamp(year, month, day, F.coalesce(hours, F.lit(0)), F.coalesce(minutes, F.lit(0)), F.lit(0)))
+def from_parts(year: Column, month: Column, day: Column, hours: Column, minutes: Column, seconds: Column | None = None) -> Column:
+    """UTC date and time parts as an instant; null if a date part is missing or zero. Parts beyond their range carry over: 31 February is 3 March, or 2 March."""
+    ok = year.between(1, 9999) & (month > 0) & (day > 0)
+    first = F.make_date(F.when(ok, year), F.lit(1), F.lit(1))
+    date = F.date_add(F.add_months(first, month - 1), day - 1)
+    part = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
+    return F.timestamp_seconds(F.unix_date(date) * 86_400 + part(hours) * 3600 + part(minutes) * 60 + part(F.lit(0) if seconds is None else seconds))
 
 
 def at_time(day: Column, hhmm: Column, zone: str = "UTC") -> Column:
     """A local date at HH:MM, or at 23:59 where that is no time of day."""
     ok = hhmm.rlike(r"^([01]?\d|2[0-3]):[0-5]\d$")
     time = F.when(ok, F.lpad(hhmm, 5, "0")).otherwise(F.lit("23:59"))
-    return F.to_utc_timestamp(F.try_to_timestamp(F.concat_ws(" ", day.cast("string"), time), F.lit("yyyy-MM-dd HH:mm")), zone)
+    return F.try_to_timestamp(F.concat(day.cast("string"), F.lit(" "), time, F.lit(f" {zone}")), F.lit("yyyy-MM-dd HH:mm VV"))
 
 
 def same_instant(a: Column, b: Column) -> Column:
@@ -49,8 +52,26 @@ def same_instant(a: Column, b: Column) -> Column:
     return F.coalesce(strict_instant(a) == strict_instant(b), a.eqNullSafe(b))
 
 
+def utc_text(t: Column, pattern: str) -> Column:
+    """An instant's UTC time in a pattern."""
+    return F.date_format(F.to_utc_timestamp(t, F.current_timezone()), pattern)
+
+
 def rfc3339(t: Column) -> Column:
-    return F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return utc_text(t, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def days_around(now: Column, past: int, future: int) -> tuple[Column | None, Column | None]:
+    """(low, high): now less and plus so many calendar days; none for a number of 0, which means no bound."""
+    return (now - F.expr(f"INTERVAL '{past}' DAY") if past > 0 else None), (now + F.expr(f"INTERVAL '{future}' DAY") if future > 0 else None)
+
+
+def due_within(due: Column, low: Column | None, high: Column | None) -> Column:
+    """Rows by their date alone, both ends included."""
+    kept = F.lit(True)
+    for bound in ([] if low is None else [due >= low]) + ([] if high is None else [due <= high]):
+        kept = kept & bound
+    return kept
 
 
 def seconds_of(interval: Column) -> Column:

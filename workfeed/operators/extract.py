@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import clean_text, cut_bytes, text_format
+from ..functions.text import clean_text, cut_bytes, text_format, without_invalid
 from ..schema import struct
 
 #: Elements without text, elements that break lines, and elements that an opening tag ends. Fixed values.
@@ -225,7 +225,7 @@ def files_to_text(files: DataFrame, limit: int = 64 * 1024, ceiling: int = 64 <<
     rows = files.select("path", text_format(F.col("mime_type"), F.col("path")).alias("format"), "content", F.length("content").alias("size"))
     fits = F.col("size") <= ceiling
     plain = rows.where((F.col("format") == "text") & fits)
-    cleaned = clean_text(F.make_valid_utf8(F.substring("content", 1, 4 * limit).cast("string")))
+    cleaned = clean_text(without_invalid(F.substring("content", 1, 4 * limit).cast("string")))
     native = plain.select(
         "path", "format", cut_bytes(cleaned, limit).alias("text"), ((F.octet_length(cleaned) > limit) | (F.col("size") > 4 * limit)).alias("truncated"),
         F.lit(None).cast("string").alias("error"), F.lit(True).alias("cacheable"),
@@ -237,7 +237,7 @@ def files_to_text(files: DataFrame, limit: int = 64 * 1024, ceiling: int = 64 <<
             for path, kind, content in zip(batch["path"], batch["format"], batch["content"], strict=True):
                 try:
                     raw = bytes(content)
-                    text = html_text(raw[: 8 * limit].decode("utf-8", "replace"))[0] if kind == "html" else _docx(raw) if kind == "docx" else _pptx(raw)
+                    text = html_text(raw[: 8 * limit].decode("utf-8", "ignore"))[0] if kind == "html" else _docx(raw) if kind == "docx" else _pptx(raw)
                     short = text.encode()[:limit].decode("utf-8", "ignore")
                     out.append((path, kind, short, short != text or (kind == "html" and len(raw) > 8 * limit), None, True))
                 except Exception as e:  # a malformed file is a value

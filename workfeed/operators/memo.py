@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .reconcile import budgeted
+
 
 def split(wanted: DataFrame, memo: DataFrame) -> DataFrame:
     """wanted (key, version, ...) with hit and the memo's content.
@@ -39,6 +41,30 @@ def answers(items: DataFrame, memo: DataFrame) -> DataFrame:
     return joined.select(*(items[c] for c in items.columns), "answer", how.alias("memo"))
 
 
+def hit_counts(split_rows: DataFrame) -> DataFrame:
+    """One row: hits and misses of split()."""
+    return split_rows.agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
+
+
+def answer_outcomes(rows: DataFrame, finished: Column, answered: Column, order: list, most: int) -> DataFrame:
+    """answers() rows with outcome: skipped (finished work), cached, enriched or failed within the budget of `most` calls, else deferred.
+
+    answered says whether a call gave a valid answer; a stale answer is kept unless it did.
+    """
+    asks = ~finished & (F.col("memo") != "fresh")
+    sent = budgeted(rows.withColumn("_done", finished), asks, order, most, "_act")
+    outcome = (
+        F.when(F.col("_done"), "skipped").when(F.col("memo") == "fresh", "cached").when(F.col("_act") == "deferred", "deferred").when(F.coalesce(answered, F.lit(False)), "enriched").otherwise("failed")
+    )
+    return sent.withColumn("outcome", outcome).drop("_done", "_act")
+
+
+def next_answers(memo: DataFrame, fresh: DataFrame, now: Column, ttl: str) -> DataFrame:
+    """The answer memo (id, input_hash, answer, seen_at) with fresh answers in place of older ones, pruned."""
+    kept = memo.join(fresh.select("id"), "id", "left_anti")
+    return pruned(kept.unionByName(fresh.select(memo.columns)), now, ttl)
+
+
 def reread_due(version: Column, known_version: Column, parsed_at: Column, interval_seconds: Column, now: Column) -> Column:
     """Whether a document must be read again: not while its version stands, nor within its interval."""
     young = F.unix_micros(now) - F.unix_micros(parsed_at) < interval_seconds * 1_000_000

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import downstream_state
 from ..functions.text import SENTINEL, attachment_line, clip_bytes, minutes_text, one_line, short_number
+from ..functions.times import rfc3339, utc_text
 
 TITLE_BYTES, TEXT_BYTES, ATTACHMENT_BYTES = 480, 15 * 1024, 6 * 1024
 
 
 def when_text(t: Column) -> Column:
-    return F.date_format(t, "EEE MMM d HH:mm")
+    return utc_text(t, "EEE MMM d HH:mm")
 
 
 def _given(s: Column) -> Column:
@@ -62,16 +63,29 @@ def progress_line() -> Column:
     )
 
 
-def notes(description_here: Column | None = None) -> Column:
-    """Progress, handed-out texts and, last even where the rest is cut, the line with the id.
+def _texts(files: Column, label: str) -> Column:
+    """The extracted texts of files, each under a heading and clipped."""
+    return F.transform(
+        F.filter(files, lambda a: F.coalesce(F.trim(a["content"]), F.lit("")) != ""),
+        lambda a: F.concat(F.lit(f"\n--- {label}: "), a["name"], F.lit(" ---\n"), clip_bytes(F.trim(a["content"]), ATTACHMENT_BYTES, "\n…")),
+    )
+
+
+def notes(description_here: Column | None = None, handed_text: Column | None = None, handed: Column | None = None) -> Column:
+    """Progress, what was handed in, texts and, last even where the rest is cut, the line with the id.
 
-    Where another writer owns the description, its text stands here and the handouts are left out.
+    handed_text is the text of a hand-in, handed its files (name, url, content). Where
+    another writer owns the description, its text stands here and the handouts are left out.
     """
-    texts = F.transform(
-        F.filter("attachments", lambda a: F.coalesce(F.trim(a["content"]), F.lit("")) != ""),
-        lambda a: F.concat(F.lit("\n--- Handout: "), a["name"], F.lit(" ---\n"), clip_bytes(F.trim(a["content"]), ATTACHMENT_BYTES, "\n…")),
-    )
-    body = F.concat_ws("\n", progress_line(), F.array_join(texts, "\n")) if description_here is None else F.concat(description_here, F.lit("\n\n"), progress_line())
+    parts = [progress_line()] if description_here is None else [F.concat(description_here, F.lit("\n\n"), progress_line())]
+    if handed_text is not None:
+        parts.append(F.concat(F.lit("Submitted text:\n"), _given(F.trim(handed_text)), F.lit("\n")))
+    if handed is not None:
+        lines = F.transform(handed, lambda a: F.concat(F.lit("- "), attachment_line(a["name"], a["url"]), F.lit("\n")))
+        parts += [F.when(F.size(handed) > 0, F.concat(F.lit("Submitted files:\n"), F.array_join(lines, ""))), _given(F.array_join(_texts(handed, "Your file"), "\n"))]
+    if description_here is None:
+        parts.append(F.array_join(_texts(F.col("attachments"), "Handout"), "\n"))
+    body = F.concat_ws("\n", *parts)
     body = F.regexp_replace(body, "\n+$", "")
     tail = F.concat(F.lit("\n" + SENTINEL), "id")
     # The id's bytes are taken off the limit; ids are ASCII.
@@ -92,15 +106,27 @@ def context() -> Column:
     return clip_bytes(F.concat(head, F.lit("\n"), F.array_join(texts, "")), 32 * 1024)
 
 
-def rendered(items: DataFrame) -> DataFrame:
-    """external_id, title, description, notes, state, due_at, url and content_hash of items."""
+def inbox_context() -> Column:
+    """context() with the date it was posted before the title, so that what the text calls tomorrow can be told."""
+    posted = F.concat(F.lit("\nPosted: "), utc_text(F.col("assigned_at"), "EEE MMM d yyyy HH:mm"), F.lit(" UTC\nTitle: "))
+    at = F.locate("\nTitle: ", context())
+    placed = F.concat(F.substring(context(), F.lit(1), at - 1), posted, F.substring(context(), at + F.lit(len("\nTitle: ")), F.length(context())))
+    return clip_bytes(F.when(F.col("assigned_at").isNull(), context()).when(at > 0, placed).otherwise(F.concat(F.substring(posted, 2, 10_000), context())), 32 * 1024)
+
+
+def rendered(items: DataFrame, owned: bool = True) -> DataFrame:
+    """external_id, title, description, notes, state, due_at, url and content_hash of items.
+
+    owned says whether the description is ours; where another writer owns it, it is empty and its text stands in the notes.
+    """
+    told = description(False)
     out = items.select(
-        F.col("id").alias("external_id"), title().alias("title"), description(False).alias("description"), notes().alias("notes"),
+        F.col("id").alias("external_id"), title().alias("title"), (told if owned else F.lit("")).alias("description"), (notes() if owned else notes(told)).alias("notes"),
         downstream_state(F.col("state")).alias("state"), "due_at", F.coalesce("url", F.lit("")).alias("url"),
     )
     return out.withColumn("content_hash", content_hash())
 
 
 def content_hash() -> Column:
-    due = F.coalesce(F.date_format("due_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(""))
+    due = F.coalesce(rfc3339(F.col("due_at")), F.lit(""))
     return F.sha2(F.concat_ws("|", "title", "description", "notes", "state", due, "url"), 256)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import short_number
+from ..functions.text import blank_to_null, short_number
 from ..functions.times import rfc3339
 
 
@@ -15,12 +15,14 @@ def canonical(items: DataFrame) -> DataFrame:
 
 
 def flat(items: DataFrame) -> DataFrame:
-    """The columns of the flat export; instants as RFC 3339 in UTC, attachments counted and named."""
-    names = F.transform("attachments", lambda a: F.coalesce(F.when(a["name"] != "", a["name"]), a["url"]))
+    """The sixteen columns of the flat export in their order: instants as RFC 3339 in UTC, attachments counted and named, empty where there is nothing."""
+    names = F.transform("attachments", lambda a: F.coalesce(blank_to_null(a["name"]), blank_to_null(a["url"]), F.lit("(unnamed)")))
+    given = lambda c: F.coalesce(c, F.lit(""))
     return items.select(
-        "id", "source", "kind", "course", "title", rfc3339(F.col("due_at")).alias("due_at"), rfc3339(F.col("assigned_at")).alias("assigned_at"),
-        short_number(F.col("points")).alias("points"), "state", "url", F.size("attachments").cast("bigint").alias("attachment_count"),
-        F.array_join(names, "; ").alias("attachment_names"),
+        "id", "source", "kind", given(F.col("course")).alias("course"), given(F.col("title")).alias("title"), given(F.col("url")).alias("url"),
+        given(rfc3339(F.col("assigned_at"))).alias("assigned_at"), given(rfc3339(F.col("due_at"))).alias("due_at"), given(short_number(F.col("points"))).alias("points"),
+        "state", given(F.col("grade")).alias("grade"), given(rfc3339(F.col("submitted_at"))).alias("submitted_at"), F.coalesce("late", F.lit(False)).alias("late"),
+        F.size("attachments").cast("bigint").alias("attachment_count"), F.array_join(names, ", ").alias("attachment_names"), given(F.col("description")).alias("description"),
     )
 
 

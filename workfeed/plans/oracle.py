@@ -40,6 +40,10 @@ def _when(t: str) -> str:
     return f"strftime({t}, '%a %b %-d %H:%M')"
 
 
+def _rfc(t: str) -> str:
+    return f"strftime({t}, '%Y-%m-%dT%H:%M:%SZ')"
+
+
 _FIRST = """planner AS (
   SELECT concat('canvas:', kind, ':', ordinal) AS id, kind, course_id, CASE WHEN ordinal % 5 <> 0 THEN title END AS title, url, due_at, assigned_at, points, state
   FROM items WHERE source = 'canvas' AND ordinal % 3 <> 0),
@@ -88,14 +92,35 @@ judged AS (
   FROM asked a LEFT JOIN open_ USING (pair_key))"""
 
 
-def _survivors(rounds: int = 12) -> str:
+_ANSWERED = f"""{_OUTCOMES},
+told AS (
+  SELECT * REPLACE (CASE WHEN outcome <> 'ask' THEN outcome WHEN substr(pair_key, 3, 1) >= 'c' THEN 'failed' WHEN substr(pair_key, 4, 1) < '8' THEN 'judged_same' ELSE 'judged_different' END AS outcome)
+  FROM judged)"""
+
+
+def _side(name: str, p: str) -> str:
+    return (
+        f"concat('  {name} (', {p}.source, ' ', {p}.kind, strftime({p}.due_at, ', %a %-d %b %Y'), CASE WHEN {p}.points IS NOT NULL THEN concat(', ', {_short(p + '.points')}, ' pts') ELSE '' END, "
+        f"'): ', {p}.title, chr(10), '     course: ', {p}.course, chr(10), CASE WHEN {p}.description IS NOT NULL THEN concat('     says: ', {p}.description, chr(10)) ELSE '' END)"
+    )
+
+
+def _tallies() -> str:
+    """The drop's rounds, by the outcomes after this run's answers, counted with the pairs."""
+    return _survivors(12, _ANSWERED, "told", "('obvious', 'cached_same', 'judged_same')", """SELECT
+  (SELECT count(*) FROM told) AS pairs, (SELECT count(*) FROM told WHERE outcome = 'obvious') AS obvious, (SELECT count(*) FROM told WHERE starts_with(outcome, 'cached')) AS cached,
+  (SELECT count(DISTINCT batch) FROM told) AS asked, (SELECT count(*) FROM told WHERE outcome = 'deferred') AS deferred, (SELECT count(*) FROM told WHERE outcome = 'failed') AS failed,
+  (SELECT count(*) FROM items WHERE id IN ({falls})) AS duplicates""")
+
+
+def _survivors(rounds: int = 12, outcomes: str = _OUTCOMES, table: str = "judged", same: str = "('obvious', 'cached_same')", last: str = "SELECT id, source, title, due_at FROM items WHERE id NOT IN ({falls})") -> str:
     """The rounds of the ordered drop written out; more than the longest chain of the data."""
-    parts, falls = [f"WITH {_ITEMS},\n{_OUTCOMES},\nlink0 AS (SELECT a_id AS a, b_id AS b FROM judged WHERE outcome IN ('obvious', 'cached_same'))"], []
+    parts, falls = [f"WITH {_ITEMS},\n{outcomes},\nlink0 AS (SELECT a_id AS a, b_id AS b FROM {table} WHERE outcome IN {same})"], []
     for i in range(rounds):
         parts.append(f"fall{i} AS MATERIALIZED (SELECT DISTINCT b AS id FROM link{i} WHERE a NOT IN (SELECT b FROM link{i}))")
         parts.append(f"link{i + 1} AS MATERIALIZED (SELECT * FROM link{i} WHERE b NOT IN (SELECT id FROM fall{i}) AND a NOT IN (SELECT id FROM fall{i}))")
         falls.append(f"SELECT id FROM fall{i}")
-    return ",\n".join(parts) + f"\nSELECT id, source, title, due_at FROM items WHERE id NOT IN ({' UNION ALL '.join(falls)})"
+    return ",\n".join(parts) + "\n" + last.format(falls=" UNION ALL ".join(falls))
 
 
 _MEMO = f"""memo AS (
@@ -117,7 +142,7 @@ diff AS (
          array_to_string(list_filter([
            CASE WHEN e.title <> r.title THEN 'title' END, CASE WHEN e.description <> r.description THEN 'description' END, CASE WHEN e.notes <> r.notes THEN 'notes' END,
            CASE WHEN e.state NOT IN ('done', 'dropped') AND CASE r.state WHEN 'in_progress' THEN 1 WHEN 'done' THEN 2 ELSE 0 END > CASE e.state WHEN 'in_progress' THEN 1 WHEN 'done' THEN 2 ELSE 0 END THEN 'state' END,
-           CASE WHEN e.parent_id IS NULL AND e.due_at IS DISTINCT FROM r.due_at THEN 'due_at' END, CASE WHEN e.url <> r.url THEN 'url' END], lambda x: x IS NOT NULL), ',') AS fields
+           CASE WHEN e.parent_id IS NULL AND e.due_at IS DISTINCT FROM r.due_at THEN 'due_at' END, CASE WHEN e.url <> r.url THEN 'url' END, CASE WHEN coalesce(e.external_id, '') = '' THEN 'external_id' END], lambda x: x IS NOT NULL), ',') AS fields
   FROM rendered r LEFT JOIN best b ON b.k = r.external_id LEFT JOIN listing e ON e.id = b.note_id LEFT JOIN sync_state s ON s.external_id = r.external_id),
 action AS (
   SELECT external_id, note_id, CASE WHEN found THEN CASE WHEN fields <> '' THEN 'update' ELSE 'unchanged' END WHEN known THEN 'declined'
@@ -135,7 +160,7 @@ entry AS (
   SELECT *, substr(sha256(concat_ws(chr(0), title, kind, 'false', start_time, end_time, on_date, '', '')), 1, 32) AS entry_hash, start_time < end_time AS valid FROM entry0)"""
 
 _ATTACHED = """handed AS (
-  SELECT ordinal, count(*) AS n, string_agg(name, '; ' ORDER BY position, l_partkey, l_suppkey, l_quantity, l_extendedprice, name) AS names,
+  SELECT ordinal, count(*) AS n, string_agg(name, ', ' ORDER BY position, l_partkey, l_suppkey, l_quantity, l_extendedprice, name) AS names,
          string_agg(concat('- ', name, ' (', url, ')'), chr(10) ORDER BY position, l_partkey, l_suppkey, l_quantity, l_extendedprice, name) AS shown,
          string_agg(CASE WHEN content IS NOT NULL THEN concat(chr(10), '--- Handout: ', name, ' ---', chr(10), content) END, chr(10) ORDER BY position, l_partkey, l_suppkey, l_quantity, l_extendedprice, name) AS texts,
          string_agg(CASE WHEN content IS NULL THEN concat(chr(10), '--- Attachment (no text extracted): ', name, ' ---', chr(10)) ELSE concat(chr(10), '--- Attachment: ', name, ' ---', chr(10), content, chr(10)) END, ''
@@ -180,8 +205,7 @@ SELECT id, CASE WHEN ordinal % 11 = 0 THEN 'excused' WHEN ordinal % 7 = 0 THEN '
        CASE WHEN c IS NULL THEN 'todo' WHEN c = 'RETURNED' THEN CASE WHEN ordinal % 7 = 0 THEN 'graded' ELSE 'submitted' END WHEN c = 'TURNED_IN' THEN CASE WHEN ordinal % 2 = 0 THEN 'late' ELSE 'submitted' END
             WHEN due_at < {b.NOW} THEN 'missing' ELSE 'todo' END AS coursework FROM x""",
     "todo_view": f"WITH {_ITEMS}, {_HOMEWORK} SELECT * EXCLUDE (fetched_at) FROM homework WHERE status IN ('todo', 'missing', 'late')",
-    "pressing_items": f"""WITH {_ITEMS}, {_HOMEWORK} SELECT source_id, title, due_at, status FROM homework
-WHERE status IN ('todo', 'late') AND due_at < {b.NOW} + INTERVAL '48' HOUR ORDER BY due_at DESC, source_id LIMIT 20""",
+    "pressing_items": f"""WITH {_ITEMS}, {_LISTING} SELECT id, title, state, due_at, state IN ('open', 'in_progress') AND coalesce(due_at < {b.NOW} + INTERVAL '48' HOUR, false) AS pressing FROM listing""",
     "legacy_homework": f"WITH {_ITEMS}, {_HOMEWORK} SELECT * FROM homework",
     "upsert_homework": f"""WITH {_ITEMS}, {_HOMEWORK} SELECT * REPLACE (CASE WHEN CAST(source_id AS BIGINT) % 3 = 0 THEN 'submitted' ELSE status END AS status,
   CASE WHEN CAST(source_id AS BIGINT) % 3 = 0 THEN fetched_at + INTERVAL '1' DAY ELSE fetched_at END AS fetched_at) FROM homework""",
@@ -231,7 +255,12 @@ FROM line l LEFT JOIN (SELECT * FROM part WHERE p_partkey % 3 <> 0) p ON p.p_par
 SELECT word, df, regexp_matches(word, '[0-9]') OR df <= (SELECT greatest(2, count(*) // 20) FROM items) AS strong FROM freq""",
     "candidate_pairs": f"WITH {_ITEMS},\n{_PAIRS} SELECT pair_key, a_id, b_id, obvious FROM pair",
     "pair_batches": f"WITH {_ITEMS},\n{_OUTCOMES} SELECT pair_key, outcome, batch FROM judged",
-    "run_tallies": f"WITH {_ITEMS},\n{_OUTCOMES} SELECT outcome, count(*) AS n, count(DISTINCT batch) AS n_batches FROM judged GROUP BY outcome",
+    "judged_answers": f"WITH {_ITEMS},\n{_ANSWERED} SELECT pair_key, outcome, batch FROM told",
+    "run_tallies": _tallies(),
+    "pair_prompts": f"""WITH {_ITEMS},\n{_OUTCOMES}, shown AS (
+  SELECT batch, place, concat(chr(10), 'Pair ', pair_key, ':', chr(10), {_side('A', 'a')}, {_side('B', 'b')}) AS s
+  FROM judged JOIN items a ON a.id = a_id JOIN items b ON b.id = b_id WHERE outcome = 'ask')
+SELECT batch, md5('Are these the same piece of work?' || chr(10) || string_agg(s, '' ORDER BY place)) AS prompt FROM shown GROUP BY batch""",
     "memo_split": f"""WITH {_MEMO}, w AS (SELECT CAST(p_partkey AS VARCHAR) AS key, CASE WHEN p_partkey % 7 = 0 THEN '' ELSE concat('v', p_size % 2) END AS version FROM part)
 SELECT w.key, w.version, m.key IS NOT NULL AS hit, m.content FROM w LEFT JOIN memo m ON m.key = w.key AND m.version = w.version AND w.version <> ''""",
     "memo_prune": f"""WITH {_MEMO}, t AS (
@@ -251,7 +280,7 @@ SELECT id, CASE WHEN n <= 20 THEN 'send' WHEN n IS NOT NULL THEN 'deferred' ELSE
     "calendar_actions": f"""WITH {_ITEMS}, {_ENTRIES},
 known AS (SELECT external_id, CASE WHEN ordinal % 3 = 0 THEN 'old' ELSE entry_hash END AS hash, ordinal % 11 = 0 AS declined, ordinal % 13 <> 0 AS there FROM entry WHERE ordinal % 5 <> 0),
 both_ AS (SELECT coalesce(e.external_id, k.external_id) AS id, e.on_date, e.start_time, e.entry_hash, k.hash, k.declined, coalesce(k.there, false) AS there, e.external_id IS NOT NULL AS live, k.external_id IS NOT NULL AS known
-          FROM (SELECT * FROM entry WHERE ordinal % 17 <> 0) e FULL JOIN known k ON k.external_id = e.external_id),
+          FROM (SELECT * FROM entry WHERE ordinal % 17 <> 0 AND valid) e FULL JOIN known k ON k.external_id = e.external_id),
 base AS (SELECT *, CASE WHEN live AND known AND (declined OR NOT there) THEN 'declined' WHEN live AND known AND hash = entry_hash THEN 'unchanged' WHEN live THEN 'write' WHEN declined THEN 'keep' WHEN there THEN 'withdraw' ELSE 'forget' END AS base FROM both_)
 SELECT id AS external_id, CASE WHEN base = 'write' AND row_number() OVER (PARTITION BY base ORDER BY on_date, start_time, id) > 200 THEN 'deferred' ELSE base END AS action FROM base WHERE base <> 'keep'""",
     "expand_schedules": f"""WITH {_ITEMS}, t AS (
@@ -259,12 +288,13 @@ SELECT id AS external_id, CASE WHEN base = 'write' AND row_number() OVER (PARTIT
          strlen(repeat(coalesce(description, ''), 10)) + CASE WHEN description IS NOT NULL THEN 2 ELSE 0 END + strlen(course) AS size
   FROM items WHERE source IN ('canvas', 'classroom')),
 u AS (SELECT *, kind IN ('material', 'announcement') AND contains(lower(title), 'calendar') AS named FROM t),
-v AS (SELECT *, named AND size >= 200 AND ordinal % 2 = 0 AS opened FROM u WHERE NOT (named AND configured))
+v AS (SELECT *, named AND size >= 200 AND ordinal % 2 = 0 AS opened FROM u WHERE NOT (named AND size >= 200 AND configured))
 SELECT id, kind, title, CAST(NULL AS VARCHAR) AS due_at FROM v WHERE NOT opened
 UNION ALL SELECT concat('gdoc:', id, ':', DATE '1998-06-01' + CAST(ordinal % 200 AS INTEGER), '-read-', ordinal), 'assignment', concat('Read ', ordinal), concat(DATE '1998-06-01' + CAST(ordinal % 200 AS INTEGER), ' 08:30') FROM v WHERE opened""",
     "attachment_rollup": f"WITH {_ITEMS}, {_LINES}, {_ATTACHED} SELECT id, coalesce(n, 0) AS attachment_count, coalesce(names, '') AS attachment_names FROM items LEFT JOIN handed USING (ordinal)",
-    "csv_export": f"""WITH {_ITEMS}, {_LINES}, {_ATTACHED} SELECT id, source, kind, course, title, strftime(due_at, '%Y-%m-%dT%H:%M:%SZ') AS due_at, strftime(assigned_at, '%Y-%m-%dT%H:%M:%SZ') AS assigned_at,
-       {_short('points')} AS points, state, url, coalesce(n, 0) AS attachment_count FROM items LEFT JOIN handed USING (ordinal)""",
+    "csv_export": f"""WITH {_ITEMS}, {_LINES}, {_ATTACHED} SELECT id, source, kind, coalesce(course, '') AS course, title, url, coalesce({_rfc('assigned_at')}, '') AS assigned_at, coalesce({_rfc('due_at')}, '') AS due_at,
+       coalesce({_short('points')}, '') AS points, state, coalesce(grade, '') AS grade, coalesce({_rfc('submitted_at')}, '') AS submitted_at, late, coalesce(n, 0) AS attachment_count,
+       coalesce(names, '') AS attachment_names, coalesce(description, '') AS description FROM items LEFT JOIN handed USING (ordinal)""",
     "render_notes": f"""WITH {_ITEMS}, {_LINES}, {_ATTACHED} SELECT id AS external_id, course || ' — ' || title AS title,
        md5(concat_ws(chr(10), 'Due: ' || coalesce({_when('due_at')}, 'none'), 'Course: ' || course, {_KIND}, 'Link: ' || url, chr(10) || description, chr(10) || 'Attachments:' || chr(10) || shown)) AS description,
        md5(concat_ws(chr(10), concat_ws(', ', 'Progress: ' || state, 'grade ' || grade, 'submitted ' || {_when('submitted_at')}, CASE WHEN late THEN 'late' END), texts) || chr(10) || 'x-id: ' || id) AS notes, {_DOWN} AS state
@@ -276,5 +306,6 @@ FROM items LEFT JOIN handed USING (ordinal)""",
 FROM node t LEFT JOIN node c ON c.parent_id = t.id WHERE t.parent_id IS NULL GROUP BY t.id, t.title""",
     "tree_flatten": f"WITH {_ITEMS}, {_LISTING}, {_TREE} SELECT * FROM node WHERE parent_id IS NULL OR parent_id IN (SELECT id FROM node)",
     "stream_upsert": "SELECT CAST(user_id AS VARCHAR) AS id, event_type AS hash, event_id AS n, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1",
-    "stream_changed_only": "SELECT DISTINCT concat(user_id, ':', event_type) AS id, event_type AS hash FROM events",
+    "stream_changed_only": """SELECT CAST(user_id AS VARCHAR) AS id, event_type AS hash, event_id AS n FROM events
+QUALIFY event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id)""",
 }

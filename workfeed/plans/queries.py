@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import codes, text
+from ..functions.times import rfc3339
 from ..operators import extract, match, memo, reconcile, render, sinks
 from ..sources import events as calendar
 from ..sources import ics, legacy, planner, schedule
-from ..state import read_latest
+from ..state import checkpoint, new_folder, read_latest
 from ..streaming import streams
 from . import bindings as b
 
+SOURCES = ("canvas", "classroom", "gdoc", "gcal")
+
+
 def _now() -> Column:
     return F.expr(b.NOW)
 
@@ -44,11 +44,9 @@ def _with_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def unified_table(spark, sf_dir):
     """All sources as one table in canonical order."""
-    items = _items(spark, sf_dir)
-    parts = [items.where(F.col("source") == s) for s in ("canvas", "classroom", "gdoc", "gcal")]
+    items = planner.wanted(_items(spark, sf_dir), SOURCES)
     columns = ["id", "source", "kind", "course", "course_id", "title", "url", "assigned_at", "due_at", "points", "state"]
-    union = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
-    return sinks.canonical(union.select(*columns, codes.downstream_state(F.col("state")).alias("downstream")))
+    return sinks.canonical(items.select(*columns, codes.downstream_state(F.col("state")).alias("downstream")))
 
 
 def _stubs(spark, sf_dir):
@@ -118,9 +116,8 @@ def todo_view(spark, sf_dir):
 
 
 def pressing_items(spark, sf_dir):
-    """Owed items due within 48 hours of now: the twenty soonest."""
-    live = _homework(spark, sf_dir).where(F.col("status").isin("todo", "late") & (F.col("due_at") < F.expr(f"{b.NOW} + INTERVAL '48' HOUR")))
-    return live.orderBy(F.col("due_at").desc(), "source_id").limit(20).select("source_id", "title", "due_at", "status")
+    """The store's rows, live ones that are overdue or due within 48 hours of now marked."""
+    return reconcile.pressing(b.bound(spark, sf_dir, b.LISTING), _now()).select("id", "title", "state", "due_at", "pressing")
 
 
 def legacy_homework(spark, sf_dir):
@@ -323,17 +320,36 @@ def _verdicts(pairs: DataFrame) -> DataFrame:
 
 
 def pair_batches(spark, sf_dir):
-    pairs = match.candidate_pairs(_items(spark, sf_dir))
+    pairs = checkpoint(match.candidate_pairs(_items(spark, sf_dir)))
     return match.judged(pairs, _verdicts(pairs)).select("pair_key", "outcome", "batch")
 
 
+def _answered(spark, sf_dir):
+    """Outcomes with the answers of this run, which leave some pairs out."""
+    pairs = checkpoint(match.candidate_pairs(_items(spark, sf_dir)))
+    outcomes = checkpoint(match.judged(pairs, _verdicts(pairs)))
+    given = outcomes.where("outcome = 'ask' AND substring(pair_key, 3, 1) < 'c'").select("pair_key", (F.substring("pair_key", 4, 1) < "8").alias("same"))
+    return match.answered(outcomes, given)
+
+
+def judged_answers(spark, sf_dir):
+    return _answered(spark, sf_dir).select("pair_key", "outcome", "batch")
+
+
 def run_tallies(spark, sf_dir):
-    return pair_batches(spark, sf_dir).groupBy("outcome").agg(F.count("*").alias("n"), F.countDistinct("batch").alias("n_batches"))
+    outcomes = _answered(spark, sf_dir)
+    return match.run_tally(outcomes, match.same_rows(outcomes))
+
+
+def pair_prompts(spark, sf_dir):
+    pairs = checkpoint(match.candidate_pairs(_items(spark, sf_dir)))
+    return match.prompts(match.judged(pairs, _verdicts(pairs))).select("batch", F.md5("prompt").alias("prompt"))
 
 
 def dedup_survivors(spark, sf_dir):
     items = _items(spark, sf_dir)
-    return match.survivors(items, _verdicts(match.candidate_pairs(items))).select("id", "source", "title", "due_at")
+    pairs = checkpoint(match.candidate_pairs(items))
+    return match.survivors(items, _verdicts(pairs), pairs).select("id", "source", "title", "due_at")
 
 
 # -- memos ---------------------------------------------------------------------------------
@@ -377,7 +393,10 @@ def _rendered(spark, sf_dir):
 
 
 def _actions(spark, sf_dir):
-    return reconcile.task_actions(_rendered(spark, sf_dir), b.bound(spark, sf_dir, b.LISTING), b.bound(spark, sf_dir, b.SYNC_STATE))
+    # The store's dates are texts, some of them in another zone.
+    east = F.concat(F.date_format(F.expr("due_at + INTERVAL '9' HOUR"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+09:00"))
+    listing = b.bound(spark, sf_dir, b.LISTING).withColumn("due_at", F.when(F.col("id") % 2 == 0, east).otherwise(rfc3339(F.col("due_at"))))
+    return reconcile.task_actions(_rendered(spark, sf_dir), listing, b.bound(spark, sf_dir, b.SYNC_STATE))
 
 
 def reconcile_actions(spark, sf_dir):
@@ -420,18 +439,22 @@ def calendar_actions(spark, sf_dir):
     return reconcile.calendar_actions(live, state, listing, 200)
 
 
-def expand_schedules(spark, sf_dir):
-    """Schedule-like items replaced by the rows an answer found in them."""
+def _schedules(spark, sf_dir):
     items = _items(spark, sf_dir).where("source IN ('canvas', 'classroom')").select(
-        "id", "kind", F.concat("title", F.expr("CASE WHEN ordinal % 3 = 0 THEN ' Calendar' ELSE '' END")).alias("title"), F.concat(F.lit("https://docs.example/d/"), F.col("ordinal").cast("string"), F.lit("/edit")).alias("url"),
+        "id", "kind", F.concat("title", F.expr("CASE WHEN ordinal % 3 = 0 THEN ' Calendar' ELSE '' END")).alias("title"), F.array("url", F.concat(F.lit("https://docs.example/open?id=doc-"), F.col("ordinal").cast("string"), F.lit("x&v=1"))).alias("urls"), "url",
         F.repeat(F.coalesce("description", F.lit("")), 10).alias("description"), F.array(F.lit(" "), F.col("course")).alias("contents"), "ordinal", "course",
     )
     day = F.expr("CAST(DATE '1998-06-01' + CAST(ordinal % 200 AS INT) AS STRING)")
     answer = F.concat(F.lit('[{"date": "'), day, F.lit('", "kind": "homework", "title": "Read '), F.col("ordinal").cast("string"), F.lit('", "time": "08:30"}, {"date": "soon", "title": "junk"}]'))
     docs = items.where("ordinal % 2 = 0").select(F.col("id").alias("doc_id"), "course", "url", schedule.parsed_entries(answer).alias("entries"))
     found = schedule.rows_of(docs).select(F.col("doc_id").alias("id"), F.col("id").alias("row_id"), F.col("kind").alias("row_kind"), F.col("title").alias("row_title"), "due_at")
-    configured = items.where("ordinal % 7 = 0").select(F.col("ordinal").cast("string").alias("doc_id"))
-    kept, rows = schedule.expand(items, found, configured)
+    configured = items.where("ordinal % 7 = 0").select(F.concat(F.lit("doc-"), F.col("ordinal").cast("string"), F.lit("x")).alias("doc_id"))
+    return items, found, configured
+
+
+def expand_schedules(spark, sf_dir):
+    """Schedule-like items replaced by the rows an answer found in them."""
+    kept, rows = schedule.expand(*_schedules(spark, sf_dir))
     one = kept.select("id", "kind", "title", F.lit(None).cast("string").alias("due_at"))
     return one.unionByName(rows.select(F.col("row_id").alias("id"), F.col("row_kind").alias("kind"), F.col("row_title").alias("title"), F.date_format("due_at", "yyyy-MM-dd HH:mm").alias("due_at")))
 
@@ -444,7 +467,7 @@ def attachment_rollup(spark, sf_dir):
 
 
 def csv_export(spark, sf_dir):
-    return sinks.flat(sinks.canonical(_with_attachments(spark, sf_dir))).drop("attachment_names")
+    return sinks.flat(sinks.canonical(_with_attachments(spark, sf_dir)))
 
 
 def render_notes(spark, sf_dir):
@@ -473,21 +496,13 @@ def tree_flatten(spark, sf_dir):
 # -- streams -------------------------------------------------------------------------------
 
 
-def _shared(spark: SparkSession) -> str:
-    """A new folder that all executors share, where the cluster names one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        return tempfile.mkdtemp(prefix="workfeed-stream-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
-
-
 def _event_rows(spark, sf_dir):
     return _table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("id"), F.col("event_type").alias("hash"), F.col("event_id").alias("n"), "value")
 
 
 def stream_upsert(spark, sf_dir):
     """Events upserted by user from a replayed stream: the last row of each."""
-    root = _shared(spark)
+    root = new_folder(spark, "stream")
     rows = _event_rows(spark, sf_dir)
     query = streams.upsert_stream(streams.replay(rows, f"{root}/in", "n"), f"{root}/table", f"{root}/cp", ("id",), "n")
     query.awaitTermination()
@@ -496,10 +511,9 @@ def stream_upsert(spark, sf_dir):
 
 def stream_changed_only(spark, sf_dir):
     """Rows of a replayed stream whose hash differs from the user's last one."""
-    root = _shared(spark)
-    # One hash per event, so that the result does not depend on how batches are cut.
-    rows = _event_rows(spark, sf_dir).select(F.concat("id", F.lit(":"), "hash").alias("id"), "hash", "n", "value")
-    changed = streams.changed_only(streams.replay(rows, f"{root}/in", "n")).select("id", "hash")
+    root = new_folder(spark, "stream")
+    rows = _event_rows(spark, sf_dir)
+    changed = streams.changed_only(streams.replay(rows, f"{root}/in", "n"), "n").select("id", "hash", "n")
     changed.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/cp").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(T.StructType(changed.schema.fields)).parquet(f"{root}/out")
 
@@ -508,7 +522,7 @@ NAMES = [
     "dedup_survivors", "unified_table", "full_outer_merge", "window_filter", "overlay_detail", "kind_map", "state_map", "legacy_status", "todo_view", "pressing_items",
     "legacy_homework", "upsert_homework", "submission_latest", "event_occurrences", "event_cap", "calendar_fields", "ics_events", "title_norm", "title_words", "slug_ids",
     "byte_clip", "clean_text", "strip_images", "announcement_titles", "doc_chunks", "html_text", "html_links", "plain_text", "mime_class", "file_links", "json_polymorphic",
-    "answers_parsed", "brief_validated", "doc_freq", "rare_tokens", "candidate_pairs", "pair_batches", "run_tallies", "memo_split", "memo_prune", "memo_stale",
+    "answers_parsed", "brief_validated", "judged_answers", "pair_prompts", "doc_freq", "rare_tokens", "candidate_pairs", "pair_batches", "run_tallies", "memo_split", "memo_prune", "memo_stale",
     "reconcile_actions", "reconcile_diff", "reconcile_tally", "brief_budget", "inbox_actions", "calendar_actions", "expand_schedules", "attachment_rollup", "csv_export",
     "render_notes", "task_context", "tree_rebuild", "tree_flatten", "stream_upsert", "stream_changed_only",
 ]

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import blank_to_null, clip_bytes
+from ..functions.text import blank_to_null, clip_bytes, one_line
+from ..functions.times import utc_text
 
 #: What a calendar published as free/busy calls its events. Fixed values.
 PLACEHOLDERS = ("", "busy", "free", "private", "unavailable", "blocked", "(no title)", "untitled")
@@ -32,7 +33,7 @@ def occurrences(events: DataFrame, low: Column | None = None, high: Column | Non
     """Work items of events that stand: not cancelled, not declined, with a start inside the window.
 
     events: feed, label, ordinal, event_id, series_id, summary, status, declined,
-    start_at, end_at, url. Of rows with the same id the first of the feed counts.
+    start_at, end_at, url. Of rows with the same id the first of the feed counts. By start.
     """
     kept = (F.coalesce("status", F.lit("")) != "cancelled") & ~F.coalesce("declined", F.lit(False)) & F.col("start_at").isNotNull()
     for bound in ([] if low is None else [F.col("start_at") >= low]) + ([] if high is None else [F.col("start_at") <= high]):
@@ -51,7 +52,15 @@ def occurrences(events: DataFrame, low: Column | None = None, high: Column | Non
         F.col("start_at").alias("due_at"),
         F.when(F.col("end_at") > F.col("start_at"), F.col("end_at")).alias("ends_at"),
         "ordinal",
-    )
+    ).orderBy("due_at", "id")
+
+
+def described(start: Column, end: Column, all_day: Column, location: Column, description: Column, label: Column) -> Column:
+    """What an event is, in a line or two: when, where and what it says."""
+    clock = F.concat(utc_text(start, " HH:mm"), F.coalesce(F.concat(F.lit("–"), utc_text(end, "HH:mm")), F.lit("")))
+    place = F.coalesce(F.concat(F.lit(" · "), clip_bytes(blank_to_null(one_line(location)), 200, counted=False, trimmed=True)), F.lit(""))
+    said = F.coalesce(F.concat(clip_bytes(blank_to_null(one_line(description)), 2000, counted=False, trimmed=True), F.lit("\n")), F.lit(""))
+    return F.concat(utc_text(start, "EEE d MMM yyyy"), F.when(all_day, F.lit(" (all day)")).otherwise(clock), place, F.lit("\n"), said, F.lit("From the "), label, F.lit(" calendar."))
 
 
 def capped(rows: DataFrame, per: str, order: list, limit: int) -> DataFrame:

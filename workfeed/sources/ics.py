@@ -34,24 +34,23 @@ def unescaped(s: Column) -> Column:
 
 
 def _instant(block: Column, name: str, zone: Column) -> Column:
-    """struct(at, all_day) of a date-time property: UTC, in a named or the feed's zone, or a bare date (its end of day)."""
+    """struct(at, all_day) of a date-time property: UTC, in a named or the feed's zone (which stands in for an unknown one), or a bare date (its end of day)."""
     value = F.trim(_last(value_of(block, name)))
     params = F.regexp_extract(block, rf"(?im)^{name}(;[^:\n]*)?:", 1)
     named = F.regexp_extract(params, r'(?i);TZID="?([^;:"]+)', 1)
     place = F.when(named != "", named).otherwise(zone)
-    local = F.try_to_timestamp(F.regexp_replace(value, "Z$", ""), F.lit("yyyyMMdd'T'HHmmss"))
-    day = F.try_to_timestamp(value, F.lit("yyyyMMdd"))
+    local = lambda s, z: F.try_to_timestamp(F.concat(s, F.lit(" "), z), F.lit("yyyyMMdd'T'HHmmss VV"))
     all_day = params.rlike("(?i)VALUE=DATE(;|$)") | value.rlike(r"^\d{8}$")
     at = (
-        F.when(all_day, F.to_utc_timestamp(day + F.expr("INTERVAL '23:59' HOUR TO MINUTE"), zone))
-        .when(value.endswith("Z"), local)
-        .otherwise(F.to_utc_timestamp(local, place))
+        F.when(all_day, local(F.concat(value, F.lit("T235900")), zone))
+        .when(value.endswith("Z"), local(F.regexp_replace(value, "Z$", ""), F.lit("UTC")))
+        .otherwise(F.coalesce(local(value, place), local(value, zone)))
     )
     return F.struct(at.alias("at"), F.coalesce(all_day, F.lit(False)).alias("all_day"))
 
 
 def events(feeds: DataFrame, zone: str = "UTC") -> DataFrame:
-    """The events of (feed, body) rows that have a start.
+    """The events of (feed, body) rows that have a start, by start.
 
     The feed's time zone applies to the whole file. A recurrence rule is not expanded;
     it is told at the end of the description.
@@ -83,4 +82,4 @@ def events(feeds: DataFrame, zone: str = "UTC") -> DataFrame:
     return found.where("s.at IS NOT NULL").select(
         "feed", "label", "ordinal", "event_id", F.lit(None).cast("string").alias("series_id"), "summary", "location", "description", "status", "url",
         F.col("s.at").alias("start_at"), F.col("s.all_day").alias("all_day"), F.col("e.at").alias("end_at"), F.lit(False).alias("declined"),
-    )
+    ).orderBy("start_at", "feed", "ordinal")

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import codes
-from ..functions.text import blank_to_null
+from ..functions.text import absolute_url, blank_to_null
 from ..functions.times import from_parts, rfc3339
-from .planner import flags_of
+from .planner import first_of, flags_of
 
 COLUMNS = ["source", "source_id", "course", "title", "kind", "due_at", "status", "points", "url", "fetched_at"]
 #: What is still owed. Fixed values.
@@ -19,8 +19,7 @@ def planner_homework(rows: DataFrame, courses: DataFrame, base: str, fetched_at:
     """Planner rows flat; a course by its code, else by the row's context name, else by its number."""
     p, flags = F.col("plannable"), flags_of(F.col("submissions"))
     names = courses.select(F.col("id").alias("course_id"), F.coalesce(blank_to_null(F.col("course_code")), "name").alias("course_name"))
-    url = F.coalesce("html_url", F.lit(""))
-    url = F.when(url.startswith("/"), F.concat(F.lit(base.rstrip("/")), url)).otherwise(url)
+    url = absolute_url(F.col("html_url"), base)
     kind = F.coalesce("plannable_type", F.lit("assignment"))
     return rows.join(names, "course_id", "left").select(
         F.lit("canvas").alias("source"),
@@ -40,7 +39,7 @@ def classroom_homework(work: DataFrame, handed: DataFrame, courses: DataFrame, n
     """Course work ⟕ hand-ins, flat. handed: courseWorkId, state, late, assignedGrade; courses: id, name."""
     d, t = F.col("dueDate"), F.col("dueTime")
     due = from_parts(d["year"], d["month"], d["day"], t["hours"], t["minutes"])
-    subs = handed.select(F.col("courseWorkId").alias("_work"), F.col("state").alias("_state"), F.col("late").alias("_late"), F.col("assignedGrade").alias("_grade"))
+    subs = first_of(handed, ["courseWorkId"], [F.col("ordinal") if "ordinal" in handed.columns else F.lit(0), F.col("state")]).select(F.col("courseWorkId").alias("_work"), F.col("state").alias("_state"), F.col("late").alias("_late"), F.col("assignedGrade").alias("_grade"))
     names = courses.select(F.col("id").alias("courseId"), F.col("name").alias("course"))
     joined = work.join(subs, work["id"] == subs["_work"], "left").join(names, "courseId", "left")
     status = codes.legacy_coursework_status(F.col("_state"), F.coalesce("_late", F.lit(False)), F.col("_grade").isNotNull(), due, now)

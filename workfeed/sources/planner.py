@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import codes
-from ..functions.text import blank_to_null
+from ..functions.text import absolute_url, blank_to_null
 from ..functions.times import in_window, lenient_instant
 
 FLAGS = "excused BOOLEAN, graded BOOLEAN, submitted BOOLEAN, late BOOLEAN, missing BOOLEAN"
@@ -37,8 +37,8 @@ def display_name(name: Column, code: Column) -> Column:
     return F.coalesce(blank_to_null(name), code)
 
 
-def planner_stubs(rows: DataFrame) -> DataFrame:
-    """id, kind, course_id, title, url, due_at, assigned_at, points and state of the rows that are work."""
+def planner_stubs(rows: DataFrame, base: str = "") -> DataFrame:
+    """id, kind, course_id, title, url, due_at, assigned_at, points and state of the rows that are work; links are under base."""
     p = F.col("plannable")
     flags = flags_of(F.col("submissions"))
     return rows.where(F.col("plannable_id").isNotNull() & (F.col("plannable_id") != 0) & ~F.coalesce("plannable_type", F.lit("")).isin(*SKIPPED)).select(
@@ -46,7 +46,7 @@ def planner_stubs(rows: DataFrame) -> DataFrame:
         codes.planner_kind(F.col("plannable_type")).alias("kind"),
         "course_id",
         F.coalesce(blank_to_null(p["title"]), blank_to_null(p["name"])).alias("title"),
-        F.col("html_url").alias("url"),
+        F.coalesce(F.when(F.col("html_url") != "", absolute_url(F.col("html_url"), base)), web_url(base, F.col("plannable_type"), F.col("course_id"), F.col("plannable_id"))).alias("url"),
         F.coalesce(lenient_instant(p["due_at"]), lenient_instant(p["todo_date"]), lenient_instant(F.col("plannable_date"))).alias("due_at"),
         F.coalesce(lenient_instant(p["unlock_at"]), lenient_instant(p["created_at"])).alias("assigned_at"),
         p["points_possible"].alias("points"),
@@ -112,5 +112,38 @@ def first_of(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def with_course_names(rows: DataFrame, courses: DataFrame) -> DataFrame:
+    """rows ⟕ courses (id, name, course_code) on course_id: course is the display name, else the id."""
+    names = courses.select(F.col("id").alias("_c"), display_name(F.col("name"), F.col("course_code")).alias("_name"))
+    joined = rows.join(names, rows["course_id"] == names["_c"], "left")
+    return joined.select(*(rows[c] for c in rows.columns), F.coalesce("_name", F.col("course_id").cast("string")).alias("course"))
+
+
+def web_url(base: str, kind: Column, course_id: Column, native_id: Column) -> Column:
+    """The page of an object by its type code, for rows without a link."""
+    part = (
+        F.when(kind == "quiz", "/quizzes/").when(kind.isin("discussion_topic", "announcement"), "/discussion_topics/").when(kind == "wiki_page", "/pages/")
+        .when(kind.isin("assignment", "sub_assignment", "assessment_request"), "/assignments/")
+    )
+    course = F.concat(F.lit(base.rstrip("/") + "/courses/"), F.coalesce(course_id, F.lit(0)).cast("string"))
+    return F.coalesce(F.concat(course, part, native_id.cast("string")), course)
+
+
+def file_name(display: Column, name: Column, file_id: Column) -> Column:
+    """A file's display name, else its name, else one of its id."""
+    return F.coalesce(F.when(display != "", display), F.when(name != "", name), F.concat(F.lit("file-"), file_id.cast("string")))
+
+
+def file_version(updated: Column, modified: Column, size: Column, most_text: int, most_bytes: int) -> Column:
+    """What a file's extracted text is valid for; empty where there is no time stamp, so that it is never reused."""
+    u, m = F.coalesce(updated, F.lit("")), F.coalesce(modified, F.lit(""))
+    return F.when((u == "") & (m == ""), "").otherwise(F.concat_ws("|", u, m, F.coalesce(size, F.lit(0)).cast("string"), F.lit(str(most_text)), F.lit(str(most_bytes))))
+
+
+def wanted(rows: DataFrame, sources: tuple[str, ...] = ()) -> DataFrame:
+    """rows of the given sources; of all if none is given."""
+    return rows.where(F.col("source").isin(*sources)) if sources else rows
+
+
 def windowed(rows: DataFrame, low: Column | None, high: Column | None) -> DataFrame:
     return rows.where(in_window(F.col("due_at"), F.col("assigned_at"), low, high))

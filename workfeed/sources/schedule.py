@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import codes
-from ..functions.text import clip_bytes, slug, unfence
-from ..functions.times import at_time
+from ..functions.text import blank_to_null, clip_bytes, slug, unfence
+from ..functions.times import at_time, utc_text
 from ..schema import struct
 from .planner import first_of
 
@@ -59,20 +59,70 @@ def joined_text(description: Column, contents: Column) -> Column:
     return F.array_join(texts, "\n\n")
 
 
+def row_description(description: Column, document: Column, due: Column) -> Column:
+    """A row's own words, and which document and date they come from."""
+    own = F.concat(clip_bytes(blank_to_null(description), 2000, counted=False, trimmed=True), F.lit("\n\n"))
+    name = F.coalesce(F.when(document != "", document), F.lit("the course calendar"))
+    return F.concat(F.coalesce(own, F.lit("")), F.lit("From "), name, F.lit(", row dated "), utc_text(due, "EEE d MMM yyyy"), F.lit("."))
+
+
+def chunk_prompt(course: Column, name: Column, text: Column, part: Column, parts: Column, truncated: Column, today: Column) -> Column:
+    """What a part of a document is asked with."""
+    several = F.when(parts > 1, F.concat(F.lit("This is part "), (part + 1).cast("string"), F.lit(" of "), parts.cast("string"), F.lit(" of the document.\n")))
+    short = F.when(truncated, F.lit("The document was cut off at a size limit; parse what is here.\n"))
+    head = F.concat(F.lit("Course: "), F.coalesce(course, F.lit("")), F.lit("\nDocument: "), F.coalesce(name, F.lit("")), F.lit("\nToday: "), utc_text(today, "yyyy-MM-dd (EEEE)"), F.lit("\n"))
+    return F.concat(head, F.coalesce(several, F.lit("")), F.coalesce(short, F.lit("")), F.lit("\nCalendar document:\n---\n"), text, F.lit("\n---\n"))
+
+
+def pointing_at(items: DataFrame, configured: DataFrame) -> DataFrame:
+    """(id): items (id, urls) of which some URL contains a doc_id of configured.
+
+    A URL's substrings of the lengths that ids have meet the ids by equality; these
+    lengths are as few as the ids' formats.
+    """
+    ids = configured.select("doc_id").where("doc_id <> ''").distinct()
+    lengths = sorted(r[0] for r in ids.select(F.length("doc_id")).distinct().collect())
+    url = F.explode(F.array_distinct(F.filter("urls", lambda u: u.isNotNull()))).alias("u")
+
+    def pieces(n: int) -> Column:
+        last = F.length("u") - (n - 1)
+        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(F.col("u"), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    fits = [pieces(n) for n in lengths]
+    parts = F.array_distinct(F.flatten(F.array(*fits))) if fits else F.array().cast("array<string>")
+    return items.select("id", url).select("id", F.explode(parts).alias("doc_id")).join(ids, "doc_id", "left_semi").select("id").distinct()
+
+
 def expand(items: DataFrame, found: DataFrame, configured: DataFrame, least_bytes: int = 200) -> tuple[DataFrame, DataFrame]:
     """(kept, rows): schedule-like items replaced by the rows found in them.
 
-    items: id, kind, title, url, description, contents; found: id (of the item) and the
-    columns of its rows; configured: doc_id of documents that are read for themselves.
-    An item that points at such a document goes; one without rows, or too short to
-    hold any, stays.
+    items: id, kind, title, description, contents, urls (its own and its attachments');
+    found: id (of the item) and the columns of its rows; configured: doc_id of documents
+    that are read for themselves. An item long enough to hold rows, one of whose URLs
+    contains such an id, goes; one without rows, or too short to hold any, stays.
     """
+    outcomes = expansion(items, found, configured, least_bytes)
+    kept = outcomes.where("outcome NOT IN ('expanded', 'configured')").select("id")
+    expanded = outcomes.where("outcome = 'expanded'").select("id")
+    return items.join(kept, "id", "left_semi"), found.join(expanded, "id", "left_semi")
+
+
+def expansion(items: DataFrame, found: DataFrame, configured: DataFrame, least_bytes: int = 200) -> DataFrame:
+    """(id, outcome): other for items that are no schedule, else short, configured, expanded or failed. See expand()."""
     text = joined_text(F.col("description"), F.col("contents"))
-    like = looks_like_schedule(F.col("kind"), F.col("title")) & (F.octet_length(text) >= least_bytes)
-    doc = F.regexp_extract("url", "/d/([A-Za-z0-9_-]+)", 1)
-    tagged = items.withColumns({"_like": F.coalesce(like, F.lit(False)), "_doc": doc})
-    known = configured.select(F.col("doc_id").alias("_doc")).distinct()
-    ours = tagged.where(looks_like_schedule(F.col("kind"), F.col("title"))).join(known, "_doc", "left_semi").select("id")
-    left = tagged.join(ours, "id", "left_anti")
-    rows = found.join(left.where("_like").select("id"), "id", "left_semi")
-    return left.join(rows.select("id").distinct(), "id", "left_anti").drop("_like", "_doc"), rows
+    like = F.coalesce(looks_like_schedule(F.col("kind"), F.col("title")), F.lit(False))
+    tagged = items.select("id", "urls", like.alias("_like"), F.coalesce(F.octet_length(text) >= least_bytes, F.lit(False)).alias("_long"))
+    ours = pointing_at(tagged.where("_like AND _long"), configured).select("id", F.lit(True).alias("_ours"))
+    rows = found.select("id").distinct().withColumn("_rows", F.lit(True))
+    outcome = F.when(~F.col("_like"), "other").when(~F.col("_long"), "short").when(F.col("_ours"), "configured").when(F.col("_rows"), "expanded").otherwise("failed")
+    return tagged.join(ours, "id", "left").join(rows, "id", "left").select("id", outcome.alias("outcome"))
+
+
+def expansion_tally(outcomes: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row: found, expanded, rows, skipped and failed of expansion() and the rows of expand()."""
+    counts = outcomes.agg(
+        F.count_if(F.col("outcome") != "other").alias("found"), F.count_if(F.col("outcome") == "expanded").alias("expanded"),
+        F.count_if(F.col("outcome").isin("short", "configured")).alias("skipped"), F.count_if(F.col("outcome") == "failed").alias("failed"),
+    )
+    # Both sides are one row.
+    return counts.crossJoin(F.broadcast(rows.agg(F.count("*").alias("rows")))).select("found", "expanded", "rows", "skipped", "failed")

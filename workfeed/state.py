@@ -3,16 +3,32 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where there is none, a temporary one on a single machine, and an error on a cluster, whose executors would not see it."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="workfeed-")
+
+
+def new_folder(spark: SparkSession, stem: str) -> str:
+    """The path of a new folder in the shared one."""
+    return f"{shared_folder(spark)}/{stem}-{uuid.uuid4().hex}"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the folder that spark.checkpoint.dir names; one is set only where there is none."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="workfeed-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -38,8 +54,12 @@ def read_latest(spark: SparkSession, root: str, schema: StructType) -> DataFrame
     return spark.read.schema(schema).parquet(f"{root}/v={have[-1]}") if have else spark.createDataFrame([], schema)
 
 
-def write_next(df: DataFrame, root: str) -> int:
-    """Writes a new version beside the others, so that what is being read is never overwritten; readers see it once complete."""
-    n = (versions(df.sparkSession, root) or [0])[-1] + 1
+def write_next(df: DataFrame, root: str, keep: int = 3) -> int:
+    """Writes a new version beside the others, so that what is being read is never overwritten; readers see it once complete. The last `keep` versions stay."""
+    spark = df.sparkSession
+    n = (versions(spark, root) or [0])[-1] + 1
     df.write.mode("overwrite").parquet(f"{root}/v={n}")
+    for old in versions(spark, root)[:-keep]:
+        fs, path = _files(spark, f"{root}/v={old}")
+        fs.delete(path, True)
     return n

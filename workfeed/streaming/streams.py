@@ -28,8 +28,10 @@ def upsert_stream(rows: DataFrame, root: str, checkpoint_dir: str, keys: tuple[s
     return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start()
 
 
-def changed_only(rows: DataFrame, ttl: str | None = None) -> DataFrame:
-    """The rows of a stream (id, hash, ...) whose hash differs from the id's last one.
+def changed_only(rows: DataFrame, order: str, ttl: str | None = None) -> DataFrame:
+    """The rows of a stream (id, hash, ...) whose hash differs from the id's last one in the order of a column.
+
+    Rows of a micro-batch are put in order here; a later batch follows an earlier one.
 
     Each id's state is its last hash; with a ttl it is forgotten after that processing
     time without a row, and the id's next row counts as new.
@@ -42,12 +44,13 @@ def changed_only(rows: DataFrame, ttl: str | None = None) -> DataFrame:
             state.remove()
             return
         last = state.get[0] if state.exists else None
-        for batch in batches:
-            keep = []
-            for h in batch["hash"]:
-                keep.append(h != last)
-                last = h
-            yield batch[keep][columns]
+        # One id's rows in one micro-batch.
+        batch = pd.concat(list(batches)).sort_values(order, kind="stable")
+        keep = []
+        for h in batch["hash"]:
+            keep.append(h != last)
+            last = h
+        yield batch[keep][columns]
         state.update((last,))
         if wait_ms:
             state.setTimeoutDuration(wait_ms)
