@@ -200,3 +200,9 @@ def text_format(mime: Column, name: Column) -> Column:
     extension = F.lower(F.regexp_extract(F.coalesce(name, F.lit("")), r"\.([A-Za-z0-9]+)$", 1))
     general = F.when(m.startswith("text/") | m.endswith("+json") | m.endswith("+xml"), F.lit("text"))
     return F.coalesce(_looked_up(m, MIME_FORMATS), general, _looked_up(extension, EXTENSION_FORMATS))
+
+
+def listed(answer: Column, element: str, field: str = "entries") -> Column:
+    """A list answer as an array of element (a DDL type), whether it comes bare or under a field of an object; null for junk."""
+    wrapped = F.from_json(answer, f"{field} ARRAY<{element}>")[field]
+    return F.when(F.ltrim(answer).startswith("["), F.from_json(answer, f"ARRAY<{element}>")).otherwise(wrapped)

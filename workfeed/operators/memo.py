@@ -67,7 +67,7 @@ def next_answers(memo: DataFrame, fresh: DataFrame, now: Column, ttl: str) -> Da
 
 def reread_due(version: Column, known_version: Column, parsed_at: Column, interval_seconds: Column, now: Column) -> Column:
     """Whether a document must be read again: not while its version stands, nor within its interval."""
-    young = F.unix_micros(now) - F.unix_micros(parsed_at) < interval_seconds * 1_000_000
+    young = F.unix_micros(now) - F.unix_micros(parsed_at) < interval_seconds.cast("bigint") * 1_000_000
     return ~(F.coalesce(version == known_version, F.lit(False)) | F.coalesce(young, F.lit(False)))
 
 

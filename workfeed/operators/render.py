@@ -108,10 +108,10 @@ def context() -> Column:
 
 def inbox_context() -> Column:
     """context() with the date it was posted before the title, so that what the text calls tomorrow can be told."""
-    posted = F.concat(F.lit("\nPosted: "), utc_text(F.col("assigned_at"), "EEE MMM d yyyy HH:mm"), F.lit(" UTC\nTitle: "))
-    at = F.locate("\nTitle: ", context())
-    placed = F.concat(F.substring(context(), F.lit(1), at - 1), posted, F.substring(context(), at + F.lit(len("\nTitle: ")), F.length(context())))
-    return clip_bytes(F.when(F.col("assigned_at").isNull(), context()).when(at > 0, placed).otherwise(F.concat(F.substring(posted, 2, 10_000), context())), 32 * 1024)
+    posted = F.concat(F.lit("\nPosted: "), utc_text(F.col("assigned_at"), "EEE MMM d yyyy HH:mm"), F.lit(" UTC"))
+    placed = F.regexp_replace(context(), F.lit(r"(?s)^(.*?)\nTitle: "), F.concat(F.lit("$1"), F.coalesce(posted, F.lit("")), F.lit("\nTitle: ")))
+    # Bound to a name, so that the long text is made once and not wherever the clip looks at it.
+    return F.get(F.transform(F.array(placed), lambda s: clip_bytes(s, 32 * 1024)), F.lit(0))
 
 
 def rendered(items: DataFrame, owned: bool = True) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import landed, landed_oracle
 from .oracle import ORACLES
 from .queries import QUERIES, dedup_survivors
 
@@ -14,8 +15,8 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    return QUERIES | landed.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | landed_oracle.ORACLES

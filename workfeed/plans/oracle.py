@@ -13,7 +13,6 @@ _LINES = f"line AS ({b.for_duckdb(b.ATTACHMENTS)})"
 
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 _DOWN = "CASE WHEN state IN ('submitted', 'graded', 'excused') THEN 'done' WHEN state = 'in_progress' THEN 'in_progress' ELSE 'open' END"
-_LINE1 = "split_part(text, chr(10), 1)"
 
 
 def _norm(t: str) -> str:
@@ -174,7 +173,21 @@ _RIGHT = rf"regexp_replace({_LF}, '[ \t\v\f]+(\n|$)', '\1', 'g')"
 
 _TREE = "node AS (SELECT id, title, state, CASE WHEN id % 4 <> 0 THEN id - id % 4 END AS parent_id FROM listing)"
 
+#: Whole lines packed greedily into at most 2,048 bytes.
+_CHUNKS = r"""WITH RECURSIVE split AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+line AS (
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i, s FROM (
+    SELECT doc_id, i, l[i] || CASE WHEN i < len(l) THEN chr(10) ELSE '' END AS s FROM split, unnest(range(1, len(l) + 1)) AS t(i) WHERE strlen(text) > 2048) WHERE s <> ''),
+step AS (
+  SELECT doc_id, i, s, 0 AS part, strlen(s) AS size FROM line WHERE i = 1
+  UNION ALL SELECT n.doc_id, n.i, n.s, CASE WHEN p.size + strlen(n.s) > 2048 THEN p.part + 1 ELSE p.part END, CASE WHEN p.size + strlen(n.s) > 2048 THEN strlen(n.s) ELSE p.size + strlen(n.s) END
+  FROM step p JOIN line n ON n.doc_id = p.doc_id AND n.i = p.i + 1),
+chunk AS (
+  SELECT doc_id, part, string_agg(s, '' ORDER BY i) AS s FROM step GROUP BY doc_id, part
+  UNION ALL SELECT doc_id, 0, text FROM documents WHERE strlen(text) <= 2048)"""
+
 ORACLES: dict[str, str] = {
+    "doc_chunks": f"{_CHUNKS} SELECT doc_id, CAST(part AS INTEGER) AS part, CAST(strlen(s) AS BIGINT) AS n_bytes, md5(s) AS digest FROM chunk",
     "dedup_survivors": _survivors(),
     "unified_table": f"WITH {_ITEMS} SELECT id, source, kind, course, course_id, title, url, assigned_at, due_at, points, state, {_DOWN} AS downstream FROM items",
     "full_outer_merge": f"""WITH {_ITEMS}, {_FIRST}
@@ -228,9 +241,9 @@ FROM named QUALIFY row_number() OVER (PARTITION BY id ORDER BY ordinal) = 1""",
     "event_cap": f"""WITH {_EVENTS} SELECT feed, ordinal, start_at, CASE WHEN row_number() OVER (PARTITION BY feed ORDER BY start_at, ordinal) <= 50 THEN 'act' ELSE 'deferred' END AS act FROM feed_events""",
     "calendar_fields": f"WITH {_ITEMS}, {_ENTRIES} SELECT * EXCLUDE (ordinal) FROM entry",
     "ics_events": f"""WITH {_EVENTS} SELECT feed, ordinal AS uid, concat(summary, ', with a folded line') AS summary, 'Club' AS label, strftime(start_at, '%Y-%m-%d %H:%M:%S') AS start_at, strftime(end_at, '%Y-%m-%d %H:%M:%S') AS end_at FROM feed_events""",
-    "title_norm": f"SELECT doc_id, {_norm(_LINE1)} AS norm, trim(regexp_replace({_LINE1}, '\\s+', ' ', 'g')) AS line FROM documents",
-    "title_words": f"SELECT doc_id, unnest({_words(_LINE1)}) AS word FROM documents",
-    "slug_ids": rf"""WITH s AS (SELECT doc_id, regexp_replace(regexp_replace(lower({_LINE1}), '[^\p{{L}}\p{{Nd}}]+', '-', 'g'), '^-+|-+$', '', 'g') AS j FROM documents)
+    "title_norm": f"SELECT doc_id, md5({_norm('text')}) AS norm, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS line FROM documents",
+    "title_words": f"SELECT doc_id, unnest({_words('text')}) AS word FROM documents",
+    "slug_ids": rf"""WITH s AS (SELECT doc_id, regexp_replace(regexp_replace(lower(text), '[^\p{{L}}\p{{Nd}}]+', '-', 'g'), '^-+|-+$', '', 'g') AS j FROM documents)
 SELECT doc_id, coalesce(nullif(regexp_replace({_cut('j', 40)}, '^-+|-+$', '', 'g'), ''), 'row') AS slug FROM s""",
     "byte_clip": f"""WITH t AS (SELECT doc_id, text, left(text, 110) AS h FROM documents)
 SELECT doc_id, CASE WHEN strlen(text) <= 101 THEN text ELSE {_cut('h', 101)} END AS cut, CASE WHEN strlen(text) <= 101 THEN text ELSE {_cut('h', 98)} || '…' END AS counted,

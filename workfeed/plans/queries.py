@@ -181,17 +181,15 @@ def ics_events(spark, sf_dir):
 
 def title_norm(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
-    line = F.substring_index("text", "\n", 1)
-    return docs.select("doc_id", text.norm_title(line).alias("norm"), text.one_line(line).alias("line"))
+    return docs.select("doc_id", F.md5(text.norm_title(F.col("text"))).alias("norm"), F.md5(text.one_line(F.col("text"))).alias("line"))
 
 
 def title_words(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.explode(text.title_words(F.substring_index("text", "\n", 1))).alias("word"))
-    return docs
+    return _table(spark, sf_dir, "documents").select("doc_id", F.explode(text.title_words(F.col("text"))).alias("word"))
 
 
 def slug_ids(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", text.slug(F.substring_index("text", "\n", 1)).alias("slug"))
+    return _table(spark, sf_dir, "documents").select("doc_id", text.slug(F.col("text")).alias("slug"))
 
 
 def byte_clip(spark, sf_dir):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import codes
 from ..functions.text import absolute_url, blank_to_null
 from ..functions.times import in_window, lenient_instant
+from ..schema import WORK_ITEM
 
 FLAGS = "excused BOOLEAN, graded BOOLEAN, submitted BOOLEAN, late BOOLEAN, missing BOOLEAN"
 PLANNER = (
@@ -28,6 +29,11 @@ def read_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def read_items(spark: SparkSession, path: str) -> DataFrame:
+    """The unified table from its JSON export."""
+    return spark.read.schema(WORK_ITEM).option("multiLine", False).json(path)
+
+
 def flags_of(submissions: Column) -> Column:
     """The flags where the field is an object; false, null and other shapes have none."""
     return F.when(F.ltrim(submissions).startswith("{"), F.from_json(submissions, FLAGS))
@@ -145,5 +151,10 @@ def wanted(rows: DataFrame, sources: tuple[str, ...] = ()) -> DataFrame:
     return rows.where(F.col("source").isin(*sources)) if sources else rows
 
 
+def fetch_counts(rows: DataFrame) -> DataFrame:
+    """(source, kind, n, n_dated, n_files): what a fetch brought. rows: source, kind, due_at, n_files."""
+    return rows.groupBy("source", "kind").agg(F.count("*").alias("n"), F.count("due_at").alias("n_dated"), F.sum("n_files").cast("bigint").alias("n_files"))
+
+
 def windowed(rows: DataFrame, low: Column | None, high: Column | None) -> DataFrame:
     return rows.where(in_window(F.col("due_at"), F.col("assigned_at"), low, high))
