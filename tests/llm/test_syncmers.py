@@ -70,3 +70,22 @@ def test_one_row_repeated_rows_and_none(spark):
     clash = s.compare_edited(spark.createDataFrame([(1, "a" * 200_000, 5, True)], "doc_id long, text string, bucket int, marker boolean")).collect()
     assert [(r.doc_id, r.n_chars, r.near_next) for r in clash] == [(1, 200_000, 1.0)]
     assert s.fingerprints(spark.createDataFrame([(1, "x" * 100, 2)], "doc_id long, text string, hashes long")).columns == ["doc_id", "hashes", "positions"]
+
+
+def test_keys_of_any_kind_and_rows_of_one_key_or_none_over_several_buckets(spark):
+    rng = random.Random(3)
+    rows = [(None, f"text {i} " + "x" * rng.randint(0, 40)) for i in range(60)] + [("same", f"other {i}") for i in range(60)] + [("9", "z"), ("10", "y")]
+    rows += [rows[5]] * 2
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(5)
+    assert s.beside_next(df, "text", "doc_id").where("NOT marker").groupBy("bucket").count().count() > 8
+    import xxhash
+
+    order = sorted(((k is not None, k or "", xxhash.xxh64_intdigest(t.encode(), 42) - (1 << 64) * (xxhash.xxh64_intdigest(t.encode(), 42) >> 63), t) for k, t in rows))
+    want = []
+    for (_, key, _, text), (_, _, _, after) in zip(order, order[1:] + order[:1], strict=True):
+        half = len(text) // 2
+        want.append((key, hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()))
+    got = [(r.doc_id or "", r.edited_sha256) for r in s.compare_edited(df).collect()]
+    assert sorted(got) == sorted(want)
+    big = spark.createDataFrame([(2**60 + 1, "a"), (None, "b"), (2**60 + 2, "c")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0) for r in s.compare_edited(big).collect()) == [0, 2**60 + 1, 2**60 + 2]

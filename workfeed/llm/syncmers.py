@@ -130,47 +130,48 @@ def edited(text: str, following: str) -> str:
 
 
 def beside_next(documents: DataFrame, text: str, key: str) -> DataFrame:
-    """(bucket, key, body, marker): rows dealt so that each stands in a bucket with the next larger key.
+    """(bucket, marker, key, h, body): rows dealt so that each stands in a bucket with the next in order of key, the text's hash and the text.
 
-    Quantiles of the key, which are keys of the table, cut it into buckets; the rows
-    at a cut go to their own bucket and, as markers, to the end of the one before, and
-    the smallest key's rows to the end of the last. Texts are shuffled once, and only
-    the cuts pass through the driver.
+    Ranges of (key, hash), dealt without the texts, give the cuts, each of which is that
+    of some row; the rows at a cut go to their own bucket and, as markers, to the end of
+    the one before, and the first of all to the end of the last. So rows of one key, or
+    of none, are cut as well. Texts are shuffled once, and only the cuts pass through the
+    driver.
     """
-    docs = documents.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("body"))
+    docs = documents.select(F.col(key).alias("key"), F.col(text).cast("string").alias("body")).withColumn("h", F.xxhash64(F.coalesce("body", F.lit(""))))
     n = 4 * int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = docs.agg(F.percentile_approx("key", [i / n for i in range(n + 1)], 20 * n).alias("cuts"), F.count_if(F.col("key").isNull()).alias("nulls")).first()
-    cuts = sorted(set(found.cuts or [])) or [0]
-    starts = cuts[:-1] or cuts
-    # The last start that is not beyond the key, by halving steps.
-    edges, own_key = F.array(*map(F.lit, starts)), F.coalesce(F.col("key"), F.lit(cuts[0]))
+    ranged = docs.select("key", "h").repartitionByRange(n, F.col("key").asc_nulls_first(), "h")
+    # One row a range.
+    found = ranged.groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct("key", "h")).alias("cut")).collect()
+    kind = docs.schema["key"].dataType
+    starts = sorted(((r["cut"]["key"], r["cut"]["h"]) for r in found), key=lambda c: (c[0] is not None, c[0] if c[0] is not None else 0, c[1])) or [(None, 0)]
+    cut = lambda k, h: F.struct(F.lit(k).cast(kind).alias("key"), F.lit(h).cast("long").alias("h"))
+    # The last start that is not beyond the row, by halving steps.
+    edges, place = F.array(*(cut(k, h) for k, h in starts)), F.struct("key", "h")
     steps = F.array(*(F.lit(1 << i) for i in range(len(starts).bit_length() - 1, -1, -1)))
-    own = F.aggregate(steps, F.lit(0), lambda at, w: F.when((at + w < len(starts)) & (F.get(edges, at + w) <= own_key), at + w).otherwise(at))
-    first = F.col("key").isNull() if found.nulls else F.col("key") == cuts[0]
-    before = F.when(first, F.lit(len(starts) - 1)).when(F.col("key").isin(starts[1:]), F.col("own") - 1)
+    own = F.aggregate(steps, F.lit(0), lambda at, w: F.when((at + w < len(starts)) & (F.get(edges, at + w) <= place), at + w).otherwise(at))
+    dealt = docs.withColumn("own", own)
+    before = F.when(F.get(edges, F.col("own")).eqNullSafe(place), F.when(F.col("own") == 0, F.lit(len(starts) - 1)).otherwise(F.col("own") - 1))
     stay = F.struct(F.col("own").alias("bucket"), F.lit(False).alias("marker"))
     mark = F.struct(F.col("before").alias("bucket"), F.lit(True).alias("marker"))
-    dealt = docs.withColumn("own", own).withColumn("before", before)
-    return dealt.select(
-        F.explode(F.when(F.col("before").isNull(), F.array(stay)).otherwise(F.array(stay, mark))).alias("to"),
-        "key",
-        "body",
-    ).select("to.bucket", "to.marker", "key", "body")
+    both = F.explode(F.when(F.col("before").isNull(), F.array(stay)).otherwise(F.array(stay, mark))).alias("to")
+    return dealt.withColumn("before", before).select(both, "key", "h", "body").select("to.bucket", "to.marker", "key", "h", "body")
 
 
 def compare_edited(documents: DataFrame, text: str = "text", key: str = "doc_id", k: int = 24, s: int = 4) -> DataFrame:
     """Every document's fingerprint, as a string, beside that of its edited text and of the next document.
 
-    The next document is the one with the next larger key (then text), after the last
-    the first; a table of one row is next to itself. The edited text has the last half
-    of its code points replaced by the start of the next. The key must be numeric;
-    null keys come first and repeated ones in order of their text, one row each; a
-    null text is empty. An empty table gives an empty result; other columns are ignored.
+    The next document is the one with the next larger key, after the last the first; a
+    table of one row is next to itself. The edited text has the last half of its code
+    points replaced by the start of the next. Keys are of any type that has an order and
+    goes to a string and back; null keys come first, and rows of one key are in order of
+    their text's XXH64, then their text, one row each; a null text is empty. An empty
+    table gives an empty result; other columns are ignored.
     """
     dealt = beside_next(documents, text, key)
     shape = T.StructType(
         [
-            T.StructField(key, T.LongType()),
+            T.StructField(key, T.StringType()),
             T.StructField("n_chars", T.LongType()),
             T.StructField("edited_sha256", T.StringType()),
             T.StructField("fingerprint", T.StringType()),
@@ -195,8 +196,11 @@ def compare_edited(documents: DataFrame, text: str = "text", key: str = "doc_id"
                     other = anchors(changed, k, s)[0]
                     digest = hashlib.sha256(changed.encode("utf-8", "replace")).hexdigest()
                     out.append((key_, len(body_), digest, as_text(hashes_), as_text(other), likeness(hashes_, other), likeness(hashes_, hashes)))
-                held = None if marker else (bucket, None if pd.isna(own) else int(own), body, hashes)
-            yield pd.DataFrame(out, columns=shape.names).astype({key: "Int64"})
+                held = None if marker else (bucket, own, body, hashes)
+            yield pd.DataFrame(out, columns=shape.names)
 
     parts = max(1, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "marker", "key", "body").mapInPandas(run, shape)
+    lined = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "marker", F.col("key").asc_nulls_first(), "h", "body")
+    # Keys pass through pandas as strings, as whole numbers beside nulls would become floats there.
+    found = lined.select("bucket", "marker", F.col("key").cast("string").alias("key"), "body").mapInPandas(run, shape)
+    return found.withColumn(key, F.col(key).cast(documents.schema[key].dataType))
