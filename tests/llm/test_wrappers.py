@@ -121,3 +121,11 @@ def test_very_deep_pages_are_read_whole_and_in_order():
 def test_an_article_keeps_its_own_header_captions_and_formulas():
     page = "<body><header>Top</header><article><header><h1>Title</h1></header><figure><figcaption>Cap</figcaption></figure><p>See <math>x</math></p><footer>f</footer></article></body>"
     assert w.main_text(page) == "Title\nCap\nSee x"
+
+
+def test_words_of_asides_and_of_headings():
+    page = (
+        "<body><div class=site-header>Site</div><article><div class=header><h1>Title</h1></div><p>One</p><div class=ad_slot>Buy</div><p class=notice>We use cookies</p><p>Two</p>"
+        "<fieldset>f</fieldset><div class=reader-comments><p>Mine</p></div><div class=newsletter-signup>Join</div></article><div class=main-menu>Menu</div></body>"
+    )
+    assert w.main_text(page) == "Title\nOne\nTwo"

@@ -60,7 +60,7 @@ INLINE = set(
 #: An opening tag ends an open element of these first.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: What never holds main text; a header does where it is that of the main element.
-ASIDE = set("head header nav aside footer form button select option input menu dialog svg canvas object audio video".split())
+ASIDE = set("head header nav aside footer form fieldset button select option input menu dialog svg canvas object audio video".split())
 COMMENT_WORDS = set("comment comments commentlist disqus replies respond reply".split())
 ASIDE_WORDS = COMMENT_WORDS | set(
     "ad ads advert adverts advertisement advertising sponsored sponsor promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs "
@@ -68,9 +68,13 @@ ASIDE_WORDS = COMMENT_WORDS | set(
     "related recommended pagination pager widget toolbar skip".split()
 )
 #: Their usual compounds; "has-sidebar" or "comments-open" say what a page has and not what an element is.
-ENDINGS, BEGINNINGS = "left right list box block container wrapper area bar buttons links widget posts form".split(), "site left right top bottom social cookie".split()
-COMMENT_WORDS |= {f"{w}-{x}" for w in COMMENT_WORDS for x in ENDINGS}
+ENDINGS = "left right list box block container wrapper wrap inner area bar buttons links widget posts articles form section thread panel slot unit item items body message signup".split()
+BEGINNINGS = "site left right top bottom social cookie reader user page main global inline primary secondary".split()
+COMMENT_WORDS |= {f"{w}-{x}" for w in COMMENT_WORDS for x in ENDINGS} | {f"{x}-{w}" for w in COMMENT_WORDS for x in BEGINNINGS}
 ASIDE_WORDS |= {f"{w}-{x}" for w in ASIDE_WORDS for x in ENDINGS} | {f"{x}-{w}" for w in ASIDE_WORDS for x in BEGINNINGS}
+#: Headings where they stand in a main element; "page-header" is that of an article in many pages.
+HEADER_WORDS = {w for w in ASIDE_WORDS if {"header", "masthead"} & set(w.split("-"))}
+ASIDE_WORDS -= {"page-header", "main-header", "inline-header", "primary-header"}
 #: Elements whose texts belong to an article even if every page has them.
 CONTENT = set("p h1 h2 h3 h4 h5 h6 li dt dd td th caption figcaption blockquote pre figure".split())
 #: Elements of a text's own structure: the way down to the main element ends before them.
@@ -111,7 +115,8 @@ def by_word(key: str, inside: bool, words: set[str] = ASIDE_WORDS) -> bool:
     tag, *own = key.split(".")
     if tag in WHOLE and not (inside and tag == "article"):
         return False
-    return any(w.replace("_", "-") in words for w in own)
+    named = {w.replace("_", "-") for w in own} & words
+    return bool(named - HEADER_WORDS if inside else named)
 
 
 def nested(html: str | None) -> list:
@@ -374,10 +379,15 @@ def expression(item: dict, occurrences: int = 1) -> str:
 class _Masses:
     """For every item of a wrapper, by identity: the characters of text that varies and is no link, and whether a main element has some."""
 
-    def __init__(self, wrapper: dict, words: set[str], varying: bool = True):
+    def __init__(self, wrapper: dict, words: set[str], varying: bool = True, inside: bool | None = None):
+        """With inside, the wrapper is that of an element which is no aside itself and stands, or not, in a main element."""
         self.words, self.varying = words, varying
         self.held: dict[int, tuple[int, bool]] = {}
-        self.total, self.main = self._add(wrapper, False, False)
+        if inside is None:
+            self.total, self.main = self._add(wrapper, False, False)
+        else:
+            below = [self._add(c, inside, False) for c in wrapper["c"]]
+            self.total, self.main = sum(m for m, _ in below), any(b for _, b in below)
 
     def _add(self, item: dict, inside: bool, linked: bool) -> tuple[int, bool]:
         k = item["k"]
@@ -410,15 +420,15 @@ def decided(wrapper: dict) -> dict:
 
     Each step of the way is {items: the keys of a level, at: place, in: place in a group}, or {key} in a level without order.
     """
-    masses, words = _Masses(wrapper, ASIDE_WORDS), True
-    # What holds a main element, or twice as much text as all the rest, is no aside for a word.
+    masses = _Masses(wrapper, ASIDE_WORDS)
+    # What holds the only main element, or without any twice as much text as all the rest, is no aside for a word.
     freed = _Masses(wrapper, COMMENT_WORDS)
-    if (freed.main and not masses.main) or freed.total > 3 * masses.total:
-        masses, words = freed, False
+    if not masses.main and (freed.main or freed.total > 3 * masses.total):
+        masses = freed
     varying = masses.total > 0
     if not varying:
         # One page over and over: nothing in it is the template's.
-        masses, words = _Masses(wrapper, ASIDE_WORDS, False), True
+        masses = _Masses(wrapper, ASIDE_WORDS, False)
     way: list[dict] = []
     node, inside = wrapper, False
     while masses.of(node) > 0 and tag_of(node["k"]) != "article":
@@ -434,6 +444,8 @@ def decided(wrapper: dict) -> dict:
             break
         way.append({"key": child["k"]} if node["x"] else {"items": [_skeleton(x) for x in node["c"]], "at": at, "in": j})
         node, inside = child, inside or is_main(child["k"])
+    # Inside, words hold unless they would take most of the text.
+    words = 3 * _Masses(node, ASIDE_WORDS, varying, inside).total >= masses.of(node)
     fixed: list = []
 
     def constants(item: dict, path: list[str]) -> None:
