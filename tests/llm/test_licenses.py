@@ -6,7 +6,7 @@ from workfeed.llm import licenses as lic
 
 def cosine(text, template):
     weight, other = lic.idf(lic.TEMPLATES)
-    v = {w: n * weight.get(w, other) for w, n in Counter(lic.words(text)).items()}
+    v = {w: (1 + math.log(n)) * weight.get(w, other) for w, n in Counter(lic.words(text)).items()}
     norm = math.sqrt(sum(x * x for x in v.values()))
     return sum(x * lic.vectors(lic.TEMPLATES)[template].get(w, 0) for w, x in v.items()) / norm if norm else 0.0
 

@@ -4,10 +4,11 @@ import random
 
 import corpus_pipeline
 import pytest
-from workfeed.llm import linededup, pieces, simhash, toxicity
+from workfeed.llm import linededup, pieces, toxicity
 
 from .test_components_simhash import brute_components
 from .test_linededup import brute as brute_lines
+from .test_nearcopies import alike, edited, grams
 
 sentencepiece = pytest.importorskip("sentencepiece")
 
@@ -18,7 +19,7 @@ def tables(rng):
     passage, item = sentence(60), sentence(14)
     docs = []
     for i in range(120):
-        lines = [sentence(rng.randint(3, 30)) + "." for _ in range(rng.randint(1, 5))]
+        lines = [sentence(rng.randint(3, 30)) + "." for _ in range(rng.randint(1, 5))] + ([sentence(90)] if i in (23, 24, 25) else [])
         if i % 10 == 3:
             lines.insert(1, passage)
         if i % 11 == 5:
@@ -26,6 +27,8 @@ def tables(rng):
         if i % 13 == 7:
             lines[-1] += f" {item.upper().replace(' ', ', ')}!"
         docs.append([i, "\n".join(lines)])
+    for i, n in ((63, 2), (64, 1), (65, 12)):
+        docs[i][1] = edited(rng, docs[i - 40][1].replace("\n", " ").split(), n)
     docs[60][1] = docs[20][1]
     docs[61][1] = docs[21][1] + " "
     docs[62][1] = docs[22][1].upper()
@@ -63,8 +66,8 @@ def test_run_equals_the_plain_version(spark, tmp_path):
             cut.append((i, "\n".join(left)))
     assert sum(map(len, gone.values())) >= 8
 
-    prints = {i: simhash.fingerprint(t) & (2**64 - 1) for i, t in cut}
-    group = brute_components(sorted(prints), lambda a, b: bin(prints[a] ^ prints[b]).count("1") <= 2)
+    sets = {i: grams(t) for i, t in cut}
+    group = brute_components(sorted(sets), lambda a, b: alike(sets[a], sets[b]))
     single = [(i, t) for i, t in cut if group[i] == i]
     assert len(cut) - len(single) >= 3
 
@@ -84,3 +87,16 @@ def test_empty_documents_go_through(spark, tmp_path):
     for name, ddl in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], ddl).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_keep_columns_whose_names_they_use_themselves(spark):
+    more = {"n_lines": 1, "n_removed": 2, "decoded": "d", "kept": 3, "node": 4, "fingerprint": 5, "score": 0.25, "offending": "o", "spans": "s", "ranges": 6, "item_id": 7}
+    rows = [(i, f"text {i} has words of its own in a line\nand the same line of words as others", "en", "s", 9, *more.values()) for i in range(6)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", "n_chars", *more])
+    cut = corpus_pipeline.dedup_lines(spark, docs, "")
+    assert cut.columns == docs.columns and {tuple(r)[5:] for r in cut.collect()} == {tuple(more.values())}
+    near = corpus_pipeline.drop_near_duplicates(spark, cut, "")
+    assert near.columns == docs.columns and near.count() == 6
+    coded = corpus_pipeline.encode_pieces(spark, near.withColumnRenamed("item_id", "ids"), "")
+    assert coded.columns == [c for c in near.columns if c != "item_id"] + ["ids", "n_tokens", "round_trip"]
+    assert {(r.decoded, r.round_trip) for r in coded.collect()} == {("d", True)}
