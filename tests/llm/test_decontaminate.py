@@ -73,6 +73,19 @@ def test_against_all_windows():
             assert (n, {w for s in spans for w in range(s[1], s[2] + 1)}, {s[0] for s in spans}) == (words, hit, ids)
 
 
+def test_openings_that_many_items_share():
+    rng = random.Random(2)
+    opening = "which of the following words stands here as the first of them".split()
+    items = [(str(i), " ".join([*opening[: rng.randint(9, 12)], *(rng.choice("abcdefgh") for _ in range(rng.randint(0, 12)))])) for i in range(200)]
+    items.append(("short", " ".join(opening[:6])))
+    found = d.Items(items, 10)
+    for _ in range(30):
+        text = " ".join(["x", *opening[rng.randint(0, 2) :], *items[rng.randrange(200)][1].split()[rng.randint(0, 4) :], "y", *opening])
+        n, spans = d.scan(text, found)
+        words, hit, ids = plain(text, items, 10)
+        assert (n, {w for s in spans for w in range(s[1], s[2] + 1)}, {s[0] for s in spans}) == (words, hit, ids)
+
+
 def test_null_item_ids_repeated_rows_and_long_texts(spark):
     docs = spark.createDataFrame([(1, ITEM), (1, ITEM), (2, "word " * 200_000 + ITEM)], "doc_id long, text string")
     items = spark.createDataFrame([(None, ITEM), (None, ITEM), (3, ITEM)], "item_id long, text string")

@@ -58,6 +58,9 @@ def words_of(text: str | None) -> list[bytes]:
 class Items:
     """Items indexed for matching: (item_id, text) pairs of which equal word sequences are one."""
 
+    #: Places of a seed beyond which it is replaced.
+    SHARED = 64
+
     def __init__(self, items: list[tuple[str | None, str]], window: int):
         import ahocorasick
 
@@ -82,6 +85,13 @@ class Items:
             else:
                 for i in range(0, len(words) - size + 1, window - size + 1):
                     seeds.setdefault(tuple(words[i : i + size]), []).append((at, i))
+        # A seed that many items share, such as a usual opening, gives way to the windows that hold it.
+        for key in [k for k, places in seeds.items() if len(k) == size < window and len(places) > self.SHARED]:
+            for at, i in seeds.pop(key):
+                own = self.words[at].tolist()
+                whole = len(own) < window
+                for first in [0] if whole else range(max(0, i - window + size), min(i, len(own) - window) + 1):
+                    seeds.setdefault(tuple(own[first : first + window]), []).append((at, first))
         self.automaton = None
         if seeds:
             self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
