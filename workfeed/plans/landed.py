@@ -167,6 +167,22 @@ def feed_counts(spark, sf_dir):
     return planner.fetch_counts(first.unionByName(second))
 
 
+def calendar_feed(spark, sf_dir):
+    """Landed pages of a calendar's listing, timed and all-day, as occurrences."""
+    e = b.bound(spark, sf_dir, b.EVENTS)
+    n = F.col("ordinal")
+    when = lambda c: F.when(n % 7 == 0, F.struct(F.lit(None).cast("string").alias("dateTime"), F.date_format(c, "yyyy-MM-dd").alias("date"))).otherwise(F.struct(_z(c).alias("dateTime"), F.lit(None).cast("string").alias("date")))
+    person = lambda own, answer: F.struct(own.alias("self"), answer.alias("responseStatus"))
+    fields = F.struct(
+        "feed", "label", n.alias("ordinal"), F.col("event_id").alias("id"), F.col("series_id").alias("recurringEventId"), "summary", "status", F.col("url").alias("htmlLink"), when(F.col("start_at")).alias("start"),
+        F.when(F.col("end_at").isNotNull(), when(F.col("end_at"))).alias("end"), F.array(person(F.lit(False), F.lit("declined")), person(F.lit(True), F.when(F.col("declined"), "declined").otherwise("accepted"))).alias("attendees"),
+    )
+    path = _landed(spark, e.select("ordinal", "feed", F.to_json(fields).alias("json")), "ordinal", ["ordinal"])
+    rows = calendar.listed_events(planner.read_rows(spark, path, calendar.LISTED))
+    low, high = (F.lit(t).cast("timestamp") for t in ("2024-01-03T00:00:00Z", "2024-01-25T00:00:00Z"))
+    return calendar.occurrences(rows, low, high).select("id", "title", "course", times.rfc3339(F.col("due_at")).alias("due_at"), times.rfc3339(F.col("ends_at")).alias("ends_at"), "url")
+
+
 # -- documents -------------------------------------------------------------------------------
 
 
@@ -373,7 +389,7 @@ def chosen_sources(spark, sf_dir):
 
 
 NAMES = [
-    "planner_feed", "listing_feed", "classroom_feed", "legacy_feed", "feed_counts", "whole_documents", "json_export", "schedule_texts", "instants", "references", "plain_bodies", "list_answers",
+    "planner_feed", "listing_feed", "classroom_feed", "legacy_feed", "feed_counts", "calendar_feed", "whole_documents", "json_export", "schedule_texts", "instants", "references", "plain_bodies", "list_answers",
     "inbox_texts", "event_texts", "state_after", "owned_elsewhere", "content_hashes", "handed_notes", "calendar_blind", "calendar_needed", "inbox_budget", "run_counters", "expansion_tally", "memo_counts",
     "answer_outcomes", "answer_tally", "answers_kept", "chosen_sources",
 ]

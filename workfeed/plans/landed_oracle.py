@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..operators.reconcile import COUNTERS
 from . import bindings as b
-from .oracle import _ACTIONS, _ATTACHED, _CHUNKS, _DOWN, _ENTRIES, _EVENTS, _ITEMS, _KIND, _LINES, _LISTING, _MEMO, _STATE, _cut, _pick, _rfc, _short, _when
+from .oracle import _ACTIONS, _ATTACHED, _CHUNKS, _DOWN, _ENTRIES, _EVENTS, _ITEMS, _KIND, _LINES, _LISTING, _MEMO, _PLACEHOLDER, _STATE, _cut, _pick, _rfc, _short, _when
 
 BASE = "https://lms.example"
 _CODE = _pick("'assignment', 'sub_assignment', 'assessment_request', 'quiz', 'discussion_topic', 'wiki_page', 'announcement', 'planner_note', 'other_thing'", "ordinal", 9)
@@ -113,6 +113,17 @@ UNION ALL SELECT 'classroom', concat(course_id, ':', ordinal), concat('C-', cour
   SELECT 'canvas' AS source, kind, due, 0 AS files FROM stub
   UNION ALL SELECT 'classroom', {_pick("'assignment', 'question', 'question', 'other'", "m", 4)}, due, 1 FROM work WHERE kind NOT IN ('material', 'announcement') AND published = 'PUBLISHED')
 SELECT source, kind, count(*) AS n, count(due) AS n_dated, CAST(sum(files) AS BIGINT) AS n_files FROM rows_ GROUP BY source, kind""",
+    "calendar_feed": f"""WITH {_EVENTS}, e AS (
+  SELECT * REPLACE (CASE WHEN ordinal % 7 = 0 THEN date_trunc('day', start_at) + INTERVAL '1439' MINUTE ELSE date_trunc('second', start_at) END AS start_at,
+                    CASE WHEN ordinal % 7 = 0 THEN date_trunc('day', end_at) + INTERVAL '1439' MINUTE ELSE date_trunc('second', end_at) END AS end_at) FROM feed_events),
+kept AS (
+  SELECT *, CASE WHEN series_id IS NOT NULL THEN series_id || ':' || strftime(start_at, '%Y%m%d') WHEN event_id IS NOT NULL THEN event_id
+              ELSE lower(regexp_replace(trim(summary), '\\s+', '-', 'g')) || ':' || strftime(start_at, '%Y%m%d') END AS key
+  FROM e WHERE status <> 'cancelled' AND NOT declined AND start_at BETWEEN TIMESTAMP '2024-01-03 00:00:00' AND TIMESTAMP '2024-01-25 00:00:00'),
+named AS (SELECT *, concat('gcal:', split_part(feed, '@', 1), ':', regexp_replace(regexp_replace(key, '[^A-Za-z0-9:_@.-]', '-', 'g'), '^-+|-+$', '', 'g')) AS id FROM kept)
+SELECT id, CASE WHEN lower(trim(summary)) IN ({_PLACEHOLDER}) THEN coalesce(label, CASE WHEN trim(summary) = '' THEN '(untitled event)' ELSE trim(summary) END) ELSE trim(summary) END AS title,
+       label AS course, {_rfc('start_at')} AS due_at, CASE WHEN end_at > start_at THEN {_rfc('end_at')} END AS ends_at, url
+FROM named QUALIFY row_number() OVER (PARTITION BY id ORDER BY ordinal) = 1""",
     "whole_documents": f"""SELECT concat('gdoc:', doc_id, ':1998-06-01-read-on') AS id, 'quiz' AS kind, 'Read on' AS title, '1998-06-01T23:59:00Z' AS due_at, CAST(NULL AS VARCHAR) AS said FROM documents WHERE doc_id % 3 = 0
 UNION ALL SELECT concat('gdoc:', doc_id), 'material', CASE WHEN doc_id % 2 = 0 THEN concat('Doc ', doc_id) ELSE 'Course calendar' END, NULL,
   md5('Course calendar document, not broken into rows.' || chr(10) || chr(10) || CASE WHEN strlen(trim(text)) <= 6000 THEN trim(text) ELSE trim({_cut('left(trim(text), 6000)', 6000)}) || '…' END) FROM documents WHERE doc_id % 3 <> 0""",

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, clip_bytes, one_line
-from ..functions.times import utc_text
+from ..functions.times import at_time, strict_instant, utc_text
 
 #: What a calendar published as free/busy calls its events. Fixed values.
 PLACEHOLDERS = ("", "busy", "free", "private", "unavailable", "blocked", "(no title)", "untitled")
@@ -23,8 +23,31 @@ def id_part(key: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(key, "[^A-Za-z0-9:_@.-]", "-"), "^-+|-+$", "")
 
 
+TIME = "STRUCT<dateTime: STRING, date: STRING>"
+#: Events as a calendar's listing has them, with the feed they are from.
+LISTED = (
+    "feed STRING, label STRING, ordinal BIGINT, id STRING, recurringEventId STRING, summary STRING, location STRING, description STRING, status STRING, htmlLink STRING, "
+    f"start {TIME}, end {TIME}, attendees ARRAY<STRUCT<self: BOOLEAN, responseStatus: STRING>>"
+)
+
+
+def event_time(t: Column, zone: str = "UTC") -> Column:
+    """An instant, or the end of an all-day date in the zone; null where neither can be read."""
+    return F.coalesce(strict_instant(t["dateTime"]), at_time(F.try_to_timestamp(t["date"], F.lit("yyyy-MM-dd")).cast("date"), F.lit(""), zone))
+
+
+def listed_events(rows: DataFrame, zone: str = "UTC") -> DataFrame:
+    """Rows of LISTED as the events that occurrences() takes; declined where the owner's own answer is so."""
+    own = F.exists("attendees", lambda a: F.coalesce(a["self"], F.lit(False)) & F.coalesce(a["responseStatus"] == "declined", F.lit(False)))
+    all_day = F.coalesce(F.col("start.dateTime"), F.lit("")) == ""
+    return rows.select(
+        "feed", "label", "ordinal", F.col("id").alias("event_id"), F.col("recurringEventId").alias("series_id"), "summary", "location", "description", "status", F.coalesce(own, F.lit(False)).alias("declined"),
+        event_time(F.col("start"), zone).alias("start_at"), event_time(F.col("end"), zone).alias("end_at"), all_day.alias("all_day"), F.col("htmlLink").alias("url"),
+    )
+
+
 def occurrence_key(series: Column, event_id: Column, summary: Column, start: Column) -> Column:
-    day = F.date_format(start, "yyyyMMdd")
+    day = utc_text(start, "yyyyMMdd")
     name = F.lower(F.regexp_replace(F.trim(F.coalesce(summary, F.lit(""))), r"\s+", "-"))
     return F.when(F.coalesce(series, F.lit("")) != "", F.concat(series, F.lit(":"), day)).when(F.coalesce(event_id, F.lit("")) != "", event_id).otherwise(F.concat(name, F.lit(":"), day))
 
