@@ -92,7 +92,7 @@ def _places(min_words: int, digests: bool):
     return run
 
 
-def repeated_lines(documents: DataFrame, text: str = "text", key: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_lines(documents: DataFrame, text: str = "text", key: str = "doc_id", min_words: int = MIN_WORDS, groups: DataFrame | None = None) -> DataFrame:
     """(key, tag, first, last): line ranges, from 0 and inclusive, that repeat an earlier run.
 
     tag is the XXH64 of the row's text (a null one as empty), so rows that share a key
@@ -101,6 +101,11 @@ def repeated_lines(documents: DataFrame, text: str = "text", key: str = "doc_id"
     A null or empty text has no runs. Words are cut at white space. A run inside one
     document that repeats an earlier one of it is reported as well, but for the lines
     that both share.
+
+    groups (node, component) tells which texts, as tags, are near copies. A run whose
+    earliest place is in a near copy of its own text, or in an equal one, is then not
+    reported: as a whole such a document is for near-duplicate detection to judge, which
+    would not know it any more by the lines that are left.
     """
     docs = documents.select(F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("tag"), F.col(text).cast("string").alias("body"))
     own = [T.StructField("key", docs.schema["key"].dataType), T.StructField("tag", T.LongType()), T.StructField("mark", T.LongType())]
@@ -113,8 +118,16 @@ def repeated_lines(documents: DataFrame, text: str = "text", key: str = "doc_id"
     met = checkpoint(reach.join(shared, "mark").drop("mark"))
     order = F.struct("key", "tag", "first", "last")
     runs = checkpoint(met.groupBy("digest").agg(F.min(order).alias("earliest"), F.max(order).alias("latest")).where("earliest <> latest").select("digest", "earliest"))
-    later = met.join(runs, "digest").where(order > F.col("earliest"))
     same = F.col("key").eqNullSafe(F.col("earliest.key")) & (F.col("tag") == F.col("earliest.tag"))
+    if groups is None:
+        later = met.join(runs, "digest").where(order > F.col("earliest"))
+    else:
+        group = checkpoint(groups.select(F.col("node").alias("_node"), F.col("component").alias("_group")))
+        runs = runs.join(group, F.col("earliest.tag") == F.col("_node"), "left").select("digest", "earliest", F.col("_group").alias("theirs"))
+        later = met.join(checkpoint(runs), "digest").where(order > F.col("earliest"))
+        later = later.join(group, F.col("tag") == F.col("_node"), "left")
+        copies = (F.col("tag") == F.col("earliest.tag")) | F.coalesce(F.col("_group") == F.col("theirs"), F.lit(False))
+        later = later.where(same | ~copies)
     first = F.when(same, F.greatest("first", F.col("earliest.last") + 1)).otherwise(F.col("first"))
     return later.select(F.col("key").alias(key), "tag", first.alias("first"), "last").distinct()
 
@@ -135,17 +148,23 @@ def _cut(text: str, found: str, counts: tuple[str, str]):
 
 
 def dedup_lines(
-    documents: DataFrame, text: str = "text", key: str = "doc_id", min_words: int = MIN_WORDS, n_lines: str = "n_lines", n_removed: str = "n_removed"
+    documents: DataFrame,
+    text: str = "text",
+    key: str = "doc_id",
+    min_words: int = MIN_WORDS,
+    n_lines: str = "n_lines",
+    n_removed: str = "n_removed",
+    groups: DataFrame | None = None,
 ) -> DataFrame:
     """documents with repeated runs cut out of text, plus the numbers of its lines and of those removed.
 
     All columns and rows are kept; columns with the names of the two numbers are replaced.
     Where nothing is deleted the text is unchanged, a null text stays null and has 0
     lines; an empty text has one empty line. A text may become empty. See repeated_lines()
-    for ties and repeated rows; an empty table gives an empty result.
+    for groups, ties and repeated rows; an empty table gives an empty result.
     """
     docs = documents.drop(n_lines, n_removed)
-    ranges = repeated_lines(docs, text, key, min_words)
+    ranges = repeated_lines(docs, text, key, min_words, groups)
     own, tag, found = (free_name(docs, n) for n in ("own_key", "own_tag", "ranges"))
     per = ranges.groupBy(F.col(key).alias(own), F.col("tag").alias(tag)).agg(F.collect_list(F.struct("first", "last")).alias(found))
     joined = docs.join(per, docs[key].eqNullSafe(per[own]) & (F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))) == per[tag]), "left").drop(own, tag)
