@@ -4,8 +4,9 @@ A file's units are its lines and its blocks (between blank lines), so that a not
 header is found as a line of its own or over several lines, and for a licence file
 (LICENSE, COPYING and the like) its whole text as well. Units and templates are vectors
 over words (A-Z lower-cased, cut at all but ASCII letters and digits), a word's
-weight being its count times ln((1 + n) / (1 + d)) + 1 over the n templates, d of
-which have it; a word of no template has d = 0.
+weight being 1 + ln of its count, times ln((1 + n) / (1 + d)) over the n templates, d
+of which have it; a word of no template has d = 0. So a text's many small words do not
+outweigh its own, and a few rare words tell what can match.
 
 Before any vector is built, files and then units are cut down by what a high cosine
 implies: the shared words must make up at least the threshold of the template's norm,
@@ -102,7 +103,7 @@ TEMPLATES = {
 WEAKEST = "proprietary"
 
 #: Words so common that a unit's having them says little; any choice of must_words is sound.
-COMMON = set("a all and are as at be by for from in is it mit of on or that the this to use was with".split())
+COMMON = set("a all and any are as at be by can do for from have if in is it may mit must no not of on one or see such that the this to under use was with you".split())
 
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|copyright|notice)([.-].*)?$"
 
@@ -115,7 +116,7 @@ def idf(templates: dict[str, str]) -> tuple[dict[str, float], float]:
     """Weight of each template word, and of any other."""
     n = len(templates)
     found = Counter(w for t in templates.values() for w in set(words(t)))
-    return {w: math.log((1 + n) / (1 + d)) + 1 for w, d in found.items()}, math.log(1 + n) + 1
+    return {w: math.log((1 + n) / (1 + d)) for w, d in found.items()}, math.log(1 + n)
 
 
 def vectors(templates: dict[str, str]) -> dict[str, dict[str, float]]:
@@ -123,7 +124,7 @@ def vectors(templates: dict[str, str]) -> dict[str, dict[str, float]]:
     weight, _ = idf(templates)
     out = {}
     for name, text in templates.items():
-        v = {w: c * weight[w] for w, c in Counter(words(text)).items()}
+        v = {w: (1 + math.log(c)) * weight[w] for w, c in Counter(words(text)).items()}
         norm = math.sqrt(sum(x * x for x in v.values()))
         out[name] = {w: x / norm for w, x in v.items()}
     return out
@@ -163,26 +164,25 @@ def any_word(found: set[str]) -> str:
 def unit_scores(units: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
     """(path, licence, score) of every unit whose cosine to a template reaches the threshold; licence is the template's name.
 
-    units: path, unit. Rows equal in both scale a vector and leave its cosine. Words are
-    counted under the unit's digest, so no text is shuffled.
+    units: path, unit. Words are counted under the unit's number, so no text is shuffled.
     """
     weight, other = idf(templates)
     shares = vectors(templates)
     pattern = any_word(must_words(templates, threshold))
-    lowered = units.select("path", F.lower("unit").alias("unit"))
-    likely = lowered.where(F.col("unit").rlike(pattern)).withColumn("digest", F.unhex(F.md5("unit")))
+    lowered = units.select("path", F.monotonically_increasing_id().alias("number"), F.lower("unit").alias("unit"))
+    likely = lowered.where(F.col("unit").rlike(pattern))
     found = F.filter(F.split("unit", "[^a-z0-9]+"), lambda w: w != "")
-    counts = likely.select("path", "digest", F.explode(found).alias("word")).groupBy("path", "digest", "word").agg(F.count("*").alias("n"))
+    counts = likely.select("path", "number", F.explode(found).alias("word")).groupBy("path", "number", "word").agg(F.count("*").alias("n"))
     # One row for each template word, with the templates that have it: as large as the argument, whatever the files are.
     rows = [(w, x, [(name, v[w]) for name, v in sorted(shares.items()) if w in v]) for w, x in sorted(weight.items())]
     vocabulary = units.sparkSession.createDataFrame(rows, "word string, weight double, has array<struct<name: string, share: double>>")
-    valued = counts.join(F.broadcast(vocabulary), "word", "left").withColumn("value", F.col("n") * F.coalesce("weight", F.lit(other)))
+    valued = counts.join(F.broadcast(vocabulary), "word", "left").withColumn("value", (1 + F.log("n")) * F.coalesce("weight", F.lit(other)))
     # Each word adds to the unit's norm, under no name, and to the products with the templates that have it.
     own = F.array(F.struct(F.lit("").alias("name"), (F.col("value") * F.col("value")).alias("x")))
     each = F.transform(F.coalesce("has", F.array().cast("array<struct<name: string, share: double>>")), lambda h: F.struct(h["name"].alias("name"), (F.col("value") * h["share"]).alias("x")))
-    sums = valued.select("path", "digest", F.explode(F.concat(own, each)).alias("e")).groupBy("path", "digest", "e.name").agg(F.sum("e.x").alias("x"))
+    sums = valued.select("path", "number", F.explode(F.concat(own, each)).alias("e")).groupBy("path", "number", "e.name").agg(F.sum("e.x").alias("x"))
     # At most one entry a template.
-    unit = sums.groupBy("path", "digest").agg(F.max(F.when(F.col("name") == "", F.sqrt("x"))).alias("norm"), F.collect_list(F.when(F.col("name") != "", F.struct("name", "x"))).alias("dots"))
+    unit = sums.groupBy("path", "number").agg(F.max(F.when(F.col("name") == "", F.sqrt("x"))).alias("norm"), F.collect_list(F.when(F.col("name") != "", F.struct("name", "x"))).alias("dots"))
     scored = unit.select("path", "norm", F.explode("dots").alias("d")).select("path", F.col("d.name").alias("licence"), F.round(F.col("d.x") / F.col("norm"), 6).alias("score"))
     return scored.where(F.col("score") >= threshold)
 
@@ -196,7 +196,7 @@ def best_notice(files: DataFrame, templates: dict[str, str], threshold: float) -
     # A file whose words do not allow any match is left before it is cut up.
     likely = files.select("path", body.alias("body")).where(F.lower("body").rlike(any_word(must_words(templates, threshold))))
     whole = F.when(file_name(F.col("path")).rlike(LICENCE_FILE), F.array("body")).otherwise(F.array().cast("array<string>"))
-    units = likely.select("path", F.explode(F.concat(F.split("body", "\n"), F.split("body", r"\n\s*\n"), whole)).alias("unit"))
+    units = likely.select("path", F.explode(F.array_distinct(F.concat(F.split("body", "\n"), F.split("body", r"\n\s*\n"), whole))).alias("unit"))
     scores = unit_scores(units, templates, threshold).withColumn("licence", F.substring_index("licence", "/", 1))
     rank = F.struct((F.col("licence") == WEAKEST).alias("weak"), (-F.col("score")).alias("minus"), "licence")
     best = scores.groupBy("path").agg(F.min(rank).alias("b"))

@@ -116,8 +116,8 @@ template_word AS (
   SELECT name, w AS word, count(*) AS n
   FROM template, unnest(list_filter(regexp_split_to_array(lower(body), '[^a-z0-9]+'), lambda x: x <> '')) AS t(w) GROUP BY 1, 2),
 weight AS (
-  SELECT word, ln((1.0 + (SELECT count(*) FROM template)) / (1 + count(DISTINCT name))) + 1 AS idf FROM template_word GROUP BY 1),
-vector AS (SELECT name, word, n * idf AS v FROM template_word JOIN weight USING (word)),
+  SELECT word, ln((1.0 + (SELECT count(*) FROM template)) / (1 + count(DISTINCT name))) AS idf FROM template_word GROUP BY 1),
+vector AS (SELECT name, word, (1 + ln(n)) * idf AS v FROM template_word JOIN weight USING (word)),
 template_norm AS (SELECT name, sqrt(sum(v * v)) AS norm FROM vector GROUP BY 1),
 file AS (SELECT doc_id, {AS_FILES} AS path, coalesce(text, '') AS body FROM documents),
 named AS (SELECT *, regexp_matches(regexp_extract(path, '([^/]*)$', 1), '(?i)^(licen[cs]e|copying|copyright|notice)([.-].*)?$') AS licence_file FROM file),
@@ -128,7 +128,7 @@ unit_word AS (
   SELECT path, u, w AS word, count(*) AS n
   FROM unit, unnest(list_filter(regexp_split_to_array(lower(u), '[^a-z0-9]+'), lambda x: x <> '')) AS t(w) GROUP BY 1, 2, 3),
 valued AS (
-  SELECT path, u, word, n * coalesce(idf, ln(1.0 + (SELECT count(*) FROM template)) + 1) AS v
+  SELECT path, u, word, (1 + ln(n)) * coalesce(idf, ln(1.0 + (SELECT count(*) FROM template))) AS v
   FROM unit_word LEFT JOIN weight USING (word)),
 unit_norm AS (SELECT path, u, sqrt(sum(v * v)) AS norm FROM valued GROUP BY 1, 2),
 dot AS (SELECT path, u, name, sum(a.v * b.v) AS d FROM valued a JOIN vector b USING (word) GROUP BY 1, 2, 3),
