@@ -133,9 +133,9 @@ def is_task(items: DataFrame, listing: DataFrame, state: DataFrame, key: str = "
 def any_event(items: DataFrame, state: DataFrame) -> DataFrame:
     """One row: whether a run has any dated event, or remembers any, so that the calendar is read at all."""
     event = (F.col("source") == "gcal") & F.col("due_at").isNotNull()
-    events = items.agg(F.coalesce(F.bool_or(event), F.lit(False)).alias("any_event"))
-    # Both sides are one row.
-    return events.crossJoin(F.broadcast(state.agg((F.count("*") > 0).alias("any_remembered")))).withColumn("reads_calendar", F.col("any_event") | F.col("any_remembered"))
+    both = items.select(event.alias("e"), F.lit(False).alias("r")).unionByName(state.select(F.lit(False).alias("e"), F.lit(True).alias("r")))
+    found = both.agg(*(F.coalesce(F.bool_or(c), F.lit(False)).alias(name) for c, name in (("e", "any_event"), ("r", "any_remembered"))))
+    return found.withColumn("reads_calendar", F.col("any_event") | F.col("any_remembered"))
 
 
 def inbox_actions(rows: DataFrame, most: int, order: list) -> DataFrame:

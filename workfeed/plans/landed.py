@@ -25,9 +25,8 @@ def _pick(values: list, number: Column) -> Column:
 def _landed(spark: SparkSession, rows: DataFrame, by: str, order: list[str], field: str | None = None) -> str:
     """The path of a new folder with rows (json, ...) as pages of JSON: arrays, or under a field; rows alike in `by` share a page, in order."""
     path = new_folder(spark, "landed")
-    pages = rows.agg(F.ceil(F.count("*") / PAGE_ROWS).alias("pages"))
-    # pages is one row.
-    dealt = rows.crossJoin(F.broadcast(pages)).withColumn("page", F.pmod(F.xxhash64(by), F.greatest("pages", F.lit(1))))
+    pages = max(1, -(-rows.count() // PAGE_ROWS))
+    dealt = rows.withColumn("page", F.pmod(F.xxhash64(by), F.lit(pages)))
     held = dealt.groupBy("page").agg(F.array_join(F.array_sort(F.collect_list(F.struct(*order, "json")))["json"], ",").alias("j"))
     start, end = (f'{{"{field}": [', "]}") if field else ("[", "]")
     held.select("page", F.concat(F.lit(start), "j", F.lit(end)).alias("value")).write.partitionBy("page").text(path)

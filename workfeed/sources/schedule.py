@@ -120,9 +120,7 @@ def expansion(items: DataFrame, found: DataFrame, configured: DataFrame, least_b
 
 def expansion_tally(outcomes: DataFrame, rows: DataFrame) -> DataFrame:
     """One row: found, expanded, rows, skipped and failed of expansion() and the rows of expand()."""
-    counts = outcomes.agg(
-        F.count_if(F.col("outcome") != "other").alias("found"), F.count_if(F.col("outcome") == "expanded").alias("expanded"),
+    return outcomes.select("outcome").unionByName(rows.select(F.lit("row").alias("outcome"))).agg(
+        F.count_if(~F.col("outcome").isin("other", "row")).alias("found"), F.count_if(F.col("outcome") == "expanded").alias("expanded"), F.count_if(F.col("outcome") == "row").alias("rows"),
         F.count_if(F.col("outcome").isin("short", "configured")).alias("skipped"), F.count_if(F.col("outcome") == "failed").alias("failed"),
     )
-    # Both sides are one row.
-    return counts.crossJoin(F.broadcast(rows.agg(F.count("*").alias("rows")))).select("found", "expanded", "rows", "skipped", "failed")
