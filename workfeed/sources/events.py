@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, clip_bytes, one_line
 from ..functions.times import at_time, strict_instant, utc_text
+from ..state import checkpoint
 
 #: What a calendar published as free/busy calls its events. Fixed values.
 PLACEHOLDERS = ("", "busy", "free", "private", "unavailable", "blocked", "(no title)", "untitled")
@@ -87,6 +88,14 @@ def described(start: Column, end: Column, all_day: Column, location: Column, des
 
 
 def capped(rows: DataFrame, per: str, order: list, limit: int) -> DataFrame:
-    """rows with act: whether a row is among the first `limit` of its feed; the others are deferred, not dropped."""
-    n = F.row_number().over(Window.partitionBy(per).orderBy(*order))
-    return rows.withColumn("act", F.when(n <= limit, "act").otherwise("deferred"))
+    """rows with act: whether a row is among the first `limit` of its feed; the others are deferred, not dropped.
+
+    order tells the rows of a feed apart, as rows equal to the last one act as well. Each
+    task keeps the first `limit` of a feed before they meet, and the last one's place is
+    joined back, so that a feed with very many rows is in no single task.
+    """
+    place = rows.select(F.col(per).alias("_per"), F.struct(*order).alias("_place"))
+    n = F.row_number().over(Window.partitionBy("_per").orderBy("_place"))
+    last = place.withColumn("_n", n).where(F.col("_n") <= limit).groupBy("_per").agg(F.max("_place").alias("_last"))
+    joined = rows.join(checkpoint(last), F.col(per).eqNullSafe(F.col("_per")), "left")
+    return joined.withColumn("act", F.when(F.struct(*order) <= F.col("_last"), "act").otherwise("deferred")).drop("_per", "_last")
