@@ -156,7 +156,7 @@ UNION ALL SELECT doc_id, 0, NULL, NULL FROM labels WHERE doc_id % 3 <> 2""",
     "state_after": f"""WITH {_ITEMS}, {_LISTING}, {_STATE}, {_ACTIONS}, done AS (
   SELECT a.external_id, a.note_id, '1998-06-01T00:00:00Z' AS created_at, {_DOWN} AS last_pushed_state, {_HASH} AS hash FROM action a JOIN items i ON i.id = a.external_id WHERE action IN ('create', 'update', 'unchanged'))
 SELECT *, false AS dry FROM done UNION ALL SELECT *, false FROM sync_state WHERE external_id NOT IN (SELECT external_id FROM done) UNION ALL SELECT *, true FROM sync_state""",
-    "owned_elsewhere": f"""WITH {_ITEMS}, {_LINES}, {_ATTACHED} SELECT id AS external_id, '' AS description, md5({_DESCRIPTION} || chr(10) || chr(10) || {_PROGRESS} || chr(10) || 'x-id: ' || id) AS notes, 64 AS n_hash
+    "owned_elsewhere": f"""WITH {_ITEMS}, {_LINES}, {_ATTACHED} SELECT id AS external_id, '' AS description, md5({_DESCRIPTION} || chr(10) || chr(10) || {_PROGRESS} || chr(10) || 'x-id: ' || id) AS notes, CAST(64 AS BIGINT) AS n_hash
 FROM items LEFT JOIN handed USING (ordinal)""",
     "content_hashes": f"WITH {_ITEMS} SELECT id AS external_id, {_HASH} AS content_hash FROM items",
     "handed_notes": rf"""WITH {_ITEMS}, {_LINES}, {_ATTACHED}, mine AS (
