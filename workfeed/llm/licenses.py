@@ -10,7 +10,8 @@ outweigh its own, and a few rare words tell what can match.
 
 Before any vector is built, files and then units are cut down by what a high cosine
 implies: the shared words must make up at least the threshold of the template's norm,
-so one of its heaviest words, which `must_words` chooses, has to be there.
+so one of its heaviest words, which `must_words` chooses, has to be there; and words of
+templates must make up as much of the unit's own norm.
 
 A file without a notice takes that of the nearest ancestor directory in which a
 licence file has one. Directories are made distinct before they are joined, so their
@@ -161,6 +162,19 @@ def any_word(found: set[str]) -> str:
     return f"(?<![a-z0-9]){branch(set(found))}(?![a-z0-9])"
 
 
+def _possible(weight: dict[str, float], other: float, threshold: float) -> Column:
+    """Whether a unit of words, with its distinct ones and those of any template (mine), can reach the threshold.
+
+    Its cosine to a template is at most the share of its norm that template words have,
+    and each different word of no template adds at least its weight squared.
+    """
+    table = F.create_map(*(F.lit(x) for kv in sorted(weight.items()) for x in kv))
+    value = lambda w: F.element_at(table, w) * (1 + F.log(F.size(F.filter("words", lambda x: x == w))))
+    own = F.aggregate("mine", F.lit(0.0), lambda total, w: total + value(w) * value(w))
+    rest = (F.size("distinct") - F.size("mine")) * F.lit(other * other)
+    return own >= F.lit(threshold * threshold * 0.999) * (own + rest)
+
+
 def unit_scores(units: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
     """(path, licence, score) of every unit whose cosine to a template reaches the threshold; licence is the template's name.
 
@@ -172,10 +186,14 @@ def unit_scores(units: DataFrame, templates: dict[str, str], threshold: float) -
     lowered = units.select("path", F.monotonically_increasing_id().alias("number"), F.lower("unit").alias("unit"))
     likely = lowered.where(F.col("unit").rlike(pattern))
     found = F.filter(F.split("unit", "[^a-z0-9]+"), lambda w: w != "")
-    counts = likely.select("path", "number", F.explode(found).alias("word")).groupBy("path", "number", "word").agg(F.count("*").alias("n"))
+    known = F.array(*map(F.lit, sorted(weight)))
+    cut = likely.select("path", "number", found.alias("words")).withColumn("distinct", F.array_distinct("words")).withColumn("mine", F.array_intersect("distinct", known))
+    near = cut.where(_possible(weight, other, threshold))
+    counts = near.select("path", "number", F.explode("words").alias("word")).groupBy("path", "number", "word").agg(F.count("*").alias("n"))
     # One row for each template word, with the templates that have it: as large as the argument, whatever the files are.
-    rows = [(w, x, [(name, v[w]) for name, v in sorted(shares.items()) if w in v]) for w, x in sorted(weight.items())]
-    vocabulary = units.sparkSession.createDataFrame(rows, "word string, weight double, has array<struct<name: string, share: double>>")
+    has = lambda w: ", ".join(f"named_struct('name', '{name}', 'share', {v[w]!r}D)" for name, v in sorted(shares.items()) if w in v)
+    entries = ", ".join(f"('{w}', {x!r}D, array({has(w)}))" for w, x in sorted(weight.items()))
+    vocabulary = units.sparkSession.sql(f"SELECT * FROM VALUES {entries} AS v(word, weight, has)")
     valued = counts.join(F.broadcast(vocabulary), "word", "left").withColumn("value", (1 + F.log("n")) * F.coalesce("weight", F.lit(other)))
     # Each word adds to the unit's norm, under no name, and to the products with the templates that have it.
     own = F.array(F.struct(F.lit("").alias("name"), (F.col("value") * F.col("value")).alias("x")))
@@ -242,7 +260,8 @@ def scan(files: DataFrame, templates: dict[str, str] | None = None, threshold: f
     placed = notices.where(file_name(F.col("path")).rlike(LICENCE_FILE)).select(directory_of(F.col("path")).alias("dir"), "licence", "score")
     licensed = placed.groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("minus"), "licence")).alias("b")).select("dir", "b.licence")
     paths = rows.select("path", directory_of(F.col("path")).alias("dir"))
-    inherited = nearest_licences(paths.where("dir IS NOT NULL").select("dir"), licensed).withColumnRenamed("licence", "from_licence")
+    # Written, so that a directory of very many files is split where it is joined.
+    inherited = checkpoint(nearest_licences(paths.where("dir IS NOT NULL").select("dir"), licensed).withColumnRenamed("licence", "from_licence"))
     out = paths.join(notices, "path", "left").join(inherited, "dir", "left")
     own = F.col("licence").isNotNull()
     return out.select(
