@@ -28,7 +28,7 @@ def rows(spark, name, key="doc_id"):
 
 def test_each_number_has_one_query():
     names = [n for n in registry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
 
 
 def test_op2(spark, documents):
@@ -85,3 +85,11 @@ def test_op10(spark, documents):
     by_text = {}
     for i, t in documents.items():
         assert by_text.setdefault(t, got[i].fingerprint) == got[i].fingerprint
+
+
+def test_op13(spark, documents):
+    tokenizers, path = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    want = {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t in documents.items()}
+    got = rows(spark, "op13_token_counts")
+    assert {i: (r.n_bytes, r.n_tokens, r.over_limit) for i, r in got.items()} == {i: (len(documents[i].encode()), n, n > 1024) for i, n in want.items()}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontaminate, licenses, linededup, pieces, sharding, simhash, syncmers, toxicity, urlrules, wrappers
+from . import centroids, decontaminate, licenses, linededup, pieces, sharding, simhash, spelling, syncmers, tokencount, toxicity, urlrules, wrappers
 from .common import sha256_of, small_batches, table
 
 
@@ -209,6 +209,89 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.compare_edited(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return spelling.variants(spelling.words_of(table(spark, sf_dir, "documents")))
+
+
+#: Near words are found by what is left of them without one code point: the same rest at the same place, or the rest of one is the other.
+OP11_SQL = r"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+run AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+times AS (SELECT doc_id, w, count(*) AS times FROM run WHERE length(w) >= 7 GROUP BY 1, 2),
+coded AS (SELECT *, hex(encode(concat(doc_id, ':', w))) AS x FROM times),
+hashed AS (
+  SELECT w, times, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(x), 2), lambda i: CAST('0x' || x[i:i+1] AS BIGINT))),
+                                   lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h
+  FROM coded, crc),
+spelt AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, times FROM hashed),
+word AS (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM spelt WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+rest AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS r FROM word, unnest(range(1, length(word) + 1)) AS t(i)),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM rest a JOIN rest b ON a.r = b.r AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM rest a JOIN word b ON a.r = b.word
+  UNION SELECT b.word, a.word, a.n FROM rest a JOIN word b ON a.r = b.word),
+best AS (
+  SELECT word, count(*) OVER (PARTITION BY word) AS n_near, other, m FROM near
+  QUALIFY row_number() OVER (PARTITION BY word ORDER BY m DESC, other) = 1),
+formed AS (
+  SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN other END AS form, CASE WHEN m >= 10 * n THEN m END AS form_n
+  FROM word w LEFT JOIN best b ON w.word = b.word),
+way AS (
+  WITH RECURSIVE step(word, stop) AS (
+    SELECT word, form FROM formed WHERE form IS NOT NULL
+    UNION ALL SELECT s.word, f.form FROM step s JOIN formed f ON s.stop = f.word WHERE f.form IS NOT NULL)
+  SELECT s.word, s.stop FROM step s JOIN formed f ON s.stop = f.word WHERE f.form IS NULL)
+SELECT f.word, form, coalesce(stop, f.word) AS root, n, n_near, form_n FROM formed f LEFT JOIN way ON f.word = way.word
+"""
+
+
+#: First centroids and rounds of the clustering.
+CENTROIDS, ROUNDS = 40, 5
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), k=CENTROIDS, rounds=ROUNDS, dim=64, scale=256, seed="2")
+
+
+def _op12_sql() -> str:
+    nearest = """
+  SELECT v.id, c.c, sum((x - y) * (x - y)) AS d FROM part v JOIN c{n} c USING (i) GROUP BY v.id, c.c
+  QUALIFY row_number() OVER (PARTITION BY v.id ORDER BY d, c.c) = 1"""
+    rounds = "".join(
+        f"""
+a{n} AS ({nearest.format(n=n)}),
+s{n} AS (SELECT c, i, sum(x) AS s, count(*) AS m FROM a{n} JOIN part USING (id) GROUP BY c, i),
+c{n + 1} AS (SELECT c{n}.c, c{n}.i, coalesce((s - ((s % m) + m) % m) // m, y) AS y FROM c{n} LEFT JOIN s{n} ON s{n}.c = c{n}.c AND s{n}.i = c{n}.i),"""
+        for n in range(ROUNDS)
+    )
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+part AS (SELECT id, i, v[i] AS x FROM kept, range(1, 65) AS t(i)),
+c0 AS (
+  SELECT c, i, v[i] AS y
+  FROM (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS c, v FROM kept QUALIFY c < {CENTROIDS}), range(1, 65) AS t(i)),{rounds}
+a{ROUNDS} AS ({nearest.format(n=ROUNDS)}),
+named AS (SELECT c, sha256(string_agg(CAST(CAST(y AS BIGINT) AS VARCHAR), ',' ORDER BY i)) AS h FROM c{ROUNDS} GROUP BY c)
+SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, h AS centroid_sha256
+FROM a{ROUNDS} a JOIN kept USING (id) JOIN named ON a.c = named.c
+"""
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    import public_tokenizers
+
+    counted = tokencount.count_tokens(table(spark, sf_dir, "documents"), model=public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_simhash_dedup": op2_simhash_dedup,
@@ -220,12 +303,17 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,
     "op10_document_fingerprints": op10_document_fingerprints,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_token_counts": op13_token_counts,
 }
 
 ORACLES = {
     "op1_decontaminate": OP1_SQL,
     "op6_license_scan": _op6_sql(),
     "op9_sharding": OP9_SQL,
+    "op11_spelling_variants": OP11_SQL,
+    "op12_centroid_clustering": _op12_sql(),
 }
 
 
