@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import landed, landed_oracle
+from . import landed, landed_oracle, runs, runs_oracle
 from .oracle import ORACLES
 from .queries import QUERIES, dedup_survivors
 
@@ -15,8 +15,8 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return QUERIES | landed.QUERIES
+    return QUERIES | landed.QUERIES | runs.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLES | landed_oracle.ORACLES
+    return ORACLES | landed_oracle.ORACLES | runs_oracle.ORACLES

@@ -29,7 +29,7 @@ def _landed(spark: SparkSession, rows: DataFrame, by: str, order: list[str], fie
     dealt = rows.withColumn("page", F.pmod(F.xxhash64(by), F.lit(pages)))
     held = dealt.groupBy("page").agg(F.array_join(F.array_sort(F.collect_list(F.struct(*order, "json")))["json"], ",").alias("j"))
     start, end = (f'{{"{field}": [', "]}") if field else ("[", "]")
-    held.select("page", F.concat(F.lit(start), "j", F.lit(end)).alias("value")).write.partitionBy("page").text(path)
+    held.select(F.concat(F.lit(start), "j", F.lit(end)).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     return path
 
 
@@ -42,7 +42,7 @@ def _z(t: Column) -> Column:
 CODES = ["assignment", "sub_assignment", "assessment_request", "quiz", "discussion_topic", "wiki_page", "announcement", "planner_note", "other_thing"]
 
 
-def _planner_rows(spark, sf_dir) -> DataFrame:
+def _planner_path(spark, sf_dir) -> str:
     items = q._items(spark, sf_dir).where("source = 'canvas'")
     n = F.col("ordinal")
     m = F.floor(n / 4)
@@ -58,7 +58,11 @@ def _planner_rows(spark, sf_dir) -> DataFrame:
     flags = F.concat(F.lit('{"excused": '), (n % 7 == 0).cast("string"), F.lit(', "submitted": '), (n % 3 == 0).cast("string"), F.lit(', "missing": '), (m % 2 == 0).cast("string"), F.lit("}"))
     told = F.concat(F.lit('{"submissions": '), F.when(m % 4 == 0, F.lit("false")).otherwise(flags), F.lit(", "), F.substring(F.to_json(fields), 2, 1_000_000))
     rows = items.select("ordinal", told.alias("json"))
-    return planner.read_rows(spark, _landed(spark, rows, "ordinal", ["ordinal"]), planner.PLANNER)
+    return _landed(spark, rows, "ordinal", ["ordinal"])
+
+
+def _planner_rows(spark, sf_dir) -> DataFrame:
+    return planner.read_rows(spark, _planner_path(spark, sf_dir), planner.PLANNER)
 
 
 def _courses(spark, sf_dir) -> DataFrame:
@@ -166,8 +170,7 @@ def feed_counts(spark, sf_dir):
     return planner.fetch_counts(first.unionByName(second))
 
 
-def calendar_feed(spark, sf_dir):
-    """Landed pages of a calendar's listing, timed and all-day, as occurrences."""
+def _calendar_path(spark, sf_dir) -> str:
     e = b.bound(spark, sf_dir, b.EVENTS)
     n = F.col("ordinal")
     when = lambda c: F.when(n % 7 == 0, F.struct(F.lit(None).cast("string").alias("dateTime"), F.date_format(c, "yyyy-MM-dd").alias("date"))).otherwise(F.struct(_z(c).alias("dateTime"), F.lit(None).cast("string").alias("date")))
@@ -176,20 +179,33 @@ def calendar_feed(spark, sf_dir):
         "feed", "label", n.alias("ordinal"), F.col("event_id").alias("id"), F.col("series_id").alias("recurringEventId"), "summary", "status", F.col("url").alias("htmlLink"), when(F.col("start_at")).alias("start"),
         F.when(F.col("end_at").isNotNull(), when(F.col("end_at"))).alias("end"), F.array(person(F.lit(False), F.lit("declined")), person(F.lit(True), F.when(F.col("declined"), "declined").otherwise("accepted"))).alias("attendees"),
     )
-    path = _landed(spark, e.select("ordinal", "feed", F.to_json(fields).alias("json")), "ordinal", ["ordinal"])
-    rows = calendar.listed_events(planner.read_rows(spark, path, calendar.LISTED))
+    return _landed(spark, e.select("ordinal", "feed", F.to_json(fields).alias("json")), "ordinal", ["ordinal"])
+
+
+def _occurrences(rows: DataFrame) -> DataFrame:
     low, high = (F.lit(t).cast("timestamp") for t in ("2024-01-03T00:00:00Z", "2024-01-25T00:00:00Z"))
-    return calendar.occurrences(rows, low, high).select("id", "title", "course", times.rfc3339(F.col("due_at")).alias("due_at"), times.rfc3339(F.col("ends_at")).alias("ends_at"), "url")
+    return calendar.occurrences(calendar.listed_events(rows), low, high)
+
+
+def calendar_feed(spark, sf_dir):
+    """Landed pages of a calendar's listing, timed and all-day, as occurrences."""
+    rows = planner.read_rows(spark, _calendar_path(spark, sf_dir), calendar.LISTED)
+    return _occurrences(rows).select("id", "title", "course", times.rfc3339(F.col("due_at")).alias("due_at"), times.rfc3339(F.col("ends_at")).alias("ends_at"), "url")
 
 
 # -- documents -------------------------------------------------------------------------------
 
 
-def whole_documents(spark, sf_dir):
-    """Schedule documents as their rows, and as one item where they have none."""
+def _answered_documents(spark, sf_dir) -> DataFrame:
+    """Schedule documents with what an answer says of them."""
     docs = q._table(spark, sf_dir, "documents")
     answer = F.when(F.col("doc_id") % 3 == 0, F.lit('{"entries": [{"date": "1998-06-01", "title": "Read on", "kind": "exam"}, {"date": "none", "title": "x"}]}')).otherwise(F.lit("nothing here"))
-    shaped = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("source").alias("course"), F.lit("u").alias("url"), F.col("text"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Doc "), F.col("doc_id").cast("string"))).otherwise(" ").alias("name"), schedule.parsed_entries(answer).alias("entries"))
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("source").alias("course"), F.lit("u").alias("url"), F.col("text"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Doc "), F.col("doc_id").cast("string"))).otherwise(" ").alias("name"), (F.col("doc_id") % 5 == 0).alias("truncated"), answer.alias("answer"))
+
+
+def whole_documents(spark, sf_dir):
+    """Schedule documents as their rows, and as one item where they have none."""
+    shaped = _answered_documents(spark, sf_dir).withColumn("entries", schedule.parsed_entries(F.col("answer")))
     rows = schedule.rows_of(shaped)
     whole = schedule.whole_documents(shaped, rows)
     return rows.select("id", "kind", "title", times.rfc3339(F.col("due_at")).alias("due_at"), F.lit(None).cast("string").alias("said")).unionByName(

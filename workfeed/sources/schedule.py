@@ -37,15 +37,21 @@ def rows_of(docs: DataFrame, zone: str = "UTC") -> DataFrame:
     return first_of(made, ["id"], [F.col("ordinal")])
 
 
+#: What is said of a document that is told as a whole, and of one that was cut.
+WHOLE = "Course calendar document, not broken into rows.\n\n"
+CUT_OFF = "\n\n[cut off at the extraction size limit]"
+
+
 def whole_documents(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """One item for each document (doc_id, name, course, url, text) that gave no row."""
+    """One item for each document (doc_id, name, course, url, text, truncated) that gave no row; without the last column no document counts as cut."""
+    notice = F.when(F.col("truncated"), F.lit(CUT_OFF)).otherwise("") if "truncated" in docs.columns else F.lit("")
     return docs.join(rows.select("doc_id").distinct(), "doc_id", "left_anti").select(
         F.concat(F.lit("gdoc:"), "doc_id").alias("id"),
         F.lit("material").alias("kind"),
         "course",
         F.coalesce(F.when(F.trim("name") != "", F.col("name")), F.lit("Course calendar")).alias("title"),
         "url",
-        F.concat(F.lit("Course calendar document, not broken into rows.\n\n"), clip_bytes(F.trim("text"), 6000, counted=False, trimmed=True)).alias("description"),
+        F.concat(F.lit(WHOLE), clip_bytes(F.trim("text"), 6000, counted=False, trimmed=True), notice).alias("description"),
     )
 
 
