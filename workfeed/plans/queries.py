@@ -8,10 +8,11 @@ from pyspark.sql import types as T
 
 from ..functions import codes, text
 from ..functions.times import rfc3339
+from ..keyed import KeyedTable
 from ..operators import extract, match, memo, reconcile, render, sinks
 from ..sources import events as calendar
 from ..sources import ics, legacy, planner, schedule
-from ..state import checkpoint, new_folder, read_latest
+from ..state import checkpoint, new_folder
 from ..streaming import streams
 from . import bindings as b
 
@@ -502,9 +503,9 @@ def stream_upsert(spark, sf_dir):
     """Events upserted by user from a replayed stream: the last row of each."""
     root = new_folder(spark, "stream")
     rows = _event_rows(spark, sf_dir)
-    query = streams.upsert_stream(streams.replay(rows, f"{root}/in", "n"), f"{root}/table", f"{root}/cp", ("id",), "n")
-    query.awaitTermination()
-    return read_latest(spark, f"{root}/table", rows.schema)
+    table = KeyedTable(f"{root}/table", rows.schema, ("id",), "n", buckets=8)
+    streams.upsert_stream(streams.replay(rows, f"{root}/in", "n"), table, f"{root}/cp").awaitTermination()
+    return table.read(spark)
 
 
 def stream_changed_only(spark, sf_dir):

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import times
+from ..keyed import KeyedTable
 from ..sources import classroom, fetch, planner, schedule
 from ..sources import events as calendar
 from ..state import new_folder
+from ..streaming import streams
 from . import landed
 from . import queries as q
 
@@ -81,5 +84,32 @@ def fetch_errors(spark, sf_dir):
     return errors.select("source", F.col("file").isNotNull().alias("one_file"), "error")
 
 
-NAMES = ["fetched_table", "fetch_errors"]
+# -- stores ------------------------------------------------------------------------------------
+
+
+def homework_store(spark, sf_dir):
+    """The earlier flat table kept in buckets: a first load, changes to a few keys, and the same changes once more."""
+    old = q._homework(spark, sf_dir)
+    few = F.col("source_id").cast("bigint") % 997 == 0
+    changed = old.where(few).withColumns({"status": F.lit("submitted"), "fetched_at": F.expr("fetched_at + INTERVAL '1' DAY")})
+    stale = old.where("CAST(source_id AS BIGINT) % 991 = 0").withColumns({"status": F.lit("old"), "fetched_at": F.expr("fetched_at - INTERVAL '1' DAY")})
+    table = KeyedTable(new_folder(spark, "homework"), old.schema, ("source", "source_id"), "fetched_at", buckets=64)
+    for rows in (old, changed.unionByName(stale), changed):
+        table.merge(rows)
+    return table.read(spark).select("source", "source_id", "title", "status", "due_at", "fetched_at")
+
+
+def stream_from_snapshot(spark, sf_dir):
+    """Rows of a stream whose hash differs from the user's last one, the first of each user's compared with an earlier run's table."""
+    root, rows = new_folder(spark, "stream"), q._event_rows(spark, sf_dir)
+    half = rows.agg(F.floor((F.min("n") + F.max("n")) / 2)).first()[0] or 0
+    before, after = rows.where(F.col("n") < half), rows.where(F.col("n") >= half)
+    known = KeyedTable(f"{root}/known", rows.schema, ("id",), "n", buckets=8)
+    known.merge(before)
+    changed = streams.changed_only(streams.replay(after, f"{root}/in", "n"), "n", ttl="30 days", known=known.read(spark)).select("id", "hash", "n")
+    changed.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/cp").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(T.StructType(changed.schema.fields)).parquet(f"{root}/out")
+
+
+NAMES = ["fetched_table", "fetch_errors", "homework_store", "stream_from_snapshot"]
 QUERIES = {name: globals()[name] for name in NAMES}

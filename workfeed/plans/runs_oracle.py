@@ -5,7 +5,7 @@ from __future__ import annotations
 from . import bindings as b
 from .landed_oracle import _PLANNER, _WORK
 from .landed_oracle import ORACLES as LANDED
-from .oracle import _ITEMS, _pick, _rfc, _short
+from .oracle import _HOMEWORK, _ITEMS, _pick, _rfc, _short
 
 _FETCHED = f"""WITH {_ITEMS}, {_PLANNER}, {_WORK}, gcal AS ({LANDED['calendar_feed']}), gdoc AS ({LANDED['whole_documents']})
 SELECT id, 'canvas' AS source, kind, coalesce(CASE WHEN c_custkey % 3 = 0 THEN concat('C-', c_custkey) ELSE 'Course ' || c_custkey END, CAST(cid AS VARCHAR)) AS course, CAST(cid AS VARCHAR) AS course_id, shown AS title, url,
@@ -24,4 +24,10 @@ UNION ALL SELECT c.id, 'gcal', 'announcement', course, concat(split_part(c.id, '
 ORACLES: dict[str, str] = {
     "fetched_table": _FETCHED,
     "fetch_errors": "SELECT 'classroom' AS source, true AS one_file, 'malformed page' AS error UNION ALL SELECT 'canvas', false, 'AnalysisException'",
+    "homework_store": f"""WITH {_ITEMS}, {_HOMEWORK}
+SELECT source, source_id, title, CASE WHEN CAST(source_id AS BIGINT) % 997 = 0 THEN 'submitted' ELSE status END AS status, due_at,
+       CASE WHEN CAST(source_id AS BIGINT) % 997 = 0 THEN fetched_at + INTERVAL '1' DAY ELSE fetched_at END AS fetched_at FROM homework""",
+    "stream_from_snapshot": """SELECT id, hash, n FROM (
+  SELECT CAST(user_id AS VARCHAR) AS id, event_type AS hash, event_id AS n, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS earlier, count(*) OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events)
+WHERE n >= (SELECT floor((min(event_id) + max(event_id)) / 2) FROM events) AND (k = 1 OR hash IS DISTINCT FROM earlier)""",
 }

@@ -32,7 +32,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def _files(spark: SparkSession, path: str):
+def hadoop_path(spark: SparkSession, path: str):
+    """The file system of a path and the path, as Hadoop has them."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
@@ -40,11 +41,11 @@ def _files(spark: SparkSession, path: str):
 
 def versions(spark: SparkSession, root: str) -> list[int]:
     """The complete versions of a table kept under root, oldest first."""
-    fs, path = _files(spark, root)
+    fs, path = hadoop_path(spark, root)
     if not fs.exists(path):
         return []
     found = [s.getPath() for s in fs.listStatus(path)]
-    done = [p for p in found if p.getName().startswith("v=") and fs.exists(_files(spark, f"{p}/_SUCCESS")[1])]
+    done = [p for p in found if p.getName().startswith("v=") and fs.exists(hadoop_path(spark, f"{p}/_SUCCESS")[1])]
     return sorted(int(p.getName()[2:]) for p in done)
 
 
@@ -60,6 +61,6 @@ def write_next(df: DataFrame, root: str, keep: int = 3) -> int:
     n = (versions(spark, root) or [0])[-1] + 1
     df.write.mode("overwrite").parquet(f"{root}/v={n}")
     for old in versions(spark, root)[:-keep]:
-        fs, path = _files(spark, f"{root}/v={old}")
+        fs, path = hadoop_path(spark, f"{root}/v={old}")
         fs.delete(path, True)
     return n
