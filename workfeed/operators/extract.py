@@ -9,12 +9,14 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
-from xml.etree import ElementTree
+from typing import BinaryIO
+from xml.parsers import expat
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -187,43 +189,91 @@ def file_id(url: Column) -> Column:
     return F.when(found != "", found.cast("bigint"))
 
 
-def _docx(data: bytes) -> str:
-    w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+#: What the elements of a text document and of a slide put out where they end, and those that do so where they begin. Fixed values.
+DOCUMENT_ENDS, SLIDE_ENDS = {"p": "\n", "tr": "\n", "tc": "\t"}, {"p": "\n"}
+DOCUMENT_STARTS, SLIDE_STARTS = {"tab": "\t", "br": "\n", "cr": "\n"}, {"br": "\n"}
+
+#: Characters of one part of an office file at most; what is behind them is left unread, however far it would unpack.
+PART_CHARS = 16 << 20
+
+
+def _part_text(stream: BinaryIO, starts: dict[str, str], ends: dict[str, str]) -> str:
+    """The text runs of an XML part, read piece by piece. What comes before an error, in the packing or in the XML, is kept."""
     out: list[str] = []
+    inside = size = 0
+    parser = expat.ParserCreate()
+
+    def start(name: str, _: dict) -> None:
+        nonlocal inside
+        local = name.rpartition(":")[2]
+        inside += local == "t"
+        out.append(starts.get(local, ""))
+
+    def end(name: str) -> None:
+        nonlocal inside
+        local = name.rpartition(":")[2]
+        inside -= local == "t"
+        out.append(ends.get(local, ""))
+
+    def data(text: str) -> None:
+        nonlocal size
+        if inside:
+            out.append(text)
+            size += len(text)
+
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, data
+    try:
+        while size < PART_CHARS and (piece := stream.read(1 << 16)):
+            parser.Parse(piece, False)
+    except (expat.ExpatError, zlib.error, zipfile.BadZipFile, EOFError):
+        pass
+    return "".join(out)
+
+
+def _docx(data: bytes) -> str:
     with zipfile.ZipFile(io.BytesIO(data)) as z, z.open("word/document.xml") as f:
-        for event, e in ElementTree.iterparse(f, ("start", "end")):
-            if event == "end" and e.tag == w + "t":
-                out.append(e.text or "")
-            elif event == "end" and e.tag in (w + "tab", w + "tc"):
-                out.append("\t")
-            elif event == "end" and e.tag in (w + "br", w + "p", w + "tr") and not (e.tag == w + "p" and out[-1:] == ["\n"]):
-                out.append("\n")
-    return tidy(re.sub("\n\t", "\t", "".join(out)))
+        text = _part_text(f, DOCUMENT_STARTS, DOCUMENT_ENDS)
+    return tidy(re.sub("\n\t", "\t", text))
 
 
 def _pptx(data: bytes) -> str:
-    a = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         slides = sorted((int(m[1]), m[0]) for n in z.namelist() if (m := re.fullmatch(r"ppt/slides/slide(\d+)\.xml", n)))
+        if not slides:
+            raise ValueError("no slides")
         texts = []
         for _, name in slides:
-            paragraphs = ElementTree.fromstring(z.read(name)).iter(a + "p")
-            texts.append("\n".join("".join(t.text or "" for t in p.iter(a + "t")) for p in paragraphs))
-    return tidy("\n\n".join(texts))
+            with z.open(name) as f:
+                texts.append(_part_text(f, SLIDE_STARTS, SLIDE_ENDS).strip("\n"))
+    return tidy("\n\n".join(filter(None, texts)))
+
+
+def read_files(spark: SparkSession, path: str, ceiling: int = 64 << 20) -> DataFrame:
+    """(path, mime_type, content, length) of the files under path, as files_to_text() takes them.
+
+    The length is looked at before a file is read: one over the ceiling has no content, and
+    never is in memory. Empty files have no row, as Spark passes them over.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    none = F.lit(None).cast("string").alias("mime_type")
+    fits = files.where(F.col("length") <= ceiling).select("path", none, "content", "length")
+    large = files.where(F.col("length") > ceiling).select("path", none, F.lit(None).cast("binary").alias("content"), "length")
+    return fits.unionByName(large)
 
 
 EXTRACTED = struct("path STRING, format STRING, text STRING, truncated BOOLEAN, error STRING, cacheable BOOLEAN")
 
 
 def files_to_text(files: DataFrame, limit: int = 64 * 1024, ceiling: int = 64 << 20) -> DataFrame:
-    """(path, format, text, truncated, error, cacheable) of files (path, mime_type, content).
+    """(path, format, text, truncated, error, cacheable) of files (path, mime_type, content and, if known without it, length).
 
-    Files of other formats and those over the ceiling have an error and no text, as
+    Of an office file that is damaged what comes before the damage is its text. Files of other formats and those over the ceiling have an error and no text, as
     has a file that cannot be parsed; no row fails. Only what a new attempt cannot
     change is cacheable.
     """
-    rows = files.select("path", text_format(F.col("mime_type"), F.col("path")).alias("format"), "content", F.length("content").alias("size"))
-    fits = F.col("size") <= ceiling
+    size = F.coalesce("length", F.length("content")) if "length" in files.columns else F.length("content")
+    rows = files.select("path", text_format(F.col("mime_type"), F.col("path")).alias("format"), "content", size.cast("bigint").alias("size"))
+    fits = F.coalesce((F.col("size") <= ceiling) & F.col("content").isNotNull(), F.lit(False))
     plain = rows.where((F.col("format") == "text") & fits)
     cleaned = clean_text(without_invalid(F.substring("content", 1, 4 * limit).cast("string")))
     native = plain.select(
@@ -246,7 +296,7 @@ def files_to_text(files: DataFrame, limit: int = 64 * 1024, ceiling: int = 64 <<
 
     parsed = rows.where(F.col("format").isin("html", "docx", "pptx") & fits).mapInPandas(run, EXTRACTED)
     other = F.coalesce(F.col("format"), F.lit("")).isin("text", "html", "docx", "pptx")
-    error = F.when(~other, "unsupported type").otherwise("too large")
+    error = F.when(~other, "unsupported type").when(F.col("size") > ceiling, "too large").otherwise("no content")
     rest = rows.where(~(other & fits)).select(
         "path", "format", F.lit(None).cast("string").alias("text"), F.lit(False).alias("truncated"), error.alias("error"), F.lit(True).alias("cacheable")
     )
@@ -255,8 +305,7 @@ def files_to_text(files: DataFrame, limit: int = 64 * 1024, ceiling: int = 64 <<
 
 def chunks(docs: DataFrame, text: str, limit: int) -> DataFrame:
     """docs with part and chunk: whole lines packed greedily into at most limit bytes; a longer line is a chunk of its own."""
-    lines = F.split(F.regexp_replace(text, "\n", "\n\0"), "\0")
-    kept = F.filter(lines, lambda x: x != "")
+    kept = F.filter(F.split(text, "(?<=\n)"), lambda x: x != "")
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
     packed = F.aggregate(
         kept,

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..state import checkpoint
 from .reconcile import budgeted
 
 
@@ -77,3 +81,50 @@ def input_hash(*parts: Column) -> Column:
 
 def text_version(text: Column) -> Column:
     return F.concat(F.lit("text:"), F.substring(F.sha2(text, 256), 1, 24))
+
+
+def completed(items: DataFrame, memo: DataFrame, call: Callable[[pd.Series], pd.Series], now: Column, ttl: str, order: list, most: int) -> tuple[DataFrame, DataFrame]:
+    """One run over items (id, input_hash, prompt, due, ...): (items with answer, error and outcome, the next memo).
+
+    memo (id, input_hash, answer, seen_at) is what earlier runs were answered. What stands
+    there is not asked again, nor is what is not due (see reread_due; null counts as due);
+    of the rest the first `most` in order are, the others are deferred.
+    call takes prompts to answers, in batches on the executors. Where it raises, it is
+    called for each row of the batch by itself; what raises then, and a null answer, is
+    an error of that row, whose older answer is kept. Each prompt is sent once: answers are
+    written before anything reads them. Answers that are used are seen now; what is unseen
+    for ttl is forgotten.
+    """
+    rows = answers(items, memo)
+    waits = ~F.coalesce("due", F.lit(True)) & (F.col("memo") == "stale")
+    sent = checkpoint(budgeted(rows, (F.col("memo") != "fresh") & ~waits, order, most, "_act"))
+
+    def one(prompt: str) -> tuple[str | None, str | None]:
+        try:
+            answer = call(pd.Series([prompt])).iloc[0]
+            return (None, "no answer") if pd.isna(answer) else (answer, None)
+        except Exception as e:  # an answer that fails is a value
+            return None, f"{type(e).__name__}: {e}"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            try:
+                got = list(call(batch["prompt"]))
+                told = [(None, "no answer") if pd.isna(a) else (a, None) for a in got] if len(got) == len(batch) else None
+            except Exception:  # told row by row
+                told = None
+            told = [one(p) for p in batch["prompt"]] if told is None else told
+            yield batch[["id", "input_hash"]].assign(answer=[a for a, _ in told], error=[e for _, e in told])
+
+    asked = sent.where("_act = 'send'").select("id", "input_hash", "prompt")
+    found = checkpoint(asked.mapInPandas(run, "id string, input_hash string, answer string, error string"))
+    new = found.select(F.col("id").alias("_id"), F.col("answer").alias("_answer"), "error")
+    joined = sent.join(new, F.col("id") == F.col("_id"), "left")
+    outcome = (
+        F.when(F.col("memo") == "fresh", "cached").when(F.col("_act") == "deferred", "deferred").when(F.col("_act") == "skip", "waiting").when(F.col("error").isNull(), "answered").otherwise("failed")
+    )
+    out = joined.select(*items.columns, F.coalesce("_answer", "answer").alias("answer"), "error", outcome.alias("outcome"))
+    used = memo.join(sent.select("id"), "id", "left_semi").withColumn("seen_at", now)
+    unused = memo.join(sent.select("id"), "id", "left_anti")
+    fresh = found.where("error IS NULL").select("id", "input_hash", "answer", now.alias("seen_at"))
+    return out, next_answers(used.unionByName(unused.select(used.columns)), fresh, now, ttl)

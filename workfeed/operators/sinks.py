@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, short_number
@@ -32,3 +35,36 @@ def write_json(items: DataFrame, path: str) -> None:
 
 def write_csv(items: DataFrame, path: str) -> None:
     flat(canonical(items)).write.mode("errorifexists").option("header", True).csv(path)
+
+
+def write_actions(actions: DataFrame, path: str, run: str) -> None:
+    """Files the change-set of a run by its actions, as path/run=<run>/action=<action>.
+
+    A run that is written again replaces itself as a whole, also where it has no longer
+    an action that it had; other runs stay as they are.
+    """
+    if not run or "/" in run:
+        raise ValueError("a run needs a name that can be a folder's")
+    actions.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("action").parquet(f"{path}/run={run}")
+
+
+def read_actions(spark: SparkSession, path: str) -> DataFrame:
+    """The change-sets of all runs, with run and action."""
+    return spark.read.option("basePath", path).option("mergeSchema", True).parquet(path)
+
+
+def write_files(files: DataFrame, path: str) -> int:
+    """Writes files (name, content), one row each, into a folder that all executors reach; how many. A task that runs again writes its files anew."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, folder = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+        store.create_dir(folder)
+        for batch in batches:
+            for name, content in zip(batch["name"], batch["content"], strict=True):
+                with store.open_output_stream(f"{folder}/{name}") as out:
+                    out.write(content)
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    return files.select("name", "content").mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0

@@ -10,6 +10,7 @@ from ..functions import codes
 from ..functions.text import blank_to_null, clip_bytes, slug, unfence
 from ..functions.times import at_time, utc_text
 from ..schema import struct
+from ..state import checkpoint
 from .planner import first_of
 
 ENTRIES = T.ArrayType(struct("date STRING, due_date STRING, time STRING, kind STRING, title STRING, description STRING"))
@@ -83,20 +84,23 @@ def chunk_prompt(course: Column, name: Column, text: Column, part: Column, parts
 def pointing_at(items: DataFrame, configured: DataFrame) -> DataFrame:
     """(id): items (id, urls) of which some URL contains a doc_id of configured.
 
-    A URL's substrings of the lengths that ids have meet the ids by equality; these
-    lengths are as few as the ids' formats.
+    A seed of each id, as long as the shortest id, meets the pieces of that length of a URL by
+    equality, and what met is looked through for the whole id. Of an id's pieces the seed is the one
+    that fewest ids have, so that a common beginning joins nothing.
     """
     ids = configured.select("doc_id").where("doc_id <> ''").distinct()
-    lengths = sorted(r[0] for r in ids.select(F.length("doc_id")).distinct().collect())
-    url = F.explode(F.array_distinct(F.filter("urls", lambda u: u.isNotNull()))).alias("u")
-
-    def pieces(n: int) -> Column:
-        last = F.length("u") - (n - 1)
-        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(F.col("u"), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-
-    fits = [pieces(n) for n in lengths]
-    parts = F.array_distinct(F.flatten(F.array(*fits))) if fits else F.array().cast("array<string>")
-    return items.select("id", url).select("id", F.explode(parts).alias("doc_id")).join(ids, "doc_id", "left_semi").select("id").distinct()
+    n = ids.agg(F.min(F.length("doc_id"))).first()[0] or 1
+
+    def pieces(c: str) -> Column:
+        last = F.length(c) - (n - 1)
+        return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+    cut = ids.select("doc_id", F.explode(pieces("doc_id")).alias("seed"))
+    shared = cut.groupBy("seed").agg(F.count("*").alias("n_ids"))
+    seeds = checkpoint(cut.join(shared, "seed").groupBy("doc_id").agg(F.min_by("seed", F.struct("n_ids", "seed")).alias("seed")))
+    urls = items.select("id", F.explode(F.array_distinct(F.filter("urls", lambda u: u.isNotNull()))).alias("u"))
+    met = urls.select("id", "u", F.explode(pieces("u")).alias("seed")).join(seeds, "seed")
+    return met.where(F.contains("u", F.col("doc_id"))).select("id").distinct()
 
 
 def expand(items: DataFrame, found: DataFrame, configured: DataFrame, least_bytes: int = 200) -> tuple[DataFrame, DataFrame]:

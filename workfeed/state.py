@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
@@ -64,3 +66,24 @@ def write_next(df: DataFrame, root: str, keep: int = 3) -> int:
         fs, path = hadoop_path(spark, f"{root}/v={old}")
         fs.delete(path, True)
     return n
+
+
+def read_map(spark: SparkSession, path: str, row: str, key: str = "key") -> tuple[DataFrame, DataFrame]:
+    """(rows, errors) of a state kept as JSON objects from a key to a row: the key and the fields of row, its DDL.
+
+    A file that is missing, cut off or no such object gives no rows, as if the state
+    were empty, and one row of errors (file, error); other files are read. Of a key that several files
+    have each row is there.
+    """
+    errors = "file STRING, error STRING"
+    shape = f"m MAP<STRING, STRUCT<{row}>>, _corrupt STRING"
+    try:
+        files = spark.read.option("wholetext", True).option("ignoreMissingFiles", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    except AnalysisException:
+        none = spark.createDataFrame([], f"{key} STRING, {row}")
+        return none, spark.createDataFrame([(path, "missing")], errors)
+    told = F.from_json(F.concat(F.lit('{"m": '), "value", F.lit("}")), shape, {"columnNameOfCorruptRecord": "_corrupt"})
+    parsed = files.select("file", told.alias("p"))
+    broken = F.col("p").isNull() | F.col("p._corrupt").isNotNull() | F.col("p.m").isNull()
+    rows = parsed.where(~broken).select(F.explode("p.m").alias(key, "_row")).select(key, "_row.*")
+    return rows, parsed.where(broken).select("file", F.lit("malformed").alias("error"))
