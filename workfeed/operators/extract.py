@@ -189,6 +189,12 @@ def file_id(url: Column) -> Column:
     return F.when(found != "", found.cast("bigint"))
 
 
+def with_files(links: DataFrame, files: DataFrame, most: int) -> DataFrame:
+    """links (file_id, ...) ⟕ files (file_id, name, size), with error: a file that is not known, or too large to be read."""
+    error = F.when(F.col("name").isNull(), "not found").when(F.col("size") > most, "too large")
+    return links.join(files, "file_id", "left").withColumn("error", error)
+
+
 #: What the elements of a text document and of a slide put out where they end, and those that do so where they begin. Fixed values.
 DOCUMENT_ENDS, SLIDE_ENDS = {"p": "\n", "tr": "\n", "tc": "\t"}, {"p": "\n"}
 DOCUMENT_STARTS, SLIDE_STARTS = {"tab": "\t", "br": "\n", "cr": "\n"}, {"br": "\n"}

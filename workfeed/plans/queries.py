@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ..functions import codes, text
 from ..functions.times import rfc3339
 from ..keyed import KeyedTable
-from ..operators import extract, match, memo, reconcile, render, sinks
+from ..operators import briefs, extract, match, memo, reconcile, render, sinks
 from ..sources import events as calendar
 from ..sources import ics, legacy, planner, schedule
 from ..state import checkpoint, new_folder
@@ -252,8 +252,7 @@ def file_links(spark, sf_dir):
     """Links joined to a table of known files; a miss is an error column."""
     links = b.bound(spark, sf_dir, b.ATTACHMENTS).select("ordinal", "position", "url", extract.file_id(F.col("url")).alias("file_id"))
     files = _table(spark, sf_dir, "part").where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("file_id"), "p_name", F.col("p_size").alias("size"))
-    error = F.when(F.col("p_name").isNull(), "not found").when(F.col("size") > 40, "too large")
-    return links.join(files, "file_id", "left").select("ordinal", "position", "url", "file_id", "p_name", error.alias("error"))
+    return extract.with_files(links, files.withColumnRenamed("p_name", "name"), 40).select("ordinal", "position", "url", "file_id", F.col("name").alias("p_name"), "error")
 
 
 # -- answers -------------------------------------------------------------------------------
@@ -271,31 +270,14 @@ def answers_parsed(spark, sf_dir):
     said = _table(spark, sf_dir, "labels")
     inner = F.concat(F.lit('{"verdicts": [{"id": "p'), F.col("doc_id").cast("string"), F.lit('", "same": '), F.when(F.col("quality") == 1, "true").otherwise("false"), F.lit("}]}"))
     answer = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Sure:\n```json\n"), inner, F.lit("\n```\n"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("Here: "), inner, F.lit(" ok"))).otherwise(F.lit("no idea"))
-    parsed = F.from_json(text.unfence(answer), "verdicts ARRAY<STRUCT<id: STRING, same: BOOLEAN>>")["verdicts"]
-    return said.select("doc_id", F.explode_outer(parsed).alias("v")).select("doc_id", F.col("v.id").alias("id"), F.col("v.same").alias("same"))
-
-
-BRIEF = "homework BOOLEAN, skip_reason STRING, summary STRING, steps STRING, estimate_min STRING"
-
-
-def _brief(answer: Column) -> dict[str, Column]:
-    """An answer's fields with their limits; valid needs a summary and a verdict."""
-    j = F.from_json(text.unfence(answer), BRIEF)
-    listed = F.when(j["steps"].startswith("["), F.from_json(j["steps"], "ARRAY<STRING>")).when(j["steps"].isNotNull(), F.array(j["steps"]))
-    steps = F.slice(F.transform(F.filter(listed, lambda s: F.trim(s) != ""), lambda s: text.clip_bytes(F.trim(s), 300)), 1, 3)
-    minutes = F.floor(F.try_to_number(j["estimate_min"], F.lit("99999.99")) + F.lit(0.5)).cast("int")
-    summary = text.clip_bytes(F.trim(j["summary"]), 1000)
-    return {
-        "homework": j["homework"], "skip_reason": F.when(~j["homework"], j["skip_reason"]), "summary": summary, "steps": F.array_join(steps, "; "),
-        "estimate_min": F.when(minutes.between(1, 10080), minutes), "valid": (F.coalesce(summary, F.lit("")) != "") & j["homework"].isNotNull(),
-    }
+    return said.select("doc_id", F.explode_outer(briefs.verdicts(answer)).alias("v")).select("doc_id", F.col("v.id").alias("id"), F.col("v.same").alias("same"))
 
 
 def brief_validated(spark, sf_dir):
     n = F.col("doc_id").cast("string")
     steps = F.when(F.col("doc_id") % 2 == 0, F.lit('["a", " ", "b ", "c", "d"]')).otherwise(F.lit('"only one"'))
     answer = F.concat(F.lit('{"homework": '), F.when(F.col("quality") == 1, "true").otherwise("false"), F.lit(', "skip_reason": "lecture", "summary": "'), F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.concat(F.lit(" Item "), n)), F.lit('", "steps": '), steps, F.lit(', "estimate_min": "'), n, F.lit('.5"}'))
-    return _table(spark, sf_dir, "labels").select("doc_id", *(c.alias(k) for k, c in _brief(answer).items()))
+    return _table(spark, sf_dir, "labels").select("doc_id", *(c.alias(k) for k, c in briefs.validated(answer).items()))
 
 
 # -- duplicates ----------------------------------------------------------------------------

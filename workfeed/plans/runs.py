@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
+from xml.sax.saxutils import escape
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import times
+from .. import state
+from ..functions import text, times
 from ..keyed import KeyedTable
+from ..operators import briefs, extract, memo, render, sinks
 from ..sources import classroom, fetch, planner, schedule
 from ..sources import events as calendar
 from ..state import new_folder
 from ..streaming import streams
+from . import bindings as b
 from . import landed
 from . import queries as q
 
@@ -111,5 +120,113 @@ def stream_from_snapshot(spark, sf_dir):
     return spark.read.schema(T.StructType(changed.schema.fields)).parquet(f"{root}/out")
 
 
-NAMES = ["fetched_table", "fetch_errors", "homework_store", "stream_from_snapshot"]
+def state_import(spark, sf_dir):
+    """What the last run remembered, kept as JSON maps; one file is cut off, and a second state is missing."""
+    root = new_folder(spark, "state")
+    rows = b.bound(spark, sf_dir, b.SYNC_STATE)
+    held = F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("external_id", F.struct("note_id", "created_at", "last_pushed_state", "hash"))))))
+    pages = max(1, -(-rows.count() // landed.PAGE_ROWS))
+    rows.groupBy(F.pmod(F.xxhash64("external_id"), F.lit(pages))).agg(held.alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(f"{root}/a")
+    spark.range(1).select(F.lit('{"canvas:0": {"note_id": 7').alias("value")).write.mode("append").text(f"{root}/a")
+    shape = "note_id BIGINT, created_at STRING, last_pushed_state STRING, hash STRING"
+    known, errors = state.read_map(spark, f"{root}/a", shape, "external_id")
+    none, missing = state.read_map(spark, f"{root}/b", shape, "external_id")
+    told = errors.unionByName(missing).select(F.concat(F.lit("error: "), "error").alias("external_id"), F.lit(None).cast("long").alias("note_id"), F.lit("").alias("created_at"), F.lit("").alias("last_pushed_state"))
+    return known.unionByName(none).select("external_id", "note_id", "created_at", "last_pushed_state").unionByName(told)
+
+
+# -- change-sets -------------------------------------------------------------------------------
+
+
+def action_log(spark, sf_dir):
+    """Change-sets of tasks and of the calendar, filed by run and action; the tasks' run is written twice, the second time without what it would leave as it is."""
+    path = new_folder(spark, "actions")
+    tasks = q._actions(spark, sf_dir).select("external_id", "action")
+    sinks.write_actions(tasks, path, "tasks")
+    sinks.write_actions(q.calendar_actions(spark, sf_dir).select("external_id", "action"), path, "calendar")
+    sinks.write_actions(tasks.where("action <> 'unchanged'"), path, "tasks")
+    return sinks.read_actions(spark, path).select("run", "action", "external_id")
+
+
+# -- answers -----------------------------------------------------------------------------------
+
+
+def _shout(run: int):
+    """A function as a user gives it: it answers in capitals and its run's number, and cannot take some prompts."""
+
+    def call(prompts: pd.Series) -> pd.Series:
+        if prompts.str.endswith("13").any():
+            raise ValueError("unlucky")
+        return f"{run}:" + prompts.str.upper()
+
+    return call
+
+
+def answer_cycle(spark, sf_dir):
+    """Two runs of a user's function over the items' titles: the second asks what the first left, what has changed and is due, and nothing that stands."""
+    items = q._items(spark, sf_dir).select("id", "ordinal", F.col("title").alias("prompt"), memo.input_hash("title").alias("input_hash"), F.lit(True).alias("due"))
+    now, later = F.expr(b.NOW).cast("timestamp"), F.expr(f"{b.NOW} + INTERVAL '2' DAY").cast("timestamp")
+    none = spark.createDataFrame([], "id string, input_hash string, answer string, seen_at timestamp")
+    _, known = memo.completed(items, none, _shout(1), now, "'30' DAY", [F.col("ordinal")], 2000)
+    known = state.checkpoint(known)
+    changed = F.col("ordinal") % 3 == 0
+    parsed_at = F.expr(f"{b.NOW} - INTERVAL '1' HOUR * CAST(ordinal % 5 AS INT)").cast("timestamp")
+    due = memo.reread_due(F.col("input_hash"), memo.input_hash("prompt"), parsed_at, F.lit(50 * 3600), later)
+    moved = items.withColumn("prompt", F.when(changed, F.concat("prompt", F.lit(" again"))).otherwise(F.col("prompt"))).withColumn("due", due)
+    moved = moved.withColumn("input_hash", memo.input_hash("prompt"))
+    out, _ = memo.completed(moved, known, _shout(2), later, "'30' DAY", [F.col("ordinal")], 3000)
+    return out.select("id", "outcome", "answer", "error")
+
+
+def briefed_tasks(spark, sf_dir):
+    """Descriptions with what a validated brief says of the item."""
+    n = F.col("ordinal")
+    answer = F.concat(F.lit('```json\n{"homework": true, "summary": "'), F.when(n % 4 == 0, "").otherwise(F.concat(F.lit("Do "), "title")), F.lit('", "steps": "one", "estimate_min": "'), (n % 700).cast("string"), F.lit('"}\n```'))
+    brief = briefs.validated(answer)
+    items = q._with_attachments(spark, sf_dir).withColumns({"summary": F.when(brief["valid"], brief["summary"]), "estimate_min": F.when(brief["valid"], brief["estimate_min"])})
+    return items.select("id", F.md5(render.description()).alias("description"), text.minutes_text(F.col("estimate_min")).alias("estimate"))
+
+
+# -- files -------------------------------------------------------------------------------------
+
+
+def _office(kind: str, lines: list[str], whole: bool) -> bytes:
+    """A text document with a paragraph a line, or slides of ten lines each; the last part of one that is not whole breaks off after its last line."""
+    out = io.BytesIO()
+    coded = [escape(x) for x in lines]
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        if kind == "docx":
+            body = "".join(f'<w:p><w:r><w:t xml:space="preserve">{x}</w:t></w:r></w:p>' for x in coded)
+            z.writestr(zipfile.ZipInfo("word/document.xml"), f'<w:document xmlns:w="w"><w:body>{body}' + ("</w:body></w:document>" if whole else "<w:p><w:r &"))
+        else:
+            for n in range(0, len(coded), 10):
+                body = "".join(f"<a:p><a:r><a:t>{x}</a:t></a:r></a:p>" for x in coded[n : n + 10])
+                z.writestr(zipfile.ZipInfo(f"ppt/slides/slide{n}.xml"), f'<p:sld xmlns:p="p" xmlns:a="a">{body}</p:sld>')
+    return out.getvalue()
+
+
+def office_files(spark, sf_dir):
+    """Documents written as text documents, slides, plain and unknown files and read back from their bytes, some of them damaged or too large."""
+    docs = q._table(spark, sf_dir, "documents").select("doc_id", "text")
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for i, body in zip(batch["doc_id"], batch["text"], strict=True):
+                # Long ones are plain, so that which files are too large is told by their texts.
+                kind = ("docx", "pptx", "txt", "bin")[i % 4 if len((body or "").encode()) <= 20_000 else 2 + i % 2]
+                lines = (body or "").split("\n")
+                half = lines[: len(lines) // 2] if i % 7 == 0 else lines
+                rows.append((f"{i}.{kind}", _office(kind, half, i % 7 != 0) if kind in ("docx", "pptx") else (body or "").encode()))
+            yield pd.DataFrame(rows, columns=["name", "content"])
+
+    folder = new_folder(spark, "files")
+    sinks.write_files(docs.mapInPandas(made, "name string, content binary"), folder)
+    read = extract.read_files(spark, folder, ceiling=30_000)
+    found = extract.files_to_text(read, limit=1 << 20, ceiling=30_000)
+    name = F.substring_index("path", "/", -1)
+    return found.select(name.alias("name"), "format", F.md5(F.trim(F.regexp_replace("text", r"\s+", " "))).alias("text"), "error", "truncated")
+
+
+NAMES = ["fetched_table", "fetch_errors", "homework_store", "stream_from_snapshot", "state_import", "action_log", "answer_cycle", "briefed_tasks", "office_files"]
 QUERIES = {name: globals()[name] for name in NAMES}

@@ -5,7 +5,8 @@ from __future__ import annotations
 from . import bindings as b
 from .landed_oracle import _PLANNER, _WORK
 from .landed_oracle import ORACLES as LANDED
-from .oracle import _HOMEWORK, _ITEMS, _pick, _rfc, _short
+from .oracle import ORACLES as ORACLE
+from .oracle import _ATTACHED, _HOMEWORK, _ITEMS, _KIND, _LINES, _STATE, _pick, _rfc, _short, _when
 
 _FETCHED = f"""WITH {_ITEMS}, {_PLANNER}, {_WORK}, gcal AS ({LANDED['calendar_feed']}), gdoc AS ({LANDED['whole_documents']})
 SELECT id, 'canvas' AS source, kind, coalesce(CASE WHEN c_custkey % 3 = 0 THEN concat('C-', c_custkey) ELSE 'Course ' || c_custkey END, CAST(cid AS VARCHAR)) AS course, CAST(cid AS VARCHAR) AS course_id, shown AS title, url,
@@ -30,4 +31,31 @@ SELECT source, source_id, title, CASE WHEN CAST(source_id AS BIGINT) % 997 = 0 T
     "stream_from_snapshot": """SELECT id, hash, n FROM (
   SELECT CAST(user_id AS VARCHAR) AS id, event_type AS hash, event_id AS n, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS earlier, count(*) OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events)
 WHERE n >= (SELECT floor((min(event_id) + max(event_id)) / 2) FROM events) AND (k = 1 OR hash IS DISTINCT FROM earlier)""",
+    "state_import": f"""WITH {_ITEMS}, {_STATE} SELECT external_id, note_id, created_at, last_pushed_state FROM sync_state
+UNION ALL SELECT 'error: malformed', NULL, '', '' UNION ALL SELECT 'error: missing', NULL, '', ''""",
+    "action_log": f"""WITH tasks AS ({ORACLE['reconcile_actions']}), days AS ({ORACLE['calendar_actions']})
+SELECT 'tasks' AS run, action, external_id FROM tasks WHERE action <> 'unchanged' UNION ALL SELECT 'calendar', action, external_id FROM days""",
+    "answer_cycle": f"""WITH {_ITEMS},
+first AS (SELECT ordinal, row_number() OVER (ORDER BY ordinal) <= 2000 AND NOT ends_with(title, '13') AS known FROM items),
+asked AS (
+  SELECT id, ordinal, title, CASE WHEN ordinal % 3 = 0 THEN title || ' again' ELSE title END AS prompt, CASE WHEN NOT known THEN 'missing' WHEN ordinal % 3 = 0 THEN 'stale' ELSE 'fresh' END AS memo,
+         known AND ordinal % 3 = 0 AND ordinal % 5 < 2 AS waits FROM items JOIN first USING (ordinal)),
+sent AS (SELECT *, memo <> 'fresh' AND NOT waits AS asks, row_number() OVER (PARTITION BY memo <> 'fresh' AND NOT waits ORDER BY ordinal) AS n FROM asked),
+told AS (
+  SELECT *, CASE WHEN memo = 'fresh' THEN 'cached' WHEN waits THEN 'waiting' WHEN n > 3000 THEN 'deferred' WHEN ends_with(prompt, '13') THEN 'failed' ELSE 'answered' END AS outcome FROM sent)
+SELECT id, outcome, CASE WHEN outcome = 'answered' THEN '2:' || upper(prompt) WHEN memo <> 'missing' THEN '1:' || upper(title) END AS answer, CASE WHEN outcome = 'failed' THEN 'ValueError: unlucky' END AS error FROM told""",
+    "briefed_tasks": f"""WITH {_ITEMS}, {_LINES}, {_ATTACHED}, told AS (
+  SELECT *, CASE WHEN ordinal % 4 <> 0 THEN 'Do ' || title END AS summary, CASE WHEN ordinal % 4 <> 0 AND ordinal % 700 > 0 THEN ordinal % 700 END AS m FROM items LEFT JOIN handed USING (ordinal)),
+timed AS (SELECT *, round(m / 60.0, 1) AS h FROM told),
+est AS (SELECT *, CASE WHEN m < 60 THEN concat(m, ' min') ELSE {_short('h')} || ' h' END AS estimate FROM timed)
+SELECT id, estimate, md5(concat_ws(chr(10), 'Due: ' || coalesce({_when('due_at')}, 'none'), 'Course: ' || course, {_KIND}, 'Estimate: ~' || estimate, 'Link: ' || url, chr(10) || summary,
+       CASE WHEN summary IS NULL THEN chr(10) ELSE concat(chr(10), 'From the teacher:', chr(10)) END || description, chr(10) || 'Attachments:' || chr(10) || shown)) AS description FROM est""",
+    "office_files": r"""WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, CASE WHEN strlen(coalesce(text, '')) > 20000 THEN 2 + doc_id % 2 ELSE doc_id % 4 END AS k, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+f AS (
+  SELECT *, ['docx', 'pptx', 'txt', 'bin'][CAST(k AS INTEGER) + 1] AS ext, CASE WHEN doc_id % 7 = 0 AND k < 2 THEN array_to_string(lines[1:CAST(len(lines) // 2 AS INTEGER)], ' ') ELSE text END AS body FROM d WHERE k < 2 OR text <> ''),
+told AS (
+  SELECT *, CASE WHEN k = 3 THEN 'unsupported type' WHEN k = 2 AND strlen(text) > 30000 THEN 'too large' WHEN k = 1 AND len(lines) // CASE WHEN doc_id % 7 = 0 THEN 2 ELSE 1 END = 0 THEN 'cannot be read: ValueError' END AS error FROM f)
+SELECT concat(doc_id, '.', ext) AS name, CASE k WHEN 0 THEN 'docx' WHEN 1 THEN 'pptx' WHEN 2 THEN 'text' END AS format,
+       CASE WHEN error IS NULL THEN md5(trim(regexp_replace(body, '\s+', ' ', 'g'))) END AS text, error, false AS truncated FROM told""",
 }
