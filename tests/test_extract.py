@@ -53,3 +53,19 @@ def test_chunks_keep_lines_whole(spark):
     rows = extract.chunks(spark.createDataFrame([(1, body), (2, "short"), (3, ""), (4, None)], "id int, text string"), "text", 9).collect()
     got = [(r.id, r.part, r.chunk) for r in rows]
     assert got == [(1, 0, "ab\n"), (1, 1, "cdefgh\n"), (1, 2, "x" * 12 + "\n"), (1, 3, "i\nj"), (2, 0, "short"), (3, 0, "")]
+
+
+def test_a_tag_that_never_ends_is_text():
+    assert extract.html_text("<p>one</p> two < three <b")[0] == "one\ntwo < three <b"
+    assert extract.html_text('x <a href="y> z <i>w</i>')[0].startswith('x <a href="y>')
+    assert extract.open_ends('<a b="<c>"> <d e=\'>') == [12]
+    assert extract.open_ends("<!-- < <p <? <!x") == [5, 7, 10, 13]
+
+
+@pytest.mark.parametrize("piece", ["<a ", "a<b ", '<a "', "<a '\"", "<!x", "<?", "</p ", "<a b='"])
+def test_long_pages_of_tags_that_never_end_take_linear_time(piece):
+    import time
+
+    began = time.time()
+    text, _ = extract.html_text(piece * (1_000_000 // len(piece)))
+    assert time.time() - began < 20 and len(text) > 0 or piece in ("<!x", "<?")

@@ -148,12 +148,54 @@ class _Reader(HTMLParser):
         return tidy("".join(self.out[0]))
 
 
+#: Characters of private use, of which one stands for a < that is text.
+MARKS = [chr(c) for c in range(0xE000, 0xF900)]
+_SPECIAL = re.compile("[<>\"']")
+
+
+def open_ends(html: str) -> list[int]:
+    """The places of each < whose tag never ends, as no > follows it outside of quotes; in one pass from the end.
+
+    A tokenizer looks for that > to the end of the text again and again, once for each.
+    """
+    last = html.rfind(">")
+    found = []
+    # Whether a tag that is open here ends; and whether it would behind the next quote of a kind.
+    ends = False
+    behind = {'"': False, "'": False}
+    for m in reversed(list(_SPECIAL.finditer(html))):
+        c, at = m[0], m.start()
+        if c == ">":
+            ends = True
+        elif c != "<":
+            ends, behind[c] = behind[c], ends
+        elif html.startswith("<!--", at):
+            continue
+        elif html.startswith(("<!", "<?"), at):
+            if at > last:
+                found.append(at)
+        elif not ends:
+            found.append(at)
+    return found[::-1]
+
+
+def marked_open_ends(html: str, mark: str) -> str:
+    """html with a mark in place of each < of open_ends()."""
+    places = open_ends(html)
+    if not places:
+        return html
+    parts = [html[a + 1 : b] for a, b in zip([-1, *places], [*places, len(html)], strict=True)]
+    return mark.join(parts)
+
+
 def html_text(html: str | None) -> tuple[str, list[tuple[str, str, str]]]:
     """The text of an HTML document, and its links (href, text, file id), the first of each target."""
     reader = _Reader()
-    reader.feed(html or "")
+    mark = next(c for c in MARKS if c not in (html or ""))
+    reader.feed(marked_open_ends(html or "", mark))
     reader.close()
-    text = reader.finish()
+    text = reader.finish().replace(mark, "<")
+    reader.links = [tuple(x.replace(mark, "<") for x in link) for link in reader.links]
     seen: dict[str, tuple[str, str, str]] = {}
     for link in reader.links:
         seen.setdefault(link[2] or link[0], link)

@@ -6,7 +6,12 @@ from . import bindings as b
 from .landed_oracle import _PLANNER, _WORK
 from .landed_oracle import ORACLES as LANDED
 from .oracle import ORACLES as ORACLE
-from .oracle import _ATTACHED, _HOMEWORK, _ITEMS, _KIND, _LINES, _STATE, _pick, _rfc, _short, _when
+from .oracle import _ATTACHED, _HOMEWORK, _ITEMS, _KIND, _LINES, _STATE, _cut, _pick, _rfc, _short, _when
+
+#: What the pages' character references stand for.
+_DECODED = "replace(replace(replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+
+_PLAIN = r"regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[ \t\v\f]+(\n|$)', '\1', 'g')"
 
 _FETCHED = f"""WITH {_ITEMS}, {_PLANNER}, {_WORK}, gcal AS ({LANDED['calendar_feed']}), gdoc AS ({LANDED['whole_documents']})
 SELECT id, 'canvas' AS source, kind, coalesce(CASE WHEN c_custkey % 3 = 0 THEN concat('C-', c_custkey) ELSE 'Course ' || c_custkey END, CAST(cid AS VARCHAR)) AS course, CAST(cid AS VARCHAR) AS course_id, shown AS title, url,
@@ -58,4 +63,16 @@ told AS (
   SELECT *, CASE WHEN k = 3 THEN 'unsupported type' WHEN k = 2 AND strlen(text) > 30000 THEN 'too large' WHEN k = 1 AND len(lines) // CASE WHEN doc_id % 7 = 0 THEN 2 ELSE 1 END = 0 THEN 'cannot be read: ValueError' END AS error FROM f)
 SELECT concat(doc_id, '.', ext) AS name, CASE k WHEN 0 THEN 'docx' WHEN 1 THEN 'pptx' WHEN 2 THEN 'text' END AS format,
        CASE WHEN error IS NULL THEN md5(trim(regexp_replace(body, '\s+', ' ', 'g'))) END AS text, error, false AS truncated FROM told""",
+    "html_text": rf"""WITH bare AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<head>.*?</head>|<!--.*?-->|<!DOCTYPE[^>]*>', '', 'g'), '[ \t\n\r\f\v]+', ' ', 'g') AS h FROM pages),
+broken AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(h, '<li>', chr(10) || '- ', 'g'), '</?(p|li|ul|nav|div|article|h1|footer)(>| [^>]*>)|<br>', chr(10), 'g'), '<[^>]*>', '', 'g') AS t FROM bare),
+lines AS (SELECT page_id, trim(regexp_replace(t, ' *\n[ \n]*', chr(10), 'g'), ' ' || chr(10)) AS t FROM broken)
+SELECT page_id, {_DECODED.format('t')} AS text FROM lines""",
+    "html_links": rf"""WITH link AS (
+  SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) AS label,
+         unnest(range(len(regexp_extract_all(html, '<a href="([^"]*)">')))) AS k FROM pages),
+one AS (SELECT * FROM link QUALIFY row_number() OVER (PARTITION BY page_id, href ORDER BY k) = 1)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS INTEGER) AS position, {_DECODED.format('href')} AS href, {_DECODED.format('label')} AS label, true AS linkable FROM one""",
+    "plain_text": rf"""WITH t AS (SELECT doc_id, regexp_replace({_PLAIN}, '^\n+|\n+$', '', 'g') AS clean, strlen(text) AS size FROM documents)
+SELECT concat('doc', doc_id, ['.txt', '.csv', '.md'][CAST(doc_id % 3 AS INTEGER) + 1]) AS path, 'text' AS format, md5(CASE WHEN strlen(clean) <= 65536 THEN clean ELSE {_cut('left(clean, 65536)', 65536)} END) AS digest,
+       strlen(clean) > 65536 OR size > 262144 AS truncated, NULL AS error, true AS cacheable FROM t""",
 }
