@@ -92,3 +92,24 @@ def test_null_item_ids_repeated_rows_and_long_texts(spark):
     got = d.find_contamination(docs, items).collect()
     assert sorted((r.doc_id, r.n_words, [s.item_id for s in r.spans]) for r in got) == [(1, 14, ["3", None]), (1, 14, ["3", None]), (2, 200_014, ["3", None])]
     assert {r.doc_id: r.spans[0].start for r in got}[2] == 1_000_000
+
+
+def test_one_word_repeated_takes_linear_time():
+    import time
+
+    again, other = " ".join(["word"] * 20_000), " ".join(["a", "b"] * 5000)
+    items = d.Items([("r", again), ("s", other), ("t", "x " + " ".join(["word"] * 300) + " y")], 10)
+    began = time.time()
+    n, spans = d.scan(f"start {again} middle {other} end " + " ".join(["word"] * 9), items)
+    assert time.time() - began < 20
+    assert n == 30_012 and [s[:3] for s in spans] == [("r", 1, 20_000), ("s", 20_002, 30_001), ("t", 1, 20_000)]
+
+
+def test_repetitive_texts_equal_all_windows():
+    rng = random.Random(9)
+    for _ in range(30):
+        items = [(str(i), " ".join(rng.choice("ab") if rng.random() < 0.1 else "w" for _ in range(rng.randint(5, 300)))) for i in range(4)]
+        text = " ".join(rng.choice("abc") if rng.random() < 0.08 else "w" for _ in range(400))
+        n, spans = d.scan(text, d.Items(items, 10))
+        words, hit, ids = plain(text, items, 10)
+        assert (n, {w for s in spans for w in range(s[1], s[2] + 1)}, {s[0] for s in spans}) == (words, hit, ids)

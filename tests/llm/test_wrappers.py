@@ -129,3 +129,15 @@ def test_words_of_asides_and_of_headings():
         "<fieldset>f</fieldset><div class=reader-comments><p>Mine</p></div><div class=newsletter-signup>Join</div></article><div class=main-menu>Menu</div></body>"
     )
     assert w.main_text(page) == "Title\nOne\nTwo"
+
+
+def test_tags_that_never_end_take_linear_time():
+    import time
+
+    for piece in ("<a ", "a<b ", '<a "', "<a b='", "</p ", "<!x", "<script "):
+        began = time.time()
+        w.main_text("<p>First</p>" + piece * (1_000_000 // len(piece)))
+        assert time.time() - began < 20, piece
+    many = "".join(f"x <b{i} " for i in range(40))
+    assert w.main_text(f"<article><p>One</p>{many}") == f"One\n{many.strip()}"
+    assert w.main_text("<article>" + "a <b ' " * 41 + "<p>kept</p>").endswith("\nkept")

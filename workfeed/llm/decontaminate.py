@@ -96,11 +96,13 @@ class Items:
         if seeds:
             self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
             for key, places in seeds.items():
+                if len(key) == window:  # a whole window tells of an item all there is to tell, wherever the item has it
+                    places = dict(places).items()
                 self.automaton.add_word(key, (len(key), tuple(places)))
             self.automaton.make_automaton()
 
     def runs(self, words: list[bytes]) -> dict[int, list[tuple[int, int]]]:
-        """The stretches (first, last word) of a text's words by item number, each as long as it matches."""
+        """The stretches (first, last word) of a text's words by item number, as long as they match or in parts that together are."""
         get = self.number.get
         numbers = tuple(get(w, 0) for w in words)
         out: dict[int, list[tuple[int, int]]] = {}
@@ -108,6 +110,13 @@ class Items:
         for end, (size, places) in self.automaton.iter(numbers):
             start = end - size + 1
             for item, at in places:
+                if size == self.window:
+                    found = out.setdefault(item, [])
+                    if found and found[-1][0] <= start <= found[-1][1] + 1:
+                        found[-1] = (found[-1][0], max(end, found[-1][1]))
+                    else:
+                        found.append((start, end))
+                    continue
                 if upto.get((item, start - at), -1) >= start:
                     continue  # in a stretch that was compared already
                 own = self.words[item]

@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.extract import MARKS, marked_open_ends
 from .common import checkpoint, free_name
 from .urlrules import host_of
 
@@ -119,6 +120,28 @@ def by_word(key: str, inside: bool, words: set[str] = ASIDE_WORDS) -> bool:
     return bool(named - HEADER_WORDS if inside else named)
 
 
+#: Tags without an end that are looked for in the rest of a page before all of them are told at once.
+OPEN_ENDS = 16
+
+
+def tokens(html: str) -> Iterator[tuple[str | None, str | None, str | None, str, str | None]]:
+    """The groups of TOKEN, one match after the other. Once several tags have no end, those of the rest of the page are told in one pass, as each would be looked for to the end of the page."""
+    misses = 0
+    for m in TOKEN.finditer(html):
+        if m[5] == "<":
+            misses += 1
+            if misses > OPEN_ENDS:
+                break
+        yield m.groups()
+    else:
+        return
+    mark = next(c for c in MARKS if c not in html)
+    rest = marked_open_ends(html[m.start() :], mark)
+    for m in TOKEN.finditer(rest):
+        raw, close, tag, attributes, text = m.groups()
+        yield raw, close, tag, attributes and attributes.replace(mark, "<"), text and text.replace(mark, "<")
+
+
 def nested(html: str | None) -> list:
     """The page as [key, children]; a child is such an element or a text. Scripts, styles, comments and the like are left out.
 
@@ -127,8 +150,7 @@ def nested(html: str | None) -> list:
     """
     root: list = ["", []]
     stack = [root]
-    for m in TOKEN.finditer(html or ""):
-        raw, close, tag, attributes, text = m.groups()
+    for raw, close, tag, attributes, text in tokens(html or ""):
         if text is not None:
             stack[-1][1].append(unescape(text))
         elif raw is not None or tag is None:
