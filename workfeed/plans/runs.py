@@ -16,7 +16,7 @@ from .. import state
 from ..functions import text, times
 from ..keyed import KeyedTable
 from ..operators import briefs, extract, memo, render, sinks
-from ..sources import classroom, fetch, planner, schedule
+from ..sources import classroom, documents, fetch, ics, planner, schedule
 from ..sources import events as calendar
 from ..state import new_folder
 from ..streaming import streams
@@ -228,5 +228,28 @@ def office_files(spark, sf_dir):
     return found.select(name.alias("name"), "format", F.md5(F.trim(F.regexp_replace("text", r"\s+", " "))).alias("text"), "error", "truncated")
 
 
-NAMES = ["fetched_table", "fetch_errors", "homework_store", "stream_from_snapshot", "state_import", "action_log", "answer_cycle", "briefed_tasks", "office_files"]
+def due_texts(spark, sf_dir):
+    """Documents that have changed since an earlier run and are past their interval, read from the days on which they landed."""
+    path = new_folder(spark, "texts")
+    n = F.col("doc_id")
+    docs = q._table(spark, sf_dir, "documents").select("doc_id", F.date_add(F.lit("1998-05-01").cast("date"), (n % 20).cast("int")).alias("landed_on"), "text")
+    documents.land_texts(docs, path)
+    versioned = documents.with_text_version(docs)
+    known = versioned.where(n % 7 > 0).select("doc_id", F.when((n % 20 == 4) | (n % 20 == 9), "older").otherwise(F.col("version")).alias("version"), F.expr(f"{b.NOW} - INTERVAL '1' HOUR * CAST(doc_id % 11 AS INT)").cast("timestamp").alias("parsed_at"))
+    listed = versioned.where((n % 7 > 0) | (n % 20 == 2)).select("doc_id", "version", F.lit(4 * 3600).alias("interval_seconds"), "landed_on")
+    due = state.checkpoint(documents.due_documents(listed, known, F.expr(b.NOW).cast("timestamp")))
+    return documents.texts_of(due, path).select("doc_id", "version", F.date_format("landed_on", "yyyy-MM-dd").alias("landed_on"), F.md5("text").alias("digest"))
+
+
+def zoned_events(spark, sf_dir):
+    """iCalendar events with a named zone, without one in a feed that has one, and all-day ones."""
+    rows = b.bound(spark, sf_dir, b.EVENTS)
+    n, local = F.col("ordinal"), F.date_format("start_at", "yyyyMMdd'T'HHmmss")
+    start = F.when(n % 3 == 0, F.concat(F.lit(";TZID=America/New_York:"), local)).when(n % 3 == 1, F.concat(F.lit(";VALUE=DATE:"), F.date_format("start_at", "yyyyMMdd"))).otherwise(F.concat(F.lit(":"), local))
+    body = F.concat(F.lit("BEGIN:VCALENDAR\nX-WR-TIMEZONE:Europe/Paris\nBEGIN:VEVENT\nUID:"), n.cast("string"), F.lit("\nDTSTART"), start, F.lit("\nEND:VEVENT\nEND:VCALENDAR\n"))
+    found = ics.events(rows.select("feed", body.alias("body")))
+    return found.select(F.col("event_id").cast("bigint").alias("uid"), times.rfc3339(F.col("start_at")).alias("start_at"), "all_day")
+
+
+NAMES = ["fetched_table", "fetch_errors", "homework_store", "stream_from_snapshot", "state_import", "action_log", "answer_cycle", "briefed_tasks", "office_files", "due_texts", "zoned_events"]
 QUERIES = {name: globals()[name] for name in NAMES}

@@ -6,7 +6,7 @@ from . import bindings as b
 from .landed_oracle import _PLANNER, _WORK
 from .landed_oracle import ORACLES as LANDED
 from .oracle import ORACLES as ORACLE
-from .oracle import _ATTACHED, _HOMEWORK, _ITEMS, _KIND, _LINES, _STATE, _cut, _pick, _rfc, _short, _when
+from .oracle import _ATTACHED, _EVENTS, _HOMEWORK, _ITEMS, _KIND, _LINES, _STATE, _cut, _pick, _rfc, _short, _when
 
 #: What the pages' character references stand for.
 _DECODED = "replace(replace(replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
@@ -75,4 +75,9 @@ SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS
     "plain_text": rf"""WITH t AS (SELECT doc_id, regexp_replace({_PLAIN}, '^\n+|\n+$', '', 'g') AS clean, strlen(text) AS size FROM documents)
 SELECT concat('doc', doc_id, ['.txt', '.csv', '.md'][CAST(doc_id % 3 AS INTEGER) + 1]) AS path, 'text' AS format, md5(CASE WHEN strlen(clean) <= 65536 THEN clean ELSE {_cut('left(clean, 65536)', 65536)} END) AS digest,
        strlen(clean) > 65536 OR size > 262144 AS truncated, NULL AS error, true AS cacheable FROM t""",
+    "due_texts": """SELECT doc_id, concat('text:', substr(sha256(text), 1, 24)) AS version, strftime(DATE '1998-05-01' + CAST(doc_id % 20 AS INTEGER), '%Y-%m-%d') AS landed_on, md5(text) AS digest
+FROM documents WHERE (doc_id % 7 > 0 AND doc_id % 20 IN (4, 9) AND doc_id % 11 >= 4) OR (doc_id % 7 = 0 AND doc_id % 20 = 2)""",
+    "zoned_events": f"""WITH {_EVENTS}, e AS (SELECT ordinal, date_trunc('second', start_at) AS s FROM feed_events)
+SELECT ordinal AS uid, strftime(CASE ordinal % 3 WHEN 0 THEN timezone('UTC', timezone('America/New_York', s)) WHEN 1 THEN timezone('UTC', timezone('Europe/Paris', date_trunc('day', s) + INTERVAL '1439' MINUTE)) ELSE timezone('UTC', timezone('Europe/Paris', s)) END,
+       '%Y-%m-%dT%H:%M:%SZ') AS start_at, ordinal % 3 = 1 AS all_day FROM e""",
 }
