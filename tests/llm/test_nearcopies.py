@@ -67,3 +67,29 @@ def test_unlike_rows_of_one_key_both_stay(spark):
     docs = spark.createDataFrame([(1, one), (1, two), (2, two), (3, one), (1, one)], "doc_id long, text string")
     for drop in (nearcopies.drop_near_copies, simhash.drop_near_duplicates):
         assert sorted((r.doc_id, r.text) for r in drop(docs).collect()) == sorted([(1, one), (1, two)])
+
+
+def test_links_of_a_group_that_is_crowded_under_its_keys_are_all_found(spark):
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(3000)}" for _ in range(200)]
+    # Unlike the base and each other by four words, and each with a twin that differs by one more.
+    rows = [(i, edited(rng, base, 4)) for i in range(70)]
+    rows += [(100 + i, edited(rng, t.split(), 1)) for i, t in rows]
+    sets = {i: grams(t) for i, t in rows}
+    group = brute_components(sorted(sets), lambda a, b: alike(sets[a], sets[b]))
+    assert 40 < len(set(group.values())) < 100
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component for r in nearcopies.near_copies(docs, bands=60, rows=2, bucket=4).collect()}
+    assert got == group
+
+
+def test_links_across_groups_equal_brute_force(spark):
+    rng = random.Random(7)
+    sets = {i: sorted(rng.sample(range(60), rng.randint(1, 25))) for i in range(150)}
+    sets |= {200 + i: sorted({*s[1:], 99}) for i, s in list(sets.items())[:60]}
+    group = {i: rng.randrange(12) for i in sets}
+    table = spark.createDataFrame(sorted(sets.items()), "node long, s array<long>")
+    members = spark.createDataFrame(sorted(group.items()), "node long, group long")
+    near = {(a, b) for a in sets for b in sets if a < b and group[a] != group[b] and alike(set(sets[a]), set(sets[b]))}
+    got = [tuple(r) for r in nearcopies.links_across(members, table, 0.8).collect()]
+    assert len(near) > 20 and len(got) == len(set(got)) and set(got) == near

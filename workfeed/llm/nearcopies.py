@@ -11,12 +11,13 @@ rows is 0.9996 at 0.8. Texts meet by equality joins, and every meeting is verifi
 the exact similarity through a join with the shingles of the texts that met.
 
 Only different texts are indexed; copies share a node and meet again at the end. A
-key that more than `bucket` texts share is not expanded into pairs: its texts are
+key that more than `bucket` texts share is not expanded into pairs at first: its texts are
 compared with two of them, those of the smallest and largest hash under the band's
-number, so a group that shares all keys is compared with up to 2 * bands of its
-members, and those within two bits meet by SimHash in any case. Another link of such a
-group may be missed where two members resemble each other but none of the chosen
-ones; every other pair that shares a key is verified.
+number. That links most of a crowded group. Where a crowded key still has texts of several
+groups, these meet once more by an exact set-similarity join: of a text's shingles, rarest
+first, one of the first n - ceil(similarity * n) + 1 is shared by every text at that
+similarity, so equality joins on those shingles, between texts of different groups,
+find every link that is left. No pair that shares a key is lost.
 """
 
 from __future__ import annotations
@@ -79,15 +80,59 @@ def _shingles(text: Column, words: int) -> Column:
     return run(text)
 
 
-def candidates(keyed: DataFrame, bucket: int) -> DataFrame:
-    """(a, b), a < b: pairs of keyed (node, slot, key) that share a slot and key; see the module's text for keys over bucket."""
+def candidates(keyed: DataFrame, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, crowded) of keyed (node, slot, key): (a, b), a < b, that share a slot and key, of keys over bucket only those with two chosen nodes; and (slot, key, node) of these keys."""
     mark = F.struct(F.xxhash64("node", "slot").alias("h"), "node")
     sizes = keyed.groupBy("slot", "key").agg(F.count("*").alias("n"), F.min(mark).alias("low"), F.max(mark).alias("high")).where("n > 1")
     met = checkpoint(keyed.join(sizes, ["slot", "key"]).select("slot", "key", "node", "n", F.col("low.node").alias("low"), F.col("high.node").alias("high")))
-    few = met.where(F.col("n") <= bucket)
+    few, crowded = met.where(F.col("n") <= bucket), met.where(F.col("n") > bucket)
     pairs = few.select("slot", "key", F.col("node").alias("a")).join(few.select("slot", "key", F.col("node").alias("b")), ["slot", "key"]).select("a", "b")
-    chosen = met.where(F.col("n") > bucket).select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b"))
-    return pairs.unionByName(chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).where("a < b").distinct()
+    chosen = crowded.select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b"))
+    found = pairs.unionByName(chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).where("a < b").distinct()
+    return found, crowded.select("slot", "key", "node")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets (node, s) have at least the similarity; two empty sets are alike."""
+    left, right = (sets.select(F.col("node").alias(c), F.col("s").alias(f"{c}_s")) for c in ("a", "b"))
+    both = F.size(F.array_intersect("a_s", "b_s"))
+    enough = (both >= similarity * (F.size("a_s") + F.size("b_s") - both)) | ((F.size("a_s") == 0) & (F.size("b_s") == 0))
+    return pairs.join(left, "a").join(right, "b").where(enough).select("a", "b")
+
+
+def links_across(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all links of at least the similarity between members (node, group) of different groups; sets (node, s) has the shingles of each.
+
+    Shingles are put in one order for all, those of fewest members first; a text's first ones
+    (its own shingles, at most the text) are the keys, and keys of a single group join nothing.
+    """
+    held = checkpoint(members.join(sets, "node").where(F.size("s") > 0))
+    grams = held.select("node", "group", F.size("s").alias("n"), F.explode("s").alias("g"))
+    known = grams.groupBy("g").agg(F.count("*").alias("df"), (F.min("group") != F.max("group")).alias("shared"))
+    ranked = grams.join(checkpoint(known), "g").groupBy("node", "group", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g", "shared"))).alias("ranked"))
+    first = (F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1).cast("int")
+    keys = checkpoint(ranked.select("node", "group", "n", F.explode(F.slice("ranked", F.lit(1), first)).alias("r")).where("r.shared").select("node", "group", "n", "r.g"))
+    a, b = (keys.select("g", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "group", "n"))) for side in ("a", "b"))
+    sizes = F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n") - 1e-9
+    met = a.join(b, "g").where((F.col("a_node") < F.col("b_node")) & (F.col("a_group") != F.col("b_group")) & sizes)
+    return verified(met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct(), held.select("node", "s"), similarity)
+
+
+def completed(groups: DataFrame, crowded: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """groups (node, component) joined further by the links between nodes that share a crowded key (slot, key, node) and are not yet in one group."""
+    named = checkpoint(crowded.join(groups, "node", "left").select("slot", "key", "node", F.coalesce("component", "node").alias("group")))
+    split = named.groupBy("slot", "key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("slot", "key")
+    members = checkpoint(named.join(split, ["slot", "key"], "left_semi").select("node", "group").distinct())
+    if members.isEmpty():
+        return groups
+    links = checkpoint(links_across(members, sets, similarity))
+    if links.isEmpty():
+        return groups
+    ends = [members.select(F.col("node").alias(c), F.col("group").alias(f"{c}_group")) for c in ("a", "b")]
+    joined = checkpoint(connected_components(links.join(ends[0], "a").join(ends[1], "b"), "a_group", "b_group").select(F.col("node").alias("component"), F.col("component").alias("further")))
+    # A node without a link so far is a group of its own.
+    alone = joined.join(groups.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("node"), "component")
+    return groups.unionByName(alone).join(joined, "component", "left").select("node", F.coalesce("further", "component").alias("component"))
 
 
 def alike_prints(nodes: DataFrame, max_bits: int) -> DataFrame:
@@ -104,16 +149,13 @@ def _linked(docs: DataFrame, words: int, similarity: float, bands: int, rows: in
     """(found, nodes, groups) of docs (key, node, body): (key, node) of each row, (node, first) of each text, and (node, component) of texts that are linked."""
     found = checkpoint(docs.select("key", "node", _signature(F.col("body"), words, bands, rows).alias("s")))
     nodes = checkpoint(found.groupBy("node").agg(F.min("key").alias("first"), F.first("s").alias("s")))
-    banded = candidates(nodes.select("node", F.posexplode("s.keys").alias("slot", "key")), bucket)
+    banded, crowded = candidates(nodes.select("node", F.posexplode("s.keys").alias("slot", "key")), bucket)
     pairs = checkpoint(banded.unionByName(alike_prints(nodes.select("node", "s.fp"), max_bits)).distinct())
     wanted = reduce(DataFrame.unionByName, (pairs.select(F.col(c).alias("node")) for c in ("a", "b"))).distinct()
     texts = docs.select("node", "body").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("body").alias("body"))
     sets = checkpoint(texts.select("node", _shingles(F.col("body"), words).alias("s")))
-    left, right = (sets.select(F.col("node").alias(c), F.col("s").alias(f"{c}_s")) for c in ("a", "b"))
-    both = F.size(F.array_intersect("a_s", "b_s"))
-    enough = (both >= similarity * (F.size("a_s") + F.size("b_s") - both)) | ((F.size("a_s") == 0) & (F.size("b_s") == 0))
-    links = pairs.join(left, "a").join(right, "b").where(enough).select("a", "b")
-    return found.select("key", "node"), nodes.select("node", "first"), connected_components(links, "a", "b")
+    groups = checkpoint(connected_components(verified(pairs, sets, similarity), "a", "b"))
+    return found.select("key", "node"), nodes.select("node", "first"), completed(groups, crowded, sets, similarity)
 
 
 def _noded(documents: DataFrame, text: str, key: str) -> DataFrame:
