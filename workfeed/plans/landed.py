@@ -226,7 +226,7 @@ def json_export(spark, sf_dir):
 
 def schedule_texts(spark, sf_dir):
     """What rows and parts of schedule documents are told with."""
-    docs = extract.chunks(q._table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "text", 2048).withColumn("parts", F.count("*").over(Window.partitionBy("doc_id")))  # a document's own parts
+    docs = extract.chunks(q._table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "text", 6144).withColumn("parts", F.count("*").over(Window.partitionBy("doc_id")))  # a document's own parts
     today = F.expr(f"CAST({b.NOW} AS TIMESTAMP) + INTERVAL '1' DAY * CAST(doc_id % 30 AS INT)")
     prompt = schedule.chunk_prompt(F.col("source"), F.concat(F.lit("Doc "), F.col("doc_id").cast("string")), F.col("chunk"), F.col("part"), F.col("parts"), F.col("doc_id") % 5 == 0, today)
     said = schedule.row_description(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" Read "), "source")), F.when(F.col("doc_id") % 3 == 0, F.col("source")).otherwise(""), today)

@@ -173,18 +173,18 @@ _RIGHT = rf"regexp_replace({_LF}, '[ \t\v\f]+(\n|$)', '\1', 'g')"
 
 _TREE = "node AS (SELECT id, title, state, CASE WHEN id % 4 <> 0 THEN id - id % 4 END AS parent_id FROM listing)"
 
-#: Whole lines packed greedily into at most 2,048 bytes.
+#: Whole lines packed greedily into at most 6,144 bytes.
 _CHUNKS = r"""WITH RECURSIVE split AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
 line AS (
   SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i, s FROM (
-    SELECT doc_id, i, l[i] || CASE WHEN i < len(l) THEN chr(10) ELSE '' END AS s FROM split, unnest(range(1, len(l) + 1)) AS t(i) WHERE strlen(text) > 2048) WHERE s <> ''),
+    SELECT doc_id, i, l[i] || CASE WHEN i < len(l) THEN chr(10) ELSE '' END AS s FROM split, unnest(range(1, len(l) + 1)) AS t(i) WHERE strlen(text) > 6144) WHERE s <> ''),
 step AS (
   SELECT doc_id, i, s, 0 AS part, strlen(s) AS size FROM line WHERE i = 1
-  UNION ALL SELECT n.doc_id, n.i, n.s, CASE WHEN p.size + strlen(n.s) > 2048 THEN p.part + 1 ELSE p.part END, CASE WHEN p.size + strlen(n.s) > 2048 THEN strlen(n.s) ELSE p.size + strlen(n.s) END
+  UNION ALL SELECT n.doc_id, n.i, n.s, CASE WHEN p.size + strlen(n.s) > 6144 THEN p.part + 1 ELSE p.part END, CASE WHEN p.size + strlen(n.s) > 6144 THEN strlen(n.s) ELSE p.size + strlen(n.s) END
   FROM step p JOIN line n ON n.doc_id = p.doc_id AND n.i = p.i + 1),
 chunk AS (
   SELECT doc_id, part, string_agg(s, '' ORDER BY i) AS s FROM step GROUP BY doc_id, part
-  UNION ALL SELECT doc_id, 0, text FROM documents WHERE strlen(text) <= 2048)"""
+  UNION ALL SELECT doc_id, 0, text FROM documents WHERE strlen(text) <= 6144)"""
 
 ORACLES: dict[str, str] = {
     "doc_chunks": f"{_CHUNKS} SELECT doc_id, CAST(part AS INTEGER) AS part, CAST(strlen(s) AS BIGINT) AS n_bytes, md5(s) AS digest FROM chunk",
@@ -251,7 +251,7 @@ SELECT doc_id, CASE WHEN strlen(text) <= 101 THEN text ELSE {_cut('h', 101)} END
        CASE WHEN length(text) <= 60 THEN text ELSE left(text, 60) || '…' END AS chars_beyond FROM t""",
     "clean_text": rf"""SELECT doc_id, md5(regexp_replace({_RIGHT}, '^\n+|\n+$', '', 'g')) AS clean,
        md5(regexp_replace(regexp_replace({_RIGHT}, '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS tidy FROM documents""",
-    "strip_images": """SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN concat(substr(text, 1, 80), chr(10), '![x]((image)) end', chr(10), 'last') ELSE text END) AS stripped FROM documents""",
+    "strip_images": """SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN concat(text, chr(10), '![x]((image)) end', chr(10), 'last') ELSE text END) AS stripped FROM documents""",
     "announcement_titles": r"""WITH l AS (SELECT conv_id, turn, trim(split_part(trim(regexp_replace(text, '^\s+', '')), chr(10), 1)) AS line FROM conversations WHERE role = 'user')
 SELECT conv_id, turn, CASE WHEN line = '' THEN 'Announcement' WHEN length(line) <= 80 THEN line ELSE trim(left(line, 79)) || '…' END AS title FROM l""",
     "mime_class": f"""WITH {_LINES}, m AS (SELECT name, CAST(position % 6 AS INTEGER) AS k, regexp_extract(name, '\\.([a-z]+)$', 1) AS ext FROM line)

@@ -206,14 +206,13 @@ def clean_text(spark, sf_dir):
 
 
 def strip_images(spark, sf_dir):
-    """Image data in the whole text of every document; of the even ones the answer shows the beginning and the end."""
+    """Image data before and after the whole text of every document."""
     data = F.repeat(F.lit("QUJD"), 30)
     image = F.concat(F.lit("[image1]: <data:image/png;base64,"), data, F.lit(">\n"))
     ended = F.concat("text", F.lit("\n![x](data:image/png;base64,"), data, F.lit(") end\n"), image, F.lit("last"))
     even = F.col("doc_id") % 2 == 0
     stripped = text.strip_image_data(F.when(even, ended).otherwise(F.concat(image, "text")))
-    shown = F.when(even, F.concat(F.substring(stripped, 1, F.least(F.length("text"), F.lit(80))), F.substring(stripped, F.length("text") + 1, F.length(stripped)))).otherwise(stripped)
-    return _table(spark, sf_dir, "documents").select("doc_id", F.md5(shown).alias("stripped"))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.md5(stripped).alias("stripped"))
 
 
 def announcement_titles(spark, sf_dir):
@@ -222,7 +221,7 @@ def announcement_titles(spark, sf_dir):
 
 
 def doc_chunks(spark, sf_dir):
-    docs = extract.chunks(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", 2048)
+    docs = extract.chunks(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", 6144)
     return docs.select("doc_id", "part", F.octet_length("chunk").cast("bigint").alias("n_bytes"), F.md5("chunk").alias("digest"))
 
 
