@@ -33,7 +33,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Letters of a word that has at least this many are looked at.
 MIN_LENGTH = 7
 
-#: Groups of letters whose counts name a block; a block names GROUPS + GROUPS * (GROUPS - 1) / 2 others.
+#: Groups of letters whose counts name a block, with its length; letters of none are one more. Of these seven, a block names seven blocks of one letter more and the 21 of two groups.
 GROUPS = ("a", "eé", "iou", "bcdfghj", "klmn", "pqrs")
 
 #: Words of a part of a block, and letters: a part of long words has fewer.
