@@ -14,7 +14,7 @@ Only different texts are indexed; copies share a node and meet again at the end.
 key that more than `bucket` texts share is not expanded into pairs at first: its texts are
 compared with two of them, those of the smallest and largest hash under the band's
 number. That links most of a crowded group. Where a crowded key still has texts of several
-groups, these meet once more by an exact set-similarity join: of a text's shingles, rarest
+groups, those of them that can be linked by their distances to one of the two meet once more, by an exact set-similarity join: of a text's shingles, rarest
 first, one of the first n - ceil(similarity * n) + 1 is shared by every text at that
 similarity, so equality joins on those shingles, between texts of different groups,
 find every link that is left. No pair that shares a key is lost.
@@ -81,7 +81,7 @@ def _shingles(text: Column, words: int) -> Column:
 
 
 def candidates(keyed: DataFrame, bucket: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs, crowded) of keyed (node, slot, key): (a, b), a < b, that share a slot and key, of keys over bucket only those with two chosen nodes; and (slot, key, node) of these keys."""
+    """(pairs, crowded) of keyed (node, slot, key): (a, b), a < b, that share a slot and key, of keys over bucket only those with two chosen nodes; and (slot, key, node, low) of these keys, low being one of the two."""
     mark = F.struct(F.xxhash64("node", "slot").alias("h"), "node")
     sizes = keyed.groupBy("slot", "key").agg(F.count("*").alias("n"), F.min(mark).alias("low"), F.max(mark).alias("high")).where("n > 1")
     met = checkpoint(keyed.join(sizes, ["slot", "key"]).select("slot", "key", "node", "n", F.col("low.node").alias("low"), F.col("high.node").alias("high")))
@@ -89,15 +89,15 @@ def candidates(keyed: DataFrame, bucket: int) -> tuple[DataFrame, DataFrame]:
     pairs = few.select("slot", "key", F.col("node").alias("a")).join(few.select("slot", "key", F.col("node").alias("b")), ["slot", "key"]).select("a", "b")
     chosen = crowded.select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b"))
     found = pairs.unionByName(chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).where("a < b").distinct()
-    return found, crowded.select("slot", "key", "node")
+    return found, crowded.select("slot", "key", "node", "low")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets (node, s) have at least the similarity; two empty sets are alike."""
+def measured(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) with apart, the Jaccard distance of their sets (node, s), and alike, whether they have at least the similarity; two empty sets are alike."""
     left, right = (sets.select(F.col("node").alias(c), F.col("s").alias(f"{c}_s")) for c in ("a", "b"))
-    both = F.size(F.array_intersect("a_s", "b_s"))
-    enough = (both >= similarity * (F.size("a_s") + F.size("b_s") - both)) | ((F.size("a_s") == 0) & (F.size("b_s") == 0))
-    return pairs.join(left, "a").join(right, "b").where(enough).select("a", "b")
+    sized = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("a_s", "b_s")).alias("both"), (F.size("a_s") + F.size("b_s")).alias("n"))
+    whole = F.col("n") - F.col("both")
+    return sized.select("a", "b", F.when(whole == 0, 0.0).otherwise(1 - F.col("both") / whole).alias("apart"), (F.col("both") >= similarity * whole).alias("alike"))
 
 
 def links_across(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -115,14 +115,33 @@ def links_across(members: DataFrame, sets: DataFrame, similarity: float) -> Data
     a, b = (keys.select("g", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "group", "n"))) for side in ("a", "b"))
     sizes = F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n") - 1e-9
     met = a.join(b, "g").where((F.col("a_node") < F.col("b_node")) & (F.col("a_group") != F.col("b_group")) & sizes)
-    return verified(met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct(), held.select("node", "s"), similarity)
+    found = measured(met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct(), held.select("node", "s"), similarity)
+    return found.where("alike").select("a", "b")
 
 
-def completed(groups: DataFrame, crowded: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """groups (node, component) joined further by the links between nodes that share a crowded key (slot, key, node) and are not yet in one group."""
-    named = checkpoint(crowded.join(groups, "node", "left").select("slot", "key", "node", F.coalesce("component", "node").alias("group")))
-    split = named.groupBy("slot", "key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("slot", "key")
-    members = checkpoint(named.join(split, ["slot", "key"], "left_semi").select("node", "group").distinct())
+def in_reach(members: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """(node, group) of the members (slot, key, node, low, group) that may be linked to another group's member under their key.
+
+    The distance is a metric, so of two linked nodes the distances to the key's low differ by at
+    most 1 - similarity: nodes are put in rings of that width around it, and stay if their ring and the ones
+    beside it hold several groups. pairs (a, b, apart) has every node's distance to its low.
+    """
+    width = 1 - similarity + 1e-9
+    known = pairs.select("a", "b", "apart")
+    ends = (F.least("node", "low") == F.col("a")) & (F.greatest("node", "low") == F.col("b"))
+    far = F.when(F.col("node") == F.col("low"), 0.0).otherwise(F.col("apart"))
+    ringed = checkpoint(members.join(known, ends, "left").select("slot", "key", "node", "group", F.floor(far / width).cast("int").alias("ring")))
+    held = ringed.groupBy("slot", "key", "ring").agg(F.min("group").alias("low"), F.max("group").alias("high"))
+    beside = held.select("slot", "key", F.explode(F.array(*(F.col("ring") + d for d in (-1, 0, 1)))).alias("ring"), "low", "high")
+    mixed = beside.groupBy("slot", "key", "ring").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("slot", "key", "ring")
+    return ringed.join(checkpoint(mixed), ["slot", "key", "ring"], "left_semi").select("node", "group").distinct()
+
+
+def completed(groups: DataFrame, crowded: DataFrame, pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """groups (node, component) joined further by the links between nodes that share a crowded key (slot, key, node, low) and are not yet in one group; pairs is what was measured so far."""
+    named = checkpoint(crowded.join(groups, "node", "left").select("slot", "key", "node", "low", F.coalesce("component", "node").alias("group")))
+    split = named.groupBy("slot", "key").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least <> most").select("slot", "key")
+    members = checkpoint(in_reach(named.join(checkpoint(split), ["slot", "key"], "left_semi"), pairs, similarity))
     if members.isEmpty():
         return groups
     links = checkpoint(links_across(members, sets, similarity))
@@ -154,8 +173,9 @@ def _linked(docs: DataFrame, words: int, similarity: float, bands: int, rows: in
     wanted = reduce(DataFrame.unionByName, (pairs.select(F.col(c).alias("node")) for c in ("a", "b"))).distinct()
     texts = docs.select("node", "body").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("body").alias("body"))
     sets = checkpoint(texts.select("node", _shingles(F.col("body"), words).alias("s")))
-    groups = checkpoint(connected_components(verified(pairs, sets, similarity), "a", "b"))
-    return found.select("key", "node"), nodes.select("node", "first"), completed(groups, crowded, sets, similarity)
+    told = checkpoint(measured(pairs, sets, similarity))
+    groups = checkpoint(connected_components(told.where("alike"), "a", "b"))
+    return found.select("key", "node"), nodes.select("node", "first"), completed(groups, crowded, told, sets, similarity)
 
 
 def _noded(documents: DataFrame, text: str, key: str) -> DataFrame:
