@@ -111,10 +111,11 @@ def links_across(members: DataFrame, sets: DataFrame, similarity: float) -> Data
     known = grams.groupBy("g").agg(F.count("*").alias("df"), (F.min("group") != F.max("group")).alias("shared"))
     ranked = grams.join(checkpoint(known), "g").groupBy("node", "group", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g", "shared"))).alias("ranked"))
     first = (F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1).cast("int")
-    keys = checkpoint(ranked.select("node", "group", "n", F.explode(F.slice("ranked", F.lit(1), first)).alias("r")).where("r.shared").select("node", "group", "n", "r.g"))
-    a, b = (keys.select("g", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "group", "n"))) for side in ("a", "b"))
-    sizes = F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n") - 1e-9
-    met = a.join(b, "g").where((F.col("a_node") < F.col("b_node")) & (F.col("a_group") != F.col("b_group")) & sizes)
+    keys = checkpoint(ranked.select("node", "group", "n", F.posexplode(F.slice("ranked", F.lit(1), first)).alias("at", "r")).where("r.shared").select("node", "group", "r.g", (F.col("n") - F.col("at")).alias("left"), "n"))
+    a, b = (keys.select("g", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "group", "left", "n"))) for side in ("a", "b"))
+    # The first shingle that two alike sets share leaves each of them enough for what they must have in common.
+    common = F.ceil(similarity / (1 + similarity) * (F.col("a_n") + F.col("b_n")) - 1e-9)
+    met = a.join(b, "g").where((F.col("a_node") < F.col("b_node")) & (F.col("a_group") != F.col("b_group")) & (F.least("a_left", "b_left") >= common))
     found = measured(met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct(), held.select("node", "s"), similarity)
     return found.where("alike").select("a", "b")
 
