@@ -93,3 +93,34 @@ def test_links_across_groups_equal_brute_force(spark):
     near = {(a, b) for a in sets for b in sets if a < b and group[a] != group[b] and alike(set(sets[a]), set(sets[b]))}
     got = [tuple(r) for r in nearcopies.links_across(members, table, 0.8).collect()]
     assert len(near) > 20 and len(got) == len(set(got)) and set(got) == near
+
+
+def test_only_early_shingles_are_joined(spark, monkeypatch):
+    # Much in common, and behind it enough of their own that nothing in common is among a set's first.
+    sets = {i: [*range(100), *range(1000 * i + 1000, 1000 * i + 1031)] for i in range(60)}
+    sets[60] = [*sets[59][:-4], 7, 8]
+    sets = {i: sorted(set(s)) for i, s in sets.items()}
+    table = spark.createDataFrame(sorted(sets.items()), "node long, s array<long>")
+    members = spark.createDataFrame([(i, i) for i in sets], "node long, group long")
+    joined, whole = [], type(table).join
+
+    def counted(self, other, on=None, how=None):
+        out = whole(self, other, on, how)
+        if "g" in (on if isinstance(on, list) else [on]):
+            joined.append(out.count())
+        return out
+
+    monkeypatch.setattr(type(table), "join", counted)
+    assert [tuple(r) for r in nearcopies.links_across(members, table, 0.8).collect()] == [(59, 60)]
+    assert joined and sum(joined) < 600 < sum(map(len, sets.values())) / 10
+
+
+def test_a_crowd_of_many_sizes_equals_brute_force(spark):
+    rng = random.Random(8)
+    base = rng.sample(range(400), 120)
+    sets = {i: sorted({*rng.sample(base, rng.randint(80, 120)), *rng.sample(range(400, 100000), rng.randint(0, 25))}) for i in range(160)}
+    table = spark.createDataFrame(sorted(sets.items()), "node long, s array<long>")
+    members = spark.createDataFrame([(i, i % 37) for i in sets], "node long, group long")
+    near = {(a, b) for a in sets for b in sets if a < b and a % 37 != b % 37 and alike(set(sets[a]), set(sets[b]))}
+    got = [tuple(r) for r in nearcopies.links_across(members, table, 0.8).collect()]
+    assert len(near) > 200 and len(got) == len(set(got)) and set(got) == near

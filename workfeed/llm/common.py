@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..state import checkpoint
 
-__all__ = ["checkpoint", "free_name", "sha256_of", "small_batches", "table"]
+__all__ = ["checkpoint", "free_name", "partitions", "sha256_of", "small_batches", "table"]
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -33,6 +33,11 @@ def free_name(df: DataFrame, stem: str) -> str:
     return stem
 
 
+def partitions(rows: int) -> int:
+    """In how many partitions a table of that many rows of a few numbers each is kept, whatever number the session's shuffles have; for coalesce()."""
+    return -(-rows // 50_000) or 1
+
+
 def sha256_of(column) -> Column:
     """Lower-case hex SHA-256 of a string's UTF-8 bytes; of the empty text for null."""
     return F.sha2(F.coalesce(column.cast("string"), F.lit("")), 256)

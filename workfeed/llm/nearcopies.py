@@ -31,10 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, free_name
+from .common import checkpoint, free_name, partitions
 from .components import connected_components
 from .simhash import majority, near_fingerprints, shingle_hashes
 
+#: Counters of shingles, a power of two.
+COUNTERS = 1 << 17
+
 
 def shingles(text: str | None, words: int = 5) -> np.ndarray:
     """The hashes of a text's different word shingles, sorted; see simhash.shingle_hashes()."""
@@ -100,49 +103,92 @@ def measured(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return sized.select("a", "b", F.when(whole == 0, 0.0).otherwise(1 - F.col("both") / whole).alias("apart"), (F.col("both") >= similarity * whole).alias("alike"))
 
 
+def _first(counts: np.ndarray, similarity: float):
+    """A set's keys in order: its first n - ceil(similarity * n) + 1 shingles, those of small counts first."""
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for sets in batches:
+            out = []
+            for s in sets:
+                s = np.asarray(s, dtype=np.int64)
+                keys = len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1
+                out.append(s[np.lexsort((s, counts[s & (COUNTERS - 1)]))[:keys]])
+            yield pd.Series(out)
+
+    return run
+
+
 def links_across(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(a, b): all links of at least the similarity between members (node, group) of different groups; sets (node, s) has the shingles of each.
 
-    Shingles are put in one order for all, those of fewest members first; a text's first ones
-    (its own shingles, at most the text) are the keys, and keys of a single group join nothing.
+    Shingles are put in one order for all, rare ones first; a set's first ones (its own
+    shingles, at most the set) are the keys, and keys of a single group join nothing.
+    What is rare is told by a fixed number of counters that shingles share by their
+    bits: any order that is the same for all sets is exact, so no shingle has to be met
+    with its own count.
     """
     held = checkpoint(members.join(sets, "node").where(F.size("s") > 0))
-    grams = held.select("node", "group", F.size("s").alias("n"), F.explode("s").alias("g"))
-    known = grams.groupBy("g").agg(F.count("*").alias("df"), (F.min("group") != F.max("group")).alias("shared"))
-    ranked = grams.join(checkpoint(known), "g").groupBy("node", "group", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g", "shared"))).alias("ranked"))
-    first = (F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1).cast("int")
-    keys = checkpoint(ranked.select("node", "group", "n", F.posexplode(F.slice("ranked", F.lit(1), first)).alias("at", "r")).where("r.shared").select("node", "group", "r.g", (F.col("n") - F.col("at")).alias("left"), "n"))
-    a, b = (keys.select("g", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "group", "left", "n"))) for side in ("a", "b"))
-    # The first shingle that two alike sets share leaves each of them enough for what they must have in common.
-    common = F.ceil(similarity / (1 + similarity) * (F.col("a_n") + F.col("b_n")) - 1e-9)
-    met = a.join(b, "g").where((F.col("a_node") < F.col("b_node")) & (F.col("a_group") != F.col("b_group")) & (F.least("a_left", "b_left") >= common))
-    found = measured(met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct(), held.select("node", "s"), similarity)
+    counter = F.col("g").bitwiseAND(F.lit(COUNTERS - 1)).alias("c")
+    counts = np.zeros(COUNTERS, dtype=np.float32)
+    for c, n in held.select(F.explode("s").alias("g")).groupBy(counter).agg(F.count("*").alias("n")).collect():
+        counts[c] = n
+    keyed = held.select("node", "group", F.size("s").alias("n"), F.posexplode(_first(counts, similarity)(F.col("s"))).alias("at", "g"))
+    keyed = checkpoint(keyed.select("node", "group", "g", (F.col("n") - F.col("at")).alias("left"), "n"))
+    mixed = keyed.groupBy("g").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least <> most").select("g")
+    found = measured(_meetings(keyed.join(checkpoint(mixed), "g", "left_semi"), similarity), held.select("node", "s"), similarity)
     return found.where("alike").select("a", "b")
 
 
-def in_reach(members: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+def _meetings(keyed: DataFrame, similarity: float, width: float = 1.05) -> DataFrame:
+    """(a, b), a < b: sets of different groups that may be alike. keyed (node, group, g, left, n): a key g of a set of n, left of which are not before it.
+
+    The first key that two alike sets share leaves each of them enough for what they
+    must have in common, which the nearer they are in size is the more. So a key
+    serves only the sizes for which it is early enough, in bands that grow by width:
+    what a crowd of like size has in common behind its own shingles is no key within it.
+    """
+    share = similarity / (1 + similarity)
+    band = lambda n: F.floor(F.log(n) / F.log(F.lit(width)) + 1e-9).cast("int")
+    other = F.explode(F.sequence(band(F.greatest(F.lit(1.0), similarity * F.col("n") - 1e-6)), band(F.col("n") / similarity + 1e-6)))
+    reach = keyed.withColumn("own", band(F.col("n"))).withColumn("other", other)
+    least = F.greatest(F.pow(F.lit(width), F.col("other") - 1e-6), similarity * F.col("n"))
+    reach = reach.where(F.col("left") >= share * (F.col("n") + least) - 1e-6)
+    reach = checkpoint(reach.select("node", "group", "g", "left", "n", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")))
+    slot = ["g", "low", "high"]
+    sides = [F.max((F.col("own") == F.col(c)).cast("int")) for c in ("low", "high")]
+    mixed = reach.groupBy(*slot).agg(F.min("group").alias("least"), F.max("group").alias("most"), F.least(*sides).alias("both")).where("least <> most AND both = 1").select(*slot)
+    keys = checkpoint(reach.join(checkpoint(mixed), slot, "left_semi"))
+    a, b = (keys.where(F.col("own") == F.col(end)).select(*slot, *(F.col(c).alias(f"{side}_{c}") for c in ("node", "group", "left", "n"))) for side, end in (("a", "low"), ("b", "high")))
+    common = F.ceil(share * (F.col("a_n") + F.col("b_n")) - 1e-9)
+    met = a.join(b, slot).where(((F.col("low") < F.col("high")) | (F.col("a_node") < F.col("b_node"))) & (F.col("a_group") != F.col("b_group")) & (F.least("a_left", "b_left") >= common))
+    return met.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
+
+
+def in_reach(members: DataFrame, pairs: DataFrame, similarity: float, parts: int) -> DataFrame:
     """(node, group) of the members (slot, key, node, low, group) that may be linked to another group's member under their key.
 
     The distance is a metric, so of two linked nodes the distances to the key's low differ by at
     most 1 - similarity: nodes are put in rings of that width around it, and stay if their ring and the ones
-    beside it hold several groups. pairs (a, b, apart) has every node's distance to its low.
+    beside it hold several groups. pairs (a, b, apart) has every node's distance to its low; parts: see partitions().
     """
     width = 1 - similarity + 1e-9
     known = pairs.select("a", "b", "apart")
     ends = (F.least("node", "low") == F.col("a")) & (F.greatest("node", "low") == F.col("b"))
     far = F.when(F.col("node") == F.col("low"), 0.0).otherwise(F.col("apart"))
-    ringed = checkpoint(members.join(known, ends, "left").select("slot", "key", "node", "group", F.floor(far / width).cast("int").alias("ring")))
+    ringed = checkpoint(members.join(known, ends, "left").select("slot", "key", "node", "group", F.floor(far / width).cast("int").alias("ring")).coalesce(parts))
     held = ringed.groupBy("slot", "key", "ring").agg(F.min("group").alias("low"), F.max("group").alias("high"))
     beside = held.select("slot", "key", F.explode(F.array(*(F.col("ring") + d for d in (-1, 0, 1)))).alias("ring"), "low", "high")
     mixed = beside.groupBy("slot", "key", "ring").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("slot", "key", "ring")
-    return ringed.join(checkpoint(mixed), ["slot", "key", "ring"], "left_semi").select("node", "group").distinct()
+    return ringed.join(checkpoint(mixed.coalesce(parts)), ["slot", "key", "ring"], "left_semi").select("node", "group").distinct()
 
 
 def completed(groups: DataFrame, crowded: DataFrame, pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """groups (node, component) joined further by the links between nodes that share a crowded key (slot, key, node, low) and are not yet in one group; pairs is what was measured so far."""
-    named = checkpoint(crowded.join(groups, "node", "left").select("slot", "key", "node", "low", F.coalesce("component", "node").alias("group")))
+    parts = partitions(crowded.count())
+    named = checkpoint(crowded.coalesce(parts).join(groups, "node", "left").select("slot", "key", "node", "low", F.coalesce("component", "node").alias("group")).coalesce(parts))
     split = named.groupBy("slot", "key").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least <> most").select("slot", "key")
-    members = checkpoint(in_reach(named.join(checkpoint(split), ["slot", "key"], "left_semi"), pairs, similarity))
+    members = checkpoint(in_reach(named.join(checkpoint(split.coalesce(parts)), ["slot", "key"], "left_semi"), pairs, similarity, parts).coalesce(parts))
     if members.isEmpty():
         return groups
     links = checkpoint(links_across(members, sets, similarity))
