@@ -124,3 +124,48 @@ def test_a_crowd_of_many_sizes_equals_brute_force(spark):
     near = {(a, b) for a in sets for b in sets if a < b and a % 37 != b % 37 and alike(set(sets[a]), set(sets[b]))}
     got = [tuple(r) for r in nearcopies.links_across(members, table, 0.8).collect()]
     assert len(near) > 200 and len(got) == len(set(got)) and set(got) == near
+
+
+def test_keys_have_rows_only_for_sizes_in_reach_that_have_them(spark, monkeypatch):
+    sets = {i: sorted({*range(100), *range(1000 * i + 1000, 1000 * i + 1031)}) for i in range(60)}
+    sets[60] = [*sets[59][:-4], 7_000_000, 8_000_000]
+    table = spark.createDataFrame(sorted(sets.items()), "node long, s array<long>")
+    members = spark.createDataFrame([(i, i) for i in sets], "node long, group long")
+    made, whole = [], type(table).withColumn
+
+    def counted(self, name, column):
+        out = whole(self, name, column)
+        if name == "other":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(type(table), "withColumn", counted)
+    assert [tuple(r) for r in nearcopies.links_across(members, table, 0.8).collect()] == [(59, 60)]
+    # 27 and 26 keys, each for the two sizes alone; for all sizes in reach there were ten times the keys.
+    assert len(made) == 1 and 0 < made[0] <= 2 * (27 + 26)
+
+
+def test_small_tables_take_few_tasks_whatever_the_number_of_partitions(spark):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(3000)}" for _ in range(60)]
+    rows = [(i, edited(rng, base, 3)) for i in range(40)] + [(100 + i, f"other text {i} stands here alone with its words") for i in range(20)]
+    sets = {i: grams(t) for i, t in rows}
+    group = brute_components(sorted(sets), lambda a, b: alike(sets[a], sets[b]))
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    context = spark.sparkContext
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("few tasks", "")
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = {r.doc_id: r.component for r in nearcopies.near_copies(docs, bands=40, rows=2, bucket=4).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert got == group
+    told = context.statusTracker()
+    stages = {s for j in told.getJobIdsForGroup("few tasks") for s in told.getJobInfo(j).stageIds}
+    tasks = [i.numCompletedTasks for s in stages if (i := told.getStageInfo(s))]
+    assert sum(tasks) < 1000

@@ -33,9 +33,9 @@ def free_name(df: DataFrame, stem: str) -> str:
     return stem
 
 
-def partitions(rows: int) -> int:
-    """In how many partitions a table of that many rows of a few numbers each is kept, whatever number the session's shuffles have; for coalesce()."""
-    return -(-rows // 50_000) or 1
+def partitions(rows: int, each: int = 50_000) -> int:
+    """In how many partitions a table of that many rows of a few numbers each is kept, `each` in one, whatever number the session's shuffles have; for coalesce()."""
+    return -(-rows // each) or 1
 
 
 def sha256_of(column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import checkpoint, partitions
 
 
-def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
+def connected_components(edges: DataFrame, left: str, right: str, each: int = 50_000) -> DataFrame:
     """(node, component): for every node of edges the smallest node it reaches.
 
     Alternates the large-star and small-star steps, which keep each node's
@@ -17,8 +17,8 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     minimum, which is written and joined back, so that a node with very many
     neighbours is split where it is joined. Null ends and self links are no edges; an
     empty table gives an empty result. Edges are kept in as few partitions as their
-    number needs, whatever number the session's shuffles have: a round is a dozen of
-    them, and for a small graph their tasks and files would be most of the work.
+    number needs, `each` in one, whatever number the session's shuffles have: a round is a
+    dozen of them, and for a small graph their tasks and files would be most of the work.
     """
     now = checkpoint(
         edges.select(F.col(left).alias("u"), F.col(right).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v").distinct()
@@ -32,7 +32,7 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
         if (state.n, state.h) == before:
             break
         before = (state.n, state.h)
-        parts = partitions(state.n)
+        parts = partitions(state.n, each)
         now = checkpoint(_small_star(_large_star(now.coalesce(parts), parts), parts).coalesce(parts))
     ends = now.select(F.greatest("u", "v").alias("node"), F.least("u", "v").alias("component"))
     roots = ends.select(F.col("component").alias("node"), "component")

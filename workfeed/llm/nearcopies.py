@@ -31,13 +31,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, free_name, partitions
+from .common import checkpoint, free_name
+from .common import partitions as partitions_of
 from .components import connected_components
-from .simhash import majority, near_fingerprints, shingle_hashes
+from .simhash import BITS, majority, near_fingerprints, shingle_hashes
 
 #: Counters of shingles, a power of two.
 COUNTERS = 1 << 17
 
+#: Rows of a few numbers that one partition holds of a table that is small for the session's number of them.
+EACH = 200_000
+
+
+def partitions(rows: int) -> int:
+    """In how many partitions a table of that many rows of a few numbers each is kept; tables of a single one meet without a shuffle."""
+    return partitions_of(rows, EACH)
+
 
 def shingles(text: str | None, words: int = 5) -> np.ndarray:
     """The hashes of a text's different word shingles, sorted; see simhash.shingle_hashes()."""
@@ -83,22 +92,22 @@ def _shingles(text: Column, words: int) -> Column:
     return run(text)
 
 
-def candidates(keyed: DataFrame, bucket: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs, crowded) of keyed (node, slot, key): (a, b), a < b, that share a slot and key, of keys over bucket only those with two chosen nodes; and (slot, key, node, low) of these keys, low being one of the two."""
+def candidates(keyed: DataFrame, bucket: int, parts: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, crowded) of keyed (node, slot, key): (a, b), a < b, that share a slot and key, of keys over bucket only those with two chosen nodes; and (slot, key, node, low) of these keys, low being one of the two. parts: see partitions()."""
     mark = F.struct(F.xxhash64("node", "slot").alias("h"), "node")
     sizes = keyed.groupBy("slot", "key").agg(F.count("*").alias("n"), F.min(mark).alias("low"), F.max(mark).alias("high")).where("n > 1")
-    met = checkpoint(keyed.join(sizes, ["slot", "key"]).select("slot", "key", "node", "n", F.col("low.node").alias("low"), F.col("high.node").alias("high")))
+    met = checkpoint(keyed.join(sizes, ["slot", "key"]).select("slot", "key", "node", "n", F.col("low.node").alias("low"), F.col("high.node").alias("high")).coalesce(parts))
     few, crowded = met.where(F.col("n") <= bucket), met.where(F.col("n") > bucket)
-    pairs = few.select("slot", "key", F.col("node").alias("a")).join(few.select("slot", "key", F.col("node").alias("b")), ["slot", "key"]).select("a", "b")
+    pairs = few.select("slot", "key", F.col("node").alias("a")).join(few.select("slot", "key", F.col("node").alias("b")), ["slot", "key"]).select("a", "b").coalesce(parts)
     chosen = crowded.select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b"))
-    found = pairs.unionByName(chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).where("a < b").distinct()
+    found = pairs.unionByName(chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).where("a < b")
     return found, crowded.select("slot", "key", "node", "low")
 
 
-def measured(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) with apart, the Jaccard distance of their sets (node, s), and alike, whether they have at least the similarity; two empty sets are alike."""
+def measured(pairs: DataFrame, sets: DataFrame, similarity: float, parts: int) -> DataFrame:
+    """The pairs (a, b) with apart, the Jaccard distance of their sets (node, s), and alike, whether they have at least the similarity; two empty sets are alike. parts: see partitions()."""
     left, right = (sets.select(F.col("node").alias(c), F.col("s").alias(f"{c}_s")) for c in ("a", "b"))
-    sized = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("a_s", "b_s")).alias("both"), (F.size("a_s") + F.size("b_s")).alias("n"))
+    sized = pairs.join(left, "a").coalesce(parts).join(right, "b").coalesce(parts).select("a", "b", F.size(F.array_intersect("a_s", "b_s")).alias("both"), (F.size("a_s") + F.size("b_s")).alias("n"))
     whole = F.col("n") - F.col("both")
     return sized.select("a", "b", F.when(whole == 0, 0.0).otherwise(1 - F.col("both") / whole).alias("apart"), (F.col("both") >= similarity * whole).alias("alike"))
 
@@ -119,6 +128,11 @@ def _first(counts: np.ndarray, similarity: float):
     return run
 
 
+def _weighed(sets: DataFrame) -> int:
+    """partitions() of the shingles of sets (s)."""
+    return partitions(sets.agg(F.sum(F.size("s"))).first()[0] or 0)
+
+
 def links_across(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(a, b): all links of at least the similarity between members (node, group) of different groups; sets (node, s) has the shingles of each.
 
@@ -128,37 +142,41 @@ def links_across(members: DataFrame, sets: DataFrame, similarity: float) -> Data
     bits: any order that is the same for all sets is exact, so no shingle has to be met
     with its own count.
     """
-    held = checkpoint(members.join(sets, "node").where(F.size("s") > 0))
+    held = checkpoint(members.join(sets, "node").where(F.size("s") > 0).coalesce(_weighed(sets)))
+    parts = _weighed(held)
     counter = F.col("g").bitwiseAND(F.lit(COUNTERS - 1)).alias("c")
     counts = np.zeros(COUNTERS, dtype=np.float32)
     for c, n in held.select(F.explode("s").alias("g")).groupBy(counter).agg(F.count("*").alias("n")).collect():
         counts[c] = n
     keyed = held.select("node", "group", F.size("s").alias("n"), F.posexplode(_first(counts, similarity)(F.col("s"))).alias("at", "g"))
     keyed = checkpoint(keyed.select("node", "group", "g", (F.col("n") - F.col("at")).alias("left"), "n"))
-    mixed = keyed.groupBy("g").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least <> most").select("g")
-    found = measured(_meetings(keyed.join(checkpoint(mixed), "g", "left_semi"), similarity), held.select("node", "s"), similarity)
+    found = measured(_meetings(keyed, similarity, parts), held.select("node", "s"), similarity, parts)
     return found.where("alike").select("a", "b")
 
 
-def _meetings(keyed: DataFrame, similarity: float, width: float = 1.05) -> DataFrame:
-    """(a, b), a < b: sets of different groups that may be alike. keyed (node, group, g, left, n): a key g of a set of n, left of which are not before it.
+def _meetings(keyed: DataFrame, similarity: float, parts: int, width: float = 1.05) -> DataFrame:
+    """(a, b), a < b: sets of different groups that may be alike. keyed (node, group, g, left, n): a key g of a set of n, left of which are not before it. parts: see partitions().
 
     The first key that two alike sets share leaves each of them enough for what they
     must have in common, which the nearer they are in size is the more. So a key
     serves only the sizes for which it is early enough, in bands that grow by width:
     what a crowd of like size has in common behind its own shingles is no key within it.
+    A key has a row for each of these bands alone, and for none in which no set has it.
     """
     share = similarity / (1 + similarity)
     band = lambda n: F.floor(F.log(n) / F.log(F.lit(width)) + 1e-9).cast("int")
-    other = F.explode(F.sequence(band(F.greatest(F.lit(1.0), similarity * F.col("n") - 1e-6)), band(F.col("n") / similarity + 1e-6)))
-    reach = keyed.withColumn("own", band(F.col("n"))).withColumn("other", other)
+    mixed = keyed.groupBy("g").agg(F.min("group").alias("least"), F.max("group").alias("most"), F.min("n").alias("from"), F.max("n").alias("to")).where("least <> most").select("g", "from", "to")
+    shared = keyed.coalesce(parts).join(checkpoint(mixed.coalesce(parts)), "g")
+    early = (F.col("left") / share - F.col("n")) * (1 + 1e-6) + 1e-3
+    reach = shared.withColumn("least", F.greatest(F.lit(1.0), similarity * F.col("n") - 1e-6, F.col("from"))).withColumn("most", F.least(F.col("n") / similarity + 1e-6, F.col("to"), early))
+    reach = reach.where("least <= most").withColumn("own", band(F.col("n"))).withColumn("other", F.explode(F.sequence(band(F.col("least")), band(F.col("most")))))
     least = F.greatest(F.pow(F.lit(width), F.col("other") - 1e-6), similarity * F.col("n"))
     reach = reach.where(F.col("left") >= share * (F.col("n") + least) - 1e-6)
-    reach = checkpoint(reach.select("node", "group", "g", "left", "n", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")))
+    reach = checkpoint(reach.select("node", "group", "g", "left", "n", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).coalesce(parts))
     slot = ["g", "low", "high"]
     sides = [F.max((F.col("own") == F.col(c)).cast("int")) for c in ("low", "high")]
     mixed = reach.groupBy(*slot).agg(F.min("group").alias("least"), F.max("group").alias("most"), F.least(*sides).alias("both")).where("least <> most AND both = 1").select(*slot)
-    keys = checkpoint(reach.join(checkpoint(mixed), slot, "left_semi"))
+    keys = checkpoint(reach.coalesce(parts).join(checkpoint(mixed.coalesce(parts)).coalesce(parts), slot, "left_semi").coalesce(parts))
     a, b = (keys.where(F.col("own") == F.col(end)).select(*slot, *(F.col(c).alias(f"{side}_{c}") for c in ("node", "group", "left", "n"))) for side, end in (("a", "low"), ("b", "high")))
     common = F.ceil(share * (F.col("a_n") + F.col("b_n")) - 1e-9)
     met = a.join(b, slot).where(((F.col("low") < F.col("high")) | (F.col("a_node") < F.col("b_node"))) & (F.col("a_group") != F.col("b_group")) & (F.least("a_left", "b_left") >= common))
@@ -173,55 +191,63 @@ def in_reach(members: DataFrame, pairs: DataFrame, similarity: float, parts: int
     beside it hold several groups. pairs (a, b, apart) has every node's distance to its low; parts: see partitions().
     """
     width = 1 - similarity + 1e-9
-    known = pairs.select("a", "b", "apart")
+    known = pairs.select("a", "b", "apart").coalesce(parts)
     ends = (F.least("node", "low") == F.col("a")) & (F.greatest("node", "low") == F.col("b"))
     far = F.when(F.col("node") == F.col("low"), 0.0).otherwise(F.col("apart"))
-    ringed = checkpoint(members.join(known, ends, "left").select("slot", "key", "node", "group", F.floor(far / width).cast("int").alias("ring")).coalesce(parts))
-    held = ringed.groupBy("slot", "key", "ring").agg(F.min("group").alias("low"), F.max("group").alias("high"))
+    ringed = checkpoint(members.coalesce(parts).join(known, ends, "left").select("slot", "key", "node", "group", F.floor(far / width).cast("int").alias("ring")).coalesce(parts))
+    held = ringed.coalesce(parts).groupBy("slot", "key", "ring").agg(F.min("group").alias("low"), F.max("group").alias("high"))
     beside = held.select("slot", "key", F.explode(F.array(*(F.col("ring") + d for d in (-1, 0, 1)))).alias("ring"), "low", "high")
     mixed = beside.groupBy("slot", "key", "ring").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("slot", "key", "ring")
-    return ringed.join(checkpoint(mixed.coalesce(parts)), ["slot", "key", "ring"], "left_semi").select("node", "group").distinct()
+    return ringed.coalesce(parts).join(checkpoint(mixed.coalesce(parts)).coalesce(parts), ["slot", "key", "ring"], "left_semi").select("node", "group").distinct()
 
 
 def completed(groups: DataFrame, crowded: DataFrame, pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """groups (node, component) joined further by the links between nodes that share a crowded key (slot, key, node, low) and are not yet in one group; pairs is what was measured so far."""
-    parts = partitions(crowded.count())
-    named = checkpoint(crowded.coalesce(parts).join(groups, "node", "left").select("slot", "key", "node", "low", F.coalesce("component", "node").alias("group")).coalesce(parts))
+    parts = partitions(crowded.count() + pairs.count())
+    named = checkpoint(crowded.coalesce(parts).join(groups.coalesce(parts), "node", "left").select("slot", "key", "node", "low", F.coalesce("component", "node").alias("group")).coalesce(parts))
+    named = named.coalesce(parts)
     split = named.groupBy("slot", "key").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least <> most").select("slot", "key")
-    members = checkpoint(in_reach(named.join(checkpoint(split.coalesce(parts)), ["slot", "key"], "left_semi"), pairs, similarity, parts).coalesce(parts))
+    members = checkpoint(in_reach(named.join(checkpoint(split.coalesce(parts)).coalesce(parts), ["slot", "key"], "left_semi"), pairs, similarity, parts).coalesce(parts))
     if members.isEmpty():
         return groups
     links = checkpoint(links_across(members, sets, similarity))
-    if links.isEmpty():
+    if not (more := links.count()):
         return groups
-    ends = [members.select(F.col("node").alias(c), F.col("group").alias(f"{c}_group")) for c in ("a", "b")]
-    joined = checkpoint(connected_components(links.join(ends[0], "a").join(ends[1], "b"), "a_group", "b_group").select(F.col("node").alias("component"), F.col("component").alias("further")))
+    parts = partitions(more + groups.count() + members.count())
+    groups = groups.coalesce(parts)
+    ends = [members.select(F.col("node").alias(c), F.col("group").alias(f"{c}_group")).coalesce(parts) for c in ("a", "b")]
+    met = links.coalesce(parts).join(ends[0], "a").coalesce(parts).join(ends[1], "b").coalesce(parts)
+    joined = checkpoint(connected_components(met, "a_group", "b_group", EACH).select(F.col("node").alias("component"), F.col("component").alias("further")).coalesce(parts)).coalesce(parts)
     # A node without a link so far is a group of its own.
     alone = joined.join(groups.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("node"), "component")
-    return groups.unionByName(alone).join(joined, "component", "left").select("node", F.coalesce("further", "component").alias("component"))
+    return checkpoint(groups.unionByName(alone).coalesce(parts).join(joined, "component", "left").select("node", F.coalesce("further", "component").alias("component")).coalesce(parts))
 
 
-def alike_prints(nodes: DataFrame, max_bits: int) -> DataFrame:
-    """(a, b), a < b: nodes (node, fp) that SimHash links: of equal fingerprints each with the first, of near ones the first of each."""
-    firsts = checkpoint(nodes.groupBy("fp").agg(F.min("node").alias("one")))
-    near = near_fingerprints(firsts.select("fp"), max_bits)
+def alike_prints(nodes: DataFrame, max_bits: int, n: int) -> DataFrame:
+    """(a, b), a < b: nodes (node, fp), at most n, that SimHash links: of equal fingerprints each with the first, of near ones the first of each."""
+    parts = partitions(n)
+    nodes = nodes.coalesce(parts)
+    firsts = checkpoint(nodes.groupBy("fp").agg(F.min("node").alias("one")).coalesce(parts)).coalesce(parts)
+    near = checkpoint(near_fingerprints(firsts.select("fp"), max_bits, parts=partitions(BITS * n)).coalesce(parts)).coalesce(parts)
     ends = [firsts.select(F.col("fp").alias(c), F.col("one").alias(f"{c}_one")) for c in ("a", "b")]
-    far = near.join(ends[0], "a").join(ends[1], "b").select(F.col("a_one").alias("a"), F.col("b_one").alias("b"))
-    same = nodes.join(firsts, "fp").select(F.col("node").alias("a"), F.col("one").alias("b"))
-    return far.unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+    far = near.join(ends[0], "a").coalesce(parts).join(ends[1], "b").coalesce(parts).select(F.col("a_one").alias("a"), F.col("b_one").alias("b"))
+    same = nodes.join(firsts, "fp").coalesce(parts).select(F.col("node").alias("a"), F.col("one").alias("b"))
+    return far.unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b")
 
 
 def _linked(docs: DataFrame, words: int, similarity: float, bands: int, rows: int, bucket: int, max_bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(found, nodes, groups) of docs (key, node, body): (key, node) of each row, (node, first) of each text, and (node, component) of texts that are linked."""
     found = checkpoint(docs.select("key", "node", _signature(F.col("body"), words, bands, rows).alias("s")))
-    nodes = checkpoint(found.groupBy("node").agg(F.min("key").alias("first"), F.first("s").alias("s")))
-    banded, crowded = candidates(nodes.select("node", F.posexplode("s.keys").alias("slot", "key")), bucket)
-    pairs = checkpoint(banded.unionByName(alike_prints(nodes.select("node", "s.fp"), max_bits)).distinct())
+    n = found.count()
+    keyed, long = partitions(bands * n), partitions(BITS * n)
+    nodes = checkpoint(found.groupBy("node").agg(F.min("key").alias("first"), F.first("s").alias("s")).coalesce(keyed))
+    banded, crowded = candidates(nodes.select("node", F.posexplode("s.keys").alias("slot", "key")), bucket, keyed)
+    pairs = checkpoint(banded.unionByName(alike_prints(nodes.select("node", "s.fp"), max_bits, n)).distinct().coalesce(keyed))
     wanted = reduce(DataFrame.unionByName, (pairs.select(F.col(c).alias("node")) for c in ("a", "b"))).distinct()
     texts = docs.select("node", "body").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("body").alias("body"))
-    sets = checkpoint(texts.select("node", _shingles(F.col("body"), words).alias("s")))
-    told = checkpoint(measured(pairs, sets, similarity))
-    groups = checkpoint(connected_components(told.where("alike"), "a", "b"))
+    sets = checkpoint(texts.coalesce(long).select("node", _shingles(F.col("body"), words).alias("s")))
+    told = checkpoint(measured(pairs, sets, similarity, long))
+    groups = checkpoint(connected_components(told.where("alike"), "a", "b", EACH).coalesce(partitions(n)))
     return found.select("key", "node"), nodes.select("node", "first"), completed(groups, crowded, told, sets, similarity)
 
 
@@ -241,9 +267,11 @@ def near_groups(
 def _grouped(documents: DataFrame, text: str, key: str, words: int, similarity: float, bands: int, rows: int, bucket: int, max_bits: int) -> DataFrame:
     """(key, node, kept): each row's text as a hash, and the smallest (key, node) of its group."""
     found, nodes, groups = _linked(_noded(documents, text, key), words, similarity, bands, rows, bucket, max_bits)
-    named = nodes.select("node", "first").join(groups, "node", "left").select("node", "first", F.coalesce("component", "node").alias("group"))
-    least = named.groupBy("group").agg(F.min(F.when(F.col("first").isNotNull(), F.struct("first", "node"))).alias("kept"))
-    return found.join(named.join(least, "group").select("node", "kept"), "node")
+    parts = partitions(found.count())
+    named = nodes.select("node", "first").coalesce(parts).join(groups.coalesce(parts), "node", "left").select("node", "first", F.coalesce("component", "node").alias("group"))
+    named = checkpoint(named.coalesce(parts)).coalesce(parts)
+    least = named.groupBy("group").agg(F.min(F.when(F.col("first").isNotNull(), F.struct("first", "node"))).alias("kept")).coalesce(parts)
+    return found.coalesce(parts).join(named.join(least, "group").select("node", "kept").coalesce(parts), "node").coalesce(parts)
 
 
 def near_copies(

@@ -101,24 +101,29 @@ def _first_slot(apart: Column, max_bits: int) -> Column:
     return out.cast("smallint")
 
 
-def near_fingerprints(prints: DataFrame, max_bits: int = 2, bucket: int = 1024) -> DataFrame:
+def near_fingerprints(prints: DataFrame, max_bits: int = 2, bucket: int = 1024, parts: int | None = None) -> DataFrame:
     """(a, b), a < b: links that connect all fingerprints within max_bits of each other.
 
     prints: a column fp of distinct longs. Every pair within the distance is in the
     result, or else both its ends are linked to a third within the distance of both.
+    parts: in how many partitions the variants are kept at most; as many as shuffles have without it.
     """
+    most = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # As many tasks as the variants need, which are 64 times the fingerprints' bytes.
     # Dealt round, as a shuffle by fp again would be left out and its parts joined.
-    spread = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spread = prints.repartition(min(most, parts or most))
     keyed = spread.select("fp", F.explode(_variants(F.col("fp"), max_bits)).alias("v")).select("fp", "v.slot", "v.key")
     sizes = keyed.groupBy("slot", "key").agg(F.count("*").alias("n")).where("n > 1")
-    met = checkpoint(keyed.join(sizes, ["slot", "key"]))
+    met = keyed.join(sizes, ["slot", "key"])
+    met = checkpoint(met.coalesce(parts) if parts else met)
     apart = F.col("a").bitwiseXOR(F.col("b"))
     near = (F.bit_count(apart) <= max_bits) & (F.col("slot") == _first_slot(apart, max_bits))
     few = met.where(F.col("n") <= bucket)
     left = few.select("slot", "key", F.col("fp").alias("a"))
     right = few.select("slot", "key", F.col("fp").alias("b"))
     pairs = left.join(right, ["slot", "key"]).where((F.col("a") < F.col("b")) & near).select("a", "b")
+    if parts and met.where(F.col("n") > bucket).isEmpty():
+        return pairs.distinct()
     crowded = met.where(F.col("n") > bucket).select("fp").distinct()
     masks = [_mask(b for b in range(BITS) if b not in gone) for gone in combinations(range(BITS), max_bits)]
     patterns = F.posexplode(F.transform(F.array(*map(F.lit, masks)), lambda m: F.col("fp").bitwiseAND(m)))
