@@ -128,11 +128,6 @@ def _first(counts: np.ndarray, similarity: float):
     return run
 
 
-def _weighed(sets: DataFrame) -> int:
-    """partitions() of the shingles of sets (s)."""
-    return partitions(sets.agg(F.sum(F.size("s"))).first()[0] or 0)
-
-
 def links_across(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(a, b): all links of at least the similarity between members (node, group) of different groups; sets (node, s) has the shingles of each.
 
@@ -142,8 +137,8 @@ def links_across(members: DataFrame, sets: DataFrame, similarity: float) -> Data
     bits: any order that is the same for all sets is exact, so no shingle has to be met
     with its own count.
     """
-    held = checkpoint(members.join(sets, "node").where(F.size("s") > 0).coalesce(_weighed(sets)))
-    parts = _weighed(held)
+    held = checkpoint(members.join(sets, "node").where(F.size("s") > 0))
+    parts = partitions(held.agg(F.sum(F.size("s"))).first()[0] or 0)
     counter = F.col("g").bitwiseAND(F.lit(COUNTERS - 1)).alias("c")
     counts = np.zeros(COUNTERS, dtype=np.float32)
     for c, n in held.select(F.explode("s").alias("g")).groupBy(counter).agg(F.count("*").alias("n")).collect():
@@ -245,7 +240,7 @@ def _linked(docs: DataFrame, words: int, similarity: float, bands: int, rows: in
     pairs = checkpoint(banded.unionByName(alike_prints(nodes.select("node", "s.fp"), max_bits, n)).distinct().coalesce(keyed))
     wanted = reduce(DataFrame.unionByName, (pairs.select(F.col(c).alias("node")) for c in ("a", "b"))).distinct()
     texts = docs.select("node", "body").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("body").alias("body"))
-    sets = checkpoint(texts.coalesce(long).select("node", _shingles(F.col("body"), words).alias("s")))
+    sets = checkpoint(texts.select("node", _shingles(F.col("body"), words).alias("s")))
     told = checkpoint(measured(pairs, sets, similarity, long))
     groups = checkpoint(connected_components(told.where("alike"), "a", "b", EACH).coalesce(partitions(n)))
     return found.select("key", "node"), nodes.select("node", "first"), completed(groups, crowded, told, sets, similarity)
