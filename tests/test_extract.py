@@ -19,6 +19,14 @@ def test_html(html, want):
     assert extract.html_text(html)[0] == want
 
 
+def test_a_cut_reference_stays_where_only_closed_ones_are_decoded(spark):
+    html = '<h1>up &amp; on &copy</h1><p>a &#38; b &lt &nosuch; c&amp</p><a href="/x?a=1&amp;b=2&c">go &gt; on</a>'
+    assert extract.html_text(html, closed=True) == ("up & on &copy\na & b &lt &nosuch; c&amp\ngo > on", [("/x?a=1&b=2&c", "go > on", "")])
+    assert extract.html_text(html)[0] == "up & on ©\na & b < &nosuch; c&\ngo > on"
+    pages = spark.createDataFrame([(1, html), (2, None)], "page_id int, html string")
+    assert [r.text.count("&copy") if r.text else 0 for r in extract.html_to_text(pages, closed=True).collect()] == [1, 0]
+
+
 def test_links_in_order_first_of_each_target(spark):
     html = '<a href="/courses/1/files/42?w=1">One</a> <a href="https://a.b/c">x</a> <a href="/courses/1/files/42/download">again</a>'
     assert extract.html_text(html)[1] == [("/courses/1/files/42?w=1", "One", "42"), ("https://a.b/c", "x", "")]
