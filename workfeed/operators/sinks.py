@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -29,8 +29,11 @@ def flat(items: DataFrame) -> DataFrame:
     )
 
 
-def write_json(items: DataFrame, path: str) -> None:
-    canonical(items.withColumn("attachments", F.coalesce("attachments", F.array().cast(items.schema["attachments"].dataType)))).write.mode("errorifexists").json(path)
+def write_json(items: DataFrame, path: str, made: Callable[[DataFrame], DataFrame] | None = None, compression: str | None = None) -> None:
+    """Writes items in canonical order. made: what makes rows as they are written of items in order, so that what they are made of is sorted in their place."""
+    rows = (made or (lambda df: df))(canonical(items))
+    out = rows.withColumn("attachments", F.coalesce("attachments", F.array().cast(rows.schema["attachments"].dataType)))
+    out.write.mode("errorifexists").json(path, compression=compression)
 
 
 def write_csv(items: DataFrame, path: str) -> None:
