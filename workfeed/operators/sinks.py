@@ -57,15 +57,18 @@ def read_actions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_files(files: DataFrame, path: str) -> int:
-    """Writes files (name, content), one row each, into a folder that all executors reach; how many. A task that runs again writes its files anew."""
+    """Writes files (name, content), one row each, into a folder that all executors reach, or into folders in it that names begin with; how many. A task that runs again writes its files anew."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
         store, folder = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-        store.create_dir(folder)
+        made = set()
         for batch in batches:
             for name, content in zip(batch["name"], batch["content"], strict=True):
+                if (parent := name.rpartition("/")[0]) not in made:
+                    store.create_dir(f"{folder}/{parent}".rstrip("/"))
+                    made.add(parent)
                 with store.open_output_stream(f"{folder}/{name}") as out:
                     out.write(content)
             yield pd.DataFrame({"n": [len(batch)]})

@@ -205,6 +205,10 @@ def _office(kind: str, lines: list[str], whole: bool) -> bytes:
     return out.getvalue()
 
 
+#: Files of a folder, about.
+FOLDER_FILES = 1000
+
+
 def office_files(spark, sf_dir):
     """Documents written as text documents, slides, plain and unknown files and read back from their bytes, some of them damaged or too large."""
     docs = q._table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -220,9 +224,11 @@ def office_files(spark, sf_dir):
                 rows.append((f"{i}.{kind}", _office(kind, half, i % 7 != 0) if kind in ("docx", "pptx") else (body or "").encode()))
             yield pd.DataFrame(rows, columns=["name", "content"])
 
-    folder = new_folder(spark, "files")
-    sinks.write_files(docs.mapInPandas(made, "name string, content binary"), folder)
-    read = extract.read_files(spark, folder, ceiling=30_000)
+    # Some 1,000 files a folder, each of which one task lists: a list of all of them would be in the driver's memory.
+    folder, n = new_folder(spark, "files"), max(1, -(-docs.count() // FOLDER_FILES))
+    place = F.concat(F.pmod(F.xxhash64("name"), F.lit(n)).cast("string"), F.lit("/"), "name")
+    sinks.write_files(docs.mapInPandas(made, "name string, content binary").withColumn("name", place), folder)
+    read = extract.read_folders(spark.range(0, n, 1, n).select(F.concat(F.lit(f"{folder}/"), F.col("id").cast("string")).alias("folder")), ceiling=30_000)
     found = extract.files_to_text(read, limit=1 << 20, ceiling=30_000)
     name = F.substring_index("path", "/", -1)
     return found.select(name.alias("name"), "format", F.md5(F.trim(F.regexp_replace("text", r"\s+", " "))).alias("text"), "error", "truncated")
