@@ -191,17 +191,20 @@ def briefed_tasks(spark, sf_dir):
 
 
 def _office(kind: str, lines: list[str], whole: bool) -> bytes:
-    """A text document with a paragraph a line, or slides of ten lines each; the last part of one that is not whole breaks off after its last line."""
+    """A text document with a paragraph a line, or slides of ten lines each, or of more where that would be over 20 slides; the last part of one that is not whole breaks off after its last line."""
     out = io.BytesIO()
     coded = [escape(x) for x in lines]
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+    with zipfile.ZipFile(out, "w") as z:
+        # A ZipInfo of its own, for its fixed date, would be stored unpacked.
+        put = lambda name, body: z.writestr(zipfile.ZipInfo(name), body, zipfile.ZIP_DEFLATED)
         if kind == "docx":
             body = "".join(f'<w:p><w:r><w:t xml:space="preserve">{x}</w:t></w:r></w:p>' for x in coded)
-            z.writestr(zipfile.ZipInfo("word/document.xml"), f'<w:document xmlns:w="w"><w:body>{body}' + ("</w:body></w:document>" if whole else "<w:p><w:r &"))
+            put("word/document.xml", f'<w:document xmlns:w="w"><w:body>{body}' + ("</w:body></w:document>" if whole else "<w:p><w:r &"))
         else:
-            for n in range(0, len(coded), 10):
-                body = "".join(f"<a:p><a:r><a:t>{x}</a:t></a:r></a:p>" for x in coded[n : n + 10])
-                z.writestr(zipfile.ZipInfo(f"ppt/slides/slide{n}.xml"), f'<p:sld xmlns:p="p" xmlns:a="a">{body}</p:sld>')
+            step = max(10, -(-len(coded) // 20))
+            for n in range(0, len(coded), step):
+                body = "".join(f"<a:p><a:r><a:t>{x}</a:t></a:r></a:p>" for x in coded[n : n + step])
+                put(f"ppt/slides/slide{n}.xml", f'<p:sld xmlns:p="p" xmlns:a="a">{body}</p:sld>')
     return out.getvalue()
 
 
