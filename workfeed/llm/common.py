@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..state import checkpoint
 
-__all__ = ["checkpoint", "free_name", "partitions", "sha256_of", "small_batches", "table"]
+__all__ = ["checkpoint", "free_name", "partitions", "sha256_of", "small_batches", "small_broadcasts", "table"]
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -21,6 +21,18 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, rows)
 
 
+def small_broadcasts(spark: SparkSession, most: int = 256 << 10) -> None:
+    """Lets Spark broadcast by itself only what it takes to be of at most `most` bytes, where the session allows more.
+
+    It counts neither the rows that an explode makes nor the length of an array, so a table
+    may be a hundred times as large as it is taken to be, and a broadcast is whole in the driver.
+    """
+    for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        allowed = str(spark.conf.get(name, None) or "-1").strip()
+        if not allowed.startswith("-") and spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(allowed) > most:
+            spark.conf.set(name, most)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

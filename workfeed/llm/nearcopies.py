@@ -96,9 +96,10 @@ def candidates(keyed: DataFrame, bucket: int, parts: int) -> tuple[DataFrame, Da
     """(pairs, crowded) of keyed (node, slot, key): (a, b), a < b, that share a slot and key, of keys over bucket only those with two chosen nodes; and (slot, key, node, low) of these keys, low being one of the two. parts: see partitions()."""
     mark = F.struct(F.xxhash64("node", "slot").alias("h"), "node")
     sizes = keyed.groupBy("slot", "key").agg(F.count("*").alias("n"), F.min(mark).alias("low"), F.max(mark).alias("high")).where("n > 1")
-    met = checkpoint(keyed.join(sizes, ["slot", "key"]).select("slot", "key", "node", "n", F.col("low.node").alias("low"), F.col("high.node").alias("high")).coalesce(parts))
+    # Spark would take the keys to be as few as the nodes that they are exploded from, and broadcast them.
+    met = checkpoint(keyed.hint("merge").join(sizes, ["slot", "key"]).select("slot", "key", "node", "n", F.col("low.node").alias("low"), F.col("high.node").alias("high")).coalesce(parts))
     few, crowded = met.where(F.col("n") <= bucket), met.where(F.col("n") > bucket)
-    pairs = few.select("slot", "key", F.col("node").alias("a")).join(few.select("slot", "key", F.col("node").alias("b")), ["slot", "key"]).select("a", "b").coalesce(parts)
+    pairs = few.select("slot", "key", F.col("node").alias("a")).hint("merge").join(few.select("slot", "key", F.col("node").alias("b")), ["slot", "key"]).select("a", "b").coalesce(parts)
     chosen = crowded.select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b"))
     found = pairs.unionByName(chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).where("a < b")
     return found, crowded.select("slot", "key", "node", "low")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from . import centroids, decontaminate, licenses, linededup, pieces, sharding, simhash, spelling, syncmers, tokencount, toxicity, urlrules, wrappers
-from .common import sha256_of, small_batches, table
+from .common import sha256_of, small_batches, small_broadcasts, table
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +57,7 @@ FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN found USING (doc_id)
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
+    small_broadcasts(spark)
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(
         "doc_id",

@@ -114,14 +114,15 @@ def near_fingerprints(prints: DataFrame, max_bits: int = 2, bucket: int = 1024,
     spread = prints.repartition(min(most, parts or most))
     keyed = spread.select("fp", F.explode(_variants(F.col("fp"), max_bits)).alias("v")).select("fp", "v.slot", "v.key")
     sizes = keyed.groupBy("slot", "key").agg(F.count("*").alias("n")).where("n > 1")
-    met = keyed.join(sizes, ["slot", "key"])
+    # Spark would take the variants to be as small as the fingerprints and broadcast them.
+    met = keyed.hint("merge").join(sizes, ["slot", "key"])
     met = checkpoint(met.coalesce(parts) if parts else met)
     apart = F.col("a").bitwiseXOR(F.col("b"))
     near = (F.bit_count(apart) <= max_bits) & (F.col("slot") == _first_slot(apart, max_bits))
     few = met.where(F.col("n") <= bucket)
     left = few.select("slot", "key", F.col("fp").alias("a"))
     right = few.select("slot", "key", F.col("fp").alias("b"))
-    pairs = left.join(right, ["slot", "key"]).where((F.col("a") < F.col("b")) & near).select("a", "b")
+    pairs = left.hint("merge").join(right, ["slot", "key"]).where((F.col("a") < F.col("b")) & near).select("a", "b")
     if parts and met.where(F.col("n") > bucket).isEmpty():
         return pairs.distinct()
     crowded = met.where(F.col("n") > bucket).select("fp").distinct()
