@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from workfeed.llm import decontaminate, linededup, nearcopies, pieces, toxicity
-from workfeed.llm.common import free_name, small_batches, table
+from workfeed.llm.common import free_name, small_batches, small_broadcasts, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose noisy-or score is below 0.5; the model is trained as in op8_toxicity."""
     small_batches(spark)
+    small_broadcasts(spark)
     labels = table(spark, sf_dir, "labels").where(~toxicity.held_out())
     model = toxicity.train(docs, labels)
     return toxicity.score(docs, model).where("score < 0.5").select(docs.columns)
@@ -28,6 +29,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     be known any more, and what is left of it would stay.
     """
     small_batches(spark)
+    small_broadcasts(spark)
     total, removed = free_name(docs, "n_lines"), free_name(docs, "n_removed")
     cut = linededup.dedup_lines(docs, n_lines=total, n_removed=removed, groups=nearcopies.near_groups(docs)).where((F.col(removed) < F.col(total)) | (F.col(removed) == 0))
     return cut.withColumn("n_chars", F.when(F.col(removed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
@@ -36,6 +38,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest doc_id, of each group linked by SimHash and a Jaccard similarity of five-word shingles of at least 0.8."""
     small_batches(spark)
+    small_broadcasts(spark)
     return nearcopies.drop_near_copies(docs)
 
 
